@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import language, token_files
 
 QUERIES = {
     "op1_token_file": token_files.op1_token_file,
+    "op2_language_id": language.op2_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
