@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, token_files
+from . import language, near_dups, token_files
 
 QUERIES = {
     "op1_token_file": token_files.op1_token_file,
     "op2_language_id": language.op2_language_id,
+    "op9_near_duplicates": near_dups.op9_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
