@@ -126,7 +126,8 @@ def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]
 def contained_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int], most: int = 1 << 20) -> np.ndarray:
     """Least edit distance of each first array to any stretch of the second, or limit + 1.
 
-    The band holds every diagonal, so the second array should be a short window.
+    The band holds the diagonals that such a stretch can use, so it is narrow where the
+    second array is a window little longer than the first.
     """
     limits = np.asarray(limits, np.int64)
     out = limits + 1
@@ -134,8 +135,7 @@ def contained_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list
         return out
     size = np.array([len(b) + 1 for _, b in pairs])
     for batch in _batches(np.argsort(size, kind="stable"), size, most):
-        # all diagonals j - i from -len(x) to len(y)
-        w = int(max(max(len(pairs[i][0]), len(pairs[i][1])) for i in batch))
+        w = int(max(abs(len(pairs[i][1]) - len(pairs[i][0])) + limits[i] for i in batch))
         got = _walk([pairs[i][0] for i in batch], [pairs[i][1] for i in batch], w, limits[batch], True)
         out[batch] = np.minimum(got, limits[batch] + 1)
     return out

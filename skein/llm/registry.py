@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import language, near_dups, token_files
+from . import chat, contamination, language, mixture, near_dups, token_files
 
 QUERIES = {
     "op1_token_file": token_files.op1_token_file,
     "op2_language_id": language.op2_language_id,
+    "op3_source_mixture": mixture.op3_source_mixture,
+    "op4_benchmark_leaks": contamination.op4_benchmark_leaks,
+    "op7_chat_format": chat.op7_chat_format,
     "op9_near_duplicates": near_dups.op9_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_source_mixture": mixture.mixture_sql(),
+    "op7_chat_format": chat.CHAT_SQL,
+}
