@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, language, mixture, near_dups, token_files
+from . import chat, contamination, language, lm_score, media, mixture, near_dups, page_text, secret_scan, token_files
 
 QUERIES = {
     "op1_token_file": token_files.op1_token_file,
     "op2_language_id": language.op2_language_id,
     "op3_source_mixture": mixture.op3_source_mixture,
     "op4_benchmark_leaks": contamination.op4_benchmark_leaks,
+    "op5_lm_score": lm_score.op5_lm_score,
+    "op6_media_pages": media.op6_media_pages,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_near_duplicates": near_dups.op9_near_duplicates,
+    "op10_page_text": page_text.op10_page_text,
 }
 
 ORACLE_SQL = {
     "op3_source_mixture": mixture.mixture_sql(),
+    "op5_lm_score": lm_score.op5_lm_score,
+    "op6_media_pages": media.op6_media_pages,
     "op7_chat_format": chat.CHAT_SQL,
 }
