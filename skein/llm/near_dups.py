@@ -3,17 +3,19 @@
 A sketch of a text takes, under one random order, the ``PICKS`` smallest of its
 occurrence-labelled word k-mers and hashes them in the order in which they stand
 in the text; two texts share it with a chance that follows their edit similarity
-and not only their sets of k-mers. Texts that share any of ``SKETCHES`` sketches
-are candidates, and a banded alignment of their words decides: they are linked
-if the edit distance is at most (1 - SIMILARITY) of the longer text. Classes are
-the connected components of the links.
+and not only their sets of k-mers. Texts in one bucket, of which at least
+``AGREEING`` of ``SKETCHES`` sketches agree, are candidates, and a banded alignment
+of their words decides: they are linked if the edit distance is at most
+(1 - SIMILARITY) of the longer text. Classes are the connected components of the
+links. At a k-mer similarity of 0.8 a pair fails to be a candidate about once in
+20 000 cases.
 
 Equal texts are one node from the start, so a copied text costs one row however
-often it occurs. In a sketch's bucket all texts are first aligned with one hub;
-those that no link joins to the bucket's main class are then aligned with every
-text of another class in that bucket, a bounded block of them per round, until
-none is left: no bucket is capped and a large group of copies needs no pairs
-within itself.
+often it occurs. In a sketch's bucket texts are first aligned with one hub (the
+least hub of all their buckets, then those that their class doesn't hold yet); what
+still stands outside the bucket's main class is then held against every text of
+another class in it. No bucket is capped, and a large group of copies needs no
+pairs within itself.
 
 Words are runs of non-blank characters with A to Z lower-cased. A text of fewer
 than ``K`` words is one k-mer. Null text counts as empty, and all texts without
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .alignment import edit_distances
@@ -36,11 +38,11 @@ from .kernels import LOWER, U64, binary_column, groups, mix, run_ranks, span_has
 from .storage import Stage
 
 K = 5
-PICKS = 4
-SKETCHES = 24
+PICKS = 5
+SKETCHES = 32
 SIMILARITY = 0.8
-#: Texts outside their bucket's main class that one round aligns with the rest of the bucket.
-BLOCK = 64
+#: Sketches that must agree (judged by their low bytes) before two texts of a bucket are aligned.
+AGREEING = 2
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +135,7 @@ def sketch_texts(docs: DataFrame) -> DataFrame:
 
 
 def word_lists(texts: DataFrame) -> DataFrame:
-    """For rows (node, text): node and the 32-bit hashes of its words as a binary value."""
+    """For rows (nid, text): nid and the 32-bit hashes of its words as a binary value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,13 +144,13 @@ def word_lists(texts: DataFrame) -> DataFrame:
                 part = offsets[i : j + 1]
                 hashes, rows = _words(raw[part[0] : part[-1]], part - part[0])
                 words = binary_column(hashes.astype(np.uint32), np.bincount(rows, minlength=j - i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), words], ["node", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), words], ["nid", "words"])
 
-    return texts.select("node", "text").mapInArrow(run, "node string, words binary")
+    return texts.select("nid", "text").mapInArrow(run, "nid long, words binary")
 
 
 def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose words align within the edit budget."""
+    """The pairs (x, y), as (a, b), whose words align within the edit budget."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,71 +165,116 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
                 keep = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
-    left = words.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
-    right = words.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
-    return rows.mapInArrow(run, "a string, b string")
+    left = words.select(F.col("nid").alias("a"), F.col("words").alias("words_a"))
+    right = words.select(F.col("nid").alias("b"), F.col("words").alias("words_b"))
+    rows = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _signature(sketches) -> list:
+    """Low bytes of the sketches, seven to a long."""
+    lanes = [F.shiftleft(F.get(sketches, F.lit(i)).bitwiseAND(F.lit(255)), 8 * (i % 7)) for i in range(SKETCHES)]
+    out = []
+    for i in range(0, SKETCHES, 7):
+        word = lanes[i]
+        for lane in lanes[i + 1 : i + 7]:
+            word = word.bitwiseOR(lane)
+        out.append(word.alias(f"s{i // 7}"))
+    return out
+
+
+_WORDS = -(-SKETCHES // 7)
+_SEVENS = 0x007F7F7F7F7F7F7F
+
+
+def _agreeing(a: str, b: str):
+    """How many low bytes of two signatures are equal: the zero bytes of their exclusive or."""
+    total = F.lit(0)
+    for i in range(_WORDS):
+        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
+        marks = sum(0x80 << 8 * lane for lane in range(min(7, SKETCHES - 7 * i)))
+        carried = (x.bitwiseAND(F.lit(_SEVENS)) + F.lit(_SEVENS)).bitwiseOR(x)
+        total = total + F.bit_count(F.bitwise_not(carried).bitwiseAND(F.lit(marks)))
+    return total
+
+
+def _alike(similarity: float):
+    """What two texts of enough similarity have in common as far as lengths and signatures tell."""
+    longest = F.greatest("x_words", "y_words") * similarity <= F.least("x_words", "y_words") + 1e-9
+    return longest & (_agreeing("x_s", "y_s") >= AGREEING)
+
+
+def _as(texts: DataFrame, name: str) -> DataFrame:
+    return texts.select(F.col("nid").alias(name), F.col("n_words").alias(f"{name}_words"), *(F.col(f"s{i}").alias(f"{name}_s{i}") for i in range(_WORDS)))
+
+
+#: Distinct texts up to which the list of those to align is broadcast; beyond it is joined by a shuffle.
+BROADCAST_TEXTS = 500_000
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame, rows: DataFrame, stage: Stage, name: str, similarity: float) -> DataFrame:
+    """The pairs (x, y) that an alignment of their words confirms, as (a, b)."""
+    pairs = stage.keep(pairs, f"{name}-pairs")
+    ids = pairs.select(F.col("x").alias("nid")).union(pairs.select(F.col("y").alias("nid"))).distinct()
+    wanted = stage.keep(texts.select("nid", "node").join(ids, "nid"), f"{name}-texts")
+    few = wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    found = rows.join(F.broadcast(wanted) if few else wanted, "node").groupBy("nid").agg(F.first("text").alias("text"))
+    words = stage.keep(word_lists(found), f"{name}-words")
+    return stage.keep(verified(pairs, words, similarity), f"{name}-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id, node (of its exact text) and class_node."""
+    """One row per document: doc_id, class_id, node (the md5 of its exact text) and class_node."""
     spark = docs.sparkSession
     stage = Stage(spark, "near-dups")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("node", F.md5("text"))
     sketched = stage.keep(sketch_texts(rows), "sketched")
-
-    texts = stage.keep(
-        sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches")), "texts"
-    )
-    member = texts.where("n_words > 0").select("node", "n_words", F.posexplode("sketches").alias("band", "value"))
-    hubs = member.groupBy("band", "value").agg(F.min(F.struct("node", "n_words")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = stage.keep(
-        member.join(hubs, ["band", "value"]).select("band", "value", "node", "n_words", F.col("hub.node").alias("hub"), F.col("hub.n_words").alias("hub_words")),
-        "shared",
-    )
-    nodes = shared.select("node").distinct()
-    words = stage.keep(word_lists(rows.join(nodes, "node").groupBy("node").agg(F.first("text").alias("text"))), "words")
-
-    near = 1 / similarity + 1e-9
-    lengths = (F.greatest("n_words", "hub_words") <= near * F.least("n_words", "hub_words"))
-    pairs = shared.where("node <> hub").where(lengths).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage.keep(verified(pairs, words, similarity), "links-0")
-    roots = components(links, stage, "classes-0")
-
-    n = 0
-    done = None
-    while True:
-        # what stands outside the main class of its bucket, and wasn't yet aligned with the rest of it
-        placed = shared.join(roots, "node", "left").select("band", "value", "node", "n_words", F.coalesce("root", "node").alias("root"))
-        sizes = placed.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-        outside = placed.join(main, ["band", "value"]).where(F.col("root") != F.col("main.root")).select("band", "value", "node", "n_words", "root")
-        if done is not None:
-            outside = outside.join(done, ["band", "value", "node"], "left_anti")
-        salted = Window.partitionBy("band", "value", F.pmod(F.xxhash64("node"), F.lit(16))).orderBy("node")
-        ranked = Window.partitionBy("band", "value").orderBy("node")
-        some = outside.withColumn("i", F.row_number().over(salted)).where(F.col("i") <= BLOCK)
-        some = stage.keep(some.withColumn("i", F.row_number().over(ranked)).where(F.col("i") <= BLOCK).drop("i"), f"block-{n}")
-        if some.isEmpty():
-            break
-        x = some.select("band", "value", F.col("node").alias("x"), F.col("n_words").alias("hub_words"), F.col("root").alias("x_root"))
-        new = (
-            placed.join(x, ["band", "value"])
-            .where("root <> x_root")
-            .where(lengths)
-            .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-            .distinct()
-        )
-        keys = some.select("band", "value", "node")
-        done = stage.keep(keys if done is None else done.union(keys), f"done-{n}")
-        n += 1
-        found = stage.keep(verified(new, words, similarity), f"links-{n}")
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = components(links, stage, f"classes-{n}")
-
-    classes = texts.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("class_node"))
+    once = sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
+    texts = stage.keep(once.select("node", "least_id", "n_words", "sketches", *_signature(F.col("sketches"))).withColumn("nid", F.monotonically_increasing_id()), "texts")
+
+    # a sketch's value also depends on its number, so the value alone names the bucket
+    member = texts.where("n_words > 0").select("nid", F.explode("sketches").alias("value"))
+    hubs = member.groupBy("value").agg(F.min("nid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", "hub")
+    shared = stage.keep(member.join(hubs, "value"), "shared")
+
+    # first each text with the least hub of its buckets, then with the other hubs that its class doesn't hold yet
+    hubbed = shared.where("nid <> hub").select(F.col("nid").alias("x"), F.col("hub").alias("y")).distinct()
+    seen = hubbed.join(_as(texts, "x"), "x")
+    alike = stage.keep(seen.join(_as(texts, "y"), "y").where(_alike(similarity)).select("x", "y"), "alike")
+    least = alike.groupBy("x").agg(F.min("y").alias("y"))
+    links = _aligned(least, texts, rows, stage, "first", similarity)
+    roots = components(links, stage, "first")
+    rooted = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    apart = F.coalesce("x_root", "x") != F.coalesce("y_root", "y")
+    others = alike.join(rooted("x"), "x", "left").join(rooted("y"), "y", "left").where(apart).select("x", "y")
+    others = stage.keep(others.join(least, ["x", "y"], "left_anti"), "others")
+    if not others.isEmpty():
+        more = _aligned(others, texts, rows, stage, "second", similarity)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links, stage, "second")
+
+    # what stands outside the main class of its bucket is held against all other classes there
+    placed = shared.join(roots, shared.nid == roots.node, "left").select("value", "nid", "hub", F.coalesce("root", "nid").alias("root"))
+    mixed = placed.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("classes"))
+    mixed = mixed.where("classes > 1").select("value", F.col("main.root").alias("main"))
+    within = stage.keep(placed.join(mixed, "value"), "within")
+    if not within.isEmpty():
+        sign = within.join(texts.select("nid", "n_words", *(f"s{i}" for i in range(_WORDS))), "nid")
+        side = lambda n: [F.col("nid").alias(n), F.col("root").alias(f"{n}_root"), F.col("n_words").alias(f"{n}_words"), *(F.col(f"s{i}").alias(f"{n}_s{i}") for i in range(_WORDS))]
+        outside = sign.where("root <> main").where("nid <> hub").select("value", *side("x"))
+        inside = sign.where("nid <> hub").select("value", "main", *side("y"))
+        once_each = (F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y"))
+        cross = outside.join(inside, "value").where((F.col("x_root") != F.col("y_root")) & once_each & _alike(similarity))
+        cross = stage.keep(cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "cross")
+        if not cross.isEmpty():
+            more = _aligned(cross, texts, rows, stage, "third", similarity)
+            if not more.isEmpty():
+                links = links.union(more)
+                roots = components(links, stage, "third")
+
+    classes = texts.select("node", "nid", "least_id").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("node", "least_id", F.coalesce("root", "nid").alias("class_node"))
     named = classes.join(classes.groupBy("class_node").agg(F.min("least_id").alias("class_id")), "class_node")
     return sketched.select(F.col("id").alias("doc_id"), "node").join(named.select("node", "class_node", "class_id"), "node")
 
