@@ -19,7 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_source_mixture": mixture.mixture_sql(),
-    "op5_lm_score": lm_score.op5_lm_score,
-    "op6_media_pages": media.op6_media_pages,
     "op7_chat_format": chat.CHAT_SQL,
 }
