@@ -90,7 +90,7 @@ def _batches(order: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]
     return out
 
 
-def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int], most: int = 1 << 19) -> np.ndarray:
+def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int], most: int = 1 << 18) -> np.ndarray:
     """Edit distance of each pair of integer arrays, or limit + 1 where it is larger."""
     limits = np.asarray(limits, np.int64)
     out = limits + 1

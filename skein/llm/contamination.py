@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from .alignment import contained_distances
 from .kernels import LOWER, SPACE, U64, HashTable, groups, text_bytes
+from .storage import map_batches
 
 Q = 8
 EDITS = 0.1
@@ -186,7 +187,7 @@ def mark_leaks(docs: DataFrame, index: PassageIndex, text_col: str = "text", to:
             leaks = pa.StructArray.from_arrays([pa.array(found.ids[item] if len(found.ids) else item), pa.array(distance), pa.array(place)], fields=list(_ARROW_LEAK))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), leaks)], [*batch.schema.names, to])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, LEAKS)]))
+    return rows.transform(map_batches, run, T.StructType([*rows.schema.fields, T.StructField(to, LEAKS)]))
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", units: int = BLOCK_UNITS) -> Iterator[PassageIndex]:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import U64, HashTable, groups, text_bytes
+from .storage import map_batches
 
 ORDER = 4
 #: The sample that is learned from: texts per language, their longest length, and labels.
@@ -121,7 +122,7 @@ class ContextTrees:
             todo = todo[~hit]
         return out
 
-    def code_lengths(self, raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    def code_lengths(self, raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 18) -> np.ndarray:
         """Bits of each text in each language."""
         bits = np.zeros((len(offsets) - 1, len(self.languages)))
         for i, j in groups(offsets, most):
@@ -205,7 +206,7 @@ def predict_language(docs: DataFrame, trees: ContextTrees, text_col: str = "text
             )
 
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.transform(map_batches, run, schema)
 
 
 def bucket(modulus: int, id_col: str = "doc_id"):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Stage
+from .storage import map_batches, Stage
 
 # Fixed values of the TIFF 6.0 format: tag numbers, field types and compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -279,7 +279,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return rows.transform(map_batches, run, "doc_id long, n_bytes long, media binary")
 
 
 def tiff_pages(media: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def tiff_pages(media: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_pylist(held, _PAGES)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PAGES)
+    return media.select("doc_id", "n_bytes", "media").transform(map_batches, run, PAGES)
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
@@ -361,7 +361,7 @@ def page_digests(pages: DataFrame) -> DataFrame:
         if fold is not None:
             yield pa.RecordBatch.from_pylist([fold.done()], _DIGESTS)
 
-    return pages.mapInArrow(run, DIGESTS)
+    return pages.transform(map_batches, run, DIGESTS)
 
 
 def op6_media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .alignment import edit_distances
 from .graph import components
 from .kernels import LOWER, U64, binary_column, groups, mix, run_ranks, span_hashes, spans, text_bytes
-from .storage import Stage
+from .storage import map_batches, Stage
 
 K = 5
 PICKS = 5
@@ -43,6 +43,8 @@ SKETCHES = 32
 SIMILARITY = 0.8
 #: Sketches that must agree (judged by their low bytes) before two texts of a bucket are aligned.
 AGREEING = 2
+#: Classes of words that are counted (to 127), for a lower bound of the edit distance.
+BINS = 256
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +114,7 @@ def order_sketches(hashes: np.ndarray, rows: np.ndarray, n: int, k: int = K, pic
 
 
 def sketch_texts(docs: DataFrame) -> DataFrame:
-    """For rows (id, node, text): id, node, the number of words, and the sketches as a binary value."""
+    """For rows (id, node, text): id, node, the number of words and of those of each class of words, and the sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,17 +123,19 @@ def sketch_texts(docs: DataFrame) -> DataFrame:
                 part = offsets[i : j + 1]
                 hashes, rows = _words(raw[part[0] : part[-1]], part - part[0])
                 table = order_sketches(hashes, rows, j - i)
+                bins = np.bincount(rows * BINS + (hashes % U64(BINS)).astype(np.int64), minlength=(j - i) * BINS).reshape(-1, BINS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
                         batch.column(1).slice(i, j - i),
                         pa.array(np.bincount(rows, minlength=j - i)),
+                        pa.array(list(np.minimum(bins, 127).astype(np.int8)), pa.list_(pa.int8())),
                         pa.array(list(table.view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    ["id", "node", "n_words", "sketches"],
+                    ["id", "node", "n_words", "bins", "sketches"],
                 )
 
-    return docs.select("id", "node", "text").mapInArrow(run, "id long, node string, n_words long, sketches array<long>")
+    return docs.select("id", "node", "text").transform(map_batches, run, "id long, node string, n_words long, bins array<tinyint>, sketches array<long>")
 
 
 def word_lists(texts: DataFrame) -> DataFrame:
@@ -146,7 +150,7 @@ def word_lists(texts: DataFrame) -> DataFrame:
                 words = binary_column(hashes.astype(np.uint32), np.bincount(rows, minlength=j - i))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), words], ["nid", "words"])
 
-    return texts.select("nid", "text").mapInArrow(run, "nid long, words binary")
+    return texts.select("nid", "text").transform(map_batches, run, "nid long, words binary")
 
 
 def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -168,7 +172,7 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
     left = words.select(F.col("nid").alias("a"), F.col("words").alias("words_a"))
     right = words.select(F.col("nid").alias("b"), F.col("words").alias("words_b"))
     rows = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.transform(map_batches, run, "a long, b long")
 
 
 def _signature(sketches) -> list:
@@ -199,13 +203,19 @@ def _agreeing(a: str, b: str):
 
 
 def _alike(similarity: float):
-    """What two texts of enough similarity have in common as far as lengths and signatures tell."""
+    """What two texts of enough similarity have in common as far as lengths, signatures and word counts tell.
+
+    Each word that one text has more often than the other costs an edit, so the counts bound the distance from below.
+    """
     longest = F.greatest("x_words", "y_words") * similarity <= F.least("x_words", "y_words") + 1e-9
-    return longest & (_agreeing("x_s", "y_s") >= AGREEING)
+    limit = F.greatest("x_words", "y_words") * (1 - similarity) + 1e-9
+    surplus = F.aggregate(F.zip_with("x_bins", "y_bins", lambda a, b: F.greatest(a.cast("int") - b, F.lit(0))), F.lit(0), lambda s, x: s + x)
+    edits = surplus + F.greatest(F.lit(0), F.col("y_words") - F.col("x_words"))
+    return longest & (_agreeing("x_s", "y_s") >= AGREEING) & (edits <= limit)
 
 
 def _as(texts: DataFrame, name: str) -> DataFrame:
-    return texts.select(F.col("nid").alias(name), F.col("n_words").alias(f"{name}_words"), *(F.col(f"s{i}").alias(f"{name}_s{i}") for i in range(_WORDS)))
+    return texts.select(F.col("nid").alias(name), F.col("n_words").alias(f"{name}_words"), F.col("bins").alias(f"{name}_bins"), *(F.col(f"s{i}").alias(f"{name}_s{i}") for i in range(_WORDS)))
 
 
 #: Distinct texts up to which the list of those to align is broadcast; beyond it is joined by a shuffle.
@@ -230,11 +240,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("node", F.md5("text"))
     sketched = stage.keep(sketch_texts(rows), "sketched")
-    once = sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
-    texts = stage.keep(once.select("node", "least_id", "n_words", "sketches", *_signature(F.col("sketches"))).withColumn("nid", F.monotonically_increasing_id()), "texts")
+    once = sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("sketches").alias("sketches"))
+    texts = stage.keep(once.select("node", "least_id", "n_words", "bins", "sketches", *_signature(F.col("sketches"))).withColumn("nid", F.monotonically_increasing_id()), "texts")
 
     # a sketch's value also depends on its number, so the value alone names the bucket
-    member = texts.where("n_words > 0").select("nid", F.explode("sketches").alias("value"))
+    member = texts.where("n_words > 0").select("nid", F.posexplode("sketches").alias("number", "value"))
     hubs = member.groupBy("value").agg(F.min("nid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", "hub")
     shared = stage.keep(member.join(hubs, "value"), "shared")
 
@@ -251,28 +261,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = stage.keep(others.join(least, ["x", "y"], "left_anti"), "others")
     if not others.isEmpty():
         more = _aligned(others, texts, rows, stage, "second", similarity)
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links, stage, "second")
+        roots = components(more, stage, "second", roots)
 
-    # what stands outside the main class of its bucket is held against all other classes there
-    placed = shared.join(roots, shared.nid == roots.node, "left").select("value", "nid", "hub", F.coalesce("root", "nid").alias("root"))
+    # what stands outside the main class of its bucket is held against all other classes there, each pair in its first bucket
+    placed = shared.join(roots, shared.nid == roots.node, "left").select("number", "value", "nid", "hub", F.coalesce("root", "nid").alias("root"))
     mixed = placed.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("classes"))
     mixed = mixed.where("classes > 1").select("value", F.col("main.root").alias("main"))
     within = stage.keep(placed.join(mixed, "value"), "within")
     if not within.isEmpty():
-        sign = within.join(texts.select("nid", "n_words", *(f"s{i}" for i in range(_WORDS))), "nid")
-        side = lambda n: [F.col("nid").alias(n), F.col("root").alias(f"{n}_root"), F.col("n_words").alias(f"{n}_words"), *(F.col(f"s{i}").alias(f"{n}_s{i}") for i in range(_WORDS))]
-        outside = sign.where("root <> main").where("nid <> hub").select("value", *side("x"))
+        sign = within.join(texts.select("nid", "n_words", "bins", "sketches", *(f"s{i}" for i in range(_WORDS))), "nid")
+        side = lambda n: [F.col("nid").alias(n), F.col("root").alias(f"{n}_root"), F.col("n_words").alias(f"{n}_words"), F.col("bins").alias(f"{n}_bins"), F.col("sketches").alias(f"{n}_sketches"), *(F.col(f"s{i}").alias(f"{n}_s{i}") for i in range(_WORDS))]
+        outside = sign.where("root <> main").where("nid <> hub").select("value", "number", *side("x"))
         inside = sign.where("nid <> hub").select("value", "main", *side("y"))
         once_each = (F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y"))
-        cross = outside.join(inside, "value").where((F.col("x_root") != F.col("y_root")) & once_each & _alike(similarity))
+        first = F.array_position(F.zip_with("x_sketches", "y_sketches", lambda a, b: a == b), True) == F.col("number") + 1
+        cross = outside.join(inside, "value").where((F.col("x_root") != F.col("y_root")) & once_each & _alike(similarity) & first)
         cross = stage.keep(cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "cross")
         if not cross.isEmpty():
-            more = _aligned(cross, texts, rows, stage, "third", similarity)
-            if not more.isEmpty():
-                links = links.union(more)
-                roots = components(links, stage, "third")
+            roots = components(_aligned(cross, texts, rows, stage, "third", similarity), stage, "third", roots)
 
     classes = texts.select("node", "nid", "least_id").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("node", "least_id", F.coalesce("root", "nid").alias("class_node"))
     named = classes.join(classes.groupBy("class_node").agg(F.min("least_id").alias("class_id")), "class_node")

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import map_batches
+
 #: A subtree is template if it stands on this share of its host's pages, and on so many at least.
 SHARE = 0.1
 LEAST_PAGES = 5
@@ -239,7 +241,7 @@ def site_templates(pages: DataFrame) -> DataFrame:
                 ["host", "digest", "n"],
             )
 
-    counted = pages.select("host", "html").mapInArrow(run, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n"))
+    counted = pages.select("host", "html").transform(map_batches, run, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n"))
     sites = counted.where("digest is null").select("host", F.col("n").alias("pages"))
     common = counted.where(f"digest is not null and n >= {LEAST_PAGES}").join(sites, "host").where(F.col("n") >= SHARE * F.col("pages"))
     return common.groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("templates"))
@@ -258,7 +260,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+    return joined.transform(map_batches, run, "page_id long, url string, text string")
 
 
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +22,32 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows in an Arrow batch, for whole texts; a session that has set another number than Spark's own keeps it.
+ROWS_PER_BATCH = 2_000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _tidied(run: Callable) -> Callable:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:  # the worker process lives on: give what this task no longer needs back to the machine
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over batches that are small enough for long texts."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_KEY) == "10000":
+        conf.set(_ROWS_KEY, str(ROWS_PER_BATCH))
+    return df.mapInArrow(_tidied(run), schema)
+
+
 class Stage:
     """One working folder of one run; ``keep`` writes a table there and reads it back.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import SPACE, HashTable, binary_column, binary_rows, gather, groups, span_hashes, spans, text_bytes
-from .storage import Stage, partitions
+from .storage import map_batches, partitions, Stage
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
@@ -168,7 +168,7 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return rows.transform(map_batches, run, "doc_id long, ids binary")
 
 
 def id_width(tokenizer: str) -> type:
@@ -189,7 +189,7 @@ def id_counts(ids: DataFrame, dtype: type) -> DataFrame:
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["id", "n"])
 
-    partial = ids.select("ids").mapInArrow(run, "id long, n long")
+    partial = ids.select("ids").transform(map_batches, run, "id long, n long")
     return partial.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -215,7 +215,7 @@ def write_blocks(ids: DataFrame, id_of_rank: np.ndarray, dtype: type, n_parts: i
                 block, start = block + 1, start + n
 
     ordered = ids.repartitionByRange(n_parts, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
-    return ordered.mapInArrow(run, schema)
+    return ordered.transform(map_batches, run, schema)
 
 
 def write_token_file(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -256,7 +256,7 @@ def read_token_file(blocks: DataFrame, bases: DataFrame, id_of_rank: np.ndarray)
                 )
 
     placed = blocks.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("start_in_part"))
-    return placed.select("n_ids", "doc_ids", "n_tokens", "control", "data", "start").mapInArrow(
+    return placed.select("n_ids", "doc_ids", "n_tokens", "control", "data", "start").transform(map_batches, 
         run, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
