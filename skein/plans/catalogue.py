@@ -1,4 +1,4 @@
-"""Names of all queries over the operators of this engine."""
+"""All queries over the operators of this engine, with the same results as SQL over the test tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import event_queries, place_queries, record_queries
+
+_MODULES = (event_queries, place_queries, record_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
