@@ -15,7 +15,9 @@ repeated ``doc_id`` are ordered by their ids; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,11 +75,12 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        self.dtype, self.code = (np.uint16, "H") if size <= 1 << 16 else (np.uint32, "I")
         self.ends_word = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
@@ -91,26 +94,31 @@ class WordIds:
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     def _learn_stems(self, stems: list[str]) -> None:
+        """Remember the ids of each stem as bytes: no object per id, and nothing for the garbage collector to walk."""
         plain = [s for s in stems if s.isalpha()]
         rest = [s for s in stems if not s.isalpha()]
         sets = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         for own, ids in zip(sets, self._ids([" ".join(x) for x in sets]), strict=True):
-            ids = np.array(ids, np.int64)
-            cut = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cut) == len(own) and cut[-1] == len(ids):
-                self.stems.update(zip(own, (x.tolist() for x in np.split(ids, cut[:-1])), strict=True))
+            packed = self._packed(ids)
+            cut = (np.flatnonzero(self.ends_word[np.frombuffer(packed, self.dtype)]) + 1) * self.dtype().itemsize
+            if len(cut) == len(own) and cut[-1] == len(packed):
+                ends = cut.tolist()
+                self.stems.update(zip(own, [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
             else:
                 rest += own
-        self.stems.update(zip(rest, self._ids(rest), strict=True))
+        self.stems.update(zip(rest, map(self._packed, self._ids(rest)), strict=True))
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         cut = [(p[:-1], p[-1]) if len(p) > 1 and p[-1] in ".," and p[:-1].isalpha() else (p, "") for p in pieces]
         self._learn_stems(list({s for pair in cut for s in pair if s and s not in self.stems}))
-        self.stems[""] = []
-        ids = [self.stems[a] + self.stems[b] for a, b in cut]
-        length = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], self.dtype)
+        self.stems[""] = b""
+        packed = [self.stems[a] + self.stems[b] for a, b in cut]
+        length = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype().itemsize
+        flat = np.frombuffer(b"".join(packed), self.dtype)
         while self.pooled + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.pooled : self.pooled + len(flat)] = flat
