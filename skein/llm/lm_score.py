@@ -1,17 +1,23 @@
 """Operator 5: language-model scores from a log-frequency Bloom filter.
 
-All words and word pairs of the training texts are counted in Spark. An n-gram
-whose share of all tokens is at least ``SHARE`` enters the filter: its count is
-quantised on a log scale, and the filter holds one entry for each level up to
-it, so a worker finds a count by probing level after level until one is absent.
-At most 1/SHARE n-grams of an order have that share, which bounds the filter (and
-the exact counts of the frequent words) whatever the corpus; counts of all other
-words are joined to the documents by a shuffle.
-
-The model is a backed-off bigram model: a stored pair has its discounted share
-among what follows its first word, any other pair the back-off weight of its
-first word times the add-one probability of its second. The back-off weight is
-made of two sums per word that stand in the filter like counts.
+All words and all word pairs of the training texts are counted, down to those that
+occur once, at every size alike. Keys are dealt out by hash to parts of about
+``PART_BYTES`` of text each, so a part has the same size whatever the corpus, and
+their number follows the input. A part holds the exact counts of its words, with the
+number of different words that follow each, and one filter with the counts of its
+pairs: a count is quantised on a log scale (exactly up to 5), and the filter holds
+one entry for each level up to it, so a count is found by probing level after level
+until one is absent. The upper half of a pair's key names its part, the lower half
+stands for it there: of a million pairs one in 4 000 shares it with another.
+
+The texts to score are taken in chunks. A chunk sends the different words and pairs
+that it needs to their parts, each part answers, and the answers meet the chunk's
+texts again. Nothing is collected or broadcast but two totals.
+
+The model is a bigram model with absolute discounting: a pair has its count less
+``DISCOUNT`` as a share of its first word's count, and what the discounts leave over
+goes to all words by their add-one probability. A word after one that was never seen
+has its add-one probability.
 
 Tokens are runs of anything but space and bytes 9 to 13, with A to Z
 lower-cased, and one end token per text, known by 64-bit hashes. Null text is
@@ -23,26 +29,33 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .kernels import LOWER, U64, HashTable, groups, mix, span_hashes, spans, text_bytes
+from .kernels import LOWER, U64, binary_column, binary_rows, groups, mix, span_hashes, spans, text_bytes
 from .language import bucket
 from .storage import map_batches, Stage
 
-SHARE = 1e-6
+#: Bytes of text (of the larger of both tables) for each part of the model.
+PART_BYTES = 8 << 20
 DISCOUNT = 0.5
 #: Levels per doubling of a count.
 LEVELS_PER_OCTAVE = 4
 #: Probes per entry; the filter has 1.45 times as many bits for each entry.
 PROBES = 10
 END = U64(0x5EED0E4D0F7E87A1)
-#: Kinds of entries: a word, a pair, and two sums over the stored pairs of a first word.
-WORD, PAIR, PAIR_MASS, BACKOFF_MASS = (mix(np.array([x], U64)) for x in (1, 2, 3, 4))
+PAIR = mix(np.array([2], U64))
+#: The least count of each level, from level 1 on: a level holds no number or one at least.
+LEVELS = np.unique(np.ceil(np.exp2(np.arange(62 * LEVELS_PER_OCTAVE) / LEVELS_PER_OCTAVE) - 1e-9))
+#: The count that stands for each level, 0 for none: the middle of what it holds.
+COUNT_OF_LEVEL = np.concatenate([[0.0], np.sqrt(LEVELS * np.append(LEVELS[1:] - 1, LEVELS[-1]))])
+#: Kinds of rows of a model.
+WORDS, FILTER, FOLLOWED = 0, 1, 2
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,81 +68,78 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.insert(hashes, closing, END), np.insert(rows, closing, np.arange(n))
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys.sort()
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts; each task sums what it reads before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = text_bytes(batch.column(0))
-            keys = [tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] for i, j in groups(offsets)]
-            if keys:
-                words, n = _counted(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+def pair_keys(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each pair of neighbours, and the place of its second word."""
+    at = np.flatnonzero(rows[1:] == rows[:-1]) + 1
+    return mix(mix(words[at - 1] + PAIR) + words[at]), at
 
-    return texts.select("text").transform(map_batches, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, their sums, and a place of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first, dtype=n.dtype) if len(first) else np.zeros(0, n.dtype), order[first]
 
-class Frequent:
-    """The words at or above the floor with their exact counts; at most 1/SHARE of them."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        self.words, self.counts = words.view(U64), counts
-        self.table = HashTable(self.words)
+def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings keys of one part together, and how many each part has."""
+    part = ((keys >> U64(32)) % U64(parts)).astype(np.int32)
+    return np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
 
 
-def pair_counts(texts: DataFrame, frequent) -> DataFrame:
-    """(pair, n) of neighbouring frequent words, a pair being both row numbers in one long."""
+def chunk_counts(texts: DataFrame, parts: int) -> DataFrame:
+    """The n-grams of each chunk of texts with their counts, a row for each part."""
+    names = ["part", "words", "n_words", "pairs", "firsts", "n_pairs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequent.value.table
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
-            keys = []
             for i, j in groups(offsets):
-                words, rows = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at = table.find(words).astype(np.int64)
-                both = (rows[1:] == rows[:-1]) & (at[1:] >= 0) & (at[:-1] >= 0)
-                keys.append((at[:-1][both] << 32) | at[1:][both])
-            if keys:
-                pairs, n = _counted(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
-
-    return texts.select("text").transform(map_batches, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+                found, rows = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                words, n_words, _ = _summed(found, np.ones(len(found), np.uint32))
+                keys, at = pair_keys(found, rows)
+                pairs, n_pairs, place = _summed(keys, np.ones(len(keys), np.uint32))
+                firsts = found[at[place] - 1]
+                by_word, in_words = _parts(words, parts)
+                _, in_pairs = _parts(pairs, parts)
+                by_pair = np.lexsort((firsts, (pairs >> U64(32)) % U64(parts)))  # equal first words side by side pack well
+                columns = [binary_column(x[by_word], in_words) for x in (words, n_words)]
+                columns += [binary_column(x[by_pair], in_pairs) for x in (pairs.astype(np.uint32), firsts, n_pairs)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), *columns], names)
 
-
-def keys_of(kind: np.ndarray, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    key = mix(first + kind)
-    return key if second is None else mix(key + second)
+    return texts.select("text").transform(map_batches, run, "part int, words binary, n_words binary, pairs binary, firsts binary, n_pairs binary")
 
 
 class LogFrequencyFilter:
     """Quantised counts by repeated membership tests in one bit array."""
 
-    def __init__(self, words: np.ndarray, bits: int, floor: int):
-        self.words, self.bits, self.floor = words, bits, floor
+    def __init__(self, words: np.ndarray):
+        self.words, self.bits = words, 64 * len(words)
 
     @staticmethod
     def start_and_step(keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one = mix(keys + mix(np.atleast_1d(level).astype(U64)))
         return one, mix(one) | U64(1)
 
-    @staticmethod
-    def places(keys: np.ndarray, level: int | np.ndarray, bits: int) -> Iterator[np.ndarray]:
-        one, two = LogFrequencyFilter.start_and_step(keys, level)
-        for k in range(PROBES):
-            yield (one + U64(k) * two) % U64(bits)
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> tuple[LogFrequencyFilter, int]:
+        """The filter of these counts, and its number of entries."""
+        levels = np.searchsorted(LEVELS, counts, "right")
+        total = int(levels.sum())
+        bits = max(64, int(total * PROBES / math.log(2)) // 64 * 64 + 64)
+        marks = np.zeros(bits, bool)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            one, two = cls.start_and_step(keys[levels >= level], level)
+            for k in range(PROBES):
+                marks[((one + U64(k) * two) % U64(bits)).astype(np.int64)] = True
+        return cls(np.packbits(marks, bitorder="little").view("<u8").astype(U64, copy=False)), total
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The number of levels present for each key, probed upwards until one is absent."""
-        out = np.zeros(len(keys), np.int32)
+        out = np.zeros(len(keys), np.uint8)
         todo, level = np.arange(len(keys)), 0
-        while len(todo):
+        while len(todo) and level < len(LEVELS):
             level += 1
             one, two = self.start_and_step(keys[todo], level)
             for k in range(PROBES):
@@ -140,184 +150,149 @@ class LogFrequencyFilter:
             out[todo] = level
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts at the middle of their level, 0 for absent keys."""
-        q = self.levels(keys)
-        return np.where(q > 0, self.floor * np.exp2((q - 0.5) / LEVELS_PER_OCTAVE), 0.0)
-
-
-def _level(value, floor: int):
-    return (F.floor(F.log2(F.greatest(value, F.lit(float(floor))) / float(floor)) * LEVELS_PER_OCTAVE + 1e-9) + 1).cast("int")
 
+def learned_parts(counted: DataFrame, parts: int) -> DataFrame:
+    """Of each part: its words with counts, its filter, and for the parts of their first words how many pairs each begins here.
 
-def filter_entries(pairs: DataFrame, frequent, spark: SparkSession) -> DataFrame:
-    """(key, value) of everything the filter holds: words, stored pairs, and both sums of each first word."""
-    n_words = len(frequent.value.words)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = frequent.value
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys_of(WORD, own.words[at]).view(np.int64)), pa.array(own.counts[at].astype(float))], ["key", "value"])
-
-    def couples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = frequent.value
-        for batch in batches:
-            pair, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            a, b = pair >> 32, pair & 0xFFFFFFFF
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(keys_of(PAIR, own.words[a], own.words[b]).view(np.int64)), pa.array(n.astype(float)), pa.array(n - DISCOUNT), pa.array(own.counts[b].astype(float))],
-                ["first", "key", "value", "mass", "below"],
-            )
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = frequent.value
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            keys = np.concatenate([keys_of(PAIR_MASS, own.words[at]), keys_of(BACKOFF_MASS, own.words[at])])
-            values = np.concatenate([batch.column(1).to_numpy(), batch.column(2).to_numpy()])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(values)], ["key", "value"])
-
-    single = spark.range(n_words).transform(map_batches, words, "key long, value double")
-    coupled = pairs.select("pair", "n").transform(map_batches, couples, "first long, key long, value double, mass double, below double")
-    summed = coupled.groupBy("first").agg(F.sum("mass").alias("mass"), F.sum("below").alias("below")).transform(map_batches, sums, "key long, value double")
-    return single.union(coupled.select("key", "value")).union(summed)
-
-
-def build_filter(entries: DataFrame, floor: int) -> LogFrequencyFilter:
-    """Set all bits of all levels; partial words of bits are united in Spark, and only the bounded array is collected."""
-    levels = entries.select("key", _level(F.col("value"), floor).alias("levels"))
-    total = levels.agg(F.coalesce(F.sum("levels"), F.lit(0))).first()[0]
-    bits = max(64, int(total * PROBES / math.log(2)) // 64 * 64 + 64)
+    ``size`` is the sum of a part's word counts, or the number of entries of its filter.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, levels = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
-            keys = np.repeat(keys, levels)
-            level = np.arange(len(keys)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
-            at = np.unique(np.concatenate([*LogFrequencyFilter.places(keys, level, bits), np.zeros(0, U64)]))
-            word = (at >> U64(6)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            if len(first):
-                ones = np.bitwise_or.reduceat(U64(1) << (at & U64(63)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(ones.view(np.int64))], ["word", "ones"])
-
-    united = levels.transform(map_batches, run, "word long, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).toArrow()
-    words = np.zeros(bits // 64, U64)
-    words[united.column("word").to_numpy()] = united.column("ones").to_numpy().view(U64)
-    return LogFrequencyFilter(words, bits, floor)
-
-
-class Model:
-    """What workers need: the filter, the frequent words, N and V."""
-
-    def __init__(self, store: LogFrequencyFilter, frequent: Frequent, n: int, v: int):
-        self.store, self.frequent, self.n, self.v = store, frequent, n, v
-        self.scale = math.log10(n + v + 1)
-
-    def prepare(self) -> Model:
-        """Probe every frequent word once, for use by all tokens of a worker."""
-        words = self.frequent.words
-        self.counts = self.store.counts(keys_of(WORD, words))
-        self.one = np.log10(self.counts + 1) - self.scale
-        mass = self.store.counts(keys_of(PAIR_MASS, words)) / np.maximum(self.counts, 1)
-        below = self.store.counts(keys_of(BACKOFF_MASS, words)) / max(self.n, 1)
-        self.back_off = np.log10(np.clip(1 - mass, 0.01, 1.0) / np.clip(1 - below, 0.01, 1.0))
-        self.exact = np.log10(self.frequent.counts + 1.0) - self.scale
-        return self
-
-    def score(self, raw: np.ndarray, offsets: np.ndarray):
-        """Per row: tokens, known frequent tokens, their base score, the score without rare words; and all rare tokens."""
-        n = len(offsets) - 1
-        words, rows = tokens(raw, offsets)
-        at = self.frequent.table.find(words)
-        often = at >= 0
-        base, logs = np.zeros(len(words)), np.zeros(len(words))
-        base[often] = self.exact[at[often]]
-        logs[often] = self.one[at[often]]
-        follows = np.zeros(len(words), bool)
-        follows[1:] = (rows[1:] == rows[:-1]) & often[:-1]
-        pair = np.flatnonzero(follows & often)
-        first, second = at[pair - 1].astype(np.int64), at[pair].astype(np.int64)
-        distinct, back = np.unique((first << 32) | second, return_inverse=True)
-        a, b = distinct >> 32, distinct & 0xFFFFFFFF
-        together = self.store.counts(keys_of(PAIR, self.frequent.words[a], self.frequent.words[b]))
-        stored = np.log10(np.clip((together - DISCOUNT) / np.maximum(self.counts[a], 1), 1e-12, 1.0))
-        value = np.where(together > 0, stored, self.back_off[a] + self.one[b])
-        logs[pair] = value[back]
-        rare_after = np.flatnonzero(follows & ~often)
-        logs[rare_after] = self.back_off[at[rare_after - 1]]
-        count = lambda w: np.bincount(rows, w, n)
-        return count(None).astype(np.int64), count(often.astype(float)).astype(np.int64), count(base), count(logs), words[~often], rows[~often]
-
-
-@lru_cache(1)
-def _prepared(key: int, model) -> Model:
-    return model.value.prepare()
-
-
-def score_texts(docs: DataFrame, train: DataFrame, share: float = SHARE) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        get = lambda name, dtype: binary_rows(table.column(name), dtype)[0]
+        words, n, _ = _summed(get("words", U64), get("n_words", np.uint32).astype(np.int64))
+        pairs, n_pairs, place = _summed(get("pairs", np.uint32), get("n_pairs", np.uint32).astype(np.int64))
+        store, entries = LogFrequencyFilter.of(pairs.astype(U64), n_pairs)
+        firsts = get("firsts", U64)[place]
+        firsts, begun, _ = _summed(firsts, np.ones(len(firsts), np.uint32))
+        order, in_part = _parts(firsts, parts)
+        some = np.flatnonzero(in_part)
+        keys = pa.chunked_array([binary_column(words, [len(words)]), binary_column(store.words, [len(store.words)]), binary_column(firsts[order], in_part[some])])
+        values = pa.chunked_array([binary_column(n, [len(n)]), pa.nulls(1, pa.binary()), binary_column(begun[order], in_part[some])])
+        where = np.concatenate([[part, part], some]).astype(np.int32)
+        kind = np.concatenate([[WORDS, FILTER], np.full(len(some), FOLLOWED)]).astype(np.int32)
+        size = np.concatenate([[int(n.sum()), entries], np.zeros(len(some), np.int64)]).astype(np.int64)
+        return pa.table([pa.array(where), pa.array(kind), keys, values, pa.array(size)], ["part", "kind", "keys", "values", "size"])
+
+    return counted.groupBy("part").applyInArrow(run, "part int, kind int, keys binary, values binary, size long")
+
+
+def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """For rows (chunk, part, words, pairs): count and followers of each word, and the level of each pair."""
+
+    def run(own: pa.Table, rows: pa.Table) -> pa.Table:
+        def get(kind, name, dtype):
+            return binary_rows(own.filter(pc.equal(own.column("kind"), kind)).column(name), dtype)[0]
+
+        words, n = get(WORDS, "keys", U64), get(WORDS, "values", np.int64)
+        begun = np.bincount(np.searchsorted(words, get(FOLLOWED, "keys", U64)), get(FOLLOWED, "values", np.uint32), len(words)).astype(np.int64)
+        bits = get(FILTER, "keys", U64)
+        wanted, in_words = binary_rows(rows.column("words"), U64)
+        pairs, in_pairs = binary_rows(rows.column("pairs"), np.uint32)
+        counts, followers = np.zeros((2, len(wanted)), np.int64)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
+            hit = words[at] == wanted
+            counts[hit], followers[hit] = n[at[hit]], begun[at[hit]]
+        levels = LogFrequencyFilter(bits).levels(pairs.astype(U64)) if len(bits) else np.zeros(len(pairs), np.uint8)
+        columns = [binary_column(counts, in_words), binary_column(followers, in_words), binary_column(levels, in_pairs)]
+        return pa.table([rows.column("chunk"), rows.column("part"), *columns], ["chunk", "part", "counts", "followers", "levels"])
+
+    return model.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "chunk long, part int, counts binary, followers binary, levels binary")
+
+
+def _aligned(column: pa.ChunkedArray, dtype, order: np.ndarray) -> np.ndarray:
+    """The answers of all parts, in the order of the keys that were asked for."""
+    found = binary_rows(column, dtype)[0]
+    if len(found) != len(order):
+        raise ValueError(f"{len(found)} answers for {len(order)} n-grams")
+    out = np.empty_like(found)
+    out[order] = found
+    return out
+
+
+def score_chunk(raw: np.ndarray, offsets: np.ndarray, told: pa.Table, parts: int, n: int, v: int) -> tuple[np.ndarray, ...]:
+    """Per text: tokens, those that were seen, their base score, and the score."""
+    found, rows = tokens(raw, offsets)
+    told = told.sort_by("part")
+    words, word = np.unique(found, return_inverse=True)
+    keys, at = pair_keys(found, rows)
+    pairs, pair = np.unique(keys, return_inverse=True)
+    by_word, by_pair = _parts(words, parts)[0], _parts(pairs, parts)[0]
+    counts = _aligned(told.column("counts"), np.int64, by_word).astype(float)
+    followers = _aligned(told.column("followers"), np.int64, by_word)
+    together = COUNT_OF_LEVEL[_aligned(told.column("levels"), np.uint8, by_pair)][pair]
+    one = (counts + 1) / (n + v + 1)
+    base = np.log10(one)[word]
+    logs = base.copy()
+    a, b = word[at - 1], word[at]
+    together = np.minimum(together, np.minimum(counts[a], counts[b]))  # also 0 where the filter errs about a word never seen
+    shares = (np.maximum(together - DISCOUNT, 0) + DISCOUNT * followers[a] * one[b]) / np.maximum(counts[a], 1)
+    seen = counts[a] > 0
+    logs[at[seen]] = np.log10(np.minimum(shares[seen], 1.0))
+    texts = len(offsets) - 1
+    known = np.bincount(rows, counts[word] > 0, texts).astype(np.int64)
+    return np.bincount(rows, minlength=texts), known, np.bincount(rows, base, texts), np.bincount(rows, logs, texts)
+
+
+def learn(train: DataFrame, parts: int, stage: Stage) -> tuple[DataFrame, int, int]:
+    """The model of the column text in its parts, the number of tokens and of different words."""
+    model = stage.keep(learned_parts(chunk_counts(train, parts), parts), "model")
+    total = model.where(F.col("kind") == WORDS).agg(F.sum("size").alias("n"), F.sum(F.octet_length("keys") / 8).cast("long").alias("v")).first()
+    return model, total["n"] or 0, total["v"] or 0
+
+
+def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     """The rows of ``docs`` (any columns, one named text) with n_tokens, n_known, train_tokens, base_score and score.
 
     ``train`` has a column text. Columns of ``docs`` with the name of a result are replaced.
     """
-    spark = docs.sparkSession
-    stage = Stage(spark, "lm-score")
-    learned = train.select(F.col("text").cast("string").alias("text"))
-    words = stage.keep(word_counts(learned), "words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"], total["v"]
-    floor = max(1, math.ceil(share * n))
-    head = words.where(F.col("n") >= floor).toArrow()
-    frequent = Frequent(head.column("word").to_numpy(), head.column("n").to_numpy())
-    sent = spark.sparkContext.broadcast(frequent)
-    pairs = stage.keep(pair_counts(learned, sent).where(F.col("n") >= max(2, floor)), "pairs")
-    entries = stage.keep(filter_entries(pairs, sent, spark), "entries")
-    model = spark.sparkContext.broadcast(Model(build_filter(entries, floor), frequent, n, v))
-    key = id(model)
+    stage = Stage(docs.sparkSession, "lm-score")
+    text = F.col("text").cast("string").alias("text")
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
+    parts = max(1, *(-(-x.agg(size).first()[0] // PART_BYTES) for x in (docs, train)))
+    model, n, v = learn(train.select(text), parts, stage)
 
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    rows = docs.drop(*results, "lm_row", "lm_rare").withColumn("lm_row", F.monotonically_increasing_id())
+    inner = ["lm_text", "lm_chunk"]
+    rows = docs.drop(*results, *inner)
     others = [c for c in rows.columns if c != "text"]
-    named = ["n_tokens", "n_known", "base_score", "score", "lm_rare"]
-    rare_type = pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int32())]))
+    # written first: the chunks are cut twice, and both times of the same batches
+    rows = stage.keep(rows.select(*others, text.alias("lm_text")), "texts").withColumn("lm_chunk", F.monotonically_increasing_id())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text with its chunk, which has the number of its first row."""
+        for batch in batches:
+            sizes = text_bytes(batch.column(len(others)))[1]
+            at = np.concatenate([np.full(j - i, i) for i, j in groups(sizes)] or [np.zeros(0, np.int64)])
+            chunk = batch.column(len(others) + 1).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], chunk], batch.schema.names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each chunk asks of every part."""
         for batch in batches:
-            own = _prepared(key, model)
-            raw, offsets = text_bytes(batch.column(batch.num_columns - 1))
+            raw, offsets = text_bytes(batch.column(len(others)))
             for i, j in groups(offsets):
-                part = offsets[i : j + 1]
-                *columns, rare, row = own.score(raw[part[0] : part[-1]], part - part[0])
-                order = np.lexsort((rare, row))
-                rare, row = rare[order], row[order]
-                first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(rare))).astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=j - i))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(rare[first].view(np.int64)), pa.array(times)], fields=list(rare_type.value_type)))
-                kept = [c.slice(i, j - i) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, columns), lists], [*others, *named])
-
-    shape = rows.select(*others).withColumns(
-        {"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0), "lm_rare": F.array().cast("array<struct<word long, times int>>")}
-    )
-    source = rows.select(*others, F.col("text").cast("string").alias("text"))
-    scored = stage.keep(source.transform(map_batches, run, shape.schema), "scored")
-
-    rare = scored.select("lm_row", F.inline("lm_rare"))
-    known = rare.join(words.where(F.col("n") < floor), "word", "left")
-    log = F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - math.log10(n + v + 1))
-    sums = known.groupBy("lm_row").agg(F.sum(log).alias("lm_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("lm_known"))
-    joined = scored.drop("lm_rare").join(sums, "lm_row", "left")
-    more = F.coalesce("lm_log", F.lit(0.0))
-    return joined.select(
-        *[c for c in others if c != "lm_row"],
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("lm_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
-    )
+                found, at = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                words, pairs = np.unique(found), np.unique(pair_keys(found, at)[0])
+                (by_word, in_words), (by_pair, in_pairs) = _parts(words, parts), _parts(pairs, parts)
+                columns = [binary_column(words[by_word], in_words), binary_column(pairs[by_pair].astype(np.uint32), in_pairs)]
+                chunk = np.full(parts, batch.column(len(others) + 1)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(np.arange(parts, dtype=np.int32)), *columns], ["chunk", "part", "words", "pairs"])
+
+    fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]
+    texts = rows.transform(map_batches, cut, T.StructType(fields))
+    found = answers(rows.transform(map_batches, ask, "chunk long, part int, words binary, pairs binary"), model)
+
+    def finish(own: pa.Table, told: pa.Table) -> pa.Table:
+        raw, offsets = text_bytes(own.column("lm_text"))
+        n_tokens, n_known, base, score = score_chunk(raw, offsets, told, parts, n, v)
+        columns = [n_tokens, n_known, np.full(own.num_rows, n), base, score]
+        return pa.table([*(own.column(c) for c in others), *map(pa.array, columns)], [*others, *results])
+
+    types = [T.LongType()] * 3 + [T.DoubleType()] * 2
+    schema = T.StructType([*fields[: len(others)], *map(T.StructField, results, types)])
+    return texts.groupBy("lm_chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,3 +212,28 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.toPandas(), docs.schema)
         assert docs.count() > 100
     assert step is not None and corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == docs.count()
+
+
+def test_language_model_keeps_rare_pairs(spark, monkeypatch):
+    """Every pair counts, however rare, at every size of corpus and number of parts."""
+    from skein.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "PART_BYTES", 2_000_000)
+    # with 3 million tokens of filler a share of 1e-6 is more than two occurrences
+    rare = [f"r{i} s{i} t{i}" for i in range(50)]
+    texts = [*rare, *(" ".join(["filler"] * 300_000) for _ in range(10))]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = [*rare, *(f"s{i} r{i} t{i}" for i in range(50))]
+    got = {r.text_id: r for r in lm_score.score_texts(spark.createDataFrame(list(enumerate(asked)), "text_id long, text string"), train).collect()}
+    tokens = [[*t.split(), None] for t in texts]
+    one = collections.Counter(w for x in tokens for w in x)
+    two = collections.Counter(p for x in tokens for p in zip(x, x[1:]))
+    follow = collections.Counter(a for a, _ in two)
+    n, v = sum(one.values()), len(one)
+    for i, text in enumerate(asked):
+        words = [*text.split(), None]
+        want = np.log10((one[words[0]] + 1) / (n + v + 1))
+        for a, b in zip(words, words[1:]):
+            want += np.log10((max(two[a, b] - 0.5, 0) + 0.5 * follow[a] * (one[b] + 1) / (n + v + 1)) / one[a])
+        assert abs(got[i].score - want) < 1e-9 * abs(want), text
+    assert min(got[i].score for i in range(50)) > max(got[i].score for i in range(50, 100))
