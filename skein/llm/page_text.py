@@ -1,20 +1,21 @@
 """Operator 10: main text of web pages, with site templates removed.
 
-Element subtrees (name, classes and text, children in order) are hashed on every
-page and counted per host in Spark. A container outside the article that recurs
-on many pages of its host belongs to the site's template and is deleted with all
-below it. Beside that, elements that say by name, role, class or id that they are
+Element subtrees (name, classes and text, children in order), inside an article or
+not, are hashed on every page. A subtree that stands on ``LEAST_PAGES`` different
+pages of its host belongs to the site's template and is deleted with all below it;
+pages with the same main text count as one, so copies of a page make no template.
+A subtree that holds an article or nearly all of its page's text is never one, and
+where templates would take nearly all text of a page together, they take none of it.
+Beside that, elements that say by name, role, class or id that they are
 menus, headers, footers, side bars, notices, adverts, forms or comments, and
 scripts and styles, are deleted on every page.
 
 If a page has ``article`` or ``main`` elements their text is the main text,
-otherwise that of the body. Paragraphs are never taken for template, so a line
-that many articles share stays. White space inside a block becomes one space, and
+otherwise that of the body. White space inside a block becomes one space, and
 blocks are joined by one space in page order.
 
-The templates of a host number at most its elements per page divided by
-``SHARE``, so the list that is joined to its pages has a bound whatever the
-number of pages; counts are summed before they are shuffled.
+A page is joined to those of its own subtrees that are templates, so what a page
+carries is bounded by its own elements, however many templates its host has.
 
 Null or empty html gives empty text. A null or unreadable url has the host ``""``.
 Repeated rows each give a row. Broken markup is read as far as it goes: a closing
@@ -32,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import map_batches
+from .storage import map_batches, Stage
 
-#: A subtree is template if it stands on this share of its host's pages, and on so many at least.
-SHARE = 0.1
+#: A subtree is template if it stands on so many different pages of its host, whatever the number of its pages.
 LEAST_PAGES = 5
+#: Templates never take this share of a page's main text or more.
+NEARLY_ALL = 0.8
 
 _WORDS = "address area base br col embed hr img input link meta param source track wbr"
 VOID = frozenset(_WORDS.split())
@@ -49,8 +51,6 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr br input".split()
 )
-#: Never template themselves: what carries the text of an article.
-TEXT_BEARING = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption html body".split())
 ARTICLE = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or id that name what isn't article text, anywhere and only outside an article.
@@ -87,14 +87,14 @@ def _named(attributes: str) -> tuple[frozenset[str], str, bool]:
 
 
 class _Element:
-    __slots__ = ("name", "dropped", "inside", "hash", "first")
+    __slots__ = ("name", "dropped", "inside", "hash", "first", "holds")
 
-    def __init__(self, name: str, dropped: bool, inside: bool, digest, first: int):
-        self.name, self.dropped, self.inside, self.hash, self.first = name, dropped, inside, digest, first
+    def __init__(self, name: str, dropped: bool, inside: bool, digest, first: int, holds: bool = False):
+        self.name, self.dropped, self.inside, self.hash, self.first, self.holds = name, dropped, inside, digest, first, holds
 
 
 class Page:
-    """Blocks of text in page order and the containers outside the article, by one pass over the tags.
+    """Blocks of text in page order and the subtrees that may be template, by one pass over the tags.
 
     ``blocks``: [text, inside an article]. ``containers``: (hash, first block, end of blocks).
     """
@@ -132,6 +132,9 @@ class Page:
         while self.open:
             self._pop()
         self._flush()
+        self.sizes = [len(t) + 1 if inside or not self.has_article else 0 for t, inside in self.blocks]
+        most = NEARLY_ALL * sum(self.sizes)
+        self.containers = [c for c in self.containers if sum(self.sizes[c[1] : c[2]]) < most]
 
     def _text(self, text: str) -> None:
         if self.open and self.open[-1].dropped:
@@ -169,10 +172,11 @@ class Page:
         words, role, hidden = _named(attributes) if attributes else (frozenset(), "", False)
         inside = above is not None and above.inside
         dropped = above is not None and above.dropped
+        holds = False
         if name in ARTICLE or role == "main":
             # an article lifts what an unclosed element before it would have dropped, but not what holds it by name
             if not any(e.dropped and (e.name in DROPPED or e.inside) for e in self.open) and not (words & ANYWHERE):
-                dropped, inside = False, True
+                dropped, inside, holds = False, True, True
                 self.has_article = True
         if not dropped and not (name in ("html", "body")):
             dropped = (
@@ -184,7 +188,7 @@ class Page:
                 or name in ARTICLE and bool(words & ANYWHERE)
             )
         digest = blake2b(f"{name} {' '.join(sorted(words))}".encode("utf-8", "replace"), digest_size=8)
-        self.open.append(_Element(name, dropped, inside, digest, len(self.blocks)))
+        self.open.append(_Element(name, dropped, inside, digest, len(self.blocks), holds))
 
     def _close(self, name: str) -> None:
         if name not in INLINE:
@@ -209,14 +213,23 @@ class Page:
         above = self.open[-1] if self.open else None
         if above is not None:
             above.hash.update(digest)
-        if not element.dropped and not element.inside and element.name not in TEXT_BEARING and len(self.blocks) > element.first:
+            self._holds(element)
+        if not element.dropped and not element.holds and element.name not in INLINE and len(self.blocks) > element.first:
             self.containers.append((int.from_bytes(digest, "little", signed=True), element.first, len(self.blocks)))
 
+    def _holds(self, element: _Element) -> None:
+        """What an element holds its parents hold: an article."""
+        if element.holds:
+            for above in self.open:
+                above.holds = True
+
     def text(self, templates: frozenset[int] = frozenset()) -> str:
         gone = set()
         for digest, first, end in self.containers:
             if digest in templates:
                 gone.update(range(first, end))
+        if sum(self.sizes[i] for i in gone) >= NEARLY_ALL * sum(self.sizes):
+            gone.clear()
         kept = [t for i, (t, inside) in enumerate(self.blocks) if (inside or not self.has_article) and i not in gone]
         return " ".join(kept)
 
@@ -226,31 +239,37 @@ def with_host(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.withColumn("host", host)
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, templates) from rows (host, html): hashes of the subtrees that recur on many of its pages."""
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """For rows (host, node, html): host, node, the hash of the main text, and those of the subtrees that may be template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, int | None], int] = {}
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[host, None] = counts.get((host, None), 0) + 1
-                for digest in {c[0] for c in Page(source or "").containers}:
-                    counts[host, digest] = counts.get((host, digest), 0) + 1
+            same, digests = [], []
+            for source in batch.column(2).to_pylist():
+                page = Page(source or "")
+                same.append(int.from_bytes(blake2b(page.text().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+                digests.append(sorted({c[0] for c in page.containers}))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in counts], pa.string()), pa.array([d for _, d in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
-                ["host", "digest", "n"],
+                [batch.column(0), batch.column(1), pa.array(same, pa.int64()), pa.array(digests, pa.list_(pa.int64()))], ["host", "node", "same", "digests"]
             )
 
-    counted = pages.select("host", "html").transform(map_batches, run, "host string, digest long, n long").groupBy("host", "digest").agg(F.sum("n").alias("n"))
-    sites = counted.where("digest is null").select("host", F.col("n").alias("pages"))
-    common = counted.where(f"digest is not null and n >= {LEAST_PAGES}").join(sites, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    return common.groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("templates"))
+    return pages.select("host", "node", "html").transform(map_batches, run, "host string, node long, same long, digests array<long>")
+
+
+def site_templates(subtrees: DataFrame) -> DataFrame:
+    """(host, digest) of the subtrees that recur on many different pages of a host."""
+    once = subtrees.groupBy("host", "same").agg(F.min_by("digests", "node").alias("digests"))
+    return once.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").count().where(F.col("count") >= LEAST_PAGES).select("host", "digest")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
     rows = with_host(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")))
-    joined = rows.join(site_templates(rows), "host", "left").select("page_id", "url", "html", "templates")
+    rows = rows.withColumn("node", F.xxhash64("html"))
+    subtrees = Stage(pages.sparkSession, "pages").keep(page_subtrees(rows), "subtrees")
+    own = subtrees.groupBy("host", "node").agg(F.first("digests").alias("digests")).select("host", "node", F.explode("digests").alias("digest"))
+    templates = own.join(site_templates(subtrees), ["host", "digest"]).groupBy("host", "node").agg(F.sort_array(F.collect_list("digest")).alias("templates"))
+    joined = rows.join(templates, ["host", "node"], "left").select("page_id", "url", "html", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -237,3 +237,13 @@ def test_language_model_keeps_rare_pairs(spark, monkeypatch):
             want += np.log10((max(two[a, b] - 0.5, 0) + 0.5 * follow[a] * (one[b] + 1) / (n + v + 1)) / one[a])
         assert abs(got[i].score - want) < 1e-9 * abs(want), text
     assert min(got[i].score for i in range(50)) > max(got[i].score for i in range(50, 100))
+
+
+def test_page_templates_inside_articles(spark):
+    """A block that recurs inside articles goes, on however small a share of the host's pages."""
+    from skein.llm.page_text import extract_text
+
+    page = lambda i: f"<html><body><article><p>Story {i} tells of {i * 7} things and then of some more.</p>{'<div class=zz><p>Tell a friend</p></div>' if i < 6 else ''}</article></body></html>"
+    rows = spark.createDataFrame([(i, f"http://a/{i}", page(i)) for i in range(100)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(rows).collect()}
+    assert got == {i: f"Story {i} tells of {i * 7} things and then of some more." for i in range(100)}
