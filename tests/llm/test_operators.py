@@ -247,3 +247,15 @@ def test_page_templates_inside_articles(spark):
     rows = spark.createDataFrame([(i, f"http://a/{i}", page(i)) for i in range(100)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in extract_text(rows).collect()}
     assert got == {i: f"Story {i} tells of {i * 7} things and then of some more." for i in range(100)}
+
+
+def test_copied_pages_are_no_template(spark):
+    """Copies of a page count once, and a subtree with an article or nearly all text stays."""
+    from skein.llm.page_text import extract_text
+
+    one = "<html><body><div class='wrap'><article><p>Copied story</p><p>second part</p></article></div></body></html>"
+    two = "<html><body><div class='content'><p>No article here</p></div></body></html>"
+    pages = [(i, f"http://a/{i}", one) for i in range(8)] + [(10 + i, f"http://a/x{i}", two) for i in range(8)]
+    pages += [(20 + i, f"http://b/{i}", f"<html><body><div class='w'><div><article><p>Same words</p></article></div></div><p>{i}</p></body></html>") for i in range(8)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "Copied story second part" if i < 10 else "No article here" if i < 20 else "Same words" for i, _, _ in pages}
