@@ -8,7 +8,8 @@ of the alphabet's classes, runs above and below the median, and serial
 correlation. Their p-values are combined by Fisher's method.
 
 Random strings have uniform p-values, words and identifiers have p-values near
-zero. In each stratum of encoding and length the number of random strings is
+zero. In each stratum of encoding and length the number of random strings, each
+different string counted once however often it is copied, is
 estimated from the upper half of the p-values, and the cut is the least p-value
 at which the expected share of non-random strings above it is at most ``FDR``:
 short strings, where tests have little power, get a stricter cut by themselves.
@@ -138,8 +139,8 @@ def stratum_of(run: str, encoding: int) -> int:
     return encoding * 16 + min(15, len(run).bit_length())
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, p-value bin) of the runs that no base span overlaps."""
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, stratum, p-value bin, hash) of the runs that no base span overlaps."""
     out = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
@@ -147,16 +148,17 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             continue
         encoding = encoding_of(m.group())
         if encoding >= 0:
-            out.append((s, e, stratum_of(m.group(), encoding), min(P_BINS - 1, int(P_BINS * randomness(m.group(), encoding)))))
+            key = int.from_bytes(hashlib.blake2b(m.group().encode(), digest_size=8).digest(), "little", signed=True)
+            out.append((s, e, stratum_of(m.group(), encoding), min(P_BINS - 1, int(P_BINS * randomness(m.group(), encoding))), key))
     return out
 
 
-_FOUND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("p_bin", pa.int32())])
+_FOUND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("p_bin", pa.int32()), ("key", pa.int64())])
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, found): pattern spans, and candidates with stratum and p-value bin."""
+    """(doc_id, base, found): pattern spans, and candidates with stratum, p-value bin and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +170,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 [
                     batch.column(0),
                     pa.array([[dict(zip(("start", "kind", "end"), x, strict=True)) for x in row] for row in base], pa.list_(_SPAN)),
-                    pa.array([[dict(zip(("start", "end", "stratum", "p_bin"), x, strict=True)) for x in row] for row in found], pa.list_(_FOUND)),
+                    pa.array([[dict(zip(("start", "end", "stratum", "p_bin", "key"), x, strict=True)) for x in row] for row in found], pa.list_(_FOUND)),
                 ],
                 ["doc_id", "base", "found"],
             )
@@ -176,7 +178,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.transform(map_batches, 
         run,
-        "doc_id long, base array<struct<start int, kind int, `end` int>>, found array<struct<start int, `end` int, stratum int, p_bin int>>",
+        "doc_id long, base array<struct<start int, kind int, `end` int>>, found array<struct<start int, `end` int, stratum int, p_bin int, key long>>",
     )
 
 
@@ -199,7 +201,8 @@ def found_secrets(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
 
     The histogram has at most encodings x 16 x 100 rows, whatever the corpus.
     """
-    seen = scanned.select(F.explode("found").alias("f")).groupBy("f.stratum", "f.p_bin").count().collect()
+    strings = scanned.select(F.explode("found").alias("f")).select("f.stratum", "f.p_bin", "f.key").distinct()
+    seen = strings.groupBy("stratum", "p_bin").count().collect()
     histogram: dict[int, np.ndarray] = {}
     for r in seen:
         histogram.setdefault(r["stratum"], np.zeros(P_BINS, np.int64))[r["p_bin"]] = r["count"]

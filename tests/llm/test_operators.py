@@ -259,3 +259,23 @@ def test_copied_pages_are_no_template(spark):
     pages += [(20 + i, f"http://b/{i}", f"<html><body><div class='w'><div><article><p>Same words</p></article></div></div><p>{i}</p></body></html>") for i in range(8)]
     got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: "Copied story second part" if i < 10 else "No article here" if i < 20 else "Same words" for i, _, _ in pages}
+
+
+def test_copied_strings_count_once_for_the_cut(spark):
+    """Neither a copied secret nor a copied word of high p-value moves the cut of its stratum."""
+    from skein.llm import secret_scan
+
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    bin_of = lambda t: secret_scan.candidates(t, [])[0][3]
+    keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(1000)]
+    copied = next(k for k in keys if bin_of(k) == 30)
+    names = [f"internationalization{w}Handler{w}Factory"[:40] for w in ("Account", "Session", "Request", "Element", "Product")]
+
+    def found(copies):
+        rows = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + names + copies)], "doc_id long, text string")
+        return {r.doc_id for r in secret_scan.found_secrets(secret_scan.scan(rows)).collect() if r.spans}
+
+    alone, more = found([]), found([copied] * 3000)
+    assert {i for i in more if i < 1005} == alone and len([i for i in alone if i < 1000]) >= 900
+    assert all(i in more for i in range(1005, 4005))
