@@ -279,3 +279,16 @@ def test_copied_strings_count_once_for_the_cut(spark):
     alone, more = found([]), found([copied] * 3000)
     assert {i for i in more if i < 1005} == alone and len([i for i in alone if i < 1000]) >= 900
     assert all(i in more for i in range(1005, 4005))
+
+
+def test_chat_keeps_very_long_turns(spark):
+    """A turn beyond the limits of a JSON parser is formatted, and a record that can't be parsed is an error."""
+    from pyspark.sql import functions as F
+
+    from skein.llm import chat
+
+    rows = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("x"), F.lit(21_000_000)).alias("text"))
+    row = chat.format_chat(chat.turns_of_rows(rows)).select(F.length("formatted"), F.to_json("loss")).first()
+    assert tuple(row) == (21_000_000 + 22, '[{"begin":18,"end":21000018}]')
+    with pytest.raises(Exception, match="(?i)json"):
+        chat.canonical_turns(spark.createDataFrame([('{"prompt": "cut off',)], "record string")).collect()
