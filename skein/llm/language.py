@@ -170,11 +170,12 @@ def training_sample(
     labelled = docs.select(lang.alias("lang"), text.alias("text")).where(
         F.col("lang").isNotNull() & F.length("text").between(1, longest)
     )
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    texts = F.approx_count_distinct(F.xxhash64("text")).alias("texts")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), texts).orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not counts:
         return {}
     shares = docs.sparkSession.createDataFrame(
-        [(r["lang"], min(1.0, 4.0 * per_language / r["count"])) for r in counts], "lang string, share double"
+        [(r["lang"], min(1.0, 4.0 * per_language / max(1, r["texts"]))) for r in counts], "lang string, share double"
     )
     picked = (
         labelled.withColumn("h", F.xxhash64("text"))

@@ -292,3 +292,11 @@ def test_chat_keeps_very_long_turns(spark):
     assert tuple(row) == (21_000_000 + 22, '[{"begin":18,"end":21000018}]')
     with pytest.raises(Exception, match="(?i)json"):
         chat.canonical_turns(spark.createDataFrame([('{"prompt": "cut off',)], "record string")).collect()
+
+
+def test_language_sample_counts_different_texts(spark):
+    """A label of many rows and few different texts is learned from all of them."""
+    from skein.llm import language
+
+    rows = spark.range(200_000).selectExpr("concat('text ', id % 300) AS text", "'xx' AS lang")
+    assert len(language.training_sample(rows)["xx"]) == 300
