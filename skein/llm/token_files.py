@@ -10,12 +10,14 @@ The blocks are rows of a Parquet table, so Spark's committer makes them atomic
 and any file system that Spark reads can hold them.
 
 Null text is an empty document (only its end id); null ``doc_id`` sorts first;
-repeated ``doc_id`` are ordered by their ids; an empty table gives no rows.
+repeated ``doc_id`` are ordered by a hash of their ids, then the ids; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernels import SPACE, HashTable, binary_column, binary_rows, gather, groups, span_hashes, spans, text_bytes
@@ -34,6 +36,8 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 #: Words remembered by a worker before it starts afresh; bounds its memory, not its results.
 REMEMBERED_WORDS = 1_000_000
+#: A column of the ids that, where it is there, orders the file before ``doc_id`` does.
+ORDER = "file_order"
 #: For each control byte, which of the 16 bytes of four ids are stored.
 MASK = (np.arange(4)[None, None, :] <= ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)[:, :, None]).reshape(256, 16)
 #: For each control byte, how many bytes its four ids take.
@@ -42,6 +46,8 @@ TAKES = MASK.sum(1)
 _BREAK = np.zeros(256, bool)
 _BREAK[[32, 9, 10, 13]] = True
 assert not (_BREAK & ~SPACE).any()
+#: Letters that normalization leaves or lower-cases as one letter each, so no mark of theirs can join a stop.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -69,9 +75,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordIds:
     """Token ids of whole texts, each distinct piece between blanks tokenized once.
 
-    White space always ends a pre-token of the vocabulary used here, and so does a
-    letter before a final full stop or comma; the ids of a text are then those of its
-    pieces, end to end. Tests hold this against encoding the text as a whole.
+    White space always ends a pre-token of the vocabulary used here, and so does a Latin
+    letter before a final full stop or comma (other letters may be normalized to a letter
+    and a mark, which joins the stop); the ids of a text are then those of its pieces, end
+    to end. Tests hold this against encoding whole texts, with every letter that there is.
     """
 
     def __init__(self, path: str):
@@ -99,8 +106,8 @@ class WordIds:
 
     def _learn_stems(self, stems: list[str]) -> None:
         """Remember the ids of each stem as bytes: no object per id, and nothing for the garbage collector to walk."""
-        plain = [s for s in stems if s.isalpha()]
-        rest = [s for s in stems if not s.isalpha()]
+        plain = [s for s in stems if _LETTERS.fullmatch(s)]
+        rest = [s for s in stems if not _LETTERS.fullmatch(s)]
         sets = [plain[i : i + 200] for i in range(0, len(plain), 200)]
         for own, ids in zip(sets, self._ids([" ".join(x) for x in sets]), strict=True):
             packed = self._packed(ids)
@@ -113,7 +120,7 @@ class WordIds:
         self.stems.update(zip(rest, map(self._packed, self._ids(rest)), strict=True))
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        cut = [(p[:-1], p[-1]) if len(p) > 1 and p[-1] in ".," and p[:-1].isalpha() else (p, "") for p in pieces]
+        cut = [(p[:-1], p[-1]) if len(p) > 1 and p[-1] in ".," and _LETTERS.fullmatch(p, 0, len(p) - 1) else (p, "") for p in pieces]
         self._learn_stems(list({s for pair in cut for s in pair if s and s not in self.stems}))
         self.stems[""] = b""
         packed = [self.stems[a] + self.stems[b] for a, b in cut]
@@ -222,13 +229,21 @@ def write_blocks(ids: DataFrame, id_of_rank: np.ndarray, dtype: type, n_parts: i
                 )
                 block, start = block + 1, start + n
 
-    ordered = ids.repartitionByRange(n_parts, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
+    order = [*([ORDER] if ORDER in ids.columns else []), "doc_id", F.xxhash64("ids")]
+    ordered = ids.repartitionByRange(n_parts, *order).sortWithinPartitions(*order, "ids").select("doc_id", "ids")
     return ordered.transform(map_batches, run, schema)
 
 
-def write_token_file(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, np.ndarray]:
+def shuffled(ids: DataFrame, seed: int) -> DataFrame:
+    """The ids with a file order: a hash of the document and of its number among equal rows."""
+    same = Window.partitionBy("doc_id", F.xxhash64("ids")).orderBy(F.lit(0))
+    return ids.withColumn(ORDER, F.xxhash64(F.lit(seed), "doc_id", F.row_number().over(same)))
+
+
+def write_token_file(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", shuffle_seed: int | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Encode all documents; returns the stored blocks, each part's first position, and the ids by rank.
 
+    With ``shuffle_seed`` the file has a shuffled order, otherwise that of ``doc_id``.
     Part totals and the ranking are the only things the driver sees: one row per
     output part and one per vocabulary entry, whatever the corpus size.
     """
@@ -237,7 +252,8 @@ def write_token_file(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_c
     dtype = id_width(tokenizer)
     ids = stage.keep(token_ids(docs, tokenizer, id_col, text_col), "ids")
     ranking = id_counts(ids, dtype).orderBy(F.desc("n"), "id").select("id").toPandas()["id"].to_numpy(np.int64)
-    blocks = stage.keep(write_blocks(ids, ranking, dtype, partitions(spark)), "blocks")
+    ordered = ids if shuffle_seed is None else shuffled(ids, shuffle_seed)
+    blocks = stage.keep(write_blocks(ordered, ranking, dtype, partitions(spark)), "blocks")
     stage.drop("ids")
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").toPandas()
     starts = (np.cumsum(totals["n"]) - totals["n"]).astype(int)

@@ -300,3 +300,26 @@ def test_language_sample_counts_different_texts(spark):
 
     rows = spark.range(200_000).selectExpr("concat('text ', id % 300) AS text", "'xx' AS lang")
     assert len(language.training_sample(rows)["xx"]) == 300
+
+
+def test_tokens_of_every_letter_before_a_stop():
+    """Pieces give the ids of the whole text, whatever letter stands before a full stop or comma."""
+    import sys
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from skein.llm.kernels import text_bytes
+    from skein.llm.token_files import WordIds
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isalpha()]
+    texts = [" ".join(f"x{c}{stop} {c}{stop}" for c in letters[i : i + 500]) for i in range(0, len(letters), 500) for stop in ".,"]
+    texts += ["\u0130. \ufb1d, e\u0301. a\u0338. a \u0301. x\u00a0y. \u1e9e. 12. a.. .", "O'Neill's. d'\u00e9t\u00e9."]
+    raw, offsets = text_bytes(pa.array(texts))
+    ids, counts = WordIds(path).encode(raw, offsets)
+    whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    ends = np.cumsum(counts)
+    for text, want, a, b in zip(texts, whole, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == want.ids, text[:40]
