@@ -3,21 +3,22 @@
 All words and all word pairs of the training texts are counted, down to those that
 occur once, at every size alike. Keys are dealt out by hash to parts of about
 ``PART_BYTES`` of text each, so a part has the same size whatever the corpus, and
-their number follows the input. A part holds the exact counts of its words, with the
-number of different words that follow each, and one filter with the counts of its
-pairs: a count is quantised on a log scale (exactly up to 5), and the filter holds
-one entry for each level up to it, so a count is found by probing level after level
-until one is absent. The upper half of a pair's key names its part, the lower half
-stands for it there: of a million pairs one in 4 000 shares it with another.
+their number follows the input. A part holds the exact counts of its words and one
+filter with the counts of its pairs: a count is quantised on a log scale (exactly up
+to 5), and the filter holds one entry for each level up to it, so a count is found by
+probing level after level until one is absent. The upper half of a pair's key names
+its part, the lower half stands for it there: of a million pairs one in 4 000 shares
+it with another.
 
 The texts to score are taken in chunks. A chunk sends the different words and pairs
 that it needs to their parts, each part answers, and the answers meet the chunk's
 texts again. Nothing is collected or broadcast but two totals.
 
-The model is a bigram model with absolute discounting: a pair has its count less
-``DISCOUNT`` as a share of its first word's count, and what the discounts leave over
-goes to all words by their add-one probability. A word after one that was never seen
-has its add-one probability.
+The model is a bigram model with Dirichlet smoothing: a pair's count and ``PRIOR``
+times the add-one probability of its second word, over its first word's count and
+``PRIOR``. A word after one that was never seen has its add-one probability. As every
+word is followed by one (the end at last), the probabilities after a word add up to
+those of all words.
 
 Tokens are runs of anything but space and bytes 9 to 13, with A to Z
 lower-cased, and one end token per text, known by 64-bit hashes. Null text is
@@ -43,7 +44,8 @@ from .storage import map_batches, Stage
 
 #: Bytes of text (of the larger of both tables) for each part of the model.
 PART_BYTES = 8 << 20
-DISCOUNT = 0.5
+#: Occurrences of a first word that the add-one probabilities of what follows weigh as much as.
+PRIOR = 32.0
 #: Levels per doubling of a count.
 LEVELS_PER_OCTAVE = 4
 #: Probes per entry; the filter has 1.45 times as many bits for each entry.
@@ -55,7 +57,9 @@ LEVELS = np.unique(np.ceil(np.exp2(np.arange(62 * LEVELS_PER_OCTAVE) / LEVELS_PE
 #: The count that stands for each level, 0 for none: the middle of what it holds.
 COUNT_OF_LEVEL = np.concatenate([[0.0], np.sqrt(LEVELS * np.append(LEVELS[1:] - 1, LEVELS[-1]))])
 #: Kinds of rows of a model.
-WORDS, FILTER, FOLLOWED = 0, 1, 2
+WORDS, FILTER = 0, 1
+#: How counts are written: a byte, or 255 and the rest in another array.
+_MANY = 255
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +78,12 @@ def pair_keys(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(mix(words[at - 1] + PAIR) + words[at]), at
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys in order, their sums, and a place of each."""
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and their sums."""
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n[order], first, dtype=n.dtype) if len(first) else np.zeros(0, n.dtype), order[first]
+    return keys[first], np.add.reduceat(n[order], first, dtype=n.dtype) if len(first) else np.zeros(0, n.dtype)
 
 
 def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,27 +92,37 @@ def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
 
 
+def _short(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as a byte each, and the full counts of those that need more."""
+    many = counts >= _MANY
+    return np.minimum(counts, _MANY).astype(np.uint8), counts[many].astype("<u8")
+
+
+def _whole(short: np.ndarray, more: np.ndarray) -> np.ndarray:
+    out = short.astype(np.int64)
+    out[short == _MANY] = more.astype(np.int64)
+    return out
+
+
 def chunk_counts(texts: DataFrame, parts: int) -> DataFrame:
     """The n-grams of each chunk of texts with their counts, a row for each part."""
-    names = ["part", "words", "n_words", "pairs", "firsts", "n_pairs"]
+    names = ["part", "words", "n_words", "more_words", "pairs", "n_pairs", "more_pairs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
             for i, j in groups(offsets):
                 found, rows = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                words, n_words, _ = _summed(found, np.ones(len(found), np.uint32))
-                keys, at = pair_keys(found, rows)
-                pairs, n_pairs, place = _summed(keys, np.ones(len(keys), np.uint32))
-                firsts = found[at[place] - 1]
-                by_word, in_words = _parts(words, parts)
-                _, in_pairs = _parts(pairs, parts)
-                by_pair = np.lexsort((firsts, (pairs >> U64(32)) % U64(parts)))  # equal first words side by side pack well
-                columns = [binary_column(x[by_word], in_words) for x in (words, n_words)]
-                columns += [binary_column(x[by_pair], in_pairs) for x in (pairs.astype(np.uint32), firsts, n_pairs)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), *columns], names)
+                columns = [pa.array(np.arange(parts, dtype=np.int32))]
+                for keys, dtype in ((found, U64), (pair_keys(found, rows)[0], np.uint32)):
+                    keys, n = np.unique(keys, return_counts=True)
+                    order, in_part = _parts(keys, parts)
+                    short, more = _short(n[order])
+                    place = np.concatenate([[0], np.cumsum(short == _MANY)])[np.concatenate([[0], np.cumsum(in_part)])]
+                    columns += [binary_column(keys[order].astype(dtype), in_part), binary_column(short, in_part), binary_column(more, np.diff(place))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.select("text").transform(map_batches, run, "part int, words binary, n_words binary, pairs binary, firsts binary, n_pairs binary")
+    return texts.select("text").transform(map_batches, run, ", ".join(f"{n} {'int' if n == 'part' else 'binary'}" for n in names))
 
 
 class LogFrequencyFilter:
@@ -152,7 +166,7 @@ class LogFrequencyFilter:
 
 
 def learned_parts(counted: DataFrame, parts: int) -> DataFrame:
-    """Of each part: its words with counts, its filter, and for the parts of their first words how many pairs each begins here.
+    """Of each part: its words with counts, and its filter.
 
     ``size`` is the sum of a part's word counts, or the number of entries of its filter.
     """
@@ -160,45 +174,37 @@ def learned_parts(counted: DataFrame, parts: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         get = lambda name, dtype: binary_rows(table.column(name), dtype)[0]
-        words, n, _ = _summed(get("words", U64), get("n_words", np.uint32).astype(np.int64))
-        pairs, n_pairs, place = _summed(get("pairs", np.uint32), get("n_pairs", np.uint32).astype(np.int64))
+        words, n = _summed(get("words", U64), _whole(get("n_words", np.uint8), get("more_words", np.dtype("<u8"))))
+        pairs, n_pairs = _summed(get("pairs", np.uint32), _whole(get("n_pairs", np.uint8), get("more_pairs", np.dtype("<u8"))))
         store, entries = LogFrequencyFilter.of(pairs.astype(U64), n_pairs)
-        firsts = get("firsts", U64)[place]
-        firsts, begun, _ = _summed(firsts, np.ones(len(firsts), np.uint32))
-        order, in_part = _parts(firsts, parts)
-        some = np.flatnonzero(in_part)
-        keys = pa.chunked_array([binary_column(words, [len(words)]), binary_column(store.words, [len(store.words)]), binary_column(firsts[order], in_part[some])])
-        values = pa.chunked_array([binary_column(n, [len(n)]), pa.nulls(1, pa.binary()), binary_column(begun[order], in_part[some])])
-        where = np.concatenate([[part, part], some]).astype(np.int32)
-        kind = np.concatenate([[WORDS, FILTER], np.full(len(some), FOLLOWED)]).astype(np.int32)
-        size = np.concatenate([[int(n.sum()), entries], np.zeros(len(some), np.int64)]).astype(np.int64)
-        return pa.table([pa.array(where), pa.array(kind), keys, values, pa.array(size)], ["part", "kind", "keys", "values", "size"])
+        keys = pa.chunked_array([binary_column(words, [len(words)]), binary_column(store.words, [len(store.words)])])
+        values = pa.chunked_array([binary_column(n, [len(n)]), pa.nulls(1, pa.binary())])
+        size = np.array([n.sum(), entries], np.int64)
+        return pa.table([pa.array([part, part], pa.int32()), pa.array([WORDS, FILTER], pa.int32()), keys, values, pa.array(size)], ["part", "kind", "keys", "values", "size"])
 
     return counted.groupBy("part").applyInArrow(run, "part int, kind int, keys binary, values binary, size long")
 
 
 def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
-    """For rows (chunk, part, words, pairs): count and followers of each word, and the level of each pair."""
+    """For rows (chunk, part, words, pairs): the count of each word, and the level of each pair."""
 
     def run(own: pa.Table, rows: pa.Table) -> pa.Table:
         def get(kind, name, dtype):
             return binary_rows(own.filter(pc.equal(own.column("kind"), kind)).column(name), dtype)[0]
 
-        words, n = get(WORDS, "keys", U64), get(WORDS, "values", np.int64)
-        begun = np.bincount(np.searchsorted(words, get(FOLLOWED, "keys", U64)), get(FOLLOWED, "values", np.uint32), len(words)).astype(np.int64)
-        bits = get(FILTER, "keys", U64)
+        words, n, bits = get(WORDS, "keys", U64), get(WORDS, "values", np.int64), get(FILTER, "keys", U64)
         wanted, in_words = binary_rows(rows.column("words"), U64)
         pairs, in_pairs = binary_rows(rows.column("pairs"), np.uint32)
-        counts, followers = np.zeros((2, len(wanted)), np.int64)
+        counts = np.zeros(len(wanted), np.int64)
         if len(words):
             at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
             hit = words[at] == wanted
-            counts[hit], followers[hit] = n[at[hit]], begun[at[hit]]
+            counts[hit] = n[at[hit]]
         levels = LogFrequencyFilter(bits).levels(pairs.astype(U64)) if len(bits) else np.zeros(len(pairs), np.uint8)
-        columns = [binary_column(counts, in_words), binary_column(followers, in_words), binary_column(levels, in_pairs)]
-        return pa.table([rows.column("chunk"), rows.column("part"), *columns], ["chunk", "part", "counts", "followers", "levels"])
+        columns = [binary_column(counts, in_words), binary_column(levels, in_pairs)]
+        return pa.table([rows.column("chunk"), rows.column("part"), *columns], ["chunk", "part", "counts", "levels"])
 
-    return model.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "chunk long, part int, counts binary, followers binary, levels binary")
+    return model.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "chunk long, part int, counts binary, levels binary")
 
 
 def _aligned(column: pa.ChunkedArray, dtype, order: np.ndarray) -> np.ndarray:
@@ -220,14 +226,13 @@ def score_chunk(raw: np.ndarray, offsets: np.ndarray, told: pa.Table, parts: int
     pairs, pair = np.unique(keys, return_inverse=True)
     by_word, by_pair = _parts(words, parts)[0], _parts(pairs, parts)[0]
     counts = _aligned(told.column("counts"), np.int64, by_word).astype(float)
-    followers = _aligned(told.column("followers"), np.int64, by_word)
     together = COUNT_OF_LEVEL[_aligned(told.column("levels"), np.uint8, by_pair)][pair]
     one = (counts + 1) / (n + v + 1)
     base = np.log10(one)[word]
     logs = base.copy()
     a, b = word[at - 1], word[at]
     together = np.minimum(together, np.minimum(counts[a], counts[b]))  # also 0 where the filter errs about a word never seen
-    shares = (np.maximum(together - DISCOUNT, 0) + DISCOUNT * followers[a] * one[b]) / np.maximum(counts[a], 1)
+    shares = (together + PRIOR * one[b]) / (counts[a] + PRIOR)
     seen = counts[a] > 0
     logs[at[seen]] = np.log10(np.minimum(shares[seen], 1.0))
     texts = len(offsets) - 1
