@@ -35,9 +35,16 @@ ORDER = 4
 TEXTS_PER_LANGUAGE = 400
 LONGEST_TEXT = 20_000
 MOST_LANGUAGES = 200
+#: Characters that the whole sample is kept to: an even share for each language.
+LONGEST_SAMPLE = 8_000_000
+#: What may be a letter; it also matches numerals such as one half, which aren't.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def _windows(data: np.ndarray, order: int) -> np.ndarray:
     """For each byte after the first ``order``: it and the bytes before it as one number, itself lowest."""
     out = np.zeros(len(data) - order, U64)
@@ -148,7 +155,7 @@ class ContextTrees:
         best = bits.argmin(1)
         with np.errstate(under="ignore"):
             score = 1 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
-        known = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+        known = np.array([has_letter(t) for t in texts], bool)
         labels = [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
         return labels, np.where(known, score, 0.0)
 
@@ -160,11 +167,13 @@ def training_sample(
     per_language: int = TEXTS_PER_LANGUAGE,
     longest: int = LONGEST_TEXT,
     languages: int = MOST_LANGUAGES,
+    characters: int = LONGEST_SAMPLE,
 ) -> dict[str, list[str]]:
     """Distinct whole texts of each label, chosen by a hash of the text.
 
     At most ``languages`` labels (the most frequent), ``per_language`` texts of at most
-    ``longest`` characters each: a bound on what the driver and the model hold.
+    ``longest`` characters each, and ``characters`` characters in all, of which each label
+    has an even share: a bound on what the driver and the broadcast model hold.
     """
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     labelled = docs.select(lang.alias("lang"), text.alias("text")).where(
@@ -177,14 +186,17 @@ def training_sample(
     shares = docs.sparkSession.createDataFrame(
         [(r["lang"], min(1.0, 4.0 * per_language / max(1, r["texts"]))) for r in counts], "lang string, share double"
     )
+    by_hash = Window.partitionBy("lang").orderBy("h")
     picked = (
         labelled.withColumn("h", F.xxhash64("text"))
         .join(F.broadcast(shares), "lang")
         .where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
         .groupBy("lang", "h")
         .agg(F.min("text").alias("text"))
-        .withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+        .withColumn("i", F.row_number().over(by_hash))
         .where(F.col("i") <= per_language)
+        .withColumn("upto", F.sum(F.length("text")).over(by_hash))
+        .where((F.col("upto") <= characters // len(counts)) | (F.col("i") == 1))
     )
     out: dict[str, list[str]] = {}
     for r in picked.orderBy("lang", "i").collect():
