@@ -8,7 +8,9 @@ hash. Documents are drawn independently, so no source is gathered anywhere; the
 per-source distributions are a small table that Catalyst joins by its size.
 
 Without explicit targets, shares follow n to the power ``TEMPERATURE`` and T is
-the number of documents. With explicit ones, sources that aren't named get none.
+the number of documents. With explicit ones, sources that aren't named get none,
+and the key None names the null source; where no named source occurs there are no
+rows.
 
 Null source is a source of its own; rows with equal or null ids draw equal
 numbers (null counts as the text ``null``). An empty table gives no rows. Input
@@ -34,7 +36,7 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
 
 
-def source_rates(docs: DataFrame, source_col: str = "source", targets: dict[str, float] | None = None, total: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+def source_rates(docs: DataFrame, source_col: str = "source", targets: dict[str | None, float] | None = None, total: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """(source, n, rate): documents and mean copies of each source."""
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if targets is None:
@@ -42,13 +44,13 @@ def source_rates(docs: DataFrame, source_col: str = "source", targets: dict[str,
     else:
         weight = F.lit(0.0)
         for name, share in targets.items():
-            weight = F.when(F.col("source") == name, float(share)).otherwise(weight)
+            weight = F.when(F.col("source").eqNullSafe(F.lit(name)), float(share)).otherwise(weight)
     counts = counts.withColumn("weight", weight)
     all_ = counts.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_weight"))
     n_total = F.col("all_n") if total is None else F.lit(total)
     # one row of totals beside each source
     return counts.join(F.broadcast(all_)).select(
-        "source", "n", (n_total * F.col("weight") / F.col("all_weight") / F.col("n")).alias("rate")
+        "source", "n", F.when(F.col("all_weight") > 0, n_total * F.col("weight") / F.nullif("all_weight", F.lit(0.0)) / F.col("n")).otherwise(0.0).alias("rate")
     )
 
 
@@ -70,7 +72,7 @@ def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
-    targets: dict[str, float] | None = None,
+    targets: dict[str | None, float] | None = None,
     total: int | None = None,
     temperature: float = TEMPERATURE,
     seed: int = SEED,

@@ -322,3 +322,27 @@ def test_tokens_of_every_letter_before_a_stop():
     ends = np.cumsum(counts)
     for text, want, a, b in zip(texts, whole, ends - counts, ends, strict=True):
         assert ids[a:b].tolist() == want.ids, text[:40]
+
+
+def test_language_of_numerals_is_unknown_and_the_sample_is_bounded(spark):
+    """Numerals that aren't letters make no language; all labels together keep to the bound of characters."""
+    import pyarrow as pa
+
+    from skein.llm import language
+
+    trees = language.ContextTrees({"aa": ["one half and more"], "bb": ["das ist ein Satz"]})
+    labels, score = trees.predict(pa.array(["\u00bd \u00b2 \u2163", "12 \u00bd x", None, ""]))
+    assert labels[0] == labels[2] == labels[3] == "und" and labels[1] != "und" and score[0] == 0
+    rows = spark.range(400).selectExpr("concat(repeat('text ', 100), id) AS text", "if(id % 2 = 0, 'xx', 'yy') AS lang")
+    sample = language.training_sample(rows, characters=20_000)
+    assert set(sample) == {"xx", "yy"} and all(15 <= len(x) < 20 for x in sample.values())
+
+
+def test_mixture_targets_that_do_not_occur(spark):
+    """Targets of which none occurs give no rows; null may be named; rates meet the targets."""
+    from skein.llm import mixture
+
+    rows = spark.range(900).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS source")
+    assert mixture.mix_sources(rows, targets={"zz": 1.0}).count() == 0
+    got = {r.source: r["count"] for r in mixture.mix_sources(rows, targets={None: 3.0, "a": 1.0}, total=4000).groupBy("source").count().collect()}
+    assert set(got) == {None, "a"} and abs(got[None] - 3000) < 250 and abs(got["a"] - 1000) < 150
