@@ -346,3 +346,36 @@ def test_mixture_targets_that_do_not_occur(spark):
     assert mixture.mix_sources(rows, targets={"zz": 1.0}).count() == 0
     got = {r.source: r["count"] for r in mixture.mix_sources(rows, targets={None: 3.0, "a": 1.0}, total=4000).groupBy("source").count().collect()}
     assert set(got) == {None, "a"} and abs(got[None] - 3000) < 250 and abs(got["a"] - 1000) < 150
+
+
+def test_chat_layouts_with_more_fields_or_no_messages(spark):
+    """A field that no layout uses doesn't change the layout; no messages are no turns; an unknown nesting stays unknown."""
+    from skein.llm import chat
+
+    records = [
+        '{"messages": [{"role": "user", "content": "a", "name": "bob", "weight": 1.5}], "id": 7}',
+        '{"messages": []}', '{"conversations": [], "source": "x"}', '{"id": 1, "prompt": "p", "completion": "c", "tags": ["t"]}',
+        '{"messages": [{"role": "user", "content": {"parts": "a"}}]}', '{"conversations": [{"from": "gpt", "value": "v", "my key": null}]}',
+    ]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, record string")
+    got = {r.i: r.turns if r.turns is None else [tuple(t) for t in r.turns] for r in chat.canonical_turns(rows).collect()}
+    assert got == {0: [("user", "a")], 1: [], 2: [], 3: [("user", "p"), ("assistant", "c")], 4: None, 5: [("assistant", "v")]}
+
+
+def test_chat_of_many_turns(spark):
+    """The loss mask of a conversation of very many turns, against a plain loop; rows with odd values and clashing names."""
+    from pyspark.sql import functions as F
+
+    from skein.llm import chat
+
+    for n in (0, 1, 255, 256, 257, 30_000):
+        rows = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('t~<', id) AS text")
+        made = chat.format_chat(chat.turns_of_rows(rows)).collect()
+        assert len(made) == min(n, 1)
+        if made:
+            want = [f"t~<{i}" for i in range(n) if i % 3]
+            assert [made[0].formatted[r.begin : r.end].replace("~1", "<").replace("~0", "~") for r in made[0].loss] == want
+    odd_rows = spark.createDataFrame([(None, None, None, None), (1, 0, "assistant", ""), (1, 0, "assistant", ""), (1, None, None, "x")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_chat(chat.turns_of_rows(odd_rows)).withColumn("back", chat.read_chat(F.col("formatted"))).collect()}
+    assert [tuple(t) for t in got[1].back] == [("", "x"), ("assistant", ""), ("assistant", "")] and len(got[1].loss) == 2
+    assert [tuple(t) for t in got[None].back] == [("", "")]
