@@ -5,9 +5,11 @@ Image directories are walked from the header; strips and tiles are decoded
 bits, floating point), and every page becomes a row with its size, sample
 layout and pixels in row order. Colour planes stored apart are put together.
 
-Null media gives no page; media that isn't a readable TIFF gives one row with
-page -1 and the reason in ``error`` and no pixels, and other media are not
-affected. A directory chain that runs in a circle ends at its first repetition.
+Null media gives no page; media that isn't a readable TIFF gives, after the pages
+that could be read, one row with page -1 and the reason in ``error`` and no pixels,
+and other media are not affected. The digests of such a file are null, with the
+reason beside them. A directory chain that runs in a circle ends at its first
+repetition.
 """
 
 from __future__ import annotations
@@ -110,6 +112,38 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def pack_lzw(data: bytes) -> bytes:
+    """The codes that ``unpack_lzw`` reads; the table is cleared before it is full."""
+    codes, table, width, last = [(256, 9)], {bytes((i,)): i for i in range(256)}, 9, b""
+    for byte in data:
+        now = last + bytes((byte,))
+        if now in table:
+            last = now
+            continue
+        codes.append((table[last], width))
+        table[now] = len(table) + 2
+        size = len(table) + 2
+        if size >= 4094:
+            codes.append((256, width))
+            table, width = {bytes((i,)): i for i in range(256)}, 9
+        else:
+            width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        last = now[-1:]
+    if last:
+        codes.append((table[last], width))
+    codes.append((257, width))
+    out, bits, held = bytearray(), 0, 0
+    for code, width in codes:
+        bits, held = (bits << width) | code, held + width
+        while held >= 8:
+            held -= 8
+            out.append(bits >> held)
+            bits &= (1 << held) - 1
+    if held:
+        out.append(bits << (8 - held) & 255)
+    return bytes(out)
+
+
 def _decoded(data: bytes, scheme: int, size: int) -> np.ndarray:
     if scheme == NONE:
         out = data
@@ -163,6 +197,8 @@ def _page(media: bytes, tags: dict[int, tuple], order: str) -> dict:
         return otherwise
 
     width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
+    if samples < 1:
+        raise ValueError("no samples")
     planes = samples if one(PLANAR, 1) == 2 else 1
     together = samples // planes
     tiled = TILE_AT in tags
@@ -212,14 +248,14 @@ def write_tiff(payload: bytes, width: int = PAGE_WIDTH, page_rows: int = PAGE_RO
     """Whole lines of 8-bit samples as a little-endian TIFF of several pages.
 
     Pages take turns: deflated strips with the horizontal predictor, deflated tiles
-    of 192 x 16, PackBits strips.
+    of 192 x 16, PackBits strips, LZW strips.
     """
     out = bytearray(b"II*\0\0\0\0\0")
     link = 4
     samples = np.frombuffer(payload, np.uint8).reshape(-1, width)
     for page, y in enumerate(range(0, len(samples), page_rows)):
         image = samples[y : y + page_rows]
-        kind = page % 3
+        kind = page % 4
         if kind == 1:
             padded = np.zeros((-(-len(image) // 16) * 16, width), np.uint8)
             padded[: len(image)] = image
@@ -228,7 +264,7 @@ def write_tiff(payload: bytes, width: int = PAGE_WIDTH, page_rows: int = PAGE_RO
             if kind == 0:
                 image = np.diff(image, axis=1, prepend=np.uint8(0))
             blocks = [image[r : r + strip_rows].tobytes() for r in range(0, len(image), strip_rows)]
-        blocks = [pack_bits(b) if kind == 2 else zlib.compress(b, 1) for b in blocks]
+        blocks = [pack_bits(b) if kind == 2 else pack_lzw(b) if kind == 3 else zlib.compress(b, 1) for b in blocks]
         starts = []
         for b in blocks:
             starts.append(len(out))
@@ -241,7 +277,7 @@ def write_tiff(payload: bytes, width: int = PAGE_WIDTH, page_rows: int = PAGE_RO
             if n > 1:
                 out += struct.pack(f"<{n}I", *values)
         rows = min(page_rows, len(samples) - y)
-        entries = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, rows), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, PACKBITS if kind == 2 else DEFLATE), (PHOTOMETRIC, 3, 1, 1), (SAMPLES, 3, 1, 1)]
+        entries = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, rows), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, (DEFLATE, DEFLATE, PACKBITS, LZW)[kind]), (PHOTOMETRIC, 3, 1, 1), (SAMPLES, 3, 1, 1)]
         if kind == 1:
             entries += [(TILE_WIDTH, 3, 1, 192), (TILE_HEIGHT, 3, 1, 16), (TILE_AT, 4, n, lists[0]), (TILE_BYTES, 4, n, lists[1])]
         else:
@@ -301,7 +337,7 @@ def tiff_pages(media: DataFrame) -> DataFrame:
                         if size >= _BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist(held, _PAGES)
                             held, size = [], 0
-                except (ValueError, KeyError, struct.error, zlib.error) as e:
+                except (ValueError, LookupError, ArithmeticError, struct.error, zlib.error) as e:
                     held.append(own | {"page": -1, "error": str(e)})
             if held:
                 yield pa.RecordBatch.from_pylist(held, _PAGES)
@@ -309,9 +345,9 @@ def tiff_pages(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").transform(map_batches, run, PAGES)
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int, error string"
 _DIGESTS = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_pages", pa.int32())]
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_pages", pa.int32()), ("error", pa.string())]
 )
 
 
@@ -319,7 +355,7 @@ class _Fold:
     """Digests and grey-level statistics of the pages of one file as they pass."""
 
     def __init__(self, row: dict):
-        self.row, self.pages, self.size, self.tail = row, 0, 0, b""
+        self.row, self.pages, self.size, self.tail, self.error = row, 0, 0, b"", None
         self.sha, self.levels, self.edges = hashlib.sha256(), np.zeros(256, np.int64), 0
 
     def add(self, pixels: bytes) -> None:
@@ -332,6 +368,8 @@ class _Fold:
         self.pages += 1
 
     def done(self) -> dict:
+        if self.error is not None:
+            return {k: self.row[k] for k in ("doc_id", "n_bytes", "media_bytes", "media_sha256")} | {"n_pages": self.pages, "error": self.error}
         level = np.arange(256)
         mean = float((self.levels * level).sum() / max(self.size, 1))
         spread = float(np.sqrt((self.levels * (level - mean) ** 2).sum() / max(self.size, 1)))
@@ -349,12 +387,13 @@ def page_digests(pages: DataFrame) -> DataFrame:
         fold: _Fold | None = None
         for batch in batches:
             out = []
-            rows = batch.select(["doc_id", "seq", "n_bytes", "media_bytes", "media_sha256"]).to_pylist()
+            rows = batch.select(["doc_id", "seq", "n_bytes", "media_bytes", "media_sha256", "error"]).to_pylist()
             for row, pixels in zip(rows, batch.column("pixels"), strict=True):
                 if fold is None or fold.row["seq"] != row["seq"]:
                     if fold is not None:
                         out.append(fold.done())
                     fold = _Fold(row)
+                fold.error = fold.error or row["error"]
                 if pixels.is_valid:
                     fold.add(pixels.as_buffer().to_pybytes())
             yield pa.RecordBatch.from_pylist(out, _DIGESTS)

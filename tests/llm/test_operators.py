@@ -379,3 +379,43 @@ def test_chat_of_many_turns(spark):
     got = {r.conv_id: r for r in chat.format_chat(chat.turns_of_rows(odd_rows)).withColumn("back", chat.read_chat(F.col("formatted"))).collect()}
     assert [tuple(t) for t in got[1].back] == [("", "x"), ("assistant", ""), ("assistant", "")] and len(got[1].loss) == 2
     assert [tuple(t) for t in got[None].back] == [("", "")]
+
+
+def _tiff(entries, data, order="<"):
+    """A file of one directory with these (tag, type, count, value) entries and image data from byte 8 on."""
+    import struct
+
+    at = 8 + len(data) + len(data) % 2
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + data + b"\0" * (len(data) % 2)
+    body = struct.pack(order + "H", len(entries))
+    for tag, kind, count, value in sorted(entries):
+        body += struct.pack(order + "HHI", tag, kind, count) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))
+    return head + body + b"\0\0\0\0"
+
+
+def test_media_layouts_and_unreadable_media(spark):
+    """LZW both ways; 16 bits with predictor, planes apart, one bit; broken files are marked and stop nothing."""
+    import struct
+
+    from skein.llm import media
+
+    rng = random.Random(8)
+    for n in (0, 1, 2, 5_000, 300_000):
+        for data in (bytes(rng.randrange(3) for _ in range(n)), rng.randbytes(n)):
+            assert media.unpack_lzw(media.pack_lzw(data), n) == data
+    long = rng.randbytes(576 * 64 * 5)
+    assert b"".join(p["pixels"] for p in media.pages_of(media.write_tiff(long))) == long
+    base = lambda w, h, bits, samples, n: [(256, 3, 1, w), (257, 3, 1, h), (258, 3, 1, bits), (277, 3, 1, samples), (273, 4, 1, 8), (279, 4, 1, n), (278, 3, 1, h)]
+    wide = [rng.randrange(65536) for _ in range(12)]
+    steps = [(v - (wide[i - 1] if i % 4 else 0)) % 65536 for i, v in enumerate(wide)]
+    for order in "<>":
+        file = _tiff([*base(4, 3, 16, 1, 24), (317, 3, 1, 2)], struct.pack(f"{order}12H", *steps), order)
+        assert struct.unpack(f"{order}12H", next(media.pages_of(file))["pixels"]) == tuple(wide)
+    assert next(media.pages_of(_tiff(base(9, 2, 1, 1, 4), b"\xaa\x80\x55\0")))["pixels"] == b"\xaa\x80\x55\0"
+    good = media.write_tiff(b"x" * 576)
+    zero = _tiff([*base(4, 3, 8, 0, 12), (284, 3, 1, 2)], b"a" * 12)
+    files = [(1, good), (2, zero), (3, good[: len(good) // 2]), (4, b"no tiff"), (5, None), (6, b""), (7, good)]
+    rows = spark.createDataFrame([(i, 576, f) for i, f in files], "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r.doc_id: r for r in media.page_digests(media.tiff_pages(rows)).collect()}
+    assert set(got) == {1, 2, 3, 4, 6, 7} and all((got[i].error is None) == (i in (1, 7)) for i in got)
+    assert all(got[i].payload_sha256 is None for i in (2, 3, 4, 6)) and got[1].payload_bytes == 576
