@@ -10,7 +10,7 @@ probing level after level until one is absent. The upper half of a pair's key na
 its part, the lower half stands for it there: of a million pairs one in 4 000 shares
 it with another.
 
-The texts to score are taken in chunks. A chunk sends the different words and pairs
+The texts to score are packed in chunks of about ``CHUNK_BYTES``, which are written once. A chunk sends the different words and pairs
 that it needs to their parts, each part answers, and the answers meet the chunk's
 texts again. Nothing is collected or broadcast but two totals.
 
@@ -34,6 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +45,9 @@ from .language import bucket
 from .storage import map_batches, Stage
 
 #: Bytes of text (of the larger of both tables) for each part of the model.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
+#: Bytes of text in a chunk.
+CHUNK_BYTES = 8 << 20
 #: Occurrences of a first word that the add-one probabilities of what follows weigh as much as.
 PRIOR = 32.0
 #: Levels per doubling of a count.
@@ -104,27 +108,57 @@ def _whole(short: np.ndarray, more: np.ndarray) -> np.ndarray:
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
+    """Neighbouring rows with about ``CHUNK_BYTES`` of text (column number ``text``) each, at least one row."""
+    held, size = [], 0
+    for batch in batches:
+        offsets = text_bytes(batch.column(text))[1]
+        for i, j in groups(offsets, CHUNK_BYTES):
+            held.append(batch.slice(i, j - i))
+            size += int(offsets[j] - offsets[i])
+            if size >= CHUNK_BYTES // 2:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def chunk_counts(texts: DataFrame, parts: int) -> DataFrame:
     """The n-grams of each chunk of texts with their counts, a row for each part."""
     names = ["part", "words", "n_words", "more_words", "pairs", "n_pairs", "more_pairs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = text_bytes(batch.column(0))
-            for i, j in groups(offsets):
-                found, rows = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                columns = [pa.array(np.arange(parts, dtype=np.int32))]
-                for keys, dtype in ((found, U64), (pair_keys(found, rows)[0], np.uint32)):
-                    keys, n = np.unique(keys, return_counts=True)
-                    order, in_part = _parts(keys, parts)
-                    short, more = _short(n[order])
-                    place = np.concatenate([[0], np.cumsum(short == _MANY)])[np.concatenate([[0], np.cumsum(in_part)])]
-                    columns += [binary_column(keys[order].astype(dtype), in_part), binary_column(short, in_part), binary_column(more, np.diff(place))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for table in gathered(batches, 0):
+            found, rows = tokens(*text_bytes(table.column(0)))
+            columns = [pa.array(np.arange(parts, dtype=np.int32))]
+            for keys, dtype in ((found, U64), (pair_keys(found, rows)[0], np.uint32)):
+                keys, n = np.unique(keys, return_counts=True)
+                order, in_part = _parts(keys, parts)
+                short, more = _short(n[order])
+                place = np.concatenate([[0], np.cumsum(short == _MANY)])[np.concatenate([[0], np.cumsum(in_part)])]
+                columns += [binary_column(keys[order].astype(dtype), in_part), binary_column(short, in_part), binary_column(more, np.diff(place))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts.select("text").transform(map_batches, run, ", ".join(f"{n} {'int' if n == 'part' else 'binary'}" for n in names))
 
 
+def packed_chunks(rows: DataFrame, text: int) -> DataFrame:
+    """(chunk, packed): the rows in chunks of neighbours, each as one compressed value."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, options = TaskContext.get().partitionId() << 33, pa.ipc.IpcWriteOptions(compression="zstd")
+        for n, table in enumerate(gathered(batches, text)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                out.write_table(table.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "packed"])
+
+    return rows.transform(map_batches, run, "chunk long, packed binary")
+
+
+def _unpacked(value: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(value.as_buffer()).read_all()
+
+
 class LogFrequencyFilter:
     """Quantised counts by repeated membership tests in one bit array."""
 
@@ -201,15 +235,16 @@ def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
             hit = words[at] == wanted
             counts[hit] = n[at[hit]]
         levels = LogFrequencyFilter(bits).levels(pairs.astype(U64)) if len(bits) else np.zeros(len(pairs), np.uint8)
-        columns = [binary_column(counts, in_words), binary_column(levels, in_pairs)]
-        return pa.table([rows.column("chunk"), rows.column("part"), *columns], ["chunk", "part", "counts", "levels"])
+        short, more = _short(counts)
+        place = np.concatenate([[0], np.cumsum(short == _MANY)])[np.concatenate([[0], np.cumsum(in_words)])]
+        columns = [binary_column(short, in_words), binary_column(more, np.diff(place)), binary_column(levels, in_pairs)]
+        return pa.table([rows.column("chunk"), rows.column("part"), *columns], ["chunk", "part", "counts", "more_counts", "levels"])
 
-    return model.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "chunk long, part int, counts binary, levels binary")
+    return model.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "chunk long, part int, counts binary, more_counts binary, levels binary")
 
 
-def _aligned(column: pa.ChunkedArray, dtype, order: np.ndarray) -> np.ndarray:
+def _aligned(found: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The answers of all parts, in the order of the keys that were asked for."""
-    found = binary_rows(column, dtype)[0]
     if len(found) != len(order):
         raise ValueError(f"{len(found)} answers for {len(order)} n-grams")
     out = np.empty_like(found)
@@ -225,8 +260,9 @@ def score_chunk(raw: np.ndarray, offsets: np.ndarray, told: pa.Table, parts: int
     keys, at = pair_keys(found, rows)
     pairs, pair = np.unique(keys, return_inverse=True)
     by_word, by_pair = _parts(words, parts)[0], _parts(pairs, parts)[0]
-    counts = _aligned(told.column("counts"), np.int64, by_word).astype(float)
-    together = COUNT_OF_LEVEL[_aligned(told.column("levels"), np.uint8, by_pair)][pair]
+    get = lambda name, dtype: binary_rows(told.column(name), dtype)[0]
+    counts = _aligned(_whole(get("counts", np.uint8), get("more_counts", np.dtype("<u8"))), by_word).astype(float)
+    together = COUNT_OF_LEVEL[_aligned(get("levels", np.uint8), by_pair)][pair]
     one = (counts + 1) / (n + v + 1)
     base = np.log10(one)[word]
     logs = base.copy()
@@ -259,45 +295,34 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     model, n, v = learn(train.select(text), parts, stage)
 
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    inner = ["lm_text", "lm_chunk"]
-    rows = docs.drop(*results, *inner)
+    rows = docs.drop(*results)
     others = [c for c in rows.columns if c != "text"]
-    # written first: the chunks are cut twice, and both times of the same batches
-    rows = stage.keep(rows.select(*others, text.alias("lm_text")), "texts").withColumn("lm_chunk", F.monotonically_increasing_id())
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text with its chunk, which has the number of its first row."""
-        for batch in batches:
-            sizes = text_bytes(batch.column(len(others)))[1]
-            at = np.concatenate([np.full(j - i, i) for i, j in groups(sizes)] or [np.zeros(0, np.int64)])
-            chunk = batch.column(len(others) + 1).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], chunk], batch.schema.names)
+    rows = rows.select(*others, text.alias("text"))
+    chunks = stage.keep(packed_chunks(rows, len(others)), "chunks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What each chunk asks of every part."""
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(len(others)))
-            for i, j in groups(offsets):
-                found, at = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found, at = tokens(*text_bytes(_unpacked(packed).column(len(others))))
                 words, pairs = np.unique(found), np.unique(pair_keys(found, at)[0])
                 (by_word, in_words), (by_pair, in_pairs) = _parts(words, parts), _parts(pairs, parts)
                 columns = [binary_column(words[by_word], in_words), binary_column(pairs[by_pair].astype(np.uint32), in_pairs)]
-                chunk = np.full(parts, batch.column(len(others) + 1)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(np.arange(parts, dtype=np.int32)), *columns], ["chunk", "part", "words", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(parts, chunk)), pa.array(np.arange(parts, dtype=np.int32)), *columns], ["chunk", "part", "words", "pairs"])
 
-    fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]
-    texts = rows.transform(map_batches, cut, T.StructType(fields))
-    found = answers(rows.transform(map_batches, ask, "chunk long, part int, words binary, pairs binary"), model)
+    found = answers(chunks.transform(map_batches, ask, "chunk long, part int, words binary, pairs binary"), model)
 
     def finish(own: pa.Table, told: pa.Table) -> pa.Table:
-        raw, offsets = text_bytes(own.column("lm_text"))
+        table = _unpacked(own.column("packed")[0])
+        raw, offsets = text_bytes(table.column(len(others)))
         n_tokens, n_known, base, score = score_chunk(raw, offsets, told, parts, n, v)
-        columns = [n_tokens, n_known, np.full(own.num_rows, n), base, score]
-        return pa.table([*(own.column(c) for c in others), *map(pa.array, columns)], [*others, *results])
+        columns = [n_tokens, n_known, np.full(table.num_rows, n), base, score]
+        return pa.table([*table.columns[: len(others)], *map(pa.array, columns)], [*others, *results])
 
     types = [T.LongType()] * 3 + [T.DoubleType()] * 2
+    fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]
     schema = T.StructType([*fields[: len(others)], *map(T.StructField, results, types)])
-    return texts.groupBy("lm_chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, schema)
+    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish, schema)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
