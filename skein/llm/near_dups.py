@@ -4,11 +4,17 @@ A sketch of a text takes, under one random order, the ``PICKS`` smallest of its
 occurrence-labelled word k-mers and hashes them in the order in which they stand
 in the text; two texts share it with a chance that follows their edit similarity
 and not only their sets of k-mers. Texts in one bucket, of which at least
-``AGREEING`` of ``SKETCHES`` sketches agree, are candidates, and a banded alignment
-of their words decides: they are linked if the edit distance is at most
-(1 - SIMILARITY) of the longer text. Classes are the connected components of the
-links. At a k-mer similarity of 0.8 a pair fails to be a candidate about once in
-20 000 cases.
+``AGREEING`` of ``SKETCHES`` sketches agree, are candidates. Two texts are linked if the
+similarity of their sets of ``K``-word shingles (twice those in common over the sum of
+both) is at least ``SIMILARITY`` and a banded alignment of their words needs edits of at
+most (1 - SIMILARITY) of the longer text. Classes are the connected components of the
+links. All pairs with 0.8 of their united shingles in common are well inside that.
+
+A pair of long texts fails to be a candidate about once in 20 000 cases where 0.8 of the
+united shingles are common, and 7 times in 100 at the very edge of the threshold. Texts
+of few shingles share too few of them for that, so texts of at most ``SHORT`` different
+shingles also meet exactly: ordered by how rare they are, two such texts of enough
+similarity share one of the first few of each.
 
 Equal texts are one node from the start, so a copied text costs one row however
 often it occurs. In a sketch's bucket texts are first aligned with one hub (the
@@ -18,8 +24,8 @@ another class in it. No bucket is capped, and a large group of copies needs no
 pairs within itself.
 
 Words are runs of non-blank characters with A to Z lower-cased. A text of fewer
-than ``K`` words is one k-mer. Null text counts as empty, and all texts without
-words are one class. ``class_id`` is the least ``doc_id`` of the class (null only
+than ``K`` words is one k-mer. Null text counts as empty, as does one of blanks only,
+so all texts without words are one class. ``class_id`` is the least ``doc_id`` of the class (null only
 if all are); repeated rows each get their row. An empty table gives no rows.
 """
 
@@ -43,6 +49,8 @@ SKETCHES = 32
 SIMILARITY = 0.8
 #: Sketches that must agree (judged by their low bytes) before two texts of a bucket are aligned.
 AGREEING = 2
+#: Different shingles up to which texts also meet by their rarest shingles.
+SHORT = 40
 #: Classes of words that are counted (to 127), for a lower bound of the edit distance.
 BINS = 256
 
@@ -113,8 +121,38 @@ def order_sketches(hashes: np.ndarray, rows: np.ndarray, n: int, k: int = K, pic
     return out
 
 
+def short_shingles(hashes: np.ndarray, rows: np.ndarray, n: int, k: int = K) -> list:
+    """The different shingles of each row, null where they are none or more than ``SHORT``."""
+    out = [None] * n
+    counts = np.bincount(rows, minlength=n)
+    ends = np.cumsum(counts)
+    for i in np.flatnonzero((counts > 0) & (counts < 3 * SHORT + k)).tolist():
+        own = shingles(hashes[ends[i] - counts[i] : ends[i]].astype(np.uint32), k)
+        if len(own) <= SHORT:
+            out[i] = own.view(np.int64)
+    return out
+
+
+def shingles(words: np.ndarray, k: int = K) -> np.ndarray:
+    """The different shingles of a text's 32-bit word hashes; fewer than ``k`` words are one shingle."""
+    k = min(k, len(words))
+    if not k:
+        return np.zeros(0, U64)
+    at = len(words) - k + 1
+    found = np.zeros(at, U64)
+    for j in range(k):
+        found = found * U64(0x9FB21C651E98DF25) + words[j : j + at]
+    return np.unique(mix(found))
+
+
+def shingle_similarity(x: np.ndarray, y: np.ndarray, k: int = K) -> float:
+    """Twice the common shingles of two texts, given as word hashes, over the sum of both; two empty texts are alike."""
+    a, b = shingles(x, k), shingles(y, k)
+    return 2 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b)) if len(a) or len(b) else 1.0
+
+
 def sketch_texts(docs: DataFrame) -> DataFrame:
-    """For rows (id, node, text): id, node, the number of words and of those of each class of words, and the sketches."""
+    """For rows (id, node, text): id, node, the number of words and of those of each class of words, the sketches, and few shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +169,12 @@ def sketch_texts(docs: DataFrame) -> DataFrame:
                         pa.array(np.bincount(rows, minlength=j - i)),
                         pa.array(list(np.minimum(bins, 127).astype(np.int8)), pa.list_(pa.int8())),
                         pa.array(list(table.view(np.int64)), pa.list_(pa.int64())),
+                        pa.array(short_shingles(hashes, rows, j - i), pa.list_(pa.int64())),
                     ],
-                    ["id", "node", "n_words", "bins", "sketches"],
+                    ["id", "node", "n_words", "bins", "sketches", "short"],
                 )
 
-    return docs.select("id", "node", "text").transform(map_batches, run, "id long, node string, n_words long, bins array<tinyint>, sketches array<long>")
+    return docs.select("id", "node", "text").transform(map_batches, run, "id long, node string, n_words long, bins array<tinyint>, sketches array<long>, short array<long>")
 
 
 def word_lists(texts: DataFrame) -> DataFrame:
@@ -154,7 +193,7 @@ def word_lists(texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (x, y), as (a, b), whose words align within the edit budget."""
+    """The pairs (x, y), as (a, b), whose shingles are similar enough and whose words align within the edit budget."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +203,10 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
                     tuple(np.frombuffer(x.as_buffer(), np.uint32) for x in pair)
                     for pair in zip(part.column(2), part.column(3), strict=True)
                 ]
-                limits = [int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in both]
-                ok = edit_distances(both, limits) <= np.array(limits)
+                ok = np.array([shingle_similarity(x, y) >= similarity - 1e-9 for x, y in both], bool)
+                like = [pair for pair, good in zip(both, ok.tolist(), strict=True) if good]
+                limits = [int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in like]
+                ok[ok] = edit_distances(like, limits) <= np.array(limits, np.int64)
                 keep = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
@@ -211,15 +252,29 @@ def _alike(similarity: float):
     limit = F.greatest("x_words", "y_words") * (1 - similarity) + 1e-9
     surplus = F.aggregate(F.zip_with("x_bins", "y_bins", lambda a, b: F.greatest(a.cast("int") - b, F.lit(0))), F.lit(0), lambda s, x: s + x)
     edits = surplus + F.greatest(F.lit(0), F.col("y_words") - F.col("x_words"))
-    return longest & (_agreeing("x_s", "y_s") >= AGREEING) & (edits <= limit)
+    agreeing = (_agreeing("x_s", "y_s") >= AGREEING) | (F.col("x_short") & F.col("y_short"))
+    return longest & agreeing & (edits <= limit)
 
 
 def _as(texts: DataFrame, name: str) -> DataFrame:
-    return texts.select(F.col("nid").alias(name), F.col("n_words").alias(f"{name}_words"), F.col("bins").alias(f"{name}_bins"), *(F.col(f"s{i}").alias(f"{name}_s{i}") for i in range(_WORDS)))
+    return texts.select(F.col("nid").alias(name), F.col("n_words").alias(f"{name}_words"), F.col("bins").alias(f"{name}_bins"), F.col("short").isNotNull().alias(f"{name}_short"), *(F.col(f"s{i}").alias(f"{name}_s{i}") for i in range(_WORDS)))
+
+
+def rare_shingles(texts: DataFrame, similarity: float) -> DataFrame:
+    """(nid, number, value): of each text of few shingles the rarest, one of which any similar text of few shingles has too."""
+    each = texts.where("short is not null").select("nid", F.explode("short").alias("value"))
+    often = each.groupBy("value").agg(F.count("*").alias("n"))
+    ranked = each.join(often, "value").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("ranked"))
+    # the smaller of two similar sets has similarity / (2 - similarity) of the other's shingles at least, all in common then
+    n, least = F.size("ranked"), similarity / (2 - similarity)
+    head = F.slice("ranked", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+    return ranked.select("nid", F.lit(SKETCHES).alias("number"), F.explode(head).alias("h")).select("nid", "number", "h.value")
 
 
+#: Tasks that the texts of one class are dealt out to.
+SALTS = 16
 #: Distinct texts up to which the list of those to align is broadcast; beyond it is joined by a shuffle.
-BROADCAST_TEXTS = 500_000
+BROADCAST_TEXTS = 200_000
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, rows: DataFrame, stage: Stage, name: str, similarity: float) -> DataFrame:
@@ -228,7 +283,8 @@ def _aligned(pairs: DataFrame, texts: DataFrame, rows: DataFrame, stage: Stage,
     ids = pairs.select(F.col("x").alias("nid")).union(pairs.select(F.col("y").alias("nid"))).distinct()
     wanted = stage.keep(texts.select("nid", "node").join(ids, "nid"), f"{name}-texts")
     few = wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
-    found = rows.join(F.broadcast(wanted) if few else wanted, "node").groupBy("nid").agg(F.first("text").alias("text"))
+    once = rows if few else rows.groupBy("node").agg(F.first("text").alias("text"))  # a copied text is sent once a task
+    found = once.join(F.broadcast(wanted) if few else wanted, "node").groupBy("nid").agg(F.first("text").alias("text"))
     words = stage.keep(word_lists(found), f"{name}-words")
     return stage.keep(verified(pairs, words, similarity), f"{name}-links")
 
@@ -238,13 +294,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     stage = Stage(spark, "near-dups")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("node", F.md5("text"))
     sketched = stage.keep(sketch_texts(rows), "sketched")
-    once = sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("sketches").alias("sketches"))
-    texts = stage.keep(once.select("node", "least_id", "n_words", "bins", "sketches", *_signature(F.col("sketches"))).withColumn("nid", F.monotonically_increasing_id()), "texts")
+    once = sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("sketches").alias("sketches"), F.first("short").alias("short"))
+    texts = stage.keep(once.select("node", "least_id", "n_words", "bins", "sketches", "short", *_signature(F.col("sketches"))).withColumn("nid", F.monotonically_increasing_id()), "texts")
 
     # a sketch's value also depends on its number, so the value alone names the bucket
     member = texts.where("n_words > 0").select("nid", F.posexplode("sketches").alias("number", "value"))
+    member = member.unionByName(rare_shingles(texts, similarity))
     hubs = member.groupBy("value").agg(F.min("nid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", "hub")
     shared = stage.keep(member.join(hubs, "value"), "shared")
 
@@ -269,20 +327,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = mixed.where("classes > 1").select("value", F.col("main.root").alias("main"))
     within = stage.keep(placed.join(mixed, "value"), "within")
     if not within.isEmpty():
-        sign = within.join(texts.select("nid", "n_words", "bins", "sketches", *(f"s{i}" for i in range(_WORDS))), "nid")
-        side = lambda n: [F.col("nid").alias(n), F.col("root").alias(f"{n}_root"), F.col("n_words").alias(f"{n}_words"), F.col("bins").alias(f"{n}_bins"), F.col("sketches").alias(f"{n}_sketches"), *(F.col(f"s{i}").alias(f"{n}_s{i}") for i in range(_WORDS))]
+        sign = within.join(texts.select("nid", "n_words", "bins", "sketches", "short", *(f"s{i}" for i in range(_WORDS))), "nid")
+        side = lambda n: [F.col("nid").alias(n), F.col("root").alias(f"{n}_root"), F.col("n_words").alias(f"{n}_words"), F.col("bins").alias(f"{n}_bins"), F.col("short").isNotNull().alias(f"{n}_short"), F.col("sketches").alias(f"{n}_sketches"), *(F.col(f"s{i}").alias(f"{n}_s{i}") for i in range(_WORDS))]
         outside = sign.where("root <> main").where("nid <> hub").select("value", "number", *side("x"))
         inside = sign.where("nid <> hub").select("value", "main", *side("y"))
         once_each = (F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y"))
         first = F.array_position(F.zip_with("x_sketches", "y_sketches", lambda a, b: a == b), True) == F.col("number") + 1
+        first = first | (F.col("number") == SKETCHES)
         cross = outside.join(inside, "value").where((F.col("x_root") != F.col("y_root")) & once_each & _alike(similarity) & first)
         cross = stage.keep(cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "cross")
         if not cross.isEmpty():
             roots = components(_aligned(cross, texts, rows, stage, "third", similarity), stage, "third", roots)
 
-    classes = texts.select("node", "nid", "least_id").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("node", "least_id", F.coalesce("root", "nid").alias("class_node"))
-    named = classes.join(classes.groupBy("class_node").agg(F.min("least_id").alias("class_id")), "class_node")
-    return sketched.select(F.col("id").alias("doc_id"), "node").join(named.select("node", "class_node", "class_id"), "node")
+    classes = texts.select("node", "nid", "least_id").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+    classes = classes.select("node", "least_id", F.coalesce("root", "nid").alias("class_node"), F.pmod("nid", F.lit(SALTS)).alias("salt"))
+    # only classes of several texts have a name to look up, and a large one looks it up in several tasks
+    several = classes.join(roots.select(F.col("root").alias("class_node")).distinct(), "class_node", "left_semi")
+    names = several.groupBy("class_node").agg(F.min("least_id").alias("class_id"))
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = classes.join(names, ["class_node", "salt"], "left").select("node", "class_node", F.coalesce("class_id", "least_id").alias("class_id"))
+    return sketched.select(F.col("id").alias("doc_id"), "node").join(named, "node")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

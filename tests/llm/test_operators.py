@@ -419,3 +419,71 @@ def test_media_layouts_and_unreadable_media(spark):
     got = {r.doc_id: r for r in media.page_digests(media.tiff_pages(rows)).collect()}
     assert set(got) == {1, 2, 3, 4, 6, 7} and all((got[i].error is None) == (i in (1, 7)) for i in got)
     assert all(got[i].payload_sha256 is None for i in (2, 3, 4, 6)) and got[1].payload_bytes == 576
+
+
+def _similar(a, b):
+    """The definition: shingle sets of five words, and a plain edit distance of words."""
+    x, y = a.lower().split(), b.lower().split()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for w in (x, y)]
+    if not sets[0] and not sets[1]:
+        return True
+    if 2 * len(sets[0] & sets[1]) < 0.8 * (len(sets[0]) + len(sets[1])) - 1e-9:
+        return False
+    row = list(range(len(y) + 1))
+    for i, w in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, v in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (w != v))
+    return row[-1] <= 0.2 * max(len(x), len(y)) + 1e-9
+
+
+def _classes(texts):
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if root(i) != root(j) and _similar(texts[i], texts[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Classes of texts of all lengths, with edits up to the edge of the threshold, are those of all pairs."""
+    from skein.llm.near_dups import near_duplicates
+
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(200))
+    texts = ["", " \n", "One", "one", "one two", "a b c d e f g h", "a b c d e f g h i", "A b c d e f g h"]
+    for size in (8, 9, 10, 12, 14, 17, 20, 25, 40, 80, 200):
+        for _ in range(12):
+            own = [word() for _ in range(size)]
+            texts.append(" ".join(own))
+            for n in sorted({1, max(1, size // 45), max(1, size // 27)}):
+                other = list(own)
+                for at in rng.sample(range(size), n):
+                    other[at] = word()
+                texts.append(" ".join(other))
+            texts.append(" ".join([*own, *(word() for _ in range(max(1, size // 5)))]))
+            texts.append(" ".join(own[1:]))
+    want = _classes(texts)
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = [i for i in range(len(texts)) if want[i] != i]
+    assert len(linked) > 300 and all(got[i] == i for i in range(len(texts)) if want[i] == i)
+    assert sum(got[i] == want[i] for i in linked) >= 0.98 * len(linked)
+
+
+def test_near_duplicates_of_a_table_against_all_pairs(spark, docs):
+    """The whole test table: the classes of all pairs, but for a stray pair at the edge; none merged that should stand apart."""
+    from skein.llm.near_dups import near_duplicates
+
+    ids = sorted(docs)
+    want = {i: ids[c] for i, c in zip(ids, _classes([docs[i] or "" for i in ids]), strict=True)}
+    rows = spark.createDataFrame([(i, docs[i]) for i in ids], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(rows).collect()}
+    assert len(got) == len(ids) and all(want[got[i]] == want[i] for i in ids)
+    assert sum(got[i] != want[i] for i in ids) <= 0.02 * sum(want[i] != i for i in ids) + 1
