@@ -8,22 +8,28 @@ of the alphabet's classes, runs above and below the median, and serial
 correlation. Their p-values are combined by Fisher's method.
 
 Random strings have uniform p-values, words and identifiers have p-values near
-zero. In each stratum of encoding and length the number of random strings, each
-different string counted once however often it is copied, is
-estimated from the upper half of the p-values, and the cut is the least p-value
-at which the expected share of non-random strings above it is at most ``FDR``:
-short strings, where tests have little power, get a stricter cut by themselves.
-Candidates over the cut that no base span covers are added with the kind
+zero. How often ordinary text passes as random is measured on decoys: each document
+gives one stretch of its text, candidates left out, written in one of the alphabets
+and in one of the lengths (a hash of the text chooses), and a small set of joined
+common words is added, so that no stratum of encoding and length is without any. The
+share of a stratum's decoys that look at least as random as a candidate is its
+p-value as ordinary text, one decoy more than seen being counted. Over all different
+candidate strings together, each counted once however often it is copied, the step-up
+procedure of Benjamini and Hochberg then accepts with a false-discovery rate of
+``FDR``. Short strings, where the tests have little power, need a higher randomness by
+themselves. Accepted candidates that no base span covers are added with the kind
 ``random``.
 
 All offsets are code points. Null text is empty. Repeated rows each get a row.
-An empty table gives no rows. Strata without an admissible cut add nothing.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -37,7 +43,8 @@ from .storage import map_batches, Stage
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE_LENGTH = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LENGTH},}}")
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.05
 P_BINS = 100
@@ -134,22 +141,106 @@ def _class_table(alphabet: str) -> np.ndarray:
 _CLASSES = tuple(_class_table(a) for _, a in ALPHABETS)
 
 
+#: The least and the greatest length class that decoys are made for; longer strings are held against the greatest.
+CLASSES = (CANDIDATE_LENGTH.bit_length(), 8)
+
+
 def stratum_of(run: str, encoding: int) -> int:
     """Encoding and length class: lengths double from class to class."""
-    return encoding * 16 + min(15, len(run).bit_length())
+    return encoding * 16 + min(CLASSES[1], len(run).bit_length())
+
+
+def p_bin(run: str, encoding: int) -> int:
+    return min(P_BINS - 1, int(P_BINS * randomness(run, encoding)))
+
+
+def _key(run: str) -> int:
+    return int.from_bytes(hashlib.blake2b(run.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def written_in(text: str, encoding: int) -> str:
+    """Ordinary text in an alphabet: other characters left out, blanks as a sign where the alphabet has one."""
+    name = ALPHABETS[encoding][0]
+    if name.isupper() or name == "base32":
+        text = text.upper()
+    elif name == "hex":
+        text = text.lower()
+    if name.startswith("base64"):
+        text = text.replace(" ", "/" if name == "base64" else "_")
+    return _OTHERS[encoding].sub("", text)
+
+
+_OTHERS = tuple(re.compile(f"[^{re.escape(a)}]+") for _, a in ALPHABETS)
+#: Characters of text looked at for each character of a decoy.
+_WINDOW = 12
+
+
+def decoy(text: str, gone: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+    """(stratum, p-value bin, hash) of one stretch of the text without the given spans, None where it is too short."""
+    rng = random.Random(_key(text))
+    encoding, cls = rng.randrange(len(ALPHABETS)), rng.randint(*CLASSES)
+    length = rng.randrange(max(CANDIDATE_LENGTH, 1 << cls - 1), 1 << cls)
+    begin = rng.randrange(max(1, len(text) - _WINDOW * length))
+    end, pieces, at = begin + _WINDOW * length, [], begin
+    for s, e in gone:
+        if e > at and s < end:
+            pieces.append(text[at : max(s, at)])
+            at = e
+    pieces.append(text[at:end])
+    run = written_in(" ".join(pieces), encoding)[:length]
+    if len(run) < length:
+        return None
+    return stratum_of(run, encoding), p_bin(run, encoding), _key(run)
+
+
+#: Common words that the built-in decoys are joined from, and their number in each stratum.
+COMMON = (
+    "the of and to in is you that it he was for on are as with his they at be this have from or one had by word but not what all were we "
+    "when your can said there use an each which she do how their if will up other about out many then them these so some her would make "
+    "like him into time has look two more write go see number no way could people my than first water been call who oil its now find"
+).split()
+BUILT_IN = 500
+
+
+def built_in_decoys() -> dict[int, np.ndarray]:
+    """For each stratum how many joined common words fall in each p-value bin."""
+    rng, out = random.Random(7), {}
+    for encoding in range(len(ALPHABETS)):
+        for cls in range(CLASSES[0], CLASSES[1] + 1):
+            counts = np.zeros(P_BINS, np.int64)
+            for _ in range(BUILT_IN):
+                length, run = rng.randrange(max(CANDIDATE_LENGTH, 1 << cls - 1), 1 << cls), ""
+                while len(run) < length:
+                    words = [rng.choice(COMMON) for _ in range(length // 2)]
+                    run = written_in(" ".join(w.title() if rng.random() < 0.2 else w for w in words) + str(rng.randrange(1000)), encoding) + run
+                counts[p_bin(run[:length], encoding)] += 1
+            out[encoding * 16 + cls] = counts
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order of their starts as disjoint ones."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(start, end, stratum, p-value bin, hash) of the runs that no base span overlaps."""
-    out = []
+    out, covered = [], merged([(a, b) for a, _, b in base])
+    ends = [b for _, b in covered]
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for a, _, b in base):
+        i = bisect.bisect_right(ends, s)
+        if i < len(covered) and covered[i][0] < e:
             continue
         encoding = encoding_of(m.group())
         if encoding >= 0:
-            key = int.from_bytes(hashlib.blake2b(m.group().encode(), digest_size=8).digest(), "little", signed=True)
-            out.append((s, e, stratum_of(m.group(), encoding), min(P_BINS - 1, int(P_BINS * randomness(m.group(), encoding))), key))
+            out.append((s, e, stratum_of(m.group(), encoding), p_bin(m.group(), encoding), _key(m.group())))
     return out
 
 
@@ -157,57 +248,74 @@ _FOUND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.i
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
 
 
+_DECOY = pa.struct([("stratum", pa.int32()), ("p_bin", pa.int32()), ("key", pa.int64())])
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, found): pattern spans, and candidates with stratum, p-value bin and hash."""
+    """(doc_id, base, found, decoy): pattern spans, candidates with stratum, p-value bin and hash, and a decoy with these."""
+
+    def dicts(names: tuple, rows: list) -> list:
+        return [dict(zip(names, x, strict=True)) for x in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, found = [], []
+            base, found, decoys = [], [], []
             for text in batch.column(1).to_pylist():
-                base.append(base_spans(text or ""))
-                found.append(candidates(text or "", base[-1]))
+                text = text or ""
+                base.append(base_spans(text))
+                found.append(candidates(text, base[-1]))
+                gone = sorted([(a, b) for a, _, b in base[-1]] + [x[:2] for x in found[-1]])
+                decoys.append(decoy(text, merged(gone)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([[dict(zip(("start", "kind", "end"), x, strict=True)) for x in row] for row in base], pa.list_(_SPAN)),
-                    pa.array([[dict(zip(("start", "end", "stratum", "p_bin", "key"), x, strict=True)) for x in row] for row in found], pa.list_(_FOUND)),
+                    pa.array([dicts(("start", "kind", "end"), row) for row in base], pa.list_(_SPAN)),
+                    pa.array([dicts(("start", "end", "stratum", "p_bin", "key"), row) for row in found], pa.list_(_FOUND)),
+                    pa.array([x and dict(zip(("stratum", "p_bin", "key"), x, strict=True)) for x in decoys], _DECOY),
                 ],
-                ["doc_id", "base", "found"],
+                ["doc_id", "base", "found", "decoy"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.transform(map_batches, 
         run,
-        "doc_id long, base array<struct<start int, kind int, `end` int>>, found array<struct<start int, `end` int, stratum int, p_bin int, key long>>",
+        "doc_id long, base array<struct<start int, kind int, `end` int>>, found array<struct<start int, `end` int, stratum int, p_bin int, key long>>, "
+        "decoy struct<stratum int, p_bin int, key long>",
     )
 
 
-def cuts(histogram: dict[int, np.ndarray], fdr: float = FDR) -> dict[int, int]:
-    """The least p-value bin of each stratum from which on at most ``fdr`` is expected not to be random."""
-    out = {}
-    for stratum, counts in histogram.items():
-        upper = counts[P_BINS // 2 :].sum()
-        random = 2.0 * upper
-        for b in range(1, P_BINS):
-            kept = counts[b:].sum()
-            if kept and max(0.0, kept - random * (1 - b / P_BINS)) / kept <= fdr:
-                out[stratum] = b
-                break
+def _histogram(strings: DataFrame) -> dict[int, np.ndarray]:
+    """Different strings by stratum and p-value bin: at most encodings x lengths x 100 rows, whatever the corpus."""
+    out: dict[int, np.ndarray] = {}
+    for r in strings.distinct().groupBy("stratum", "p_bin").count().collect():
+        out.setdefault(r["stratum"], np.zeros(P_BINS, np.int64))[r["p_bin"]] = r["count"]
     return out
 
 
+def cuts(candidates: dict[int, np.ndarray], decoys: dict[int, np.ndarray], fdr: float = FDR) -> dict[int, int]:
+    """The least accepted p-value bin of each stratum that has one."""
+    none = np.zeros(P_BINS, np.int64)
+    as_text = {}
+    for stratum in candidates:
+        over = np.cumsum(decoys.get(stratum, none)[::-1])[::-1]
+        as_text[stratum] = (over + 1) / (over[0] + 1)
+    total = sum(int(c.sum()) for c in candidates.values())
+    cells = sorted((float(as_text[s][b]), int(c[b])) for s, c in candidates.items() for b in np.flatnonzero(c))
+    limit, upto = 0.0, 0
+    for i, (p, n) in enumerate(cells):
+        upto += n
+        if (i + 1 == len(cells) or cells[i + 1][0] > p) and p <= fdr * upto / total:
+            limit = p
+    return {s: int(np.argmax(p <= limit)) for s, p in as_text.items() if (p <= limit).any()}
+
+
 def found_secrets(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
-    """The scanned rows with ``spans``, base spans and accepted candidates in order.
-
-    The histogram has at most encodings x 16 x 100 rows, whatever the corpus.
-    """
-    strings = scanned.select(F.explode("found").alias("f")).select("f.stratum", "f.p_bin", "f.key").distinct()
-    seen = strings.groupBy("stratum", "p_bin").count().collect()
-    histogram: dict[int, np.ndarray] = {}
-    for r in seen:
-        histogram.setdefault(r["stratum"], np.zeros(P_BINS, np.int64))[r["p_bin"]] = r["count"]
+    """The scanned rows with ``spans``, base spans and accepted candidates in order."""
+    decoys = built_in_decoys()
+    for stratum, counts in _histogram(scanned.where("decoy is not null").select("decoy.stratum", "decoy.p_bin", "decoy.key")).items():
+        decoys[stratum] = decoys.get(stratum, 0) + counts
     accepted = F.lit(False)
-    found = cuts(histogram, fdr)
+    found = cuts(_histogram(scanned.select(F.explode("found").alias("f")).select("f.stratum", "f.p_bin", "f.key")), decoys, fdr)
 
     def ok(x):
         test = accepted

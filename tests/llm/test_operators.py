@@ -487,3 +487,33 @@ def test_near_duplicates_of_a_table_against_all_pairs(spark, docs):
     got = {r.doc_id: r.class_id for r in near_duplicates(rows).collect()}
     assert len(got) == len(ids) and all(want[got[i]] == want[i] for i in ids)
     assert sum(got[i] != want[i] for i in ids) <= 0.02 * sum(want[i] != i for i in ids) + 1
+
+
+def test_planted_secrets_in_a_table(spark, docs):
+    """Random strings planted in the test table are found, ordinary runs and clean documents stay as they are."""
+    from skein.llm import secret_scan
+
+    rng = random.Random(21)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    planted = dict(docs)
+    for i in range(40):
+        key = "".join(rng.choice(alphabets[i % 4]) for _ in range(rng.choice((40, 48, 64))))
+        planted[10_000 + i] = f"{docs[i] or ''} the value {key} was seen {docs[i + 50] or ''}"
+    words = ["internationalizationOfThingsAndOthers", "this_is_an_ordinary_identifier_in_snake_case", "path/to/some/ordinary/file/in/folders", "ANOTHERORDINARYCONSTANTNAMEINCAPITALS", "1111111111111111111111111111111111", "00000000000000000000000000000123"]
+    for i, w in enumerate(words):
+        planted[20_000 + i] = f"we call it {w} here"
+    rows = spark.createDataFrame(list(planted.items()), "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans if s.kind == 3] for r in secret_scan.found_secrets(secret_scan.scan(rows)).collect()}
+    assert sum(len(got[10_000 + i]) == 1 for i in range(40)) >= 36
+    assert not any(got[20_000 + i] for i in range(len(words))) and sum(bool(got[i]) for i in docs) <= 2
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+
+    from skein.llm import secret_scan
+
+    text = " ".join(f"token = abcdefgh{i:08d} qwertzuiopasdfghjklyx{i}" for i in range(20_000))
+    began = time.time()
+    assert len(secret_scan.candidates(text, secret_scan.base_spans(text))) == 20_000 and time.time() - began < 20
+    assert secret_scan.cuts({5: np.eye(100, dtype=np.int64)[60]}, {}) == {}
