@@ -6,12 +6,14 @@ pages of its host belongs to the site's template and is deleted with all below i
 pages with the same main text count as one, so copies of a page make no template.
 A subtree that holds an article or nearly all of its page's text is never one, and
 where templates would take nearly all text of a page together, they take none of it.
-Beside that, elements that say by name, role, class or id that they are
-menus, headers, footers, side bars, notices, adverts, forms or comments, and
-scripts and styles, are deleted on every page.
-
-If a page has ``article`` or ``main`` elements their text is the main text,
-otherwise that of the body. White space inside a block becomes one space, and
+Recurrence can't tell what differs from page to page (adverts, reader comments, a
+site's first pages), so beside it elements that say by name, role, class or id that
+they are menus, headers, footers, side bars, notices, adverts, forms or comments are
+deleted, and if a page has ``article`` or ``main`` elements their text is the main
+text, otherwise that of the body. ``hints=False`` leaves these out, and recurrence
+alone decides. Scripts, styles and other elements without text always go.
+
+White space inside a block becomes one space, and
 blocks are joined by one space in page order.
 
 A page is joined to those of its own subtrees that are templates, so what a page
@@ -26,8 +28,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +47,9 @@ NEARLY_ALL = 0.8
 _WORDS = "address area base br col embed hr img input link meta param source track wbr"
 VOID = frozenset(_WORDS.split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-DROPPED = frozenset(
-    "script style noscript template svg math head title nav footer aside form button select option datalist textarea input "
-    "iframe object embed canvas audio video map dialog menu noembed noframes xmp".split()
-)
+#: Elements whose text isn't shown as text of the page.
+TEXTLESS = frozenset("script style noscript template svg math head title select option datalist textarea input iframe object embed canvas audio video map noembed noframes xmp".split())
+DROPPED = TEXTLESS | frozenset("nav footer aside form button dialog menu".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr br input".split()
@@ -62,7 +65,8 @@ ANYWHERE = frozenset(
 )
 OUTSIDE = ANYWHERE | frozenset("header masthead topbar footer bottombar side aside notice notices alert toolbar skip copyright legal login search".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: A tag ends at the next > outside quotes; a < before that means that it was none. Nothing is tried twice, so reading is linear.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -87,10 +91,10 @@ def _named(attributes: str) -> tuple[frozenset[str], str, bool]:
 
 
 class _Element:
-    __slots__ = ("name", "dropped", "inside", "hash", "first", "holds")
+    __slots__ = ("name", "dropped", "inside", "hash", "first", "holds", "blocked")
 
-    def __init__(self, name: str, dropped: bool, inside: bool, digest, first: int, holds: bool = False):
-        self.name, self.dropped, self.inside, self.hash, self.first, self.holds = name, dropped, inside, digest, first, holds
+    def __init__(self, name: str, dropped: bool, inside: bool, digest, first: int, holds: bool, blocked: bool):
+        self.name, self.dropped, self.inside, self.hash, self.first, self.holds, self.blocked = name, dropped, inside, digest, first, holds, blocked
 
 
 class Page:
@@ -99,7 +103,9 @@ class Page:
     ``blocks``: [text, inside an article]. ``containers``: (hash, first block, end of blocks).
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, hints: bool = True):
+        self.hints = hints
+        self.names: Counter[str] = Counter()  # of the open elements
         self.blocks: list[list] = []
         self.containers: list[tuple[int, int, int]] = []
         self.has_article = False
@@ -133,8 +139,9 @@ class Page:
             self._pop()
         self._flush()
         self.sizes = [len(t) + 1 if inside or not self.has_article else 0 for t, inside in self.blocks]
-        most = NEARLY_ALL * sum(self.sizes)
-        self.containers = [c for c in self.containers if sum(self.sizes[c[1] : c[2]]) < most]
+        self.before = list(accumulate(self.sizes, initial=0))
+        most = NEARLY_ALL * self.before[-1]
+        self.containers = [c for c in self.containers if self.before[c[2]] - self.before[c[1]] < most]
 
     def _text(self, text: str) -> None:
         if self.open and self.open[-1].dropped:
@@ -153,6 +160,10 @@ class Page:
                 if self.open:
                     self.open[-1].hash.update(text.encode("utf-8", "replace"))
 
+    def _push(self, element: _Element) -> None:
+        self.open.append(element)
+        self.names[element.name] += 1
+
     def _start(self, name: str, attributes: str) -> None:
         if name == "br":
             if not (self.open and self.open[-1].dropped):
@@ -165,7 +176,7 @@ class Page:
             if name in VOID or above is None:
                 return
             # plain inline marks only need to be there for their closing tag
-            self.open.append(_Element(name, above.dropped, above.inside, above.hash, -1))
+            self._push(_Element(name, above.dropped, above.inside, above.hash, -1, False, above.blocked))
             return
         if name not in INLINE:
             self._flush()
@@ -173,12 +184,14 @@ class Page:
         inside = above is not None and above.inside
         dropped = above is not None and above.dropped
         holds = False
-        if name in ARTICLE or role == "main":
+        if self.hints and (name in ARTICLE or role == "main"):
             # an article lifts what an unclosed element before it would have dropped, but not what holds it by name
-            if not any(e.dropped and (e.name in DROPPED or e.inside) for e in self.open) and not (words & ANYWHERE):
+            if not (above is not None and above.blocked) and not (words & ANYWHERE):
                 dropped, inside, holds = False, True, True
                 self.has_article = True
-        if not dropped and not (name in ("html", "body")):
+        if not self.hints:
+            dropped = dropped or name in TEXTLESS
+        elif not dropped and name not in ("html", "body"):
             dropped = (
                 name in DROPPED
                 or hidden
@@ -188,11 +201,12 @@ class Page:
                 or name in ARTICLE and bool(words & ANYWHERE)
             )
         digest = blake2b(f"{name} {' '.join(sorted(words))}".encode("utf-8", "replace"), digest_size=8)
-        self.open.append(_Element(name, dropped, inside, digest, len(self.blocks), holds))
+        blocked = above is not None and above.blocked or dropped and (name in DROPPED or inside)
+        self._push(_Element(name, dropped, inside, digest, len(self.blocks), holds, blocked))
 
     def _close(self, name: str) -> None:
         if name not in INLINE:
-            if name in VOID or not any(e.name == name for e in self.open):
+            if name in VOID or not self.names[name]:
                 return
             self._flush()
             while self.open[-1].name != name:
@@ -203,35 +217,32 @@ class Page:
 
     def _pop(self) -> None:
         element = self.open[-1]
-        if element.first < 0:  # a plain inline mark
-            self.open.pop()
-            return
-        if element.name not in INLINE:
+        if element.first >= 0 and element.name not in INLINE:
             self._flush()
         self.open.pop()
+        self.names[element.name] -= 1
+        if element.first < 0:  # a plain inline mark
+            if self.open:
+                self.open[-1].holds |= element.holds
+            return
         digest = element.hash.digest()
         above = self.open[-1] if self.open else None
         if above is not None:
             above.hash.update(digest)
-            self._holds(element)
+            above.holds |= element.holds
         if not element.dropped and not element.holds and element.name not in INLINE and len(self.blocks) > element.first:
             self.containers.append((int.from_bytes(digest, "little", signed=True), element.first, len(self.blocks)))
 
-    def _holds(self, element: _Element) -> None:
-        """What an element holds its parents hold: an article."""
-        if element.holds:
-            for above in self.open:
-                above.holds = True
-
     def text(self, templates: frozenset[int] = frozenset()) -> str:
-        gone = set()
+        steps = [0] * (len(self.blocks) + 1)
         for digest, first, end in self.containers:
             if digest in templates:
-                gone.update(range(first, end))
-        if sum(self.sizes[i] for i in gone) >= NEARLY_ALL * sum(self.sizes):
-            gone.clear()
-        kept = [t for i, (t, inside) in enumerate(self.blocks) if (inside or not self.has_article) and i not in gone]
-        return " ".join(kept)
+                steps[first] += 1
+                steps[end] -= 1
+        kept = [not depth for depth in accumulate(steps)][: len(self.blocks)]
+        if sum(n for n, stays in zip(self.sizes, kept, strict=True) if not stays) >= NEARLY_ALL * self.before[-1]:
+            kept = [True] * len(self.blocks)
+        return " ".join(t for (t, inside), stays in zip(self.blocks, kept, strict=True) if stays and (inside or not self.has_article))
 
 
 def with_host(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -239,14 +250,14 @@ def with_host(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.withColumn("host", host)
 
 
-def page_subtrees(pages: DataFrame) -> DataFrame:
+def page_subtrees(pages: DataFrame, hints: bool = True) -> DataFrame:
     """For rows (host, node, html): host, node, the hash of the main text, and those of the subtrees that may be template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same, digests = [], []
             for source in batch.column(2).to_pylist():
-                page = Page(source or "")
+                page = Page(source or "", hints)
                 same.append(int.from_bytes(blake2b(page.text().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
                 digests.append(sorted({c[0] for c in page.containers}))
             yield pa.RecordBatch.from_arrays(
@@ -262,11 +273,11 @@ def site_templates(subtrees: DataFrame) -> DataFrame:
     return once.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").count().where(F.col("count") >= LEAST_PAGES).select("host", "digest")
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text) of every page."""
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hints: bool = True) -> DataFrame:
+    """(page_id, url, text) of every page; without ``hints`` by recurrence alone."""
     rows = with_host(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")))
     rows = rows.withColumn("node", F.xxhash64("html"))
-    subtrees = Stage(pages.sparkSession, "pages").keep(page_subtrees(rows), "subtrees")
+    subtrees = Stage(pages.sparkSession, "pages").keep(page_subtrees(rows, hints), "subtrees")
     own = subtrees.groupBy("host", "node").agg(F.first("digests").alias("digests")).select("host", "node", F.explode("digests").alias("digest"))
     templates = own.join(site_templates(subtrees), ["host", "digest"]).groupBy("host", "node").agg(F.sort_array(F.collect_list("digest")).alias("templates"))
     joined = rows.join(templates, ["host", "node"], "left").select("page_id", "url", "html", "templates")
@@ -274,7 +285,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                Page(source or "").text(frozenset(own or ()))
+                Page(source or "", hints).text(frozenset(own or ()))
                 for source, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])

@@ -517,3 +517,29 @@ def test_many_secrets_in_one_text_take_linear_time():
     began = time.time()
     assert len(secret_scan.candidates(text, secret_scan.base_spans(text))) == 20_000 and time.time() - began < 20
     assert secret_scan.cuts({5: np.eye(100, dtype=np.int64)[60]}, {}) == {}
+
+
+def test_recurrence_alone_finds_the_text_of_unnamed_pages(spark):
+    """Without article elements and telling names, menus and footers go because they recur on the host."""
+    from skein.llm.page_text import extract_text
+
+    page = lambda host, i: f"<html><body><div class=q1><div><a href=/>Start</a> <a href=/x>News {host}</a></div></div><div class=q2><h1>Title {i}</h1><p>Body {i * 31} of the story, told at length for {host}.</p></div><div class=q3><p>Imprint of {host}</p><ul><li>Terms</li><li>Privacy</li></ul></div></body></html>"
+    rows = [(100 * h + i, f"http://h{h}/{i}", page(h, i)) for h in range(3) for i in range(8)]
+    want = {100 * h + i: f"Title {i} Body {i * 31} of the story, told at length for {h}." for h in range(3) for i in range(8)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for hints in (True, False):
+        assert {r.page_id: r.text for r in extract_text(df, hints=hints).collect()} == want
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    from skein.llm.page_text import Page
+
+    n = 100_000
+    for source in ("<a " * (n * 3), '<a "' * n, "<a '\"" * n, "<div>" * n + "</p>" * n + "x" + "</div>" * n, "<article>" * n + "x", "<b>" * n + "x", "<!-- " * n, "<![CDATA[" * n, "<script>" * n, "<p class='" * n):
+        began = time.time()
+        page = Page(source)
+        page.text(frozenset(c[0] for c in page.containers))
+        assert time.time() - began < 5, source[:12]
+    assert Page("<p>a < b and <i>c</i> > d <a href='x>y'>e</a>").text() == "a < b and c > d e"
