@@ -6,13 +6,15 @@ place in the item) that differ by at most e. Shared q-grams are counted in
 diagonal bands of 2(e+1) that overlap by half, bands that reach the bound keep
 their region of the text, and a banded alignment of item and region decides.
 
-Texts and items are compared as UTF-8 code units with A to Z lower-cased and
-runs of white space as one space; e is ``EDITS`` of the item's length, or less
-where the bound would fall below one. The benchmark is read in blocks of a fixed
-size, each broadcast and held against all documents; nothing is capped.
-
-Items of fewer than ``SHORTEST`` code units are no evidence and never match, nor
-do null items. Null text is empty and matches nothing. Repeated rows each give
+Texts and items are compared as lower-cased characters (code points) with runs of
+ASCII white space as one space; e is ``EDITS`` of the item's length, or less where the
+bound would fall below one. q-grams are counted on characters folded to a byte each:
+equal characters have equal bytes, so folding loses no shared q-gram, and the
+alignment compares the characters themselves. The benchmark is read in blocks of a
+fixed size, each broadcast and held against all documents; nothing is capped.
+
+Items of fewer than ``SHORTEST`` characters are no evidence and never match, nor
+do items whose text is null; a null item id is given as null. Null text is empty and matches nothing. Repeated rows each give
 their own matches; equal items each match. Empty tables give no rows.
 """
 
@@ -22,38 +24,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .alignment import contained_distances
-from .kernels import LOWER, SPACE, U64, HashTable, groups, text_bytes
+from .kernels import SPACE, U64, HashTable, groups, text_bytes
 from .storage import map_batches
 
 Q = 8
 EDITS = 0.1
 SHORTEST = 24
-#: Code units of benchmark text that are indexed and broadcast at a time.
+#: Characters of benchmark text that are indexed and broadcast at a time.
 BLOCK_UNITS = 4 << 20
 _FILTER_BITS = 22
 
 
-def normalized(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased text with each run of white space as one space."""
-    blank = SPACE[raw]
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 texts end to end, and the offsets in them; ASCII stays bytes."""
+    if not len(raw) or raw.max() < 128:
+        return raw, offsets
+    starts = (raw & 0xC0) != 0x80
+    before = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(starts, out=before[1:])
+    at = np.flatnonzero(starts)
+    lead = raw[at]
+    more = (lead >= 0xC0).astype(np.int8) + (lead >= 0xE0) + (lead >= 0xF0)
+    out = (lead & np.array([0x7F, 0x1F, 0x0F, 0x07], np.uint8)[more]).astype(np.uint32)
+    for k in range(1, 4):
+        some = np.flatnonzero(more >= k)
+        out[some] = out[some] << 6 | raw[np.minimum(at[some] + k, len(raw) - 1)] & 0x3F
+    return out, before[offsets]
+
+
+def normalized(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased characters of all texts with each run of white space as one space, and offsets."""
+    raw, offsets = code_points(*text_bytes(pc.utf8_lower(column)))
+    blank = SPACE[np.minimum(raw, 255)]
     keep = ~blank
     keep[1:] |= ~blank[:-1]
     own = offsets[:-1][np.diff(offsets) > 0]
     keep[own] = ~blank[own]
     before = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(keep, out=before[1:])
-    out = LOWER[raw[keep]]
-    out[SPACE[out]] = 32
+    out = raw[keep]
+    out[blank[keep]] = 32
     return out, before[offsets]
 
 
+def folded(characters: np.ndarray) -> np.ndarray:
+    """A byte for each character, ASCII as it is."""
+    if characters.dtype == np.uint8:
+        return characters
+    return np.where(characters < 128, characters, 128 + (characters * np.uint32(0x9E3779B1) >> np.uint32(25))).astype(np.uint8)
+
+
 def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all 8-unit grams within rows, and the grams as numbers."""
+    """Places of all 8-byte grams within rows, and the grams as numbers."""
     n = len(raw) - Q + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U64)
@@ -76,13 +104,12 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 class PassageIndex:
     """The q-grams of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
-        raw, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
-        raw, offsets = normalized(raw, offsets)
+    def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS):
+        raw, offsets = normalized(pa.array([t for _, t in items], pa.string()))
         texts = [raw[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
         texts = [t[int(t[:1].sum() == 32) : len(t) - int(t[-1:].sum() == 32)] for t in texts]
         kept = [(i, t) for (i, _), t in zip(items, texts, strict=True) if len(t) >= SHORTEST]
-        self.ids = np.array([i for i, _ in kept], np.int64)
+        self.ids = pa.array([i for i, _ in kept], pa.int64())
         self.texts = [t.astype(np.int64) for _, t in kept]
         length = np.array([len(t) for _, t in kept], np.int64)
         self.edits = np.minimum((edits * length).astype(np.int64), (length - Q) // Q)
@@ -91,7 +118,7 @@ class PassageIndex:
         if not len(kept):
             return
         offsets = np.concatenate([[0], np.cumsum(length)])
-        at, keys = grams(np.concatenate([t for _, t in kept]), offsets)
+        at, keys = grams(folded(np.concatenate([t for _, t in kept])), offsets)
         item = np.searchsorted(offsets, at, "right") - 1
         order = np.argsort(keys, kind="stable")
         distinct, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
@@ -137,12 +164,11 @@ class PassageIndex:
 
     def matches(self, column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         """(row, item, distance, place) of the best match of each item in each text, as four arrays."""
-        raw, offsets = text_bytes(column)
+        offsets = text_bytes(column)[1]
         out: list[list[np.ndarray]] = [[], [], [], []]
         for i, j in groups(offsets, 1 << 20):
-            part = offsets[i : j + 1]
-            text, own = normalized(raw[part[0] : part[-1]], part - part[0])
-            row, item, diagonal = self._regions(text, own)
+            text, own = normalized(column.slice(i, j - i))
+            row, item, diagonal = self._regions(folded(text), own)
             pairs, begins = [], []
             for r, k, d in zip(row.tolist(), item.tolist(), diagonal.tolist(), strict=True):
                 e, size = int(self.edits[k]), int(own[r + 1] - own[r])
@@ -184,18 +210,18 @@ def mark_leaks(docs: DataFrame, index: PassageIndex, text_col: str = "text", to:
             else:
                 row = item = distance = place = np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
-            leaks = pa.StructArray.from_arrays([pa.array(found.ids[item] if len(found.ids) else item), pa.array(distance), pa.array(place)], fields=list(_ARROW_LEAK))
+            leaks = pa.StructArray.from_arrays([found.ids.take(pa.array(item)), pa.array(distance), pa.array(place)], fields=list(_ARROW_LEAK))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), leaks)], [*batch.schema.names, to])
 
     return rows.transform(map_batches, run, T.StructType([*rows.schema.fields, T.StructField(to, LEAKS)]))
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", units: int = BLOCK_UNITS) -> Iterator[PassageIndex]:
-    """Indexes over the whole benchmark, each over about ``units`` code units of it."""
+    """Indexes over the whole benchmark, each over about ``units`` characters of it."""
     block, size = [], 0
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     for r in rows.toLocalIterator():
-        block.append((r["i"] if r["i"] is not None else -1, r["t"]))
+        block.append((r["i"], r["t"]))
         size += len(r["t"])
         if size >= units:
             yield PassageIndex(block)

@@ -339,6 +339,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not cross.isEmpty():
             roots = components(_aligned(cross, texts, rows, stage, "third", similarity), stage, "third", roots)
 
+    for name in ("shared", "alike", "others", "within"):  # no later step reads these
+        stage.drop(name)
     classes = texts.select("node", "nid", "least_id").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
     classes = classes.select("node", "least_id", F.coalesce("root", "nid").alias("class_node"), F.pmod("nid", F.lit(SALTS)).alias("salt"))
     # only classes of several texts have a name to look up, and a large one looks it up in several tasks

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; where unset a temporary one on a local master, else an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "skein.shared.dir", None
     )
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
         spark.conf.set("skein.shared.dir", root)
     return root.rstrip("/")

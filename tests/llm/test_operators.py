@@ -543,3 +543,46 @@ def test_broken_markup_takes_linear_time():
         page.text(frozenset(c[0] for c in page.containers))
         assert time.time() - began < 5, source[:12]
     assert Page("<p>a < b and <i>c</i> > d <a href='x>y'>e</a>").text() == "a < b and c > d e"
+
+
+def test_leaks_against_all_alignments(spark):
+    """Items with edits up to the budget, in any script, against the least alignment of every item with every text."""
+    from skein.llm import contamination
+
+    def least(item, text):  # item anywhere in text
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(text, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return min(row)
+
+    rng = random.Random(13)
+    flat = lambda s: re.sub(r"[ \t-\r]+", " ", (s or "").lower()).strip(" ")
+    scripts = ["abcdefghijklmnop    ", "äöüßéèñçåøæabcdef   ", "абвгдежзийклмноп   ", "日本語漢字仮名文章例外 "]
+    items, texts = [], []
+    for k in range(24):
+        letters = scripts[k % 4]
+        item = "".join(rng.choice(letters) for _ in range(rng.choice((20, 24, 30, 60, 90))))
+        items.append((k if k % 7 else None, item))
+        for edits in (0, 2, len(item) // 10, len(item) // 10 + 3):
+            x = list(item)
+            for _ in range(edits):
+                at = rng.randrange(len(x))
+                x[at : at + 1] = rng.choice(([], [rng.choice(letters)], [x[at], rng.choice(letters)]))
+            pad = lambda: "".join(rng.choice(letters) for _ in range(40))
+            texts.append(pad() + " " + "".join(x).upper().replace("SS", "ß") + " " + pad())
+    texts += [None, "", "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.item_id, r.distance) for r in contamination.find_leaks(rows, spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = collections.Counter()
+    for item_id, item in items:
+        x = flat(item)
+        e = min(int(0.1 * len(x)), (len(x) - 8) // 8)
+        if len(x) < 24:
+            continue
+        for i, text in enumerate(texts):
+            d = least(x, flat(text))
+            if d <= e:
+                want[i, item_id, d] += 1
+    assert got == want and sum(want.values()) > 40 and None in {k for _, k, _ in want}
