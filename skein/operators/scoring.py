@@ -184,7 +184,8 @@ def tier(score: Column) -> Column:
 
 
 def recency_penalty(age_hours: Column) -> Column:
-    return F.when(age_hours <= 6, F.lit(0)).otherwise(F.least(F.lit(24), half_up(10 * F.log2(1 + age_hours / 36)))).cast("long")
+    """0 up to six hours and for an unknown age, then more, 24 at most."""
+    return F.when(age_hours.isNull() | (age_hours <= 6), F.lit(0)).otherwise(F.least(F.lit(24), half_up(10 * F.log2(1 + age_hours / 36)))).cast("long")
 
 
 def fusion_bonus(km: Column, radius_km: float, confidence: Column, sensitive: Column) -> Column:
