@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Stage
+
 # Quotas of the regions in the order in which they are filled.
 QUOTAS = (
     ("france", 40), ("europe", 70), ("russia_ukraine", 80), ("east_asia", 75), ("south_central_asia", 55), ("middle_east", 90),
@@ -15,10 +17,11 @@ QUOTAS = (
 
 
 def keep_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key by the order; rows with a null in the key are all kept."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    """The first row of each key by the order; rows with a null in the key are all kept, each a group of its own."""
     has_key = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    return df.where(~has_key).unionByName(df.where(has_key).withColumn("rank_", rank).where("rank_ = 1").drop("rank_"))
+    own = df.withColumn("own_", F.when(~has_key, F.monotonically_increasing_id()))
+    rank = F.row_number().over(Window.partitionBy(*keys, "own_").orderBy(*order))
+    return own.withColumn("rank_", rank).where("rank_ = 1").drop("rank_", "own_")
 
 
 def quota_select(df: DataFrame, group: str, quotas: tuple[tuple[str, int], ...], most: int, *order: Column) -> DataFrame:
@@ -29,7 +32,8 @@ def quota_select(df: DataFrame, group: str, quotas: tuple[tuple[str, int], ...],
     table = df.sparkSession.createDataFrame([(g, q, i) for i, (g, q) in enumerate(quotas)], f"`{group}` string, quota_ int, place_ int")
     ranked = df.withColumn("rank_", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     ranked = ranked.where(F.col("rank_") <= max(q for _, q in quotas) + most)  # no later row can be chosen
-    placed = ranked.join(F.broadcast(table), group, "left")
+    # written once, as three steps read it: at most the quotas and twice ``most`` rows of each group
+    placed = Stage(df.sparkSession, "quota").keep(ranked.join(F.broadcast(table), group, "left"), "placed")
     within = placed.where("rank_ <= quota_").orderBy("place_", "rank_").limit(most).withColumn("pass_", F.lit(0))
     used = within.agg(F.count("*").alias("used_"))
     rest = placed.join(within.select(group, "rank_"), [group, "rank_"], "left_anti").orderBy(*order).limit(most).withColumn("pass_", F.lit(1))
@@ -48,15 +52,44 @@ def greedy_distinct(df: DataFrame, keys: list[str], order: list[Column], stage)
     undecided, kept, n = numbered, None, 0
     while True:
         n += 1
-        firsts = [F.min(F.when(F.col(k).isNotNull(), F.col("order_"))).over(Window.partitionBy(k)) for k in keys]
-        marked = undecided.withColumns({f"first{i}_": f for i, f in enumerate(firsts)})
+        marked = undecided
+        for i, k in enumerate(keys):  # least order of each key; null keys meet nowhere
+            first = undecided.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("order_").alias(f"first{i}_"))
+            marked = _beside(marked, first, k)
         wins = reduce(lambda a, b: a & b, (F.col(k).isNull() | (F.col(f"first{i}_") == F.col("order_")) for i, k in enumerate(keys)))
-        marked = stage.keep(marked.withColumn("wins_", wins).drop(*(f"first{i}_" for i in range(len(keys)))), f"greedy-{n}")
+        marked = stage.keep(marked.withColumn("wins_", wins).select(*numbered.columns, "wins_"), f"greedy-{n}")
         won = marked.where("wins_").drop("wins_")
-        kept = won if kept is None else kept.unionByName(won)
+        kept = won if kept is None else stage.keep(kept.unionByName(won), f"greedy-{n}-kept")
         left = marked.where("not wins_").drop("wins_")
-        for k in keys:
-            left = left.join(won.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
+        for i, k in enumerate(keys):
+            left = _beside(left, won.where(F.col(k).isNotNull()).select(k).distinct().withColumn("gone_", F.lit(True)), k).where("gone_ is null").drop("gone_")
         undecided = stage.keep(left.select(*numbered.columns), f"greedy-{n}-left")
         if undecided.isEmpty():
             return kept.drop("order_")
+
+
+def _beside(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows with what was found for their key; rows with a null key stay where they are and find nothing."""
+    with_key = rows.where(F.col(key).isNotNull()).join(found, key, "left")
+    without = rows.where(F.col(key).isNull())
+    return with_key.unionByName(without, allowMissingColumns=True)
+
+
+def greedy_independent(rows: DataFrame, conflicts: DataFrame, key: str, stage: Stage) -> DataFrame:
+    """Rows in the order of ``order_``, leaving out each that conflicts with a kept one.
+
+    ``conflicts``: (a, b), pairs of keys of which a comes first. Rounds: an undecided row with no
+    undecided row before it among its conflicts is kept, and what conflicts with it goes; equal to
+    going through all rows in order. Only rows that are in some conflict take part in the rounds.
+    """
+    pairs = stage.keep(conflicts.select("a", "b").distinct(), "conflicts-0")
+    gone, n = None, 0
+    while not pairs.isEmpty():
+        n += 1
+        held_back = pairs.select(F.col("b").alias("a")).distinct()
+        winners = pairs.select("a").distinct().join(held_back, "a", "left_anti")
+        out = stage.keep(pairs.join(winners, "a").select(F.col("b").alias("out")).distinct(), f"conflicts-{n}-out")
+        gone = out if gone is None else stage.keep(gone.unionByName(out), f"conflicts-{n}-gone")
+        left = pairs.join(winners, "a", "left_anti").join(out, F.col("a") == F.col("out"), "left_anti").join(out, F.col("b") == F.col("out"), "left_anti")
+        pairs = stage.keep(left, f"conflicts-{n}")
+    return rows if gone is None else rows.join(gone, rows[key] == gone["out"], "left_anti")

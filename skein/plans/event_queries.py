@@ -200,7 +200,7 @@ SELECT cell_lat, cell_lon, id, score, row_number() OVER (PARTITION BY cell_lat,
     "keep_best": f"WITH {SCORED_SQL} SELECT id, title, score FROM scored QUALIFY row_number() OVER (PARTITION BY title ORDER BY {_ORDER_SQL}) = 1",
     "similar_titles": f"""WITH w AS (SELECT id, list_distinct(regexp_split_to_array(regexp_replace(lower(title), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+')) AS words FROM {EVENT_SQL})
 SELECT x.id AS a, y.id AS b, floor(len(list_intersect(x.words, y.words))::DOUBLE / greatest(len(x.words), len(y.words)) * 10000 + 0.5)::BIGINT AS similarity
-FROM w x JOIN w y ON x.id < y.id WHERE len(list_intersect(x.words, y.words))::DOUBLE / greatest(len(x.words), len(y.words)) >= 0.55""",
+FROM w x JOIN w y ON x.id < y.id WHERE len(list_intersect(x.words, y.words))::DOUBLE / greatest(len(x.words), len(y.words)) > 0.55""",
     "fingerprints": f"WITH {SCORED_SQL} SELECT id, {_FINGERPRINT_SQL} AS fingerprint FROM scored",
     "facet_filter": f"WITH {SCORED_SQL} SELECT id, severity, region, category FROM scored WHERE severity IN ('CRITICAL', 'SEVERE') AND region IN ('africa', 'europe', 'east_asia') AND category <> 'discard'",
     "top_events": f"WITH {SCORED_SQL} SELECT id, score FROM scored ORDER BY score DESC, abs(tone) DESC, id LIMIT 800",
