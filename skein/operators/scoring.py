@@ -20,6 +20,9 @@ PRESSURE_ROOTS = ("13", "16", "17")
 HOTSPOTS = ("RU", "CN", "KP", "KR", "TW", "VN", "IR", "SY", "UA", "IQ", "AF", "PK", "LY", "YE", "SD")
 BOOSTED_REGIONS = ("russia_cis", "east_asia", "middleeast", "africa")
 LEAST_SCORE = 60
+#: Patterns of names and callsigns that the track rules count.
+SHIP_NAME = r"(?i)^(USS|HMS|HMAS|HDMS|HNLMS|FS |FNS |RFS |INS |ROKS |JS |TCG|ITS |ESPS|NRP|HMCS|ADMIRAL |MARSHAL |VARYAG|SLAVA|MOSKVA|KUZNETSOV|UDALOY|SOVREMEN|STOIKY|NEUSTRASH|CNS |LIAONING|SHANDONG|FUJIAN|NANJING|GUANGZHOU|HARBIN|WUHAN|HAIKOU|LANZHOU|SHIJIAZHUANG)"
+RULE_CALLSIGN = r"(?i)^(RCH|SAM|REACH|DUKE|MAGMA|COBRA|VIPER|HAWK|NATO|BAF|GAF|IAF|NAVY|USAF|CNV|TOPGUN|JOLLY|SPAR|EVAC|JAKE|SWIFT|KING|VALOR|BOXER|ATLAS|BLADE|BONE|GHOST|LANCER|FURY|RAVEN|IRON|STEEL|BRONZE|SILVER|GOLD|EAGLE|FALCON|THUNDER|STORM|WOLF|BEAR|TIGER|SHARK|LION)\d*"
 
 
 @dataclass(frozen=True)
@@ -160,9 +163,9 @@ def track_rules() -> list[Rule]:
     return [
         Rule("ais-type", "sea", 70, c("ship_type") == 35, F.lit("military ship type")),
         Rule("warship-number", "sea", 60, c("warship_number"), F.lit("warship number")),
-        Rule("name-prefix", "sea", 80, c("name").rlike("^(USS|HMS|HMAS|HMCS|INS|ROKS|TCG) "), F.lit("naval name prefix")),
+        Rule("name-prefix", "sea", 80, c("name").rlike(SHIP_NAME), F.lit("naval name prefix")),
         Rule("hex-range", "air", 85, c("military_hex"), F.lit("military address range")),
-        Rule("callsign", "air", 50, c("callsign").rlike("^(RCH|NATO|NAVY|DUKE|COBRA)"), F.lit("military callsign")),
+        Rule("callsign", "air", 50, F.trim("callsign").rlike(RULE_CALLSIGN), F.lit("military callsign")),
         Rule("type", "air", 60, c("military_type"), F.lit("military type")),
         Rule("airbase", "air", 30, c("base_km") < 250, F.lit("near an airbase")),
         Rule("altitude", "air", 15, c("alt_ft") > 35000, F.lit("high altitude")),
