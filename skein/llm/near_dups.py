@@ -11,14 +11,14 @@ most (1 - SIMILARITY) of the longer text. Classes are the connected components o
 links. All pairs with 0.8 of their united shingles in common are well inside that.
 
 A pair of long texts fails to be a candidate about once in 20 000 cases where 0.8 of the
-united shingles are common, and 7 times in 100 at the very edge of the threshold. Texts
-of few shingles share too few of them for that, so texts of at most ``SHORT`` different
+united shingles are common, and 7 times in 100 at the very edge of the threshold (12 for
+texts of 13 to 30 shingles). Texts of few shingles share too few of them for that, so texts of at most ``SHORT`` different
 shingles also meet exactly: ordered by how rare they are, two such texts of enough
 similarity share one of the first few of each.
 
 Equal texts are one node from the start, so a copied text costs one row however
 often it occurs. In a sketch's bucket texts are first aligned with one hub (the
-least hub of all their buckets, then those that their class doesn't hold yet); what
+most central hub of all their buckets, then those that their class doesn't hold yet); what
 still stands outside the bucket's main class is then held against every text of
 another class in it. No bucket is capped, and a large group of copies needs no
 pairs within itself.
@@ -50,8 +50,8 @@ SIMILARITY = 0.8
 #: Sketches that must agree (judged by their low bytes) before two texts of a bucket are aligned.
 AGREEING = 2
 #: Different shingles up to which texts also meet by their rarest shingles.
-SHORT = 40
-#: Classes of words that are counted (to 127), for a lower bound of the edit distance.
+SHORT = 12
+#: Classes of shingles that are counted (to 127), for a lower bound of how many two texts don't share.
 BINS = 256
 
 
@@ -62,8 +62,8 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_hashes(raw, starts, ends), rows
 
 
-def labelled_kmers(hashes: np.ndarray, rows: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-mers with their occurrence number, in text order, and the row of each."""
+def labelled_kmers(hashes: np.ndarray, rows: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all k-mers with their occurrence number, in text order, the row of each, and the hash and row of each row's different ones."""
     counts = np.bincount(rows, minlength=n)
     begins = np.cumsum(counts) - counts
     whole = np.minimum(counts, k)
@@ -77,6 +77,7 @@ def labelled_kmers(hashes: np.ndarray, rows: np.ndarray, n: int, k: int) -> tupl
         ok = inside < last
         kmers[ok] += hashes[inside[ok]]
     kmers, row = mix(kmers), rows[at]
+    plain, first = kmers.copy(), np.ones(len(at), bool)
     keyed = kmers ^ mix(row.astype(U64) + U64(0x51ED270B))
     order = np.argsort(keyed)
     ordered = keyed[order]
@@ -86,16 +87,17 @@ def labelled_kmers(hashes: np.ndarray, rows: np.ndarray, n: int, k: int) -> tupl
         again[:-1] |= again[1:]
         some = np.sort(order[again])  # in text order, so that a stable sort numbers occurrences
         by = some[np.argsort(keyed[some], kind="stable")]
-        kmers[by] = mix(kmers[by] + run_ranks(keyed[by]).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    return kmers, row
+        number = run_ranks(keyed[by])
+        first[by] = number == 0
+        kmers[by] = mix(kmers[by] + number.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    return kmers, row, plain[first], row[first]
 
 
-def order_sketches(hashes: np.ndarray, rows: np.ndarray, n: int, k: int = K, picks: int = PICKS, sketches: int = SKETCHES) -> np.ndarray:
-    """An n x sketches table; rows without words are zero."""
+def order_sketches(kmers: np.ndarray, row: np.ndarray, n: int, picks: int = PICKS, sketches: int = SKETCHES) -> np.ndarray:
+    """An n x sketches table of labelled k-mers; rows without any are zero."""
     out = np.zeros((n, sketches), U64)
-    if not len(rows):
+    if not len(row):
         return out
-    kmers, row = labelled_kmers(hashes, rows, n, k)
     begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     some, length = row[begin], np.diff(np.append(begin, len(row)))
     top = U64(0xFFFFFFFFFFFFFFFF)
@@ -121,15 +123,13 @@ def order_sketches(hashes: np.ndarray, rows: np.ndarray, n: int, k: int = K, pic
     return out
 
 
-def short_shingles(hashes: np.ndarray, rows: np.ndarray, n: int, k: int = K) -> list:
+def short_shingles(found: np.ndarray, row: np.ndarray, n: int) -> list:
     """The different shingles of each row, null where they are none or more than ``SHORT``."""
     out = [None] * n
-    counts = np.bincount(rows, minlength=n)
+    counts = np.bincount(row, minlength=n)
     ends = np.cumsum(counts)
-    for i in np.flatnonzero((counts > 0) & (counts < 3 * SHORT + k)).tolist():
-        own = shingles(hashes[ends[i] - counts[i] : ends[i]].astype(np.uint32), k)
-        if len(own) <= SHORT:
-            out[i] = own.view(np.int64)
+    for i in np.flatnonzero((counts > 0) & (counts <= SHORT)).tolist():
+        out[i] = found[ends[i] - counts[i] : ends[i]].view(np.int64)
     return out
 
 
@@ -152,7 +152,7 @@ def shingle_similarity(x: np.ndarray, y: np.ndarray, k: int = K) -> float:
 
 
 def sketch_texts(docs: DataFrame) -> DataFrame:
-    """For rows (id, node, text): id, node, the number of words and of those of each class of words, the sketches, and few shingles."""
+    """For rows (id, node, text): id, node, the numbers of words, of different shingles and of those of each class, the sketches, and few shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,21 +160,23 @@ def sketch_texts(docs: DataFrame) -> DataFrame:
             for i, j in groups(offsets, 1 << 20):
                 part = offsets[i : j + 1]
                 hashes, rows = _words(raw[part[0] : part[-1]], part - part[0])
-                table = order_sketches(hashes, rows, j - i)
-                bins = np.bincount(rows * BINS + (hashes % U64(BINS)).astype(np.int64), minlength=(j - i) * BINS).reshape(-1, BINS)
+                kmers, row, different, its_row = labelled_kmers(hashes, rows, j - i, K)
+                table = order_sketches(kmers, row, j - i)
+                bins = np.bincount(its_row * BINS + (different % U64(BINS)).astype(np.int64), minlength=(j - i) * BINS).reshape(-1, BINS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
                         batch.column(1).slice(i, j - i),
                         pa.array(np.bincount(rows, minlength=j - i)),
+                        pa.array(np.bincount(its_row, minlength=j - i)),
                         pa.array(list(np.minimum(bins, 127).astype(np.int8)), pa.list_(pa.int8())),
                         pa.array(list(table.view(np.int64)), pa.list_(pa.int64())),
-                        pa.array(short_shingles(hashes, rows, j - i), pa.list_(pa.int64())),
+                        pa.array(short_shingles(different, its_row, j - i), pa.list_(pa.int64())),
                     ],
-                    ["id", "node", "n_words", "bins", "sketches", "short"],
+                    ["id", "node", "n_words", "n_shingles", "bins", "sketches", "short"],
                 )
 
-    return docs.select("id", "node", "text").transform(map_batches, run, "id long, node string, n_words long, bins array<tinyint>, sketches array<long>, short array<long>")
+    return docs.select("id", "node", "text").transform(map_batches, run, "id long, node string, n_words long, n_shingles long, bins array<tinyint>, sketches array<long>, short array<long>")
 
 
 def word_lists(texts: DataFrame) -> DataFrame:
@@ -244,20 +246,20 @@ def _agreeing(a: str, b: str):
 
 
 def _alike(similarity: float):
-    """What two texts of enough similarity have in common as far as lengths, signatures and word counts tell.
+    """What two texts of enough similarity have in common as far as lengths, signatures and shingle counts tell.
 
-    Each word that one text has more often than the other costs an edit, so the counts bound the distance from below.
+    A class of which one text has more shingles than the other holds shingles that they don't share, so the counts
+    bound from below how many those are.
     """
     longest = F.greatest("x_words", "y_words") * similarity <= F.least("x_words", "y_words") + 1e-9
-    limit = F.greatest("x_words", "y_words") * (1 - similarity) + 1e-9
-    surplus = F.aggregate(F.zip_with("x_bins", "y_bins", lambda a, b: F.greatest(a.cast("int") - b, F.lit(0))), F.lit(0), lambda s, x: s + x)
-    edits = surplus + F.greatest(F.lit(0), F.col("y_words") - F.col("x_words"))
+    apart = F.aggregate(F.zip_with("x_bins", "y_bins", lambda a, b: F.abs(a.cast("int") - b)), F.lit(0), lambda s, x: s + x)
+    most = (F.col("x_shingles") + F.col("y_shingles")) * (1 - similarity) + 1e-9
     agreeing = (_agreeing("x_s", "y_s") >= AGREEING) | (F.col("x_short") & F.col("y_short"))
-    return longest & agreeing & (edits <= limit)
+    return longest & agreeing & (apart <= most)
 
 
 def _as(texts: DataFrame, name: str) -> DataFrame:
-    return texts.select(F.col("nid").alias(name), F.col("n_words").alias(f"{name}_words"), F.col("bins").alias(f"{name}_bins"), F.col("short").isNotNull().alias(f"{name}_short"), *(F.col(f"s{i}").alias(f"{name}_s{i}") for i in range(_WORDS)))
+    return texts.select(F.col("nid").alias(name), F.col("n_words").alias(f"{name}_words"), F.col("n_shingles").alias(f"{name}_shingles"), F.col("bins").alias(f"{name}_bins"), F.col("short").isNotNull().alias(f"{name}_short"), *(F.col(f"s{i}").alias(f"{name}_s{i}") for i in range(_WORDS)))
 
 
 def rare_shingles(texts: DataFrame, similarity: float) -> DataFrame:
@@ -297,20 +299,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("node", F.md5("text"))
     sketched = stage.keep(sketch_texts(rows), "sketched")
-    once = sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("sketches").alias("sketches"), F.first("short").alias("short"))
-    texts = stage.keep(once.select("node", "least_id", "n_words", "bins", "sketches", "short", *_signature(F.col("sketches"))).withColumn("nid", F.monotonically_increasing_id()), "texts")
+    once = sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n_words").alias("n_words"), F.first("n_shingles").alias("n_shingles"), F.first("bins").alias("bins"), F.first("sketches").alias("sketches"), F.first("short").alias("short"))
+    texts = stage.keep(once.select("node", "least_id", "n_words", "n_shingles", "bins", "sketches", "short", *_signature(F.col("sketches"))).withColumn("nid", F.monotonically_increasing_id()), "texts")
 
     # a sketch's value also depends on its number, so the value alone names the bucket
     member = texts.where("n_words > 0").select("nid", F.posexplode("sketches").alias("number", "value"))
     member = member.unionByName(rare_shingles(texts, similarity))
-    hubs = member.groupBy("value").agg(F.min("nid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("value", "hub")
-    shared = stage.keep(member.join(hubs, "value"), "shared")
-
-    # first each text with the least hub of its buckets, then with the other hubs that its class doesn't hold yet
+    sizes = member.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    met = stage.keep(member.join(sizes, "value"), "met")
+    # the hub of a bucket is the text that shares the most: what others were made from shares all its sketches with many
+    central = stage.keep(met.groupBy("nid").agg(F.sum("n").alias("central")), "central")
+    hubs = met.join(central, "nid").groupBy("value").agg(F.max(F.struct("central", -F.col("nid"))).alias("h")).select("value", (-F.col("h.col2")).alias("hub"))
+    shared = stage.keep(met.select("nid", "number", "value").join(hubs, "value"), "shared")
+
+    # first each text with the most central hub of its buckets, then with the other hubs that its class doesn't hold yet
     hubbed = shared.where("nid <> hub").select(F.col("nid").alias("x"), F.col("hub").alias("y")).distinct()
     seen = hubbed.join(_as(texts, "x"), "x")
-    alike = stage.keep(seen.join(_as(texts, "y"), "y").where(_alike(similarity)).select("x", "y"), "alike")
-    least = alike.groupBy("x").agg(F.min("y").alias("y"))
+    alike = seen.join(_as(texts, "y"), "y").where(_alike(similarity)).select("x", "y")
+    alike = stage.keep(alike.join(central.select(F.col("nid").alias("y"), "central"), "y"), "alike")
+    least = alike.groupBy("x").agg(F.max_by("y", F.struct("central", -F.col("y"))).alias("y"))
     links = _aligned(least, texts, rows, stage, "first", similarity)
     roots = components(links, stage, "first")
     rooted = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
@@ -327,8 +334,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = mixed.where("classes > 1").select("value", F.col("main.root").alias("main"))
     within = stage.keep(placed.join(mixed, "value"), "within")
     if not within.isEmpty():
-        sign = within.join(texts.select("nid", "n_words", "bins", "sketches", "short", *(f"s{i}" for i in range(_WORDS))), "nid")
-        side = lambda n: [F.col("nid").alias(n), F.col("root").alias(f"{n}_root"), F.col("n_words").alias(f"{n}_words"), F.col("bins").alias(f"{n}_bins"), F.col("short").isNotNull().alias(f"{n}_short"), F.col("sketches").alias(f"{n}_sketches"), *(F.col(f"s{i}").alias(f"{n}_s{i}") for i in range(_WORDS))]
+        sign = within.join(texts.select("nid", "n_words", "n_shingles", "bins", "sketches", "short", *(f"s{i}" for i in range(_WORDS))), "nid")
+        side = lambda n: [F.col("nid").alias(n), F.col("root").alias(f"{n}_root"), F.col("n_words").alias(f"{n}_words"), F.col("n_shingles").alias(f"{n}_shingles"), F.col("bins").alias(f"{n}_bins"), F.col("short").isNotNull().alias(f"{n}_short"), F.col("sketches").alias(f"{n}_sketches"), *(F.col(f"s{i}").alias(f"{n}_s{i}") for i in range(_WORDS))]
         outside = sign.where("root <> main").where("nid <> hub").select("value", "number", *side("x"))
         inside = sign.where("nid <> hub").select("value", "main", *side("y"))
         once_each = (F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y"))
@@ -339,7 +346,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not cross.isEmpty():
             roots = components(_aligned(cross, texts, rows, stage, "third", similarity), stage, "third", roots)
 
-    for name in ("shared", "alike", "others", "within"):  # no later step reads these
+    for name in ("met", "central", "shared", "alike", "others", "within"):  # no later step reads these
         stage.drop(name)
     classes = texts.select("node", "nid", "least_id").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
     classes = classes.select("node", "least_id", F.coalesce("root", "nid").alias("class_node"), F.pmod("nid", F.lit(SALTS)).alias("salt"))
