@@ -51,8 +51,11 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token file of all documents, and where each of them stands in it."""
-    return token_files.read_token_file(*token_files.write_token_file(docs))
+    """The token file of all documents in shuffled order, and where each of them stands in it.
+
+    The columns of documents carry no order, so the file's own is drawn here; copies of a document stand apart.
+    """
+    return token_files.read_token_file(*token_files.write_token_file(docs, shuffle_seed=mixture.SEED))
 
 
 STAGES = [
