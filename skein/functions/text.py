@@ -142,7 +142,7 @@ def story_family(title: Column, bucket: Column, country: Column) -> Column:
 
 def split_list(field: Column, most: int = 12) -> Column:
     """Parts of a semicolon list, trimmed, without empty ones."""
-    return F.slice(F.filter(F.transform(F.split(F.coalesce(field, F.lit("")), ";"), F.trim), lambda v: v != ""), 1, most)
+    return F.slice(F.filter(F.transform(F.split(F.coalesce(field, F.lit("")), ";"), lambda x: F.trim(x)), lambda v: v != ""), 1, most)
 
 
 def first_number(field: Column) -> Column:
