@@ -57,6 +57,12 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def plain_word(word: str) -> str:
+    """A word of a list as ``normalize`` would write it."""
+    flat = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not "\u0300" <= c <= "\u036f")
+    return " ".join(re.sub(r"[^\u1100-\u11ff\u3000-\u9fff\uac00-\ud7af\u0600-\u06ff\u0400-\u04ffa-z0-9\s:/._-]", " ", unicodedata.normalize("NFC", flat)).split())
+
+
 _EDGE_BEFORE, _EDGE_AFTER = r"""(?:^|[\s\-_/.,;:!?"'()])""", r"""(?:[\s\-_/.,;:!?"'()]|$)"""
 
 
