@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, place_queries, record_queries, signal_queries, news_queries, fleet_queries, hazard_queries, curation_queries
+from . import event_queries, place_queries, record_queries, signal_queries, news_queries, fleet_queries, hazard_queries, curation_queries, label_queries
 
-_MODULES = (event_queries, place_queries, record_queries, signal_queries, news_queries, fleet_queries, hazard_queries, curation_queries)
+_MODULES = (event_queries, place_queries, record_queries, signal_queries, news_queries, fleet_queries, hazard_queries, curation_queries, label_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
