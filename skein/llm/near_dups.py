@@ -18,10 +18,10 @@ similarity share one of the first few of each.
 
 Equal texts are one node from the start, so a copied text costs one row however
 often it occurs. In a sketch's bucket texts are first aligned with one hub (the
-most central hub of all their buckets, then those that their class doesn't hold yet); what
+most central hub of their buckets, then those that their class doesn't hold yet); what
 still stands outside the bucket's main class is then held against every text of
-another class in it. No bucket is capped, and a large group of copies needs no
-pairs within itself.
+another class in it that shares a second sketch. No bucket is capped, and a large
+group of copies needs no pairs within itself.
 
 Words are runs of non-blank characters with A to Z lower-cased. A text of fewer
 than ``K`` words is one k-mer. Null text counts as empty, as does one of blanks only,
@@ -334,15 +334,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = mixed.where("classes > 1").select("value", F.col("main.root").alias("main"))
     within = stage.keep(placed.join(mixed, "value"), "within")
     if not within.isEmpty():
-        sign = within.join(texts.select("nid", "n_words", "n_shingles", "bins", "sketches", "short", *(f"s{i}" for i in range(_WORDS))), "nid")
-        side = lambda n: [F.col("nid").alias(n), F.col("root").alias(f"{n}_root"), F.col("n_words").alias(f"{n}_words"), F.col("n_shingles").alias(f"{n}_shingles"), F.col("bins").alias(f"{n}_bins"), F.col("short").isNotNull().alias(f"{n}_short"), F.col("sketches").alias(f"{n}_sketches"), *(F.col(f"s{i}").alias(f"{n}_s{i}") for i in range(_WORDS))]
-        outside = sign.where("root <> main").where("nid <> hub").select("value", "number", *side("x"))
-        inside = sign.where("nid <> hub").select("value", "main", *side("y"))
+        rest = within.where("nid <> hub")
+        # two texts must agree in two sketches at least, so those of a bucket meet by a second one they share; rare shingles meet alone
+        second = rest.where(F.col("number") < SKETCHES).join(texts.select("nid", "sketches"), "nid")
+        second = second.withColumn("other", F.explode(F.slice("sketches", F.col("number") + 2, F.lit(SKETCHES))))
+        keyed = second.select(F.xxhash64("value", "other").alias("key"), "nid", "root", "main")
+        keyed = keyed.unionByName(rest.where(F.col("number") == SKETCHES).select(F.col("value").alias("key"), "nid", "root", "main"))
+        outside = keyed.where("root <> main").select("key", F.col("nid").alias("x"), F.col("root").alias("x_root"))
+        inside = keyed.select("key", "main", F.col("nid").alias("y"), F.col("root").alias("y_root"))
         once_each = (F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y"))
-        first = F.array_position(F.zip_with("x_sketches", "y_sketches", lambda a, b: a == b), True) == F.col("number") + 1
-        first = first | (F.col("number") == SKETCHES)
-        cross = outside.join(inside, "value").where((F.col("x_root") != F.col("y_root")) & once_each & _alike(similarity) & first)
-        cross = stage.keep(cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "cross")
+        met = outside.join(inside, "key").where((F.col("x_root") != F.col("y_root")) & once_each)
+        met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        cross = met.join(_as(texts, "x"), "x").join(_as(texts, "y"), "y").where(_alike(similarity))
+        cross = stage.keep(cross.select("x", "y"), "cross")
         if not cross.isEmpty():
             roots = components(_aligned(cross, texts, rows, stage, "third", similarity), stage, "third", roots)
 
