@@ -32,10 +32,15 @@ def segments(reports: DataFrame, gap: str = "10 minutes", late: str = "24 hours"
     return own.select("entity", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def _timeout(idle_ms: int | None) -> str:
+    """State that goes when idle needs a query that runs on; None suits one that ends with its input."""
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
 TRAIL = "entity long, points long, newest long, lats array<double>, lons array<double>"
 
 
-def trails(reports: DataFrame, most: int = 30, idle_ms: int = 600_000) -> DataFrame:
+def trails(reports: DataFrame, most: int = 30, idle_ms: int | None = 600_000) -> DataFrame:
     """The newest points of each entity, oldest first; state is bounded by ``most`` points and goes when idle."""
 
     def update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,17 +52,18 @@ def trails(reports: DataFrame, most: int = 30, idle_ms: int = 600_000) -> DataFr
             held = sorted([*held, *zip(part["ts_us"].tolist(), part["lat"].tolist(), part["lon"].tolist(), strict=True)])[-most:]
         columns = [list(x) for x in zip(*held, strict=True)]
         state.update(tuple(columns))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"entity": [key[0]], "points": [len(held)], "newest": [held[-1][0]], "lats": [columns[1]], "lons": [columns[2]]})
 
     grouped = reports.select("entity", "ts_us", "lat", "lon").groupBy("entity")
-    return grouped.applyInPandasWithState(update, TRAIL, "ts array<long>, lats array<double>, lons array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return grouped.applyInPandasWithState(update, TRAIL, "ts array<long>, lats array<double>, lons array<double>", "update", _timeout(idle_ms))
 
 
 SHOWN = "number string, ship string, ts_us long, lat double, lon double"
 
 
-def verified_positions(messages: DataFrame, idle_ms: int = 4 * 3_600_000) -> DataFrame:
+def verified_positions(messages: DataFrame, idle_ms: int | None = 4 * 3_600_000) -> DataFrame:
     """Positions of ships shown to be military by an earlier static message or by their number; what is known goes after ``idle_ms``.
 
     ``messages``: number, ts_us, seq, kind, name, ship_type, lat, lon. Rows of a micro-batch are taken in the order of time.
@@ -77,13 +83,14 @@ def verified_positions(messages: DataFrame, idle_ms: int = 4 * 3_600_000) -> Dat
                 out.append((key[0], name or key[0], row.ts_us, row.lat, row.lon))
         if name is not None:
             state.update((name,))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["number", "ship", "ts_us", "lat", "lon"])
 
     name = F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), "@+$", ""))
     shown = F.when((F.col("kind") == "static") & (name.rlike(SHIP_NAME) | F.coalesce(F.col("ship_type") == 35, F.lit(False))), F.coalesce(F.nullif(name, F.lit("")), F.col("number")))
     rows = messages.select("number", "ts_us", "seq", "kind", "lat", "lon", shown.alias("shown"), ship_number(F.col("number"))["warship"].alias("warship"), valid_position(F.col("lat"), F.col("lon")).alias("valid"))
-    return rows.groupBy("number").applyInPandasWithState(update, SHOWN, "name string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("number").applyInPandasWithState(update, SHOWN, "name string", "append", _timeout(idle_ms))
 
 
 def ingest(spark: SparkSession, folder: str, schema, take: Callable[[DataFrame, int], None], checkpoint: str, files: int = 8, format: str = "parquet") -> StreamingQuery:

@@ -115,9 +115,8 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     source.repartition(3).write.parquet(str(tmp_path / "in"))
     rows_ = lambda df: df.select(F.col("user_id").alias("entity"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("event_type").alias("kind"), (F.col("event_id") % 90).cast("double").alias("lat"), F.lit(1.0).alias("lon"))
     stream = rows_(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")))
-    query = reports.trails(stream).writeStream.outputMode("update").format("memory").queryName("trails").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
+    query = reports.trails(stream, idle_ms=None).writeStream.outputMode("update").format("memory").queryName("trails").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     got = {r.entity: (r.points, r.newest) for r in spark.table("trails").groupBy("entity").agg(F.max("points").alias("points"), F.max("newest").alias("newest")).collect()}
     batch = rows_(source).groupBy("entity").agg(F.least(F.lit(30), F.count("*")).alias("points"), F.max("ts_us").alias("newest")).collect()
     assert got == {r.entity: (r.points, r.newest) for r in batch}

@@ -118,10 +118,9 @@ def test_verified_positions_of_a_stream_are_those_of_the_batch(spark, tmp_path):
 
     batch = fleet_queries.messages(spark, FOLDER)
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = reports.verified_positions(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")))
-    query = stream.writeStream.outputMode("append").format("memory").queryName("ships").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
+    stream = reports.verified_positions(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), idle_ms=None)
+    query = stream.writeStream.outputMode("append").format("memory").queryName("ships").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
     want = fleets.verified_ships(batch).select("number", "ship", "ts_us")
     assert sorted(map(tuple, spark.table("ships").select("number", "ship", "ts_us").collect())) == sorted(map(tuple, want.collect()))
 
