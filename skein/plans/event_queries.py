@@ -198,6 +198,10 @@ good AS (SELECT *, {QUOTA_REGION_SQL} AS quota_region FROM scored WHERE relevant
 SELECT cell_lat, cell_lon, id, score, row_number() OVER (PARTITION BY cell_lat, cell_lon ORDER BY score DESC, id) AS rank FROM cells JOIN best USING (cell_lat, cell_lon) QUALIFY rank <= 10""",
     "quota_selection": f"WITH {SCORED_SQL}, good AS (SELECT *, {QUOTA_REGION_SQL} AS quota_region FROM scored), {_quota_sql('good', 'quota_region', 'id, quota_region, score')}",
     "keep_best": f"WITH {SCORED_SQL} SELECT id, title, score FROM scored QUALIFY row_number() OVER (PARTITION BY title ORDER BY {_ORDER_SQL}) = 1",
+    "greedy_multi_key": f"""WITH RECURSIVE {SCORED_SQL},
+line AS (SELECT id, score, list_filter(['1' || title, '2' || domain || '|' || floor(lat)::BIGINT, CASE WHEN strategic THEN '3' || code || '|' || country || '|' || floor(lon)::BIGINT END], lambda x: x IS NOT NULL) AS keys, row_number() OVER (ORDER BY score DESC, id) AS n FROM scored),
+walk(n, id, ok, held) AS (SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[] UNION ALL SELECT line.n, line.id, NOT list_has_any(held, keys), CASE WHEN list_has_any(held, keys) THEN held ELSE list_concat(held, keys) END FROM walk JOIN line ON line.n = walk.n + 1)
+SELECT line.id, score FROM line JOIN walk ON walk.n = line.n AND ok""",
     "similar_titles": f"""WITH w AS (SELECT id, list_distinct(regexp_split_to_array(regexp_replace(lower(title), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+')) AS words FROM {EVENT_SQL})
 SELECT x.id AS a, y.id AS b, floor(len(list_intersect(x.words, y.words))::DOUBLE / greatest(len(x.words), len(y.words)) * 10000 + 0.5)::BIGINT AS similarity
 FROM w x JOIN w y ON x.id < y.id WHERE len(list_intersect(x.words, y.words))::DOUBLE / greatest(len(x.words), len(y.words)) > 0.55""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import host, normalize, title_key
+from ..functions.text import KEPT, accents, host, normalize, title_key
 from ..operators import rollups, scoring
 from .shims import table
 
@@ -36,7 +36,7 @@ def chat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.split("text", "\n")[0], 1, 140).alias("title"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
     return rows.select("doc_id", normalize(F.col("title")).alias("normalized"), title_key(F.col("title")).alias("key"))
 
 
@@ -58,12 +58,15 @@ def aging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (url_hosts, day_history, label_stats, chat_export, normalized_titles, kind_counts, aging)}
 
+_NORMAL = "trim(regexp_replace(regexp_replace(translate(lower(split_part(coalesce(text, ''), chr(10), 1)), '{}', '{}'), '[^{}]', ' ', 'g'), '\\s+', ' ', 'g'))".format(*accents(), KEPT)
 _HISTOGRAM = "string_agg({c} || '=' || n, ';' ORDER BY {c})"
 SQL = {
     "url_hosts": r"SELECT coalesce(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', ''), '') AS host, count(*) AS n FROM pages GROUP BY 1",
     "day_history": f"""WITH o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, coalesce(o_orderpriority, 'incident') AS c, coalesce(o_orderstatus, 'LOW') AS s FROM orders),
 a AS (SELECT day, sum(n)::BIGINT AS count, {_HISTOGRAM.format(c="c")} AS categories FROM (SELECT day, c, count(*) AS n FROM o GROUP BY ALL) GROUP BY day),
 b AS (SELECT day, {_HISTOGRAM.format(c="s")} AS severities FROM (SELECT day, s, count(*) AS n FROM o GROUP BY ALL) GROUP BY day) SELECT * FROM a JOIN b USING (day)""",
+    "normalized_titles": f"""WITH n AS (SELECT doc_id, {_NORMAL} AS normalized FROM documents)
+SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(normalized, '\\b\\d{{5,}}\\b', ' ', 'g'), '\\b[a-f0-9]{{8,}}\\b', ' ', 'g'), '\\s+', ' ', 'g'))[1:140] AS key FROM n""",
     "label_stats": "SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS n_kept, count(*) FILTER (toxic = 1) AS n_review FROM labels LEFT JOIN documents USING (doc_id) GROUP BY source",
     "chat_export": "SELECT conv_id, count(*) AS n_messages, sum(coalesce(length(text), 0))::BIGINT AS n_chars FROM conversations GROUP BY conv_id",
     "kind_counts": "SELECT * FROM (SELECT strftime(ts, '%Y%m%d%H') AS hour, max(event_id) FILTER (event_type = 'view') AS view, max(event_id) FILTER (event_type = 'click') AS click, max(event_id) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1) WHERE view IS NOT NULL AND click IS NOT NULL AND purchase IS NOT NULL",

@@ -33,7 +33,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     countries = F.array(*map(F.lit, COUNTRIES))
     return table(spark, sf_dir, "documents").select(
         k.alias("id"),
-        F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 140).alias("title"),
+        F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("title"),
         F.concat(F.coalesce("source", F.lit("none")), F.lit(".example")).alias("domain"),
         lat_of(k).alias("lat"),
         lon_of(k).alias("lon"),
@@ -49,7 +49,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EVENT_SQL = f"""(SELECT doc_id AS id, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 140) AS title,
+EVENT_SQL = f"""(SELECT doc_id AS id, split_part(coalesce(text, ''), chr(10), 1) AS title,
   coalesce(source, 'none') || '.example' AS domain,
   {LAT_SQL.format(k="doc_id")} AS lat, {LON_SQL.format(k="doc_id")} AS lon,
   ((doc_id * 37) % 201) / 10.0::DOUBLE - 10.0 AS tone, lpad((1 + doc_id % 20)::VARCHAR, 2, '0') AS root,
