@@ -83,13 +83,16 @@ def greedy_independent(rows: DataFrame, conflicts: DataFrame, key: str, stage: S
     going through all rows in order. Only rows that are in some conflict take part in the rounds.
     """
     pairs = stage.keep(conflicts.select("a", "b").distinct(), "conflicts-0")
-    gone, n = None, 0
+    gone, n = [], 0
     while not pairs.isEmpty():
         n += 1
         held_back = pairs.select(F.col("b").alias("a")).distinct()
         winners = pairs.select("a").distinct().join(held_back, "a", "left_anti")
         out = stage.keep(pairs.join(winners, "a").select(F.col("b").alias("out")).distinct(), f"conflicts-{n}-out")
-        gone = out if gone is None else stage.keep(gone.unionByName(out), f"conflicts-{n}-gone")
+        gone.append(out)
         left = pairs.join(winners, "a", "left_anti").join(out, F.col("a") == F.col("out"), "left_anti").join(out, F.col("b") == F.col("out"), "left_anti")
         pairs = stage.keep(left, f"conflicts-{n}")
-    return rows if gone is None else rows.join(gone, rows[key] == gone["out"], "left_anti")
+    if not gone:
+        return rows
+    every = reduce(lambda a, b: a.unionByName(b), gone)
+    return rows.join(every, rows[key] == every["out"], "left_anti")
