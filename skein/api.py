@@ -98,17 +98,15 @@ def source_status(configured: bool, refreshing: bool, failed: bool, n_rows: int)
     return "ok" if not failed else "degraded" if n_rows else "error"
 
 
-#: Hosts from which pictures are passed on, and the most bytes of one.
-PICTURE_HOSTS, PICTURE_BYTES = ("planespotters.net", "t.plnspttrs.net", "vesselfinder.net"), 500_000
+#: Hosts from which pictures are passed on, and the most bytes of one.
+PICTURE_HOSTS = ("cdn.jetphotos.com", "t.plnspttrs.net", "photos.marinetraffic.com", "www.marinetraffic.com")
+PICTURE_BYTES = 500 * 1024
 
 
 def pictures(rows: DataFrame, url: str = "url", content: str = "content") -> DataFrame:
     """Pictures of allowed hosts over https, within the size, as base64 text."""
     name = F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
-    allowed = F.lit(False)
-    for h in PICTURE_HOSTS:
-        allowed = allowed | (name == h) | name.endswith("." + h)
-    good = (F.try_parse_url(F.col(url), F.lit("PROTOCOL")) == "https") & allowed & (F.octet_length(content) <= PICTURE_BYTES)
+    good = (F.try_parse_url(F.col(url), F.lit("PROTOCOL")) == "https") & name.isin(*PICTURE_HOSTS) & (F.octet_length(content) <= PICTURE_BYTES)
     return rows.where(F.coalesce(good, F.lit(False))).select(url, F.base64(content).alias("data"))
 
 

@@ -52,8 +52,8 @@ def test_views(spark):
     assert tuple(shown) == ("fresh", "stale", "missing")
     assert [api.source_status(*x) for x in ((False, False, False, 0), (True, True, False, 0), (True, False, False, 0), (True, False, True, 3), (True, False, True, 0))] == ["not_configured", "refreshing", "ok", "degraded", "error"]
     assert api.launch_guard(False, 200, None) and not api.launch_guard(False, 500, 1.0) and not api.launch_guard(True, 500, 9.0)
-    rows = spark.createDataFrame([("https://cdn.planespotters.net/a", b"x"), ("http://planespotters.net/a", b"x"), ("https://evil.net/planespotters.net", b"x"), (None, b"x")], "url string, content binary")
-    assert [(r.url, r.data) for r in api.pictures(rows).collect()] == [("https://cdn.planespotters.net/a", "eA==")]
+    rows = spark.createDataFrame([("https://cdn.jetphotos.com/a", b"x"), ("http://cdn.jetphotos.com/a", b"x"), ("https://evil.net/cdn.jetphotos.com", b"x"), (None, b"x")], "url string, content binary")
+    assert [(r.url, r.data) for r in api.pictures(rows).collect()] == [("https://cdn.jetphotos.com/a", "eA==")]
 
 
 def test_record_readers(spark, tmp_path):
