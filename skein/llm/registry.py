@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, language, lm_score, media, mixture, near_dups, page_text, secret_scan, token_files
+from . import chat, contamination, language, lm_score, media, merkle, mixture, near_dups, page_text, prefix_trie, secret_scan, simhash, token_files
 
 QUERIES = {
     "op1_token_file": token_files.op1_token_file,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_near_duplicates": near_dups.op9_near_duplicates,
     "op10_page_text": page_text.op10_page_text,
+    "op11_simhash_duplicates": simhash.op11_simhash_duplicates,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
