@@ -30,7 +30,8 @@ def or_else(x: Column, other) -> Column:
 
 
 def clamp(x: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """``x`` within its bounds; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def hex_prefix(x: Column) -> Column:

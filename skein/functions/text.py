@@ -188,3 +188,140 @@ def jaccard(a: Column, b: Column) -> Column:
 def stamp(ts: Column) -> Column:
     """A 14-digit UTC stamp as a timestamp, null for anything else."""
     return F.when(ts.rlike(r"^\d{14}$"), F.try_to_timestamp(ts, F.lit("yyyyMMddHHmmss")))
+
+
+# Path segments that are no titles, words of sections, and scripts that are native to where they are written.
+NAVIGATION = (
+    "view", "news", "article", "articles", "read", "story", "stories", "post", "posts",
+    "page", "pages", "detail", "details", "content", "index", "home", "default",
+    "category", "categories", "tag", "tags", "search", "author", "authors",
+    "section", "topic", "topics", "latest", "breaking", "world", "politics",
+    "national", "local", "international", "sports", "business", "technology",
+    "opinion", "editorial", "comment", "comments", "html", "htm", "php", "aspx", "jsp",
+    "en", "fr", "ru", "zh", "ar", "ko", "ja", "de", "es", "pt", "tr", "fa", "he",
+    "update", "updates", "brief", "briefing", "briefings",
+    "report", "reports", "coverage", "headline", "headlines",
+    "alert", "alerts", "notice", "notices", "bulletin",
+    "summary", "recap", "roundup", "digest",
+    "live", "video", "photo", "photos", "gallery",
+    "explainer", "analysis", "feature", "features",
+)
+SECTIONS = "(?i)^(world|local|global|middle|east|west|north|south|cross|strait|politics|business|technology|defense|opinion|commentary|analysis|life|travel|culture)$"
+NATIVE = r"[\x{3000}-\x{9fff}\x{ac00}-\x{d7af}\x{0600}-\x{06ff}\x{0400}-\x{04ff}]"
+LEAST_NATIVE, LEAST_SINGLE, LEAST_TITLE, NATIVE_POINTS = 4, 12, 15, 500
+
+
+def _decoded(part: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))), part)
+
+
+def scored_title(url: Column) -> Column:
+    """The title that an address spells, null where it spells none.
+
+    First a query parameter in a native script; else the path segment with the highest score, words with letters times length
+    (more for native script), the first of equals. Navigation, numbers, hashes and single short words are no titles.
+    """
+    one_blank = lambda s, pattern: F.trim(F.regexp_replace(F.regexp_replace(s, pattern, " "), r"\s+", " "))
+    query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
+    values = F.transform(F.split(query, "&"), lambda p: _decoded(_decoded(F.replace(F.substring_index(p, "=", -1), F.lit("+"), F.lit(" ")))))
+    told = F.filter(F.transform(values, lambda v: one_blank(decode_entities(v), "[+_]+")), lambda v: v.rlike(NATIVE) & (F.length(v) >= LEAST_NATIVE))
+
+    segments = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda s: s != "")
+
+    def cleaned(s: Column) -> Column:
+        s = one_blank(F.regexp_replace(decode_entities(_decoded(s)), r"(?i)\.[a-z0-9]{2,6}$", ""), "[-_+%]+")
+        return F.trim(F.regexp_replace(F.regexp_replace(s, r"(\s+\d+)+\s*$", ""), r"^\s*\d+\s+", ""))
+
+    with_letters = lambda s: F.filter(F.split(s, r"\s+"), lambda w: w.rlike("(?i)[a-z]{2,}"))
+    generic = lambda w: F.lower(w).isin(*NAVIGATION) | w.rlike(SECTIONS)
+    scored = F.transform(F.transform(segments, cleaned), lambda s, i: F.struct(s.alias("s"), with_letters(s).alias("w"), (-i).alias("i")))
+    fit = F.filter(
+        scored,
+        lambda c: ~c["s"].rlike(r"^\d*$") & ~F.replace(c["s"], F.lit(" "), F.lit("")).rlike("(?i)^[0-9a-f]{16,64}$") & ~F.lower(c["s"]).isin(*NAVIGATION)
+        & (F.size(c["w"]) > 0) & ((F.size(c["w"]) > 1) | (F.length(c["s"]) >= LEAST_SINGLE)) & F.exists(c["w"], lambda w: ~generic(w)),
+    )
+    points = lambda c: F.size(c["w"]) * F.length(c["s"]) + F.when(c["s"].rlike(NATIVE), NATIVE_POINTS).otherwise(0)
+    best = F.array_max(F.transform(fit, lambda c: F.struct(points(c).alias("p"), c["i"].alias("i"), c["s"].alias("s"))))["s"]
+    enough = (best.rlike(NATIVE) & (F.length(best) >= LEAST_NATIVE)) | (F.length(best) >= LEAST_TITLE) | (best.rlike("[a-zA-Z]{3,}") & best.contains(" "))
+    return F.coalesce(F.get(told, F.lit(0)), F.when(enough, best))
+
+
+# Names of event codes.
+SUB_TYPES = {
+    "130": "Threaten", "134": "Threaten with military force", "139": "Threaten with military attack",
+    "141": "Demonstrate or rally", "145": "Protest violently, riot",
+    "150": "Demonstrate military or police power", "154": "Mobilize or increase armed forces", "155": "Mobilize cyber forces",
+    "160": "Reduce relations", "170": "Coerce",
+    "180": "Use conventional military force", "181": "Abduct, hijack, or take hostage", "182": "Physically assault",
+    "183": "Conduct bombing", "1831": "Carry out suicide bombing", "1832": "Carry out car bombing", "1833": "Carry out IED attack",
+    "184": "Use conventional weapons", "185": "Employ aerial weapons", "186": "Violate ceasefire",
+    "190": "Fight", "191": "Impose blockade, restrict movement", "192": "Occupy territory",
+    "193": "Fight with small arms and light weapons", "194": "Fight with artillery and tanks",
+    "195": "Employ aerial weapons", "196": "Violate ceasefire",
+    "200": "Engage in mass violence", "202": "Engage in mass killings", "204": "Use weapons of mass destruction",
+}
+
+
+def sub_type(code: Column) -> Column:
+    """The name of an event code, else of its first three or two characters, else Unknown."""
+    names = F.create_map(*(F.lit(x) for pair in SUB_TYPES.items() for x in pair))
+    return F.coalesce(*(F.try_element_at(names, F.substring(code, 1, n)) for n in (9, 3, 2)), F.lit("Unknown"))
+
+
+def without_fences(text: Column) -> Column:
+    """A provider's answer without the fences of a code block around it."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)^```(?:json)?\s*", "")
+    return F.trim(F.regexp_replace(out, r"\s*```$", ""))
+
+
+#: Characters that change the state of the automaton in ``balanced_object``.
+_MARKS = r"""[{}"\\]"""
+
+
+def balanced_object(text: Column) -> Column:
+    """The first JSON object of a text, from its first brace to the one that closes it; null where none is closed.
+
+    One pass of an automaton over the marks only (braces, quotes, backslashes): it knows how deep it is, whether it is inside a
+    string and whether the next character is escaped, and braces inside strings don't count. What lies between two marks only
+    moves the position, so a long text costs a step a mark.
+    """
+    clean = without_fences(text)
+    start = F.instr(clean, "{")
+    rest = F.substr(clean, start, F.length(clean))
+    # pieces end at a mark each: the stretch before it, then the mark
+    pieces = F.regexp_extract_all(rest, F.lit(r"""[^{}"\\]*[{}"\\]"""), F.lit(0))
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(-1).alias("escaped"), F.lit(0).alias("end"))
+
+    def step(s: Column, piece: Column) -> Column:
+        at = s["at"] + F.length(piece)
+        mark = F.right(piece, F.lit(1))
+        literal = s["inside"] & (s["escaped"] == at)  # the character right after a backslash
+        quote = (mark == '"') & ~literal
+        depth = s["depth"] + F.when(s["inside"] | (mark == '"') | (mark == "\\"), 0).when(mark == "{", 1).otherwise(-1)
+        return F.struct(
+            at.alias("at"), depth.alias("depth"), (s["inside"] != quote).alias("inside"),
+            F.when(s["inside"] & (mark == "\\") & ~literal, at + 1).otherwise(F.lit(-1)).alias("escaped"),
+            F.when(s["end"] > 0, s["end"]).when(~s["inside"] & (mark == "}") & (depth == 0), at).otherwise(0).alias("end"),
+        )
+
+    end = F.aggregate(pieces, first, step)["end"]
+    return F.when((start > 0) & (end > 0), F.substr(rest, F.lit(1), end))
+
+
+def json_array(text: Column) -> Column:
+    """The stretch from the first opening to the last closing bracket of a text, null where there is none."""
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\[.*\]", 0)
+    return F.nullif(found, F.lit(""))
+
+
+SIGNAL = "location_name string, summary string, key_points array<struct<point string, category string>>"
+
+
+def signal_answer(text: Column, most: int = 5) -> Column:
+    """A provider's summary (location_name, summary, key_points), mended; null where no object can be read from it."""
+    read = F.from_json(balanced_object(text), SIGNAL, {"mode": "PERMISSIVE"})
+    said = lambda c, other: F.trim(F.coalesce(c, F.lit(other)))
+    listed = F.slice(F.coalesce(read["key_points"], F.array().cast("array<struct<point string, category string>>")), 1, most)
+    points = F.filter(F.transform(listed, lambda p: F.struct(said(p["point"], "").alias("point"), F.lower(said(F.nullif(p["category"], F.lit("")), "conflict")).alias("category"))), lambda p: p["point"] != "")
+    valid = F.try_parse_json(balanced_object(text)).isNotNull()
+    return F.when(valid, F.struct(said(read["location_name"], "").alias("location_name"), said(read["summary"], "").alias("summary"), points.alias("key_points")))

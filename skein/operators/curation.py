@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as words
 from ..functions.geo import region_for_quota, region_of_event, severity
 from ..functions.numbers import half_up
-from ..functions.text import canonical_url, has_keyword, has_term, host, normalize, page_title, plain_word, story_family, title_key, title_of_url
+from ..functions.text import canonical_url, has_keyword, has_term, host, normalize, page_title, plain_word, scored_title, story_family, sub_type, title_key
 from ..storage import Stage
 from .scoring import BOOSTED_REGIONS, FORCE_ROOTS, HOTSPOTS, PRESSURE_ROOTS, STRUCTURAL_CODES, freshness, is_relevant, is_strategic, keep_event, structural_points, visibility
 from .selection import QUOTAS, greedy_distinct, quota_select
@@ -94,6 +94,21 @@ def corrected_country(rows: DataFrame, cells: DataFrame | None) -> DataFrame:
     return rows.withColumns({"geo_suspect": differs, "country": F.coalesce("cell_country", "country")}).drop("cell_key", "cell_country")
 
 
+def recentred(rows: DataFrame, centroids: DataFrame, original: str = "original_country") -> DataFrame:
+    """Events whose country was changed to another two-letter code move to that country's centre (code, mid_lat, mid_lon) and into its region.
+
+    Without an original code, without a change, or where no centre is known, they stay where they are.
+    """
+    c = F.col
+    was, now = F.upper(F.coalesce(original, F.lit(""))), F.upper(F.coalesce("country", F.lit("")))
+    changed = (was != "") & (now != was) & (F.length(now) == 2)
+    rows = rows.withColumn("to_", F.when(changed, now)).join(centroids.select(c("code").alias("to_"), "mid_lat", "mid_lon"), "to_", "left")
+    moved = c("mid_lat").isNotNull() & c("mid_lon").isNotNull()
+    rows = rows.withColumns({"lat": F.when(moved, c("mid_lat")).otherwise(c("lat")), "lon": F.when(moved, c("mid_lon")).otherwise(c("lon"))})
+    region = F.when(moved, region_of_event(c("lat"), c("lon"), F.upper("country"))).otherwise(c("region"))
+    return rows.withColumns({"region": region, "moved": moved}).drop("to_", "mid_lat", "mid_lon")
+
+
 def _list(name: str) -> Column:
     return F.array_join(F.coalesce(name, F.array().cast("array<string>")), " ")
 
@@ -147,7 +162,8 @@ def curated(rows: DataFrame, lists: Lists = Lists(), cells: DataFrame | None = N
     mentions, geo_type, age_h and added.
     """
     c = F.col
-    rows = rows.withColumns({"domain": host(c("address")), "title": F.coalesce(page_title(c("extras")), title_of_url(c("address")))}).where("title <> ''")
+    counts = {n: F.coalesce(n, F.lit(0)) for n in ("sources", "articles", "mentions")}
+    rows = _once(rows.withColumns(counts), {"domain": host(c("address")), "title": F.coalesce(page_title(c("extras")), scored_title(c("address")))}).where("title <> ''")
     signal = [c("title"), c("actor1"), c("actor2"), _list("themes"), _list("organizations"), _list("persons")]
     rows = _once(rows, {"signal": normalize(text_of(*signal)), "shown": normalize(text_of(c("title"), c("address")))})
     rows = rows.where(~c("domain").isin(*words.NOISE_DOMAINS) & ~_says(c("shown"), lists.noise))
@@ -161,7 +177,7 @@ def curated(rows: DataFrame, lists: Lists = Lists(), cells: DataFrame | None = N
     local = ~c("outweighed") & ~c("military") & (_says(s, words.LOCAL_ADMINISTRATION) | _says(s, words.CIVIL_CRIME))
     keep = keep_event(*map(c, ("root", "code", "sources", "military", "strong", "civilian")))
     rows = rows.where(keep & ~rejects_host(c("domain"), c("code"), c("root"), c("goldstein")) & ~F.coalesce(domestic, F.lit(False)) & ~local)
-    whole = normalize(text_of(*signal, c("address")))
+    whole = normalize(text_of(*signal, sub_type(c("code")), c("address")))
     rows = _once(rows, {"category": category_of(whole, *map(c, ("root", "code", "military", "civilian")))}).where("category <> 'discard'")
     rows = corrected_country(rows, cells)
     rows = _once(rows, {"region": region_of_event(c("lat"), c("lon"), c("country")), "seen": F.coalesce("mention_count", "mentions")})
@@ -201,7 +217,7 @@ KEYS = ("event_key", "url_key", "editorial_key", "family_key")
 
 def merged(rows: DataFrame, stage: Stage) -> DataFrame:
     """Best rows first, without any that shares a key with a kept one."""
-    order = [(-F.col(n)).alias(f"by{i}") for i, n in enumerate(ORDER)] + [F.col("id").alias("by_id")]
+    order = [(-F.coalesce(n, F.lit(0))).alias(f"by{i}") for i, n in enumerate(ORDER)] + [F.col("id").alias("by_id")]
     return greedy_distinct(merge_keys(rows), list(KEYS), order, stage)
 
 

@@ -92,15 +92,19 @@ def _ahead(rows: DataFrame, as_of: Column) -> DataFrame:
 
 
 def decays(rows: DataFrame, countries: DataFrame, as_of: Column) -> DataFrame:
-    """Decaying objects at the centre of their country (code, lat, lon), shifted by up to 4 degrees by a hash of the id; unknown countries go."""
+    """Decaying objects at the centre of their country (code, lat, lon), shifted by up to 4 degrees by a hash of the id; unknown countries go.
+
+    Without a decay date there are no days left to tell, and the least urgent colour.
+    """
     c = F.col
     out = _ahead(rows.withColumn("country", _or(F.nullif("COUNTRY_CODE", F.lit("")), "INTL")), as_of)
     out = out.join(countries.select(c("code").alias("country"), c("lat").alias("mid_lat"), c("lon").alias("mid_lon")), "country")
-    days = F.greatest(F.lit(0.0), (F.unix_seconds("decay") - F.unix_seconds(as_of)) / 86400.0)
-    shift = lambda salt: (F.pmod(F.crc32(F.concat(F.lit(salt), _or(c("NORAD_CAT_ID"), ""))), F.lit(1000)) / F.lit(1000.0) - 0.5) * 8
+    days = F.when(c("decay").isNotNull(), F.greatest(F.lit(0.0), (F.unix_seconds("decay") - F.unix_seconds(as_of)) / 86400.0))
+    drawn = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), _or(c("NORAD_CAT_ID"), ""))), 1, 8), 16, 10).cast("double")
+    shift = lambda salt: (drawn(salt) / F.lit(4294967296.0) - 0.5) * 8
     return out.withColumn("days_left", days).select(
         _or(c("NORAD_CAT_ID"), "unknown").alias("id"), F.coalesce("OBJECT_NAME", F.concat(F.lit("NORAD "), "NORAD_CAT_ID")).alias("name"), "country", *_numbers("WINDOW", "INCLINATION", "APOGEE", "PERIGEE"),
-        "days_left", _urgency(c("days_left"), (3, 7, 14)).alias("color"), (c("mid_lat") + shift("a")).alias("lat"), (c("mid_lon") + shift("o")).alias("lon"),
+        _or(c("OBJECT_ID"), "").alias("object_id"), c("DECAY_EPOCH").alias("decay_epoch"), c("MSG_EPOCH").alias("msg_epoch"), "days_left", _urgency(c("days_left"), (3, 7, 14)).alias("color"), (c("mid_lat") + shift("a")).alias("lat"), (c("mid_lon") + shift("o")).alias("lon"),
     )
 
 
@@ -186,6 +190,21 @@ def spread(points: DataFrame, ring: float = 0.18) -> DataFrame:
     return rows.withColumns({"map_lat": moved("lat", F.sin), "map_lon": moved("lon", F.cos)})
 
 
+GOLDEN_ANGLE = 137.5
+
+
+def spiral(points: DataFrame, digits: int, step: float, order: str = "id") -> DataFrame:
+    """Points of one place, to some decimals, on a golden-angle spiral in their order: the first stays, each six more lie a step further out.
+
+    Adds place number and map place. Only the points of one place come together, and only in their order.
+    """
+    key = [half_up(F.col("lat") * 10**digits), half_up(F.col("lon") * 10**digits)]
+    rows = points.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1)
+    angle, radius = F.radians(F.col("at") * F.lit(GOLDEN_ANGLE)), F.ceil(F.col("at") / 6) * F.lit(step)
+    moved = lambda c, f: F.when(F.col("at") > 0, F.col(c) + radius * f(angle)).otherwise(F.col(c))
+    return rows.withColumns({"map_lat": moved("lat", F.cos), "map_lon": moved("lon", F.sin)})
+
+
 def geojson(points: DataFrame, *properties: str) -> DataFrame:
     """One feature of each point as a JSON line, placed by ``map_lon`` and ``map_lat``."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array("map_lon", "map_lat").alias("coordinates"))

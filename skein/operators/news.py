@@ -177,6 +177,19 @@ def unique_items(items: DataFrame, order: str = "ord") -> DataFrame:
     return greedy_independent(once, duplicates(once, order), "id", Stage(items.sparkSession, "news"))
 
 
+def without_gray(items: DataFrame, verdicts: DataFrame, order: str = "ord") -> DataFrame:
+    """The items without the older one of each pair (a, b) that was judged the same; of one time, or without any, the one later in order goes.
+
+    Every verdict counts by itself: an item that one pair takes away still takes away others by its own pairs.
+    """
+    when = F.coalesce(F.unix_micros("ts"), F.lit(0))
+    side = lambda n: items.select(F.col("id").alias(n), F.struct(F.col(order).alias("ord"), when.alias("at"), F.col("id").alias("id")).alias(f"{n}_"))
+    pairs = verdicts.where("same").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    first, second = F.least("a_", "b_"), F.greatest("a_", "b_")  # by their place in order
+    gone = pairs.select(F.when(first["at"] >= second["at"], second["id"]).otherwise(first["id"]).alias("id")).distinct()
+    return items.join(gone, "id", "left_anti")
+
+
 #: Colours and labels of the map.
 MAP_STYLE = {"spatial": ("#a855f7", "SPATIAL"), "missile": ("#ef4444", "MISSILE"), "naval": ("#3b82f6", "NAVAL"), "aviation": ("#f59e0b", "AVIATION"), "military": ("#dc2626", "MILITARY")}
 

@@ -68,12 +68,14 @@ def structural_points(root: Column, code: Column) -> Column:
 
 
 def visibility(sources: Column, articles: Column, mentions: Column) -> Column:
-    part = lambda x, k, most: F.least(F.lit(float(most)), F.log1p(x.cast("double")) * float(k))
+    """Points of coverage; what is unknown counts as none."""
+    part = lambda x, k, most: F.least(F.lit(float(most)), F.log1p(F.coalesce(x.cast("double"), F.lit(0.0))) * float(k))
     return part(sources, 4, 12) + part(articles, 4, 12) + part(mentions, 5, 14)
 
 
 def freshness(age_hours: Column) -> Column:
-    return F.greatest(F.lit(0.0), 16.0 - F.least(F.lit(16.0), F.greatest(F.lit(0.0), age_hours)))
+    """16 points less one an hour; none where the age is unknown."""
+    return F.when(age_hours.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 16.0 - F.least(F.lit(16.0), F.greatest(F.lit(0.0), age_hours))))
 
 
 def event_score(c: dict[str, Column]) -> Column:
@@ -96,7 +98,7 @@ def event_score(c: dict[str, Column]) -> Column:
 
 
 def keep_event(root: Column, code: Column, sources: Column, military: Column, strong: Column, civilian: Column) -> Column:
-    structural = root.isin(*STRUCTURAL_ROOTS)
+    structural, sources = root.isin(*STRUCTURAL_ROOTS), F.coalesce(sources, F.lit(0))
     return (
         F.when(code.isin(*STRUCTURAL_CODES), True)
         .when(civilian & ~strong, False)
@@ -113,7 +115,7 @@ def is_strategic(root: Column, code: Column, goldstein: Column, score: Column, c
 
 
 def is_relevant(kind: Column, keep: Column, score: Column, sources: Column, strategic: Column, military: Column) -> Column:
-    multi = sources >= 2
+    multi = F.coalesce(sources, F.lit(0)) >= 2
     return (
         F.when((kind == "discard") | ~keep, False)
         .when(~multi & ~strategic & (score < LEAST_SCORE + 20), False)

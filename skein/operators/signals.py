@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, half_up
@@ -336,8 +336,10 @@ def naval_activity(signals: DataFrame, anomalies: DataFrame, key: str = "id", km
     c = F.col
     pairs = within_km(signals.select(key, "lat", "lon"), anomalies, km)
     pairs = pairs.withColumn("bonus", fusion_bonus(c("km"), km, c("anomaly_confidence"), c("anomaly_sensitive"))).where("bonus > 0")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-c("bonus")).alias("minus"), half_up(c("km")).alias("km"), "anomaly", "source"))), 1, most)
-    near = pairs.groupBy(key).agg(best.alias("near"))
+    told = F.struct((-c("bonus")).alias("minus"), half_up(c("km")).alias("km"), "anomaly", "source")
+    # ranked first, which keeps ``most`` rows of a signal before anything is gathered
+    best = pairs.withColumn("told", told).withColumn("rank_", F.row_number().over(Window.partitionBy(key).orderBy("told"))).where(c("rank_") <= most)
+    near = best.groupBy(key).agg(F.sort_array(F.collect_list("told")).alias("near"))
     near = near.select(key, "near", F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a - x["minus"]).alias("anomaly_bonus"), F.array_distinct(F.transform("near", lambda x: x["source"])).alias("sources"))
     rows = signals.join(near, key, "left").withColumn("anomaly_bonus", F.coalesce("anomaly_bonus", F.lit(0)))
     rows = rows.withColumn("recency_penalty", F.coalesce(recency_penalty(c("age_h")), F.lit(0)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, place_queries, record_queries, signal_queries, news_queries, fleet_queries, hazard_queries, curation_queries, label_queries
+from . import curation_queries, event_queries, fleet_queries, hazard_queries, headline_queries, label_queries, news_queries, place_queries, record_queries, signal_queries
 
-_MODULES = (event_queries, place_queries, record_queries, signal_queries, news_queries, fleet_queries, hazard_queries, curation_queries, label_queries)
+_MODULES = (event_queries, place_queries, record_queries, signal_queries, news_queries, fleet_queries, hazard_queries, curation_queries, label_queries, headline_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -57,8 +57,8 @@ kinds AS (SELECT *,
     WHEN root = '15' THEN CASE WHEN military THEN 'military' ELSE 'incident' END WHEN root = '14' THEN 'protest'
     WHEN root IN {_PRESSURE} THEN CASE WHEN military THEN 'strategic' ELSE 'incident' END ELSE 'discard' END AS category,
   floor(CASE WHEN code IN {_CODES} THEN 44 WHEN root IN {_FORCE} THEN 38 WHEN root = '15' THEN 34 WHEN root = '14' THEN 20 WHEN root IN {_PRESSURE} THEN 24 ELSE 10 END
-    + least(24.0::DOUBLE, abs(tone) * 4) + least(12.0::DOUBLE, ln(1 + sources) * 4) + least(12.0::DOUBLE, ln(1 + articles) * 4) + least(14.0::DOUBLE, ln(1 + mentions) * 5)
-    + greatest(0.0::DOUBLE, 16 - least(16.0::DOUBLE, age_h)) + CASE geo_type WHEN 4 THEN 12 WHEN 3 THEN 8 WHEN 2 THEN 4 WHEN 1 THEN 1 ELSE 0 END
+    + least(24.0::DOUBLE, abs(tone) * 4) + least(12.0::DOUBLE, ln(1 + coalesce(sources, 0)) * 4) + least(12.0::DOUBLE, ln(1 + coalesce(articles, 0)) * 4) + least(14.0::DOUBLE, ln(1 + coalesce(mentions, 0)) * 5)
+    + CASE WHEN age_h IS NULL THEN 0 ELSE greatest(0.0::DOUBLE, 16 - least(16.0::DOUBLE, age_h)) END + CASE geo_type WHEN 4 THEN 12 WHEN 3 THEN 8 WHEN 2 THEN 4 WHEN 1 THEN 1 ELSE 0 END
     + CASE WHEN strong THEN 12 WHEN military THEN 5 ELSE 0 END + CASE WHEN country IN {_HOT} THEN 18 ELSE 0 END + CASE WHEN region IN {_BOOSTED} THEN 8 ELSE 0 END
     - CASE WHEN civilian THEN 45 ELSE 0 END - CASE WHEN calming THEN 20 ELSE 0 END - CASE WHEN NOT military AND root IN {_FORCE} THEN 18 ELSE 0 END + 0.5)::BIGINT AS score
   FROM placed),

@@ -49,13 +49,15 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.cast("string").alias("NORAD_CAT_ID"), F.when(k % 5 != 0, F.concat(F.lit("obj"), k.cast("string"))).alias("OBJECT_NAME"), F.when(k % 11 != 0, epoch).alias("DECAY_EPOCH"), (k % 40).cast("string").alias("WINDOW"),
         F.lit("x").alias("INCLINATION"), (k % 400).cast("string").alias("APOGEE"), F.lit("").alias("PERIGEE"), _pick(CODES, k).alias("COUNTRY_CODE"), F.when(k % 7 == 0, "n/a").otherwise(lat_of(k).cast("string")).alias("LAT"),
         lon_of(k).cast("string").alias("LON"), F.when(k % 6 == 0, "Y").otherwise("N").alias("HIGH_INTEREST"),
+        F.when(k % 8 != 0, F.concat(F.lit("1998-"), k.cast("string"))).alias("OBJECT_ID"), F.when(k % 9 != 0, F.lit("2024-01-14")).alias("MSG_EPOCH"),
     )
 
 
 def decays(spark: SparkSession, sf_dir: str) -> DataFrame:
     countries = spark.createDataFrame([("US", 40.0, -100.0), ("RU", 60.0, 90.0), ("CN", 35.0, 105.0), ("INTL", 0.0, 0.0)], "code string, lat double, lon double")
     out = hazards.decays(_objects(spark, sf_dir), countries, _as_of())
-    return out.select("id", "name", "country", "window", "apogee", "perigee", F.floor(F.col("days_left") * 1000 + 0.5).cast("long").alias("days"), "color", F.floor(F.col("lat") * 1000 + 0.5).cast("long").alias("lat"))
+    thousandth = lambda x: F.floor(F.col(x) * 1000 + 0.5).cast("long")
+    return out.select("id", "name", "object_id", "decay_epoch", "msg_epoch", "country", "window", "apogee", "perigee", thousandth("days_left").alias("days"), "color", thousandth("lat").alias("lat"), thousandth("lon").alias("lon"))
 
 
 def reentries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +109,15 @@ def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.col("b.properties.n").alias("n"), F.col("b.properties.at").alias("at"), *(F.floor(F.get("b.geometry.coordinates", F.lit(i)) * 10000 + 0.5).cast("long").alias(x) for i, x in enumerate(("lon", "lat"))))
 
 
+def map_spiral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that share places on the golden-angle spirals of the two layers."""
+    k = F.col("o_orderkey")
+    points = table(spark, sf_dir, "orders").select(k.alias("id"), lat_of(k % 200).alias("lat"), lon_of(k % 200).alias("lon"))
+    wide = hazards.spiral(points, 3, 0.018).select("id", F.col("map_lat").alias("wide_lat"), F.col("map_lon").alias("wide_lon"))
+    rows = hazards.spiral(points, 4, 0.015).join(wide, "id")
+    return rows.select("id", "at", *(F.floor(F.col(c) * 100000 + 0.5).cast("long").alias(c) for c in ("map_lat", "map_lon", "wide_lat", "wide_lon")))
+
+
 def cell_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     out = hazards.cell_counts(table(spark, sf_dir, "orders").select(lat_of(k).alias("lat"), lon_of(k).alias("lon")), 20)
@@ -118,7 +129,7 @@ def countdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("id"), hazards.countdown((k % 5000 - 100).cast("long")).alias("told"))
 
 
-QUERIES = {f.__name__: f for f in (quakes, launch_pads, launches_at_pads, decays, reentries, soonest_reentries, space_weather, vessel_anomalies, conflict_records, map_features, cell_shares, countdowns)}
+QUERIES = {f.__name__: f for f in (quakes, launch_pads, launches_at_pads, decays, reentries, soonest_reentries, space_weather, vessel_anomalies, conflict_records, map_features, map_spiral, cell_shares, countdowns)}
 
 _K = "o_orderkey"
 _OBJECTS = f"""(SELECT {_K} AS k, {_K}::VARCHAR AS id, CASE WHEN {_K} % 5 <> 0 THEN 'obj' || {_K} ELSE 'NORAD ' || {_K} END AS name, CASE WHEN {_K} % 11 <> 0 THEN ({_K} % 3000 - 100) * 600 END AS left_,
@@ -150,6 +161,16 @@ SELECT id, day, CASE WHEN length(t) > 180 THEN t[1:177] || '...' ELSE t END AS t
     "map_features": f"""WITH p AS (SELECT c_custkey AS id, {LAT_SQL.format(k="(c_custkey % 70)")} AS lat, {LON_SQL.format(k="(c_custkey % 70)")} AS lon FROM customer),
 r AS (SELECT *, count(*) OVER (PARTITION BY floor(lat * 100 + 0.5), floor(lon * 100 + 0.5)) AS n, row_number() OVER (PARTITION BY floor(lat * 100 + 0.5), floor(lon * 100 + 0.5) ORDER BY id) - 1 AS "at" FROM p)
 SELECT id, n, "at", floor((lon + CASE WHEN n > 1 THEN cos("at" * 2 * pi() / n) * 0.18::DOUBLE ELSE 0 END) * 10000 + 0.5)::BIGINT AS lon, floor((lat + CASE WHEN n > 1 THEN sin("at" * 2 * pi() / n) * 0.18::DOUBLE ELSE 0 END) * 10000 + 0.5)::BIGINT AS lat FROM r""",
+    "decays": f"""WITH c(code, lat, lon) AS (VALUES ('US', 40.0::DOUBLE, -100.0::DOUBLE), ('RU', 60.0, 90.0), ('CN', 35.0, 105.0), ('INTL', 0.0, 0.0)),
+d AS (SELECT o.*, c.lat, c.lon, CASE WHEN left_ IS NOT NULL THEN greatest(0, left_) / 86400.0::DOUBLE END AS days_left FROM {_OBJECTS} o JOIN c ON c.code = o.country WHERE left_ IS NULL OR left_ >= -21600)
+SELECT id, name, CASE WHEN k % 8 <> 0 THEN '1998-' || k ELSE '' END AS object_id, strftime(TIMESTAMP '2024-01-15 00:00:00' + to_seconds(left_), '%Y-%m-%d %H:%M:%S') AS decay_epoch, CASE WHEN k % 9 <> 0 THEN '2024-01-14' END AS msg_epoch,
+  country, (k % 40)::DOUBLE AS "window", (k % 400)::DOUBLE AS apogee, 0.0::DOUBLE AS perigee, floor(days_left * 1000 + 0.5)::BIGINT AS days,
+  CASE WHEN days_left < 3 THEN '#ff2244' WHEN days_left < 7 THEN '#ff6600' WHEN days_left < 14 THEN '#ffaa00' ELSE '#ffdd55' END AS color,
+  floor((lat + (('0x' || md5('a' || id)[1:8])::BIGINT / 4294967296.0::DOUBLE - 0.5) * 8) * 1000 + 0.5)::BIGINT AS lat, floor((lon + (('0x' || md5('o' || id)[1:8])::BIGINT / 4294967296.0::DOUBLE - 0.5) * 8) * 1000 + 0.5)::BIGINT AS lon FROM d""",
+    "map_spiral": f"""WITH p AS (SELECT o_orderkey AS id, {LAT_SQL.format(k="(o_orderkey % 200)")} AS lat, {LON_SQL.format(k="(o_orderkey % 200)")} AS lon FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY floor(lat * 10000 + 0.5), floor(lon * 10000 + 0.5) ORDER BY id) - 1 AS n, row_number() OVER (PARTITION BY floor(lat * 1000 + 0.5), floor(lon * 1000 + 0.5) ORDER BY id) - 1 AS m FROM p)
+SELECT id, n AS "at", floor((lat + ceil(n / 6.0::DOUBLE) * 0.015::DOUBLE * cos(radians(n * 137.5::DOUBLE))) * 100000 + 0.5)::BIGINT AS map_lat, floor((lon + ceil(n / 6.0::DOUBLE) * 0.015::DOUBLE * sin(radians(n * 137.5::DOUBLE))) * 100000 + 0.5)::BIGINT AS map_lon,
+  floor((lat + ceil(m / 6.0::DOUBLE) * 0.018::DOUBLE * cos(radians(m * 137.5::DOUBLE))) * 100000 + 0.5)::BIGINT AS wide_lat, floor((lon + ceil(m / 6.0::DOUBLE) * 0.018::DOUBLE * sin(radians(m * 137.5::DOUBLE))) * 100000 + 0.5)::BIGINT AS wide_lon FROM r""",
     "cell_shares": f"""WITH c AS (SELECT (floor(({LAT_SQL.format(k=_K)}) / 20 + 0.5) * 20)::INT AS cell_lat, (floor(({LON_SQL.format(k=_K)}) / 20 + 0.5) * 20)::INT AS cell_lon, count(*) AS n FROM orders GROUP BY ALL)
 SELECT *, floor(n::DOUBLE / greatest((SELECT max(n) FROM c), 1) * 10000 + 0.5)::BIGINT AS share FROM c""",
     "countdowns": f"""WITH m AS (SELECT {_K} AS id, {_K} % 5000 - 100 AS m FROM orders) SELECT id, CASE WHEN m < 0 THEN 'LAUNCHED' WHEN m >= 1440 THEN printf('T-%dd %02d:%02d', m // 1440, m // 60 % 24, m % 60) ELSE printf('T-%02d:%02d', m // 60 % 24, m % 60) END AS told FROM m""",

@@ -71,13 +71,20 @@ def news_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.unique_items(items(spark, sf_dir).where("ts is not null")).select("id")
 
 
+def news_without_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items without the older one of each gray pair that a third of the verdicts call the same."""
+    rows = items(spark, sf_dir).where("ts is not null")
+    verdicts = news.gray_pairs(rows).select("a", "b", ((F.col("a") + F.col("b")) % 3 == 0).alias("same"))
+    return news.without_gray(rows, verdicts).select("id")
+
+
 def news_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of at most 500 items: new ones, then those of the last 72 hours."""
     rows = items(spark, sf_dir)
     return news.merged_cache(rows.where("id % 4 = 0"), rows.where("id % 4 <> 0"), F.lit(AS_OF).cast("timestamp")).select("id")
 
 
-QUERIES = {f.__name__: f for f in (news_classes, news_recent, news_for_map, news_counts, news_title_keys, news_duplicates, news_gray_pairs, news_unique, news_cache)}
+QUERIES = {f.__name__: f for f in (news_classes, news_recent, news_for_map, news_counts, news_title_keys, news_duplicates, news_gray_pairs, news_without_gray, news_unique, news_cache)}
 
 
 def _says(pattern: str, but: str) -> str:
@@ -110,9 +117,12 @@ SQL = {
     "news_duplicates": f"WITH {_WORDS}, {_pairs_sql('w')} SELECT a, b FROM dup",
     "news_gray_pairs": f"WITH {_WORDS}, {_pairs_sql('w')} SELECT a, b, floor(sim * 10000 + 0.5)::BIGINT AS similarity FROM pairs WHERE sim >= 0.25 AND sim < 0.55 AND apart <= 86400",
     "news_unique": f"""WITH RECURSIVE {_WORDS}, once AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord) = 1), {_pairs_sql('once')},
-before AS (SELECT b AS id, list(a) AS firsts FROM dup GROUP BY b), line AS (SELECT once.id, coalesce(firsts, []) AS firsts, row_number() OVER (ORDER BY ord) AS n FROM once LEFT JOIN before USING (id)),
-walk(n, kept) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT line.n, CASE WHEN list_has_any(kept, firsts) THEN kept ELSE list_append(kept, line.id) END FROM walk JOIN line ON line.n = walk.n + 1)
-SELECT unnest(kept) AS id FROM (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)""",
+left_(n, a, b) AS (SELECT 0, a, b FROM dup UNION ALL SELECT l.n + 1, l.a, l.b FROM left_ l WHERE l.a IN (SELECT b FROM left_) AND l.a NOT IN (SELECT b FROM left_ WHERE a NOT IN (SELECT b FROM left_))
+  AND l.b NOT IN (SELECT b FROM left_ WHERE a NOT IN (SELECT b FROM left_))),
+gone AS (SELECT DISTINCT x.b FROM left_ x ANTI JOIN left_ y ON y.n = x.n AND y.b = x.a)
+SELECT id FROM once WHERE id NOT IN (SELECT b FROM gone)""",
+    "news_without_gray": f"""WITH {_WORDS}, {_pairs_sql('w')}, gray AS (SELECT a, b FROM pairs WHERE sim >= 0.25 AND sim < 0.55 AND apart <= 86400 AND (a + b) % 3 = 0),
+gone AS (SELECT CASE WHEN x.ts >= y.ts THEN b ELSE a END AS id FROM gray JOIN w x ON x.id = a JOIN w y ON y.id = b) SELECT id FROM w WHERE id NOT IN (SELECT id FROM gone)""",
     "news_cache": f"""WITH both_ AS (SELECT id, ord, 0 AS old FROM {ITEM_SQL} WHERE id % 4 = 0 UNION ALL SELECT id, ord, 1 FROM {ITEM_SQL} WHERE id % 4 <> 0 AND ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 72 HOURS)
 SELECT id FROM both_ ORDER BY old, ord, id LIMIT 500""",
 }

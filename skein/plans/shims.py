@@ -40,11 +40,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k * 37 % 201) / F.lit(10.0) - F.lit(10.0)).alias("tone"),
         F.lpad((1 + k % 20).cast("string"), 2, "0").alias("root"),
         F.when(k % 20 == 17, F.lpad((180 + k % 4).cast("string"), 3, "0")).otherwise(F.concat(F.lpad((1 + k % 20).cast("string"), 2, "0"), (k % 10).cast("string"))).alias("code"),
-        (k % 7).alias("sources"),
-        (k % 11).alias("articles"),
-        (k % 23).alias("mentions"),
+        F.when(k % 43 != 42, k % 7).alias("sources"),
+        F.when(k % 37 != 36, k % 11).alias("articles"),
+        F.when(k % 29 != 28, k % 23).alias("mentions"),
         (1 + k % 4).alias("geo_type"),
-        (k % 30).cast("double").alias("age_h"),
+        F.when(k % 41 != 40, (k % 30).cast("double")).alias("age_h"),
         F.get(countries, (k % len(COUNTRIES)).cast("int")).alias("country"),
     )
 
@@ -54,7 +54,8 @@ EVENT_SQL = f"""(SELECT doc_id AS id, split_part(coalesce(text, ''), chr(10), 1)
   {LAT_SQL.format(k="doc_id")} AS lat, {LON_SQL.format(k="doc_id")} AS lon,
   ((doc_id * 37) % 201) / 10.0::DOUBLE - 10.0 AS tone, lpad((1 + doc_id % 20)::VARCHAR, 2, '0') AS root,
   CASE WHEN doc_id % 20 = 17 THEN lpad((180 + doc_id % 4)::VARCHAR, 3, '0') ELSE lpad((1 + doc_id % 20)::VARCHAR, 2, '0') || (doc_id % 10)::VARCHAR END AS code,
-  doc_id % 7 AS sources, doc_id % 11 AS articles, doc_id % 23 AS mentions, 1 + doc_id % 4 AS geo_type, (doc_id % 30)::DOUBLE AS age_h,
+  CASE WHEN doc_id % 43 <> 42 THEN doc_id % 7 ELSE 0 END AS sources, CASE WHEN doc_id % 37 <> 36 THEN doc_id % 11 ELSE 0 END AS articles, CASE WHEN doc_id % 29 <> 28 THEN doc_id % 23 ELSE 0 END AS mentions,
+  1 + doc_id % 4 AS geo_type, CASE WHEN doc_id % 41 <> 40 THEN (doc_id % 30)::DOUBLE END AS age_h,
   ({list(COUNTRIES)!r})[1 + doc_id % {len(COUNTRIES)}] AS country FROM documents)"""
 
 
