@@ -1,14 +1,15 @@
 """Operator 7: conversations of many layouts to one chat text (DataFrame functions only).
 
-Rows that are already turns are mapped by the field names of their struct and never
-become JSON, so neither a turn nor a conversation meets the limits of a JSON parser.
+The nested field paths of a record are hashed to a schema fingerprint, and a
+declarative mapping chosen by that fingerprint turns prompt, instruction and message
+layouts into canonical turns (role, text). A record is JSON, or a row that is already
+one turn. Of such a row only the skeleton is fingerprinted, its nested fields with a
+flag in place of each value, so no text becomes JSON and neither a turn nor a
+conversation meets the limits of a parser.
 
-Other records are JSON. The nested field paths of a record are hashed to a schema
-fingerprint, and a declarative mapping chosen by that fingerprint turns prompt,
-instruction and message layouts into canonical turns (role, text). A layout
-without a mapping gives null turns and is kept, and a record that can't be parsed
-(malformed, or beyond the limits of a variant) is an error, so nothing is lost
-silently.
+A JSON layout without a mapping gives null turns and is kept; a record that can't be
+parsed (malformed, or beyond the limits of a variant) and a turn without a mapping are
+errors, so nothing is lost silently.
 
 Template: each turn is ``<s>role[INST]text</s>``. Inside roles and texts ``~``,
 ``<`` and ``[`` are written ``~0``, ``~1`` and ``~2``, so no control string can
@@ -22,10 +23,12 @@ conversation. Repeated rows are turns of their own. An empty table gives no rows
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 #: Escapes, in the order in which they are written; read back in the reverse order.
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"))
@@ -74,12 +77,12 @@ LAYOUTS = (
 NAMES = ("messages", "role", "content", "conversations", "from", "value", "system", "prompt", "completion", "instruction", "input", "output")
 
 
-def fingerprint(variant: Column) -> Column:
-    """Hash of the nested paths of the fields that layouts use; types of leaves and leaves of other names don't count."""
+def fingerprint(variant: Column, names: tuple[str, ...] = NAMES) -> Column:
+    """Hash of the nested paths of the fields ``names``, which layouts use; types of leaves and leaves of other names don't count."""
     shape = F.schema_of_variant(variant)
     shape = F.regexp_replace(shape, r"\b(STRING|VOID|BIGINT|DOUBLE|BOOLEAN|VARIANT|DATE|FLOAT|BINARY|DECIMAL\(\d+,\s*\d+\))(?![\w:])", "_")
     shape = F.regexp_replace(shape, "ARRAY<_>", "_")
-    shape = F.regexp_replace(shape, rf"(?<=<|, )`?(?!(?:{'|'.join(NAMES)})`?:)[^`:<>,]+`?: _(?:, |(?=>))", "")
+    shape = F.regexp_replace(shape, rf"(?<=<|, )`?(?!(?:{'|'.join(names)})`?:)[^`:<>,]+`?: _(?:, |(?=>))", "")
     return F.xxhash64(F.regexp_replace(shape, ", >", ">"))
 
 
@@ -169,21 +172,39 @@ def loss_text(formatted: Column, loss: Column) -> Column:
     )
 
 
-#: Layouts of typed turns: the field names, and the role and text of a turn.
-TYPED = {
-    frozenset(("role", "text")): lambda m: (m["role"], m["text"]),
-    frozenset(("role", "content")): lambda m: (m["role"], m["content"]),
-    frozenset(("from", "value")): lambda m: (F.when(m["from"] == "human", "user").when(m["from"] == "gpt", "assistant").otherwise(m["from"]), m["value"]),
-}
+#: Layouts of rows that are one turn: an example with all its fields, and the role and the text of a turn.
+TURN_LAYOUTS = (
+    ('{"role": "", "text": ""}', "role", "text"),
+    ('{"role": "", "content": ""}', "role", "content"),
+    ('{"from": "", "value": ""}', "CASE `from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE `from` END", "value"),
+)
+TURN_NAMES = ("role", "text", "content", "from", "value")
+
+
+def skeleton(value: Column, kind: DataType) -> Column:
+    """A value's nested fields, with a flag in place of every leaf; a null leaf keeps its path, and what holds no field of a layout is a leaf."""
+    if isinstance(kind, StructType) and any(f.name in TURN_NAMES for f in kind):
+        return F.struct(*(skeleton(value[f.name], f.dataType).alias(f.name) for f in kind))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and any(f.name in TURN_NAMES for f in kind.elementType):
+        return F.transform(value, lambda x: skeleton(x, kind.elementType))
+    return value.isNotNull()
 
 
 def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """Rows of (conv_id, turn) and the fields of a turn as (conv_id, turns), one row a conversation."""
-    fields = frozenset(rows.columns) - {"conv_id", "turn"}
-    if fields not in TYPED:
-        raise ValueError(f"no mapping for turns of {sorted(fields)}")
-    role, text = TYPED[fields]({c: F.col(c) for c in fields})
-    said = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    """Rows of (conv_id, turn) and the fields of a turn as (conv_id, turns), one row a conversation; the fields' fingerprint chooses their mapping."""
+    fields = [f for f in rows.schema if f.name not in ("conv_id", "turn")]
+    fitting = [x for x in TURN_LAYOUTS if set(json.loads(x[0])) <= {f.name for f in fields}]
+    if not fitting:
+        raise ValueError(f"no mapping for turns of {sorted(f.name for f in fields)}")
+    known = rows.sparkSession.range(1).select(*(fingerprint(F.parse_json(F.lit(x[0])), TURN_NAMES).alias(f"f{i}") for i, x in enumerate(fitting))).first()
+    mark = fingerprint(F.to_variant_object(F.struct(*(skeleton(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields))), TURN_NAMES)
+    unknown = F.raise_error(F.lit("a turn whose layout has no mapping")).cast("string")
+
+    def mapped(i: int) -> Column:
+        return reduce(lambda rest, x: F.when(F.col("mark_") == x[0], F.expr(x[1][i]).cast("string")).otherwise(rest), zip(known, fitting, strict=True), unknown)
+
+    marked = rows.withColumn("mark_", mark)
+    said = marked.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(mapped(1), F.lit("")).alias("role"), F.coalesce(mapped(2), F.lit("")).alias("text"))
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     turns = F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
     return said.groupBy("conv_id").agg(ordered.alias("said")).select("conv_id", turns.alias("turns"))
