@@ -10,8 +10,12 @@ Recurrence can't tell what differs from page to page (adverts, reader comments,
 site's first pages), so beside it elements that say by name, role, class or id that
 they are menus, headers, footers, side bars, notices, adverts, forms or comments are
 deleted, and if a page has ``article`` or ``main`` elements their text is the main
-text, otherwise that of the body. ``hints=False`` leaves these out, and recurrence
-alone decides. Scripts, styles and other elements without text always go.
+text, otherwise that of the body. A name is a weak reason: a form, or an element that only
+its class or id speaks against, stays if it holds over half of the main text, and never
+takes an article with it; an article that its own class speaks against is one if the page
+has no other and it holds over half of the text. If names leave nothing, they delete
+nothing. ``hints=False`` leaves these out, and recurrence alone decides. Scripts, styles
+and other elements without text always go.
 
 White space inside a block becomes one space, and
 blocks are joined by one space in page order.
@@ -19,9 +23,10 @@ blocks are joined by one space in page order.
 A page is joined to those of its own subtrees that are templates, so what a page
 carries is bounded by its own elements, however many templates its host has.
 
-Null or empty html gives empty text. A null or unreadable url has the host ``""``.
-Repeated rows each give a row. Broken markup is read as far as it goes: a closing
-tag closes all that is open inside its element, and the end of the page closes all.
+Null or empty html gives empty text. A page with a null or unreadable url has no host,
+so no templates. Repeated rows each give a row. Broken markup is read as far as it goes: a
+closing tag closes all that is open inside its element, the end of the page closes all,
+and a quote that no attribute's end follows belongs to its value.
 """
 
 from __future__ import annotations
@@ -54,6 +59,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr br input".split()
 )
+#: Elements that go with all below them, articles too.
+CLOSED = DROPPED - {"form"}
 ARTICLE = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or id that name what isn't article text, anywhere and only outside an article.
@@ -61,12 +68,14 @@ ANYWHERE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner comment comments "
     "commentlist disqus replies reply respond share sharing social related recommended recommendations newsletter subscribe "
     "subscription signup popup modal overlay cookie cookies consent gdpr sidebar widget breadcrumb breadcrumbs pagination pager "
-    "nav navbar navigation menu".split()
+    "nav navbar navigation menu teaser teasers".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 OUTSIDE = ANYWHERE | frozenset("header masthead topbar footer bottombar side aside notice notices alert toolbar skip copyright legal login search".split())
 
-#: A tag ends at the next > outside quotes; a < before that means that it was none. Nothing is tried twice, so reading is linear.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+#: A tag ends at the next > outside quoted values; a < before that means that it was none. A value is quoted only if a blank, a slash
+#: or the tag's end follows its second quote.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/><]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s<>]*+))*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -91,16 +100,18 @@ def _named(attributes: str) -> tuple[frozenset[str], str, bool]:
 
 
 class _Element:
-    __slots__ = ("name", "dropped", "inside", "hash", "first", "holds", "blocked")
+    __slots__ = ("name", "dropped", "inside", "hash", "first", "holds", "blocked", "weak")
 
-    def __init__(self, name: str, dropped: bool, inside: bool, digest, first: int, holds: bool, blocked: bool):
+    def __init__(self, name: str, dropped: bool, inside: bool, digest, first: int, holds: bool, blocked: bool, weak: int):
         self.name, self.dropped, self.inside, self.hash, self.first, self.holds, self.blocked = name, dropped, inside, digest, first, holds, blocked
+        self.weak = weak  # the nearest element around the text that a name speaks against, -1 for none
 
 
 class Page:
     """Blocks of text in page order and the subtrees that may be template, by one pass over the tags.
 
-    ``blocks``: [text, inside an article]. ``containers``: (hash, first block, end of blocks).
+    ``blocks``: [text, inside an article, the nearest element that a name speaks against]; ``weak``: of each such element the
+    one around it, and whether it is an article. ``containers``: (hash, first block, end of blocks). ``kept``: the main text.
     """
 
     def __init__(self, source: str, hints: bool = True):
@@ -109,6 +120,7 @@ class Page:
         self.blocks: list[list] = []
         self.containers: list[tuple[int, int, int]] = []
         self.has_article = False
+        self.weak: list[tuple[int, bool]] = []
         self.open: list[_Element] = []
         self.pending: list[str] = []
         at, n = 0, len(source)
@@ -138,10 +150,47 @@ class Page:
         while self.open:
             self._pop()
         self._flush()
-        self.sizes = [len(t) + 1 if inside or not self.has_article else 0 for t, inside in self.blocks]
+        self.kept = self._main_text()
+        self.sizes = [len(t) + 1 if stays else 0 for (t, _, _), stays in zip(self.blocks, self.kept, strict=True)]
         self.before = list(accumulate(self.sizes, initial=0))
         most = NEARLY_ALL * self.before[-1]
-        self.containers = [c for c in self.containers if self.before[c[2]] - self.before[c[1]] < most]
+        self.containers = [c for c in self.containers if 0 < self.before[c[2]] - self.before[c[1]] < most]
+
+    def _weighed(self, counts: list[bool]) -> tuple[list[int], int]:
+        """Characters of the blocks that count in each element that a name speaks against, and in all."""
+        held, total = [0] * len(self.weak), 0
+        for (text, _, weak), yes in zip(self.blocks, counts, strict=True):
+            if yes:
+                total += len(text) + 1
+                if weak >= 0:
+                    held[weak] += len(text) + 1
+        for i in range(len(held) - 1, -1, -1):  # what is around an element has a lower number
+            if self.weak[i][0] >= 0:
+                held[self.weak[i][0]] += held[i]
+        return held, total
+
+    def _within(self, marked: list[bool]) -> list[bool]:
+        """Of each element that a name speaks against, whether it or one around it is marked."""
+        out: list[bool] = []
+        for (above, _), mark in zip(self.weak, marked, strict=True):
+            out.append(mark or above >= 0 and out[above])
+        return out
+
+    def _main_text(self) -> list[bool]:
+        """Which blocks are main text, before templates are known."""
+        counts = [inside or not self.has_article for _, inside, _ in self.blocks]
+        if not self.weak:
+            return counts
+        if not self.has_article:
+            held, total = self._weighed(counts)
+            large = [i for i, (_, article) in enumerate(self.weak) if article and 2 * held[i] > total]
+            if large:  # the innermost of several
+                own = self._within([i == large[-1] for i in range(len(self.weak))])
+                counts, self.has_article = [weak >= 0 and own[weak] for _, _, weak in self.blocks], True
+        held, total = self._weighed(counts)
+        gone = self._within([2 * n <= total for n in held])
+        left = [yes and not (weak >= 0 and gone[weak]) for yes, (_, _, weak) in zip(counts, self.blocks, strict=True)]
+        return left if any(left) else counts
 
     def _text(self, text: str) -> None:
         if self.open and self.open[-1].dropped:
@@ -156,7 +205,7 @@ class Page:
             self.pending.clear()
             if text:
                 inside = bool(self.open) and self.open[-1].inside
-                self.blocks.append([text, inside])
+                self.blocks.append([text, inside, self.open[-1].weak if self.open else -1])
                 if self.open:
                     self.open[-1].hash.update(text.encode("utf-8", "replace"))
 
@@ -176,33 +225,39 @@ class Page:
             if name in VOID or above is None:
                 return
             # plain inline marks only need to be there for their closing tag
-            self._push(_Element(name, above.dropped, above.inside, above.hash, -1, False, above.blocked))
+            self._push(_Element(name, above.dropped, above.inside, above.hash, -1, False, above.blocked, above.weak))
             return
         if name not in INLINE:
             self._flush()
         words, role, hidden = _named(attributes) if attributes else (frozenset(), "", False)
         inside = above is not None and above.inside
         dropped = above is not None and above.dropped
-        holds = False
+        weak = above.weak if above is not None else -1
+        holds = against = False
         if self.hints and (name in ARTICLE or role == "main"):
-            # an article lifts what an unclosed element before it would have dropped, but not what holds it by name
-            if not (above is not None and above.blocked) and not (words & ANYWHERE):
-                dropped, inside, holds = False, True, True
-                self.has_article = True
+            # an article lifts what an element around it would have dropped, unless that takes articles too
+            if not (above is not None and above.blocked):
+                dropped = False
+                if words & ANYWHERE:
+                    weak = self._speak_against(weak, True)
+                else:
+                    inside = holds = self.has_article = True
+                    weak = -1
         if not self.hints:
             dropped = dropped or name in TEXTLESS
         elif not dropped and name not in ("html", "body"):
-            dropped = (
-                name in DROPPED
-                or hidden
-                or role in ROLES
-                or bool(words & (ANYWHERE if inside else OUTSIDE)) and name not in ARTICLE
-                or name == "header" and not inside
-                or name in ARTICLE and bool(words & ANYWHERE)
-            )
+            named = bool(words & (ANYWHERE if inside else OUTSIDE)) and name not in ARTICLE
+            dropped = name in CLOSED or hidden or role in ROLES or name == "header" and not inside or named and (name in INLINE or bool(words & COMMENTS))
+            against = not dropped and (named or name == "form")
+            if against:
+                weak = self._speak_against(weak, False)
         digest = blake2b(f"{name} {' '.join(sorted(words))}".encode("utf-8", "replace"), digest_size=8)
-        blocked = above is not None and above.blocked or dropped and (name in DROPPED or inside)
-        self._push(_Element(name, dropped, inside, digest, len(self.blocks), holds, blocked))
+        blocked = above is not None and above.blocked or dropped and (name in CLOSED or inside) or against and inside
+        self._push(_Element(name, dropped, inside, digest, len(self.blocks), holds, blocked, weak))
+
+    def _speak_against(self, above: int, article: bool) -> int:
+        self.weak.append((above, article))
+        return len(self.weak) - 1
 
     def _close(self, name: str) -> None:
         if name not in INLINE:
@@ -239,10 +294,10 @@ class Page:
             if digest in templates:
                 steps[first] += 1
                 steps[end] -= 1
-        kept = [not depth for depth in accumulate(steps)][: len(self.blocks)]
+        kept = [not depth for depth in accumulate(steps)][: len(self.blocks)]  # by templates, of what is main text
         if sum(n for n, stays in zip(self.sizes, kept, strict=True) if not stays) >= NEARLY_ALL * self.before[-1]:
             kept = [True] * len(self.blocks)
-        return " ".join(t for (t, inside), stays in zip(self.blocks, kept, strict=True) if stays and (inside or not self.has_article))
+        return " ".join(t for (t, _, _), stays, main in zip(self.blocks, kept, self.kept, strict=True) if stays and main)
 
 
 def with_host(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -269,7 +324,7 @@ def page_subtrees(pages: DataFrame, hints: bool = True) -> DataFrame:
 
 def site_templates(subtrees: DataFrame) -> DataFrame:
     """(host, digest) of the subtrees that recur on many different pages of a host."""
-    once = subtrees.groupBy("host", "same").agg(F.min_by("digests", "node").alias("digests"))
+    once = subtrees.where("host <> ''").groupBy("host", "same").agg(F.min_by("digests", "node").alias("digests"))
     return once.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").count().where(F.col("count") >= LEAST_PAGES).select("host", "digest")
 
 
