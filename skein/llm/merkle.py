@@ -153,7 +153,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None, levels: int = LEVE
     leaves = docs.select("doc_id", source.alias("tree"), leaf([F.col(c) for c in FIELDS]).alias("digest"), changed.alias("other"))
     # a leaf that stays as it is need not be told twice
     leaves = leaves.withColumn("other", F.when(F.col("other") != F.col("digest"), F.col("other"))).withColumn("id", F.col("doc_id").cast("string"))
-    placed = running(leaves, "tree", ["doc_id", "digest"], [], ["tree", "id", "digest", "other"], stage, "leaves").withColumnRenamed("at", "idx")
+    leaves = stage.keep(leaves, "leaves")  # texts are read and hashed once; what is dealt out are digests
+    placed = running(leaves, "tree", ["doc_id", "digest"], [], ["tree", "id", "digest", "other"], stage, "placed").withColumnRenamed("at", "idx")
 
     rounds = _reduced(placed, levels, stage, "sources")
     subroots = rounds[-1].select(F.lit("all").alias("all"), F.col("tree").alias("source"), "digest")

@@ -52,8 +52,8 @@ def placed_turns(rows: DataFrame, stage: Stage) -> DataFrame:
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     said = rows.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", empty("role"), empty("text"))
     digest = F.md5(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"))
-    said = said.withColumn("digest", digest).withColumn("words", F.regexp_count("text", F.lit(WORD)).cast("long"))
-    placed = running(said, "conv_id", ["turn", "role", "text"], [], ["conv_id", "digest", "words"], stage, "placed")
+    keep = ["conv_id", digest.alias("digest"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("words")]
+    placed = running(said, "conv_id", ["turn", "role", "text"], [], keep, stage, "placed")
     return placed.select("conv_id", "at", F.xxhash64("digest").alias("x"), F.xxhash64("digest", F.lit(1)).alias("y"), "words")
 
 

@@ -63,9 +63,11 @@ def _carried_over(parts: list, sums: list[str]) -> list[tuple]:
     return out
 
 
-def running(rows: DataFrame, group: str, order: list[str | Column], sums: list[str], keep: list[str], stage: Stage, name: str) -> DataFrame:
+def running(rows: DataFrame, group: str, order: list[str | Column], sums: list[str], keep: list[str | Column], stage: Stage, name: str) -> DataFrame:
     """The columns ``keep`` (which hold ``group``, never null, and ``sums``) with ``at`` and ``run_<sum>``.
 
+    ``keep`` is computed after the rows were dealt out, so once; the order is looked at before, for a sample of its ranges.
+
     ``at`` is the row's place in its group by ``order``, from 0, and each ``run_<sum>`` the sum (modulo 2^62) up to and
     with the row. Rows are dealt out by ranges of group and order, so a group that holds most rows is spread over as many
     tasks as it needs. What one task hands to the next is one row a task: the only thing that comes to the driver.
@@ -73,6 +75,7 @@ def running(rows: DataFrame, group: str, order: list[str | Column], sums: list[s
     spark = rows.sparkSession
     keys = [F.col(group), *(F.col(o) if isinstance(o, str) else o for o in order)]
     dealt = rows.repartitionByRange(*keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys).select(*keep)
+    keep = dealt.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in dealt.schema)}, part_ long, at long"
     schema += "".join(f", run_{s} long" for s in sums)
     placed = stage.keep(map_batches(dealt, _in_parts(keep, group, sums), schema), name)
