@@ -154,6 +154,20 @@ def air_tracks(aircraft: DataFrame, helicopters: tuple[str, ...] = ()) -> DataFr
     )
 
 
+def as_feed(aircraft: DataFrame) -> DataFrame:
+    """Aircraft under the names of the feed that they came from; no activity is null with confidence 0."""
+    renamed = {"hex": "id", "flight": "callsign", "lat": "lat", "lon": "lon", "alt_baro": "alt_ft", "gs": "speed", "track": "track", "t": "type", "activity": "activity"}
+    out = [F.col(old).alias(new) if old in aircraft.columns else F.lit(None).cast("string").alias(new) for new, old in renamed.items()]
+    sure = F.coalesce("activity_confidence", F.lit(0.0)) if "activity_confidence" in aircraft.columns else F.lit(0.0)
+    return aircraft.select(*out, sure.alias("activity_confidence"))
+
+
+def shown_tracks(tracks: DataFrame) -> DataFrame:
+    """Tracks of the map: aircraft of one common country only where they are surely military."""
+    common = (F.col("domain") == "air") & (F.coalesce("country", F.lit("")) == "USA") & (F.coalesce("mil_score", F.lit(0)) != 100)
+    return tracks.where(~common)
+
+
 def sea_tracks(ships: DataFrame) -> DataFrame:
     """Ships (id, name, callsign, country, lon, lat, sog, cog, heading, ship_type, verified) as normal tracks."""
     c = F.col

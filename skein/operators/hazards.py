@@ -30,6 +30,31 @@ def quake_color(mag: Column, alert: Column) -> Column:
     return out
 
 
+# Colours of the planetary index and of the storm scales, sizes and least strength of quakes on the map.
+KP_COLORS, SCALE_COLORS = ((7, "#ff2244"), (5, "#ff6600"), (4, "#ffaa00"), (3, "#ffdd55")), ((4, "#ff2244"), (3, "#ff6600"), (2, "#ffaa00"), (1, "#ffdd55"))
+UNKNOWN_COLOR, CALM_COLOR, LEAST_SHOWN = "#2a4a5a", "#00ff88", 5.5
+
+
+def _stepped(x: Column, steps: tuple, otherwise: str) -> Column:
+    out = F.lit(otherwise)
+    for least, color in reversed(steps):
+        out = F.when(x >= least, color).otherwise(out)
+    return out
+
+
+def kp_color(kp: Column) -> Column:
+    return F.when(kp.isNull(), UNKNOWN_COLOR).otherwise(_stepped(kp, KP_COLORS, CALM_COLOR))
+
+
+def scale_color(level: Column) -> Column:
+    return _stepped(_or(level, 0), SCALE_COLORS, UNKNOWN_COLOR)
+
+
+def shown_quakes(rows: DataFrame, least: float = LEAST_SHOWN) -> DataFrame:
+    """Quakes that are strong enough for the map, with the radius of their mark."""
+    return rows.where(F.col("mag") >= least).withColumn("radius", F.when(F.col("mag") >= 7.5, 22).when(F.col("mag") >= 6.5, 14).otherwise(8))
+
+
 def quakes(features: DataFrame) -> DataFrame:
     """Flat rows of features (id, properties, geometry); what is missing is 0 or empty."""
     p, at = (lambda n: F.col(f"properties.{n}")), (lambda i: _or(F.get("geometry.coordinates", F.lit(i)), 0.0))
@@ -119,6 +144,12 @@ def reentries(rows: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def vessel_events_in(rows: DataFrame, as_of: Column, days: int = 90, most: int = 99) -> DataFrame:
+    """Events that begin on one of the last days, newest first; at most ``most``, as the source's own page."""
+    day = F.to_date("start")
+    return rows.where((day >= F.date_sub(F.to_date(as_of), days)) & (day <= F.to_date(as_of))).orderBy(F.desc("start"), "ord").limit(most)
+
+
 def soonest(objects: DataFrame, left: str, otherwise: float) -> DataFrame:
     """In order of the time left, unknown ones as if it were ``otherwise``."""
     return objects.orderBy(F.coalesce(F.col(left), F.lit(otherwise)), "id")

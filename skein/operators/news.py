@@ -203,6 +203,17 @@ def for_map(events: DataFrame) -> DataFrame:
     return placed.withColumns({"color": color, "label": label})
 
 
+#: Domains of the views; the view of everything else leaves out what has one of its own.
+VIEWS = {"air": ("aviation",), "sea": ("naval",), "space": ("spatial",)}
+
+
+def in_view(events: DataFrame, view: str) -> DataFrame:
+    """Events of one view of the map: air, sea, space, ``osint`` for all without a view of their own, or another name for all."""
+    if view == "osint":
+        return events.where(~F.coalesce(F.col("domain").isin(*(d for own in VIEWS.values() for d in own)), F.lit(False)))
+    return events.where(F.col("domain").isin(*VIEWS[view])) if view in VIEWS else events
+
+
 def merged_cache(new: DataFrame, existing: DataFrame, as_of: Column, most: int = 500) -> DataFrame:
     """New items first, then those of the last 72 hours, in their orders; at most ``most``: a report's cap."""
     fresh = existing.where(F.col("ts") > as_of - F.expr(f"INTERVAL {DEDUP_HOURS} HOURS"))

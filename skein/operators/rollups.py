@@ -25,11 +25,25 @@ def day_history(rows: DataFrame, day: str, category: Column, severity: Column) -
 
 
 def calibration(events: DataFrame) -> DataFrame:
-    """Counts by region, category, country and domain in one pass of grouping sets, with the share of strategic ones."""
-    cube = events.groupingSets([[c] for c in ("region", "category", "country", "domain")], "region", "category", "country", "domain")
-    out = cube.agg(F.count("*").alias("n"), F.sum(F.col("strategic").cast("long")).alias("n_strategic"), F.grouping_id().alias("gid"))
-    facet = F.when(F.col("gid") == 7, "region").when(F.col("gid") == 11, "category").when(F.col("gid") == 13, "country").otherwise("domain")
-    return out.select(facet.alias("facet"), F.coalesce("region", "category", "country", "domain").alias("value"), "n", "n_strategic")
+    """Counts by region, category, country, domain and bucket (where there is one) in one pass of grouping sets, with the share of strategic ones.
+
+    What is unknown is ``other``, ``incident`` and ``general``; rows without country or domain don't count there.
+    """
+    unknown = {"region": "other", "category": "incident", "bucket": "general"}
+    facets = [c for c in ("region", "category", "country", "domain", "bucket") if c in events.columns]
+    named = events.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in unknown.items() if c in facets})
+    out = named.groupingSets([[c] for c in facets], *facets).agg(F.count("*").alias("n"), F.sum(F.col("strategic").cast("long")).alias("n_strategic"), F.grouping_id().alias("gid"))
+    facet = F.lit(None).cast("string")
+    for i, name in enumerate(reversed(facets)):  # the last facet's bit is the lowest, and a grouped facet's bit is 0
+        facet = F.when(F.col("gid") == (1 << len(facets)) - 1 - (1 << i), name).otherwise(facet)
+    return out.select(facet.alias("facet"), F.coalesce(*facets).alias("value"), "n", "n_strategic").where("value is not null")
+
+
+def calibration_text(counts: DataFrame, most: int = 12) -> DataFrame:
+    """(facet, text): the ``most`` most frequent values of each facet as ``value=n``, best first."""
+    best = counts.withColumn("rank_", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))).where(F.col("rank_") <= most)
+    told = F.sort_array(F.collect_list(F.struct("rank_", F.concat_ws("=", "value", F.col("n").cast("string")).alias("t"))))
+    return best.groupBy("facet").agg(F.array_join(F.transform(told, lambda x: x["t"]), " ").alias("text"))
 
 
 def grid_clusters(events: DataFrame, size: int = 2, least: int = 3, most: int = 30) -> DataFrame:

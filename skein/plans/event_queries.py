@@ -113,7 +113,19 @@ def map_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.calibration(scored_events(spark, sf_dir))
+    return rollups.calibration(_bucketed(spark, sf_dir))
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id")
+    unknown = lambda c, n: F.when(k % n != 0, F.col(c)).alias(c)
+    rows = scored_events(spark, sf_dir)
+    return rows.select(unknown("region", 19), unknown("category", 17), unknown("country", 13), unknown("domain", 11), F.when(k % 7 != 0, F.when(k % 2 == 0, "cyber").otherwise("maritime")).alias("bucket"), "strategic")
+
+
+def calibration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent values of each facet in one line."""
+    return rollups.calibration_text(rollups.calibration(_bucketed(spark, sf_dir)), 3)
 
 
 def grid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,10 +186,14 @@ def unseen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    a_curated_events, mention_argmax, event_scores, map_regions, calibration_counts, grid_clusters, cluster_members, quota_selection,
+    a_curated_events, mention_argmax, event_scores, map_regions, calibration_counts, calibration_text, grid_clusters, cluster_members, quota_selection,
     keep_best, greedy_multi_key, similar_titles, fingerprints, facet_filter, top_events, unseen_events,
 )}
 
+_FACETS_SQL = "facets AS (" + " UNION ALL ".join(f"SELECT '{n}' AS facet, v AS value, count(*) AS n, sum(strategic::INT)::BIGINT AS n_strategic FROM (SELECT {v} AS v, strategic FROM scored) WHERE v IS NOT NULL GROUP BY v" for n, v in (
+    ("region", "CASE WHEN id % 19 <> 0 THEN region ELSE 'other' END"), ("category", "CASE WHEN id % 17 <> 0 THEN category ELSE 'incident' END"), ("country", "CASE WHEN id % 13 <> 0 THEN country END"),
+    ("domain", "CASE WHEN id % 11 <> 0 THEN domain END"), ("bucket", "CASE WHEN id % 7 = 0 THEN 'general' WHEN id % 2 = 0 THEN 'cyber' ELSE 'maritime' END"),
+)) + ")"
 _FINGERPRINT_SQL = "sha1(title || '|' || country || '|' || category)"
 _CELLS_SQL = "SELECT *, (floor(lat / 20 + 0.5) * 20)::INT AS cell_lat, (floor(lon / 20 + 0.5) * 20)::INT AS cell_lon FROM scored"
 _CLUSTERS_SQL = "SELECT cell_lat, cell_lon, count(*) AS n, max(score) AS top_score FROM cells GROUP BY ALL HAVING count(*) >= 3 ORDER BY n DESC, cell_lat, cell_lon LIMIT 30"
@@ -191,8 +207,9 @@ good AS (SELECT *, {QUOTA_REGION_SQL} AS quota_region FROM scored WHERE relevant
   arg_max(identifier, {{c: confidence, s: seq}}) FILTER (identifier <> '') AS best_identifier FROM {MENTION_SQL} GROUP BY event_id""",
     "event_scores": f"WITH {SCORED_SQL} SELECT id, military_hits, category, region, severity, score, keep, strategic, relevant FROM scored",
     "map_regions": f"SELECT {MAP_REGION_SQL} AS map_region, {QUOTA_REGION_SQL} AS quota_region, count(*) AS n FROM {EVENT_SQL} GROUP BY ALL",
-    "calibration_counts": f"""WITH {SCORED_SQL} SELECT CASE grouping(region, category, country, domain) WHEN 7 THEN 'region' WHEN 11 THEN 'category' WHEN 13 THEN 'country' ELSE 'domain' END AS facet,
-  coalesce(region, category, country, domain) AS value, count(*) AS n, sum(strategic::INT)::BIGINT AS n_strategic FROM scored GROUP BY GROUPING SETS ((region), (category), (country), (domain))""",
+    "calibration_counts": f"WITH {SCORED_SQL}, {_FACETS_SQL} SELECT * FROM facets",
+    "calibration_text": f"""WITH {SCORED_SQL}, {_FACETS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM facets QUALIFY r <= 3)
+SELECT facet, string_agg(value || '=' || n, ' ' ORDER BY r) AS text FROM r GROUP BY facet""",
     "grid_clusters": f"WITH {SCORED_SQL}, cells AS ({_CELLS_SQL}) {_CLUSTERS_SQL}",
     "cluster_members": f"""WITH {SCORED_SQL}, cells AS ({_CELLS_SQL}), best AS ({_CLUSTERS_SQL})
 SELECT cell_lat, cell_lon, id, score, row_number() OVER (PARTITION BY cell_lat, cell_lon ORDER BY score DESC, id) AS rank FROM cells JOIN best USING (cell_lat, cell_lon) QUALIFY rank <= 10""",

@@ -5,6 +5,7 @@ All go through Spark's writers, so a failed write leaves what was there.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,14 +43,35 @@ class Versions:
         whole = self._whole()
         return self.spark.read.parquet(f"{self.path}/{whole[-1]}") if whole else None
 
-    def replace(self, df: DataFrame) -> DataFrame:
-        """Write the rows as the next version."""
+    def replace(self, df: DataFrame, marks: dict | None = None) -> DataFrame:
+        """Write the rows as the next version, with marks (such as how far each feed was read) that count only together with it."""
         whole = self._whole()
         number = int(whole[-1][1:13]) + 1 if whole else 0
         target = f"{self.path}/v{number:012d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(target)
+        if marks is not None:  # before the rows, whose end makes the version whole
+            self._text(f"{target}/_marks", json.dumps(marks))
+        df.write.mode("append").parquet(target)
         return self.spark.read.parquet(target)
 
+    def marks(self) -> dict:
+        """The marks of the newest version, empty where it has none."""
+        whole = self._whole()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{whole[-1]}/_marks") if whole else None
+        if path is None or not self._fs.exists(path):
+            return {}
+        stream = self._fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _text(self, path: str, text: str) -> None:
+        out = self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
     def save_more(self, df: DataFrame) -> bool:
         """Replace only by rows that are some, and not fewer than those that are there; whether it was done."""
         held, n = self.read(), df.count()

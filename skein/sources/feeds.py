@@ -38,6 +38,36 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return wide.dropna(subset=kinds)
 
 
+def read_manifests(spark: SparkSession, paths: dict[str, str | None]) -> DataFrame:
+    """Batches of several file lists, with ``feed`` naming each; a list without a path, or that isn't there, is left out."""
+    found = None
+    for feed, path in paths.items():
+        if path is None or not _is_there(spark, path):
+            continue
+        rows = read_manifest(spark, path).withColumn("feed", F.lit(feed))
+        found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], "ts string, events string, mentions string, gkg string, feed string") if found is None else found
+
+
+def _is_there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+
+
+#: Positions of the fields in the public mention feed.
+MENTION_FIELDS = {"event_id": 0, "seen_at": 2, "identifier": 5, "confidence": 11, "tone": 13}
+
+
+def read_mentions(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of tab-separated mention files with 14 fields at least and an event, in their order (seq); what is no number is null."""
+    parts = F.split("value", "\t", -1)
+    at = lambda n: F.trim(parts[MENTION_FIELDS[n]])
+    rows = spark.read.text(path).where(F.size(parts) >= 14)
+    number = lambda n: F.when(~F.isnan(at(n).try_cast("double")), at(n).try_cast("double")).alias(n)
+    out = rows.select(at("event_id").alias("event_id"), at("seen_at").alias("seen_at"), F.nullif(at("identifier"), F.lit("")).alias("identifier"), number("confidence"), number("tone"), F.monotonically_increasing_id().alias("seq"))
+    return out.where("event_id <> ''")
+
+
 def pending(batches: DataFrame, mark: str | None, most: int = 8, first_run: int = 48) -> DataFrame:
     """Batches after the mark, or the newest on a first run; the oldest ``most`` of them."""
     if mark:

@@ -27,8 +27,17 @@ SHIPS = (
 VESSELS = "entries array<struct<id string, type string, start timestamp, `end` timestamp, position struct<lat double, lon double>, vessel struct<id string, ssvid string>>>"
 
 
-def read_zipped(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line): the lines of the first file of each zip file; a file that isn't one gives no lines."""
+def read_zipped(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """(path, line): the lines of the first file of each zip file; a file that isn't one gives no lines.
+
+    With ``errors`` also error, and such a file gives one row with the reason and no line.
+    """
+
+    names = ["path", "line", "error"] if errors else ["path", "line"]
+
+    def told(name: str, held: list[str]) -> pa.RecordBatch:
+        columns = [pa.array([name] * len(held)), pa.array(held), *([pa.nulls(len(held), pa.string())] if errors else [])]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,15 +48,17 @@ def read_zipped(spark: SparkSession, path: str) -> DataFrame:
                         for line in io.TextIOWrapper(f, "utf-8", "replace", newline="\n"):
                             held.append(line.rstrip("\r\n"))
                             if len(held) == 10_000:
-                                yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(held)], ["path", "line"])
+                                yield told(name, held)
                                 held = []
-                except (zipfile.BadZipFile, IndexError):
+                except (zipfile.BadZipFile, IndexError) as e:
+                    if errors:
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([None], pa.string()), pa.array([str(e) or "empty"])], names)
                     continue
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(held)], ["path", "line"])
+                    yield told(name, held)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, line string")
+    return files.mapInArrow(run, "path string, line string" + (", error string" if errors else ""))
 
 
 #: Columns of the public document feed (from 0): address, pairs of lists of which the second is fuller, tone, extras.
@@ -111,6 +122,16 @@ def ship_messages(messages: DataFrame) -> DataFrame:
     ).where("kind is not null and number <> ''")
 
 
+def enveloped(documents: DataFrame, keys: tuple[str, ...], column: str = "json") -> DataFrame:
+    """One row (ord, entry as JSON) per entry of documents that are a list or hold one under the first of the keys that is there.
+
+    An empty list under a key counts as there. A document that is neither, or can't be read, has no entries.
+    """
+    v = F.try_parse_json(column)
+    entries = F.coalesce(*(F.try_variant_get(v, path, "array<variant>") for path in ("$", *(f"$.{k}" for k in keys))))
+    return documents.select(*(c for c in documents.columns if c != column), F.posexplode(entries).alias("ord", "entry")).withColumn("entry", F.to_json("entry"))
+
+
 def with_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:
     """News items with the domain, label and hinted place of their feed (feed, feed_domain, feed_label, hint), left as they are where it isn't known."""
     return items.join(feeds, "feed", "left")
