@@ -5,7 +5,9 @@ once on a bounded sample and then frozen. A byte costs -log2 of its share among
 the symbols seen in the longest known context; a symbol new to a context first
 pays that context's escape (PPM method C, without exclusions), and a byte never
 seen costs eight bits. The language whose trees give the shortest code for the
-whole text wins, and ``score`` is its posterior under equal priors.
+whole text wins. ``score`` is its posterior under equal priors for ``SCORED_BYTES`` bytes
+of the text at its average code lengths (for all of a shorter text): the posterior of a
+whole text says no more than that it is long.
 
 The costs of all (context, symbol) pairs seen in any language are tabulated for
 all languages side by side, so each byte of a text needs about one table probe.
@@ -37,6 +39,10 @@ LONGEST_TEXT = 20_000
 MOST_LANGUAGES = 200
 #: Characters that the whole sample is kept to: an even share for each language.
 LONGEST_SAMPLE = 8_000_000
+#: Characters times labels that the sample is also kept to, which bounds the tables: contexts times labels.
+MOST_CELLS = 100_000_000
+#: Bytes whose posterior is the score.
+SCORED_BYTES = 16
 #: What may be a letter; it also matches numerals such as one half, which aren't.
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -153,8 +159,9 @@ class ContextTrees:
         raw, offsets = text_bytes(column)
         bits = self.code_lengths(raw, offsets)
         best = bits.argmin(1)
+        share = np.minimum(1.0, SCORED_BYTES / np.maximum(np.diff(offsets), 1))[:, None]
         with np.errstate(under="ignore"):
-            score = 1 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
+            score = 1 / np.exp2((bits.min(1, keepdims=True) - bits) * share).sum(1)
         known = np.array([has_letter(t) for t in texts], bool)
         labels = [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
         return labels, np.where(known, score, 0.0)
@@ -173,7 +180,8 @@ def training_sample(
 
     At most ``languages`` labels (the most frequent), ``per_language`` texts of at most
     ``longest`` characters each, and ``characters`` characters in all, of which each label
-    has an even share: a bound on what the driver and the broadcast model hold.
+    has an even share, fewer where ``MOST_CELLS`` needs it: a bound on what the driver and the
+    broadcast model hold. A label of which every text is longer, or past the last, isn't learned.
     """
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     labelled = docs.select(lang.alias("lang"), text.alias("text")).where(
@@ -183,6 +191,7 @@ def training_sample(
     counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), texts).orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not counts:
         return {}
+    characters = min(characters, MOST_CELLS // len(counts))
     shares = docs.sparkSession.createDataFrame(
         [(r["lang"], min(1.0, 4.0 * per_language / max(1, r["texts"]))) for r in counts], "lang string, share double"
     )
