@@ -11,8 +11,10 @@ its part, the lower half stands for it there: of a million pairs one in 4 000 sh
 it with another.
 
 The texts to score are packed in chunks of about ``CHUNK_BYTES``, which are written once. A chunk sends the different words and pairs
-that it needs to their parts, each part answers, and the answers meet the chunk's
-texts again. Nothing is collected or broadcast but two totals.
+that it needs to their parts, each part that was asked answers, and the answers meet the chunk's
+texts again. A row goes from a chunk to a part only if it carries something, so rows are
+never more than the different words and pairs of all chunks, which grow with the input,
+however many parts there are. Nothing is collected or broadcast but two totals.
 
 The model is a bigram model with Dirichlet smoothing: a pair's count and ``PRIOR``
 times the add-one probability of its second word, over its first word's count and
@@ -130,14 +132,15 @@ def chunk_counts(texts: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, 0):
             found, rows = tokens(*text_bytes(table.column(0)))
-            columns = [pa.array(np.arange(parts, dtype=np.int32))]
+            columns, needed = [pa.array(np.arange(parts, dtype=np.int32))], np.zeros(parts, bool)
             for keys, dtype in ((found, U64), (pair_keys(found, rows)[0], np.uint32)):
                 keys, n = np.unique(keys, return_counts=True)
                 order, in_part = _parts(keys, parts)
                 short, more = _short(n[order])
                 place = np.concatenate([[0], np.cumsum(short == _MANY)])[np.concatenate([[0], np.cumsum(in_part)])]
                 columns += [binary_column(keys[order].astype(dtype), in_part), binary_column(short, in_part), binary_column(more, np.diff(place))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                needed |= in_part > 0
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(needed))
 
     return texts.select("text").transform(map_batches, run, ", ".join(f"{n} {'int' if n == 'part' else 'binary'}" for n in names))
 
@@ -301,14 +304,15 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     chunks = stage.keep(packed_chunks(rows, len(others)), "chunks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What each chunk asks of every part."""
+        """What each chunk asks of the parts that it needs."""
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found, at = tokens(*text_bytes(_unpacked(packed).column(len(others))))
                 words, pairs = np.unique(found), np.unique(pair_keys(found, at)[0])
                 (by_word, in_words), (by_pair, in_pairs) = _parts(words, parts), _parts(pairs, parts)
                 columns = [binary_column(words[by_word], in_words), binary_column(pairs[by_pair].astype(np.uint32), in_pairs)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(parts, chunk)), pa.array(np.arange(parts, dtype=np.int32)), *columns], ["chunk", "part", "words", "pairs"])
+                rows_ = pa.RecordBatch.from_arrays([pa.array(np.full(parts, chunk)), pa.array(np.arange(parts, dtype=np.int32)), *columns], ["chunk", "part", "words", "pairs"])
+                yield rows_.filter(pa.array((in_words > 0) | (in_pairs > 0)))
 
     found = answers(chunks.transform(map_batches, ask, "chunk long, part int, words binary, pairs binary"), model)
 
