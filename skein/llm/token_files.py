@@ -16,6 +16,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -34,6 +35,8 @@ from .storage import map_batches, partitions, Stage
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
+#: Ids of a part of the file, where the session's number of shuffle partitions would make larger ones.
+PART_IDS = 64 << 20
 #: Words remembered by a worker before it starts afresh; bounds its memory, not its results.
 REMEMBERED_WORDS = 1_000_000
 #: A column of the ids that, where it is there, orders the file before ``doc_id`` does.
@@ -72,6 +75,45 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4")
 
 
+def splits_at_blanks(path: str) -> bool:
+    """Whether a vocabulary file is one whose ids of a text are those of its pieces between blanks.
+
+    That is known, and tested, for pre-tokens of one script class each, of lower-cased composed text in which any white space is a
+    blank, and merges that end at a word's end. Any other file is taken to need whole texts.
+    """
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    normal = said.get("normalizer") or {}
+    steps = [n.get("type") for n in normal.get("normalizers", [])]
+    split = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    model = said.get("model") or {}
+    return (
+        steps == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1].get("pattern") == {"Regex": r"\s+"} and normal["normalizers"][1].get("content") == " "
+        and split.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"} and split.get("behavior") == "Removed"
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix") and model.get("dropout") is None
+        and all(t.get("special") and not any(c.isspace() for c in t["content"]) for t in said.get("added_tokens") or [])
+    )
+
+
+class WholeIds:
+    """Token ids of whole texts, encoded whole: for vocabularies whose texts can't be cut."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows end to end, and the number of ids of each row."""
+        data = raw.tobytes()
+        texts = [data[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.array([len(x) for x in found], np.int64)
+        return np.fromiter((i for x in found for i in x), self.dtype, int(counts.sum())), counts
+
+
 class WordIds:
     """Token ids of whole texts, each distinct piece between blanks tokenized once.
 
@@ -154,8 +196,8 @@ class WordIds:
 
 
 @lru_cache(1)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
+def _words(path: str) -> WordIds | WholeIds:
+    return WordIds(path) if splits_at_blanks(path) else WholeIds(path)
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -251,9 +293,11 @@ def write_token_file(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_c
     stage = Stage(spark, "token-file")
     dtype = id_width(tokenizer)
     ids = stage.keep(token_ids(docs, tokenizer, id_col, text_col), "ids")
-    ranking = id_counts(ids, dtype).orderBy(F.desc("n"), "id").select("id").toPandas()["id"].to_numpy(np.int64)
+    counted = id_counts(ids, dtype).orderBy(F.desc("n"), "id").toPandas()
+    ranking = counted["id"].to_numpy(np.int64)
+    n_parts = max(partitions(spark), int(counted["n"].sum()) // PART_IDS)
     ordered = ids if shuffle_seed is None else shuffled(ids, shuffle_seed)
-    blocks = stage.keep(write_blocks(ordered, ranking, dtype, partitions(spark)), "blocks")
+    blocks = stage.keep(write_blocks(ordered, ranking, dtype, n_parts), "blocks")
     stage.drop("ids")
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").toPandas()
     starts = (np.cumsum(totals["n"]) - totals["n"]).astype(int)

@@ -98,3 +98,73 @@ def test_templates_are_counted_like_a_plain_count(spark):
     assert {r.page_id: r.text for r in got} == want
     assert any("menu one" not in want[i] for i, u, _ in pages if u) and all("menu one" in want[i] for i in range(200, 208) if "menu one" in pages[i - 200][2])
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_vocabularies_that_need_whole_texts(spark, tmp_path):
+    """Another vocabulary's ids are those of whole texts; only the known kind is cut."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from skein.llm import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_files.splits_at_blanks(public_tokenizers.path("word_bpe_49k.json")) and not token_files.splits_at_blanks(path)
+    texts = {1: "Hello  world,\n\n  twice  ", 2: None, 3: "x" * 5000 + "  ", 4: " a  b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in token_files.read_token_file(*token_files.write_token_file(docs, tokenizer=path)).collect()}
+    whole = Tokenizer.from_file(path)
+    for i, t in texts.items():
+        ids = whole.encode(t or "", add_special_tokens=False).ids + [token_files.END_ID]
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_language_scores_against_a_plain_coder():
+    """Code lengths against a byte-by-byte coder over dictionaries; the score says how sure a stretch of 16 bytes is."""
+    import math
+
+    import pyarrow as pa
+
+    from skein.llm.kernels import text_bytes
+    from skein.llm.language import ORDER, SCORED_BYTES, ContextTrees
+
+    samples = {"aa": ["the cat sat on the mat", "then the hat", "é à"], "bb": ["der Hut und die Katze", "das ist der Satz"], "cc": ["x"]}
+    asked = ["the hat sat", "die Katze", "then der", "zzzz", "é", "x" * 40, "the mat and the hat " * 9]
+    trees = ContextTrees(samples)
+
+    def counts(texts):
+        seen: dict[bytes, collections.Counter] = collections.defaultdict(collections.Counter)
+        for t in texts:
+            data = b"\0" * ORDER + t.encode()
+            for i in range(ORDER, len(data)):
+                for k in range(ORDER + 1):
+                    seen[data[i - k : i]][data[i]] += 1
+        return seen
+
+    def bits(seen, text):
+        data, total = b"\0" * ORDER + text.encode(), 0.0
+        for i in range(ORDER, len(data)):
+            for k in range(ORDER, -1, -1):
+                here = seen.get(data[i - k : i])
+                if not here:
+                    continue
+                n, d = sum(here.values()), len(here)
+                if data[i] in here:
+                    total -= math.log2(here[data[i]] / (n + d))
+                    break
+                total += math.log2((n + d) / d)
+            else:
+                total += 8
+        return total
+
+    raw, offsets = text_bytes(pa.array(asked))
+    got = trees.code_lengths(raw, offsets)
+    for i, text in enumerate(asked):
+        want = [bits(counts(samples[name]), text) for name in trees.languages]
+        assert all(abs(a - b) < 1e-3 * max(1, b) for a, b in zip(got[i], want, strict=True)), text
+        share = min(1.0, SCORED_BYTES / len(text.encode()))
+        best = min(want)
+        label, score = trees.predict(pa.array([text]))
+        assert abs(score[0] - 1 / sum(2 ** ((best - w) * share) for w in want)) < 1e-4 and label[0] == trees.languages[want.index(best)]
