@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, language, lm_score, media, merkle, mixture, near_dups, page_text, prefix_trie, secret_scan, simhash, token_files
+from . import chat, contamination, language, lm_score, media, merkle, mixture, near_dups, page_text, prefix_trie, secret_scan, simhash, token_files, trie_and_manifest_sql
 
 QUERIES = {
     "op1_token_file": token_files.op1_token_file,
@@ -23,4 +23,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_source_mixture": mixture.mixture_sql(),
     "op7_chat_format": chat.CHAT_SQL,
+    "op12_prefix_trie": trie_and_manifest_sql.TRIE_SQL,
+    "op13_merkle_manifest": trie_and_manifest_sql.MANIFEST_SQL,
 }

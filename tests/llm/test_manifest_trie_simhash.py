@@ -214,3 +214,20 @@ def test_manifest_of_odd_rows(spark, tmp_path, monkeypatch, levels):
     spark.createDataFrame(docs, schema).write.parquet(f"{path}/documents.parquet")
     check_manifest(merkle.op13_merkle_manifest(spark, path).collect(), docs)
     assert merkle.manifest(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_sql_of_trie_and_manifest(spark):
+    """The SQL of both queries gives what brute force gives, on the test tables."""
+    from skein.llm import registry
+
+    con = duckdb.connect()
+    for name in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+
+    def rows(name):
+        found = con.execute(registry.ORACLE_SQL[name])
+        columns = [c[0] for c in found.description]
+        return [dict(zip(columns, r, strict=True)) for r in found.fetchall()]
+
+    check_trie(rows("op12_prefix_trie"), table("conversations", "conv_id, turn"))
+    check_manifest(rows("op13_merkle_manifest"), con.execute("SELECT doc_id, text, source, lang, n_chars FROM documents").fetchall())
