@@ -54,14 +54,19 @@ def count_terms(normalized: Column, terms: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, (normalized.contains(t).cast("int") for t in phrases), found)
 
 
-def joined(events: DataFrame, mentions: DataFrame, documents: DataFrame) -> DataFrame:
+def joined(events: DataFrame, mentions: DataFrame, documents: DataFrame | None) -> DataFrame:
     """Events with their mention summary and the document of the best mention's address, else of their own address.
 
+    The feed of documents is optional: without it events have none.
+
     ``mentions``: event_id, mention_count, best_identifier; ``documents``: address, themes, organizations, persons, extras, one row an address.
     """
     rows = events.join(mentions.select(F.col("event_id").alias("id"), "mention_count", "best_identifier"), "id", "left")
     rows = rows.withColumn("address", F.coalesce(F.nullif("best_identifier", F.lit("")), "url"))
     fields = ["themes", "organizations", "persons", "extras"]
+    if documents is None:
+        lists = F.lit(None).cast("array<string>")
+        return rows.withColumns({"themes": lists, "organizations": lists, "persons": lists, "extras": F.lit(None).cast("string")})
     side = lambda key, name: documents.select(F.col("address").alias(key), F.struct(*fields).alias(name))
     rows = rows.join(side("address", "own_"), "address", "left").join(side("url", "other_"), "url", "left")
     rows = rows.withColumn("document_", F.coalesce("own_", "other_"))

@@ -70,12 +70,27 @@ def launches(raw: DataFrame) -> DataFrame:
     """Flat launches of nested rows, with defaults for what is missing."""
     c = F.col
     color = F.create_map(*(F.lit(x) for pair in STATUS_COLORS.items() for x in pair))
+    more = {
+        "window_start": "window_start", "window_end": "window_end", "status.name": "status_text", "launch_service_provider.type.name": "provider_type", "mission.type": "mission_type",
+        "mission.description": "mission_text", "pad.country.name": "pad_country", "failreason": "failure",
+    }
     return raw.select(
         "id", _or(c("name"), "Unknown Mission").alias("name"), "net", _or(c("status.id"), 0).alias("status"), _or(c("status.abbrev"), "?").alias("status_label"),
         _or(F.try_element_at(color, c("status.id")), "#4a6a7a").alias("status_color"), _or(c("launch_service_provider.name"), "Unknown").alias("provider"),
         F.coalesce(F.nullif(c("rocket.configuration.full_name"), F.lit("")), F.nullif(c("rocket.configuration.name"), F.lit("")), F.lit("Unknown")).alias("rocket"),
         _or(c("mission.name"), "").alias("mission"), _or(c("mission.orbit.name"), "").alias("orbit"), _or(c("pad.name"), "").alias("pad"), _or(c("pad.latitude").try_cast("double"), 0.0).alias("lat"),
         _or(c("pad.longitude").try_cast("double"), 0.0).alias("lon"), F.coalesce(c("image.thumbnail_url"), c("image.image_url")).alias("image"), _or(c("webcast_live"), False).alias("webcast_live"),
+        *(_or(c(path), "").alias(name) for path, name in more.items()),
+    )
+
+
+def launch_events(raw: DataFrame) -> DataFrame:
+    """Flat events around launches, with defaults for what is missing."""
+    c = F.col
+    image = F.coalesce(F.nullif(c("image.thumbnail_url"), F.lit("")), F.nullif(c("image.image_url"), F.lit("")))
+    return raw.select(
+        "id", F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown Event")).alias("name"), F.nullif("date", F.lit("")).alias("date"), _or(c("type.name"), "").alias("type"),
+        _or(c("location"), "").alias("location"), _or(c("description"), "").alias("description"), image.alias("image"), _or(c("webcast_live"), False).alias("webcast_live"),
     )
 
 

@@ -13,6 +13,8 @@ A title is never joined itself: what is joined are its few candidates and its ru
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,6 +180,27 @@ def answered(items: DataFrame, answers: DataFrame, most: int = MOST_DOUBTS) -> D
     return rows.drop("r_", "asked_")
 
 
+GEOCODED = "asked string, lat double, lon double"
+_RAW = "array<struct<class string, type string, importance double, lat string, lon string>>"
+
+
+def geocoded(names: DataFrame, ask: Callable, stage, cached: DataFrame | None = None, batch: int = 1, **how) -> DataFrame:
+    """(asked, lat, lon) of the different names, to be given as ``cached`` the next time; null where no answer can be trusted.
+
+    ``ask`` gets rows with ``id``, the name, and gives for each a dict of id and ``found``, the geocoder's JSON list. Names in ``cached`` are
+    not asked again, those without a place neither; a name whose question failed isn't remembered.
+    """
+    from .providers import answers_of
+
+    wanted = names.select(F.lower(F.trim("asked")).alias("id")).where("id <> ''").distinct()
+    if cached is not None:
+        wanted = wanted.join(cached.select(F.col("asked").alias("id")), "id", "left_anti")
+    back = stage.keep(answers_of(wanted, ask, "id string, found string", batch, **how), "geocoded")
+    each = back.select(F.col("id").alias("asked"), F.posexplode_outer(F.from_json("found", _RAW)).alias("ord", "r")).select("asked", "ord", "r.*")
+    found = first_trusted(each)
+    return found if cached is None else cached.select("asked", "lat", "lon").unionByName(found)
+
+
 # What a geocoder's answer must be to be trusted.
 SURE_CLASSES, CLASSES = ("military", "aeroway"), ("place", "boundary", "natural", "water")
 LARGE_TYPES, LARGE_LEAST, OTHER_LEAST = ("country", "state", "region", "administrative", "city", "sea", "ocean"), 0.25, 0.35

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,27 @@ def _is_there(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
+class Optional:
+    """A feed that a run can do without: after ``most`` batches without it, the rest of the run no longer looks for it."""
+
+    def __init__(self, spark: SparkSession, most: int = 1):
+        self.spark, self.most, self.missed = spark, most, 0
+
+    @property
+    def out(self) -> bool:
+        return self.missed >= self.most
+
+    def read(self, path: str | None, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame | None:
+        """The rows of a batch's file, None where it isn't there or the feed is out for this run."""
+        if path is None or self.out:
+            return None
+        if not _is_there(self.spark, path):
+            self.missed += 1
+            return None
+        self.missed = 0
+        return read(self.spark, path)
+
+
 #: Positions of the fields in the public mention feed.
 MENTION_FIELDS = {"event_id": 0, "seen_at": 2, "identifier": 5, "confidence": 11, "tone": 13}
 

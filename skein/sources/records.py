@@ -14,9 +14,16 @@ from ..functions.text import first_number, split_list
 
 QUAKES = "features array<struct<id string, properties struct<mag double, place string, time long, tsunami int, alert string, url string, sig long>, geometry struct<coordinates array<double>>>>"
 LAUNCHES = (
-    "results array<struct<id string, name string, net string, status struct<id int, abbrev string, name string>, launch_service_provider struct<name string>, rocket struct<configuration struct<full_name string, name string>>, "
-    "mission struct<name string, type string, orbit struct<name string>>, pad struct<name string, latitude string, longitude string>, image struct<thumbnail_url string, image_url string>, webcast_live boolean>>"
+    "results array<struct<id string, name string, net string, window_start string, window_end string, status struct<id int, abbrev string, name string>, "
+    "launch_service_provider struct<name string, type struct<name string>>, rocket struct<configuration struct<full_name string, name string>>, "
+    "mission struct<name string, type string, orbit struct<name string>, description string>, pad struct<name string, latitude string, longitude string, country struct<name string>>, "
+    "image struct<thumbnail_url string, image_url string>, webcast_live boolean, failreason string>>"
 )
+LAUNCH_EVENTS = (
+    "results array<struct<id string, name string, date string, type struct<name string>, location string, description string, image struct<thumbnail_url string, image_url string>, webcast_live boolean>>"
+)
+#: What one page of each of the source's three lists holds.
+UPCOMING, PREVIOUS, EVENTS_AHEAD = 20, 5, 15
 OBJECTS = "NORAD_CAT_ID string, OBJECT_NAME string, OBJECT_ID string, DECAY_EPOCH string, WINDOW string, INCLINATION string, APOGEE string, PERIGEE string, COUNTRY_CODE string, MSG_EPOCH string, LAT string, LON string, HIGH_INTEREST string, DIRECTION string, OBJECT_TYPE string"
 AIRCRAFT = "ac array<struct<hex string, flight string, r string, t string, lat double, lon double, alt_baro string, on_ground boolean, gs double, track double>>"
 STATES = "states array<array<string>>"
@@ -87,7 +94,13 @@ def read_quakes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_launches(spark: SparkSession, path: str) -> DataFrame:
-    return _whole(spark, path, LAUNCHES).select(F.inline("results"))
+    """Launches of a page, upcoming or previous, in its order (ord)."""
+    return _whole(spark, path, LAUNCHES).select(F.posexplode("results").alias("ord", "r")).select("ord", "r.*")
+
+
+def read_launch_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events around launches of a page, in its order (ord)."""
+    return _whole(spark, path, LAUNCH_EVENTS).select(F.posexplode("results").alias("ord", "r")).select("ord", "r.*")
 
 
 def read_objects(spark: SparkSession, path: str, first: str | None = None, last: str | None = None, most: int = 100) -> DataFrame:

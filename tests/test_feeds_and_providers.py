@@ -158,3 +158,63 @@ def test_broken_json_against_a_plain_automaton(spark):
     texts = ["".join(rng.choice('{}"\\a \n') for _ in range(rng.randrange(40))).strip() for _ in range(600)] + ['{"a": "' + "x" * 100_000 + '\\\\"} tail }']
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", balanced_object(F.col("t")).alias("o"))
     assert {r.i: r.o for r in rows.collect()} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_launches_and_events_of_three_pages(spark, tmp_path):
+    from skein.operators import hazards
+
+    launch = {"id": "1", "name": None, "net": "2024-01-01", "status": {"id": 4, "abbrev": "Fail", "name": "Failure"}, "pad": {"latitude": "x", "longitude": "-80.5", "country": {"name": "US"}}, "failreason": "engine"}
+    (tmp_path / "up.json").write_text(json.dumps({"results": [launch, {"id": "2"}]}))
+    (tmp_path / "ev.json").write_text(json.dumps({"results": [{"id": "9", "name": "", "type": {"name": "Docking"}, "image": {"image_url": "i"}}]}))
+    got = hazards.launches(records.read_launches(spark, str(tmp_path / "up.json")).orderBy("ord")).collect()
+    assert [(r.id, r.name, r.status_color, r.status_text, r.lat, r.lon, r.pad_country, r.failure, r.window_end) for r in got] == [
+        ("1", "Unknown Mission", "#ff2244", "Failure", 0.0, -80.5, "US", "engine", ""), ("2", "Unknown Mission", "#4a6a7a", "", 0.0, 0.0, "", "", ""),
+    ]
+    event = hazards.launch_events(records.read_launch_events(spark, str(tmp_path / "ev.json"))).first()
+    assert (event.id, event.name, event.date, event.type, event.image, event.webcast_live) == ("9", "Unknown Event", None, "Docking", "i", False)
+
+
+def test_a_feed_that_is_out_is_left_out_for_the_run(spark, tmp_path):
+    from skein.operators import curation
+
+    (tmp_path / "a.txt").write_text("x\n")
+    feed = feeds.Optional(spark, most=2)
+    read = lambda s, p: s.read.text(p)
+    there, gone = str(tmp_path / "a.txt"), str(tmp_path / "b.txt")
+    assert feed.read(gone, read) is None and not feed.out and feed.read(there, read).count() == 1
+    assert feed.read(gone, read) is None and feed.read(gone, read) is None and feed.out and feed.read(there, read) is None and feeds.Optional(spark).read(None, read) is None
+    rows = spark.createDataFrame([("1", "http://y")], "id string, url string")
+    mentions = spark.createDataFrame([("1", 3, "http://x")], "event_id string, mention_count long, best_identifier string")
+    one = curation.joined(rows, mentions, None).first()
+    assert (one.address, one.mention_count, one.themes, one.extras) == ("http://x", 3, None, None)
+
+
+def test_geocoder_answers_are_remembered_without_a_place_too(spark):
+    def ask(rows):
+        said = {"kyiv": [{"class": "place", "type": "city", "importance": 0.2, "lat": "1", "lon": "1"}, {"class": "place", "type": "city", "importance": 0.7, "lat": "50.4", "lon": "30.5"}], "nowhere": []}
+        if rows[0]["id"] == "down":
+            raise providers.Unavailable("busy")
+        return [{"id": r["id"], "found": json.dumps(said[r["id"]])} for r in rows]
+
+    names = spark.createDataFrame([("Kyiv",), (" kyiv ",), ("Nowhere",), ("down",), ("",), (None,)], "asked string")
+    known = places.geocoded(names, ask, Stage(spark, "g"), tries=1)
+    assert sorted(map(tuple, known.collect())) == [("kyiv", 50.4, 30.5), ("nowhere", None, None)]
+
+    def never(rows):
+        assert [r["id"] for r in rows] == ["down"]
+        return [{"id": "down", "found": json.dumps([{"class": "aeroway", "lat": "2", "lon": "3"}])}]
+
+    again = places.geocoded(names, never, Stage(spark, "g2"), cached=known)
+    assert sorted(map(tuple, again.collect())) == [("down", 2.0, 3.0), ("kyiv", 50.4, 30.5), ("nowhere", None, None)]
+
+
+def test_segments_of_a_stream(spark, tmp_path):
+    from skein.streaming import reports
+
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    rows = spark.createDataFrame([(1, at(m)) for m in (0, 5, 14, 30, 31)] + [(2, at(0))] + [(9, "2024-01-03 00:00:00")], "entity int, t string").select("entity", F.to_timestamp("t").alias("ts"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = reports.segments(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.outputMode("append").format("memory").queryName("segments").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = sorted((r.entity, r.start.strftime("%H:%M"), r.end.strftime("%H:%M"), r.n) for r in spark.table("segments").collect())
+    assert got == [(1, "00:00", "00:24", 3), (1, "00:30", "00:41", 2), (2, "00:00", "00:10", 1)]
