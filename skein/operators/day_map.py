@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import tone_color
 from ..functions.text import accents, has_term, host, title_of_url
 from .labels import country_place
+from .scoring import _computed
 
 # Codes, bounds, words and their points, categories, hosts that are never of interest.
 MATERIAL, VERBAL = ("13", "14", "15", "16", "17", "18", "19", "20"), ("13", "15", "17", "18", "19", "20")
@@ -123,11 +124,12 @@ def day_map(events: DataFrame, countries: DataFrame, most: int = MOST) -> DataFr
     c = F.col
     rows = events.where(is_conflict(c("quad_class"), c("root"), c("goldstein"), c("geo_type")) & (F.coalesce("url", F.lit("")) != ""))
     rows = placed(rows, countries).withColumns({"title": title_of_url(c("url")), "domain": host(c("url"))})
-    rows = rows.withColumn("text", plain_text(F.concat_ws(" ", "title", "url", "domain")))
-    rows = best_of_address(rows.withColumn("score", keyword_score(c("goldstein"), c("text"))))
+    rows = _computed(rows, {"text": plain_text(F.concat_ws(" ", "title", "url", "domain"))})
+    rows = best_of_address(_computed(rows, {"score": keyword_score(c("goldstein"), c("text"))}))
     rows = rows.where(~c("domain").isin(*NOISE_HOSTS) & ~has_term(c("text"), list(NOISE)) & has_term(c("text"), list(OPERATIONAL)))
-    name, color = first_category(plain_text(F.concat_ws(" ", "title", "url")))
-    rows = rows.withColumns({"category": name, "category_color": color, "color": tone_color(c("goldstein"))})
+    rows = rows.withColumn("color", tone_color(c("goldstein")))
     top = rows.orderBy(F.desc("score"), F.desc(F.abs(F.coalesce("goldstein", F.lit(0.0)))), F.desc(F.coalesce("date", F.lit(""))), "ord").limit(most)
     drawn = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), c("id").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) - 0.5
+    name, color = first_category(c("shown"))  # of the chosen ones only
+    top = _computed(top, {"shown": plain_text(F.concat_ws(" ", "title", "url"))}).withColumns({"category": name, "category_color": color}).drop("shown")
     return top.withColumns({"map_lat": c("lat") + drawn("a") * SPREAD, "map_lon": c("lon") + drawn("o") * SPREAD}).drop("text")

@@ -21,10 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Stage:
-    """The working folder of one run: ``keep`` writes a table and reads it back, so no executor's loss undoes it."""
+    """The working folder of one run: ``keep`` writes a table and reads it back, so no executor's loss undoes it.
+
+    Results are read from it lazily, so it goes when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
