@@ -32,6 +32,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -202,20 +203,36 @@ COMMON = (
 BUILT_IN = 500
 
 
-def built_in_decoys() -> dict[int, np.ndarray]:
-    """For each stratum how many joined common words fall in each p-value bin."""
-    rng, out = random.Random(7), {}
-    for encoding in range(len(ALPHABETS)):
-        for cls in range(CLASSES[0], CLASSES[1] + 1):
-            counts = np.zeros(P_BINS, np.int64)
-            for _ in range(BUILT_IN):
-                length, run = rng.randrange(max(CANDIDATE_LENGTH, 1 << cls - 1), 1 << cls), ""
-                while len(run) < length:
-                    words = [rng.choice(COMMON) for _ in range(length // 2)]
-                    run = written_in(" ".join(w.title() if rng.random() < 0.2 else w for w in words) + str(rng.randrange(1000)), encoding) + run
-                counts[p_bin(run[:length], encoding)] += 1
-            out[encoding * 16 + cls] = counts
-    return out
+def stratum_decoys(encoding: int, cls: int) -> np.ndarray:
+    """How many joined common words of one encoding and length class fall in each p-value bin."""
+    rng, counts = random.Random(7 + encoding * 16 + cls), np.zeros(P_BINS, np.int64)
+    for _ in range(BUILT_IN):
+        length, run = rng.randrange(max(CANDIDATE_LENGTH, 1 << cls - 1), 1 << cls), ""
+        while len(run) < length:
+            words = [rng.choice(COMMON) for _ in range(length // 2)]
+            run = written_in(" ".join(w.title() if rng.random() < 0.2 else w for w in words) + str(rng.randrange(1000)), encoding) + run
+        counts[p_bin(run[:length], encoding)] += 1
+    return counts
+
+
+@lru_cache(1)
+def _built_in(application: str) -> dict[int, tuple[int, ...]]:
+    spark = SparkSession.getActiveSession()
+    strata = [(e, c) for e in range(len(ALPHABETS)) for c in range(CLASSES[0], CLASSES[1] + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            counts = [stratum_decoys(*k).tolist() for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array([e * 16 + c for e, c in keys], pa.int32()), pa.array(counts, pa.list_(pa.int64()))], ["stratum", "counts"])
+
+    rows = spark.createDataFrame(strata, "encoding int, cls int").repartition(len(strata), "encoding", "cls")
+    return {r.stratum: tuple(r["counts"]) for r in rows.mapInArrow(run, "stratum int, counts array<long>").collect()}
+
+
+def built_in_decoys(spark: SparkSession) -> dict[int, np.ndarray]:
+    """For each stratum how many joined common words fall in each p-value bin: the same always, so told once an application by tasks."""
+    return {stratum: np.array(counts, np.int64) for stratum, counts in _built_in(spark.sparkContext.applicationId).items()}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -311,7 +328,7 @@ def cuts(candidates: dict[int, np.ndarray], decoys: dict[int, np.ndarray], fdr:
 
 def found_secrets(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
     """The scanned rows with ``spans``, base spans and accepted candidates in order."""
-    decoys = built_in_decoys()
+    decoys = built_in_decoys(scanned.sparkSession)
     for stratum, counts in _histogram(scanned.where("decoy is not null").select("decoy.stratum", "decoy.p_bin", "decoy.key")).items():
         decoys[stratum] = decoys.get(stratum, 0) + counts
     accepted = F.lit(False)
