@@ -27,12 +27,18 @@ class View:
 
 #: The views of single tables: the table, its order (a leading - is descending) and the shown columns (all where empty).
 VIEWS = {
-    "events": View("events", ("-score", "id"), 800), "osint": View("events", ("-score", "id")), "decay": View("decay", ("days_left", "id")), "tip": View("tip", ("hours_left", "id")),
-    "launches": View("launches", ("net", "id"), 20), "previous_launches": View("previous", ("-net", "id"), 5), "pads": View("pads", ("place",)), "earthquakes": View("quakes", ("-time", "id")),
-    "space_weather": View("space_weather", ("g",), 1), "military_aircraft": View("aircraft", ("id",)), "military_ships": View("ships", ("id",)), "tracks": View("tracks", ("-score", "id")),
-    "world_events": View("world_events", ("id",)), "signal_markers": View("signal_markers", ("id",)), "news": View("news", ("-ts", "id"), 500), "news_for_map": View("news_map", ("-ts", "id"), 500),
-    "maritime_events": View("maritime", ("-confidence", "id")), "maritime_anomalies": View("anomalies", ("-confidence", "id"), 500), "naval_activity": View("naval", ("-boosted", "id")),
-    "aviation_events": View("aviation", ("-confidence", "id")), "spatial_events": View("spatial", ("-confidence", "id")), "signals": View("clusters", ("-n", "cell_lat", "cell_lon"), 30),
+    "events": View("events", ("-score", "id"), 800), "osint": View("events", ("-score", "id")),
+        "decay": View("decay", ("days_left", "id")), "tip": View("tip", ("hours_left", "id")),
+    "launches": View("launches", ("net", "id"), 20), "previous_launches": View("previous", ("-net", "id"), 5),
+        "pads": View("pads", ("place",)), "earthquakes": View("quakes", ("-time", "id")),
+    "space_weather": View("space_weather", ("g",), 1), "military_aircraft": View("aircraft", ("id",)),
+        "military_ships": View("ships", ("id",)), "tracks": View("tracks", ("-score", "id")),
+    "world_events": View("world_events", ("id",)), "signal_markers": View("signal_markers", ("id",)),
+        "news": View("news", ("-ts", "id"), 500), "news_for_map": View("news_map", ("-ts", "id"), 500),
+    "maritime_events": View("maritime", ("-confidence", "id")), "maritime_anomalies": View("anomalies", ("-confidence", "id"), 500),
+        "naval_activity": View("naval", ("-boosted", "id")),
+    "aviation_events": View("aviation", ("-confidence", "id")), "spatial_events": View("spatial", ("-confidence", "id")),
+        "signals": View("clusters", ("-n", "cell_lat", "cell_lon"), 30),
     "review": View("labels", ("-collected_at", "event_id"), 200, ("event_id", "keep", "review_flags", "collected_at")),
 }
 
@@ -67,7 +73,8 @@ def bundle(tables: dict[str, DataFrame], include: str = "", limit: object = None
 def envelope(kind: str, rows: DataFrame, as_of: Column) -> DataFrame:
     """One row: version, type, time, count, and the rows as a JSON list. Only for pages, whose size is bounded."""
     data = F.collect_list(F.to_json(F.struct(*rows.columns)))
-    return rows.agg(F.count("*").alias("count"), F.concat(F.lit("["), F.array_join(data, ","), F.lit("]")).alias("data")).select(F.lit(1).alias("version"), F.lit(kind).alias("type"), as_of.alias("generated_at"), "count", "data")
+    return rows.agg(F.count("*").alias("count"), F.concat(F.lit("["), F.array_join(data, ","), F.lit("]")).alias("data")).select(
+        F.lit(1).alias("version"), F.lit(kind).alias("type"), as_of.alias("generated_at"), "count", "data")
 
 
 def history(days: DataFrame, last: int = 30) -> DataFrame:
@@ -77,7 +84,8 @@ def history(days: DataFrame, last: int = 30) -> DataFrame:
 
 def health(tables: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
     """One row for each table that is there, with its number of rows."""
-    counts: list[Callable[[], DataFrame]] = [lambda n=n, t=t: t.agg(F.lit(n).alias("table"), F.count("*").alias("n")) for n, t in sorted(tables.items())]
+    counts: list[Callable[[], DataFrame]] = [lambda n=n, t=t: t.agg(F.lit(n).alias("table"), F.count("*").alias("n")) for n,
+        t in sorted(tables.items())]
     out = spark.createDataFrame([], "table string, n long")
     for one in counts:
         out = out.unionByName(one())
@@ -86,7 +94,8 @@ def health(tables: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
 
 def status(updated: Column, as_of: Column, hours: float) -> Column:
     """How fresh a source is: missing, fresh or stale."""
-    return F.when(updated.isNull(), "missing").when(updated >= as_of - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS"), "fresh").otherwise("stale")
+    return F.when(updated.isNull(), "missing").when(updated >= as_of - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS"),
+        "fresh").otherwise("stale")
 
 
 def source_status(configured: bool, refreshing: bool, failed: bool, n_rows: int) -> str:
@@ -106,7 +115,8 @@ PICTURE_BYTES = 500 * 1024
 def pictures(rows: DataFrame, url: str = "url", content: str = "content") -> DataFrame:
     """Pictures of allowed hosts over https, within the size, as base64 text."""
     name = F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
-    good = (F.try_parse_url(F.col(url), F.lit("PROTOCOL")) == "https") & name.isin(*PICTURE_HOSTS) & (F.octet_length(content) <= PICTURE_BYTES)
+    good = (F.try_parse_url(F.col(url), F.lit("PROTOCOL"))
+        == "https") & name.isin(*PICTURE_HOSTS) & (F.octet_length(content) <= PICTURE_BYTES)
     return rows.where(F.coalesce(good, F.lit(False))).select(url, F.base64(content).alias("data"))
 
 

@@ -12,7 +12,8 @@ EARTH_KM = 6371.0
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in km."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
+        F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.lit(2 * EARTH_KM) * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a)))
 
 
@@ -67,11 +68,13 @@ def region_for_quota(lat: Column, lon: Column, code: Column, country: Column) ->
         .when(code.isin("RS", "UP") | name.contains("russia") | name.contains("ukraine"), "russia_ukraine")
         .when(code.isin("CH", "TW", "KN", "KS", "JA", "VM") | _box(lat, lon, 15, 55, 95, 150), "east_asia")
         .when(
-            code.isin("IN", "PK", "AF", "BG", "NP", "CE", "KZ", "KG", "TI", "TX", "UZ") | ((lat > 5) & (lat < 55) & (lon > 60) & (lon <= 95)),
+            code.isin("IN", "PK", "AF", "BG", "NP", "CE", "KZ", "KG", "TI", "TX", "UZ")
+                | ((lat > 5) & (lat < 55) & (lon > 60) & (lon <= 95)),
             "south_central_asia",
         )
         .when(
-            code.isin("IR", "IZ", "IS", "WE", "GZ", "JO", "LE", "SY", "SA", "YM", "AE", "QA", "KU", "BA", "MU", "TU") | _box(lat, lon, 12, 43, 25, 65),
+            code.isin("IR", "IZ", "IS", "WE", "GZ", "JO", "LE", "SY", "SA", "YM", "AE", "QA", "KU", "BA", "MU", "TU")
+                | _box(lat, lon, 12, 43, 25, 65),
             "middle_east",
         )
         .when(_box(lat, lon, -35, 38, -20, 55), "africa")

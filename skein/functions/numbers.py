@@ -26,7 +26,8 @@ def lenient(x: Column) -> Column:
 def or_else(x: Column, other) -> Column:
     """``x`` unless it is null, zero, NaN or empty."""
     text = x.cast("string")
-    return F.when(x.isNull() | text.isin("", "0", "0.0", "-0.0", "NaN", "false"), F.lit(other) if not isinstance(other, Column) else other).otherwise(x)
+    return F.when(x.isNull() | text.isin("", "0", "0.0", "-0.0", "NaN", "false"),
+        F.lit(other) if not isinstance(other, Column) else other).otherwise(x)
 
 
 def clamp(x: Column, low, high) -> Column:

@@ -60,7 +60,8 @@ def normalize(text: Column) -> Column:
 def plain_word(word: str) -> str:
     """A word of a list as ``normalize`` would write it."""
     flat = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not "\u0300" <= c <= "\u036f")
-    return " ".join(re.sub(r"[^\u1100-\u11ff\u3000-\u9fff\uac00-\ud7af\u0600-\u06ff\u0400-\u04ffa-z0-9\s:/._-]", " ", unicodedata.normalize("NFC", flat)).split())
+    return " ".join(re.sub(r"[^\u1100-\u11ff\u3000-\u9fff\uac00-\ud7af\u0600-\u06ff\u0400-\u04ffa-z0-9\s:/._-]", " ",
+            unicodedata.normalize("NFC", flat)).split())
 
 
 _EDGE_BEFORE, _EDGE_AFTER = r"""(?:^|[\s\-_/.,;:!?"'()])""", r"""(?:[\s\-_/.,;:!?"'()]|$)"""
@@ -223,8 +224,10 @@ def scored_title(url: Column) -> Column:
     """
     one_blank = lambda s, pattern: F.trim(F.regexp_replace(F.regexp_replace(s, pattern, " "), r"\s+", " "))
     query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))
-    values = F.transform(F.split(query, "&"), lambda p: _decoded(_decoded(F.replace(F.substring_index(p, "=", -1), F.lit("+"), F.lit(" ")))))
-    told = F.filter(F.transform(values, lambda v: one_blank(decode_entities(v), "[+_]+")), lambda v: v.rlike(NATIVE) & (F.length(v) >= LEAST_NATIVE))
+    values = F.transform(F.split(query, "&"), lambda p: _decoded(
+            _decoded(F.replace(F.substring_index(p, "=", -1), F.lit("+"), F.lit(" ")))))
+    told = F.filter(F.transform(values, lambda v: one_blank(decode_entities(v), "[+_]+")),
+        lambda v: v.rlike(NATIVE) & (F.length(v) >= LEAST_NATIVE))
 
     segments = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda s: s != "")
 
@@ -237,12 +240,14 @@ def scored_title(url: Column) -> Column:
     scored = F.transform(F.transform(segments, cleaned), lambda s, i: F.struct(s.alias("s"), with_letters(s).alias("w"), (-i).alias("i")))
     fit = F.filter(
         scored,
-        lambda c: ~c["s"].rlike(r"^\d*$") & ~F.replace(c["s"], F.lit(" "), F.lit("")).rlike("(?i)^[0-9a-f]{16,64}$") & ~F.lower(c["s"]).isin(*NAVIGATION)
+        lambda c: ~c["s"].rlike(r"^\d*$") & ~F.replace(c["s"], F.lit(" "), F.lit("")).rlike("(?i)^[0-9a-f]{16,64}$")
+            & ~F.lower(c["s"]).isin(*NAVIGATION)
         & (F.size(c["w"]) > 0) & ((F.size(c["w"]) > 1) | (F.length(c["s"]) >= LEAST_SINGLE)) & F.exists(c["w"], lambda w: ~generic(w)),
     )
     points = lambda c: F.size(c["w"]) * F.length(c["s"]) + F.when(c["s"].rlike(NATIVE), NATIVE_POINTS).otherwise(0)
     best = F.array_max(F.transform(fit, lambda c: F.struct(points(c).alias("p"), c["i"].alias("i"), c["s"].alias("s"))))["s"]
-    enough = (best.rlike(NATIVE) & (F.length(best) >= LEAST_NATIVE)) | (F.length(best) >= LEAST_TITLE) | (best.rlike("[a-zA-Z]{3,}") & best.contains(" "))
+    enough = (best.rlike(NATIVE) & (F.length(best) >= LEAST_NATIVE)) | (F.length(best) >= LEAST_TITLE) | (best.rlike("[a-zA-Z]{3,}")
+        & best.contains(" "))
     return F.coalesce(F.get(told, F.lit(0)), F.when(enough, best))
 
 
@@ -290,7 +295,8 @@ def balanced_object(text: Column) -> Column:
     rest = F.substr(clean, start, F.length(clean))
     # pieces end at a mark each: the stretch before it, then the mark
     pieces = F.regexp_extract_all(rest, F.lit(r"""[^{}"\\]*[{}"\\]"""), F.lit(0))
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(-1).alias("escaped"), F.lit(0).alias("end"))
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(-1).alias("escaped"),
+        F.lit(0).alias("end"))
 
     def step(s: Column, piece: Column) -> Column:
         at = s["at"] + F.length(piece)
@@ -322,6 +328,8 @@ def signal_answer(text: Column, most: int = 5) -> Column:
     read = F.from_json(balanced_object(text), SIGNAL, {"mode": "PERMISSIVE"})
     said = lambda c, other: F.trim(F.coalesce(c, F.lit(other)))
     listed = F.slice(F.coalesce(read["key_points"], F.array().cast("array<struct<point string, category string>>")), 1, most)
-    points = F.filter(F.transform(listed, lambda p: F.struct(said(p["point"], "").alias("point"), F.lower(said(F.nullif(p["category"], F.lit("")), "conflict")).alias("category"))), lambda p: p["point"] != "")
+    points = F.filter(F.transform(listed, lambda p: F.struct(said(p["point"], "").alias("point"),
+                F.lower(said(F.nullif(p["category"], F.lit("")), "conflict")).alias("category"))), lambda p: p["point"] != "")
     valid = F.try_parse_json(balanced_object(text)).isNotNull()
-    return F.when(valid, F.struct(said(read["location_name"], "").alias("location_name"), said(read["summary"], "").alias("summary"), points.alias("key_points")))
+    return F.when(valid, F.struct(said(read["location_name"], "").alias("location_name"), said(read["summary"], "").alias("summary"),
+            points.alias("key_points")))

@@ -25,7 +25,8 @@ GEOPOLITICAL = r"\b(sanction|embargo|expel|diplomat|nuclear|weapon|ultimatum|blo
 CONTEXT_THEMES = r"(?i)MILITARY|ARMED|MISSILE|NUCLEAR|TERROR|WAR|DEFENCE|DEFENSE|NAVAL|AVIATION|AIR_FORCE|AIRFORCE"
 CONTEXT_ORGANIZATIONS = "ministry of defence|ministry of defense|defense ministry|defence ministry|armed forces|air force|navy|army|revolutionary guard|idf|pentagon|nato"
 CONTEXT_PERSONS = "general|admiral|colonel|brigadier|commander"
-CONTEXT_PHRASES = ("military exercise", "military drill", "field exercise", "munition", "ordnance", "airbase", "warship", "fighter jet", "fighter squadron")
+CONTEXT_PHRASES = ("military exercise", "military drill", "field exercise", "munition", "ordnance", "airbase", "warship", "fighter jet",
+    "fighter squadron")
 SCORED_THEMES = r"(?i)MILITARY|ARMED|TERROR|CYBER|NUCLEAR|MISSILE|SPACE|AVIATION|MARITIME"
 MOST_STRATEGIC, MOST_SELECTED, MOST_FINAL = 200, 800, 600
 _EDGE = r"""[^\s\-_/.,;:!?"'()]"""
@@ -109,7 +110,8 @@ def recentred(rows: DataFrame, centroids: DataFrame, original: str = "original_c
     changed = (was != "") & (now != was) & (F.length(now) == 2)
     rows = rows.withColumn("to_", F.when(changed, now)).join(centroids.select(c("code").alias("to_"), "mid_lat", "mid_lon"), "to_", "left")
     moved = c("mid_lat").isNotNull() & c("mid_lon").isNotNull()
-    rows = rows.withColumns({"lat": F.when(moved, c("mid_lat")).otherwise(c("lat")), "lon": F.when(moved, c("mid_lon")).otherwise(c("lon"))})
+    rows = rows.withColumns({"lat": F.when(moved, c("mid_lat")).otherwise(c("lat")),
+            "lon": F.when(moved, c("mid_lon")).otherwise(c("lon"))})
     region = F.when(moved, region_of_event(c("lat"), c("lon"), F.upper("country"))).otherwise(c("region"))
     return rows.withColumns({"region": region, "moved": moved}).drop("to_", "mid_lat", "mid_lon")
 
@@ -124,7 +126,8 @@ def text_of(*parts: Column) -> Column:
 
 
 def rejects_host(domain: Column, code: Column, root: Column, goldstein: Column) -> Column:
-    weak = domain.isin(*words.LOW_QUALITY_DOMAINS) & ~code.isin(*STRUCTURAL_CODES) & ~(root.isin(*FORCE_ROOTS) & (F.coalesce(goldstein, F.lit(0.0)) <= -5))
+    weak = domain.isin(*words.LOW_QUALITY_DOMAINS) & ~code.isin(*STRUCTURAL_CODES) & ~(root.isin(*FORCE_ROOTS)
+        & (F.coalesce(goldstein, F.lit(0.0)) <= -5))
     return domain.isin(*words.REJECTED_DOMAINS) | weak
 
 
@@ -140,7 +143,8 @@ def context_points(signal: Column) -> Column:
 def category_of(text: Column, root: Column, code: Column, military: Column, civilian: Column) -> Column:
     """The category by code, then by words of the normalized text, then by the beginning of the code."""
     terror = text.rlike(STRONG_TERROR) | (text.rlike(WEAK_TERROR) & text.rlike(ARMED))
-    out = F.when(root.isin(*PRESSURE_ROOTS), F.when(military | text.rlike(GEOPOLITICAL), "strategic").otherwise("incident")).otherwise("discard")
+    out = F.when(root.isin(*PRESSURE_ROOTS), F.when(military | text.rlike(GEOPOLITICAL), "strategic").otherwise("incident")).otherwise(
+        "discard")
     for name, codes, _ in reversed(words.CATEGORIES):
         if codes:
             out = F.when(reduce(lambda a, b: a | b, (code.startswith(c) for c in codes)), name).otherwise(out)
@@ -168,7 +172,8 @@ def curated(rows: DataFrame, lists: Lists = Lists(), cells: DataFrame | None = N
     """
     c = F.col
     counts = {n: F.coalesce(n, F.lit(0)) for n in ("sources", "articles", "mentions")}
-    rows = _once(rows.withColumns(counts), {"domain": host(c("address")), "title": F.coalesce(page_title(c("extras")), scored_title(c("address")))}).where("title <> ''")
+    rows = _once(rows.withColumns(counts), {"domain": host(c("address")),
+            "title": F.coalesce(page_title(c("extras")), scored_title(c("address")))}).where("title <> ''")
     signal = [c("title"), c("actor1"), c("actor2"), _list("themes"), _list("organizations"), _list("persons")]
     rows = _once(rows, {"signal": normalize(text_of(*signal)), "shown": normalize(text_of(c("title"), c("address")))})
     rows = rows.where(~c("domain").isin(*words.NOISE_DOMAINS) & ~_says(c("shown"), lists.noise))
@@ -181,7 +186,8 @@ def curated(rows: DataFrame, lists: Lists = Lists(), cells: DataFrame | None = N
     domestic = (c("raw_country").isin("US", "CA") | c("domain").endswith(".us")) & _says(s, words.DOMESTIC) & ~c("outweighed")
     local = ~c("outweighed") & ~c("military") & (_says(s, words.LOCAL_ADMINISTRATION) | _says(s, words.CIVIL_CRIME))
     keep = keep_event(*map(c, ("root", "code", "sources", "military", "strong", "civilian")))
-    rows = rows.where(keep & ~rejects_host(c("domain"), c("code"), c("root"), c("goldstein")) & ~F.coalesce(domestic, F.lit(False)) & ~local)
+    rows = rows.where(keep & ~rejects_host(c("domain"), c("code"), c("root"), c("goldstein")) & ~F.coalesce(domestic, F.lit(False))
+        & ~local)
     whole = normalize(text_of(*signal, sub_type(c("code")), c("address")))
     rows = _once(rows, {"category": category_of(whole, *map(c, ("root", "code", "military", "civilian")))}).where("category <> 'discard'")
     rows = corrected_country(rows, cells)
@@ -190,9 +196,12 @@ def curated(rows: DataFrame, lists: Lists = Lists(), cells: DataFrame | None = N
     geo = F.when(c("geo_type") == 4, 12).when(c("geo_type") == 3, 8).when(c("geo_type") == 2, 4).when(c("geo_type") == 1, 1).otherwise(0)
     yes = lambda x, n: F.when(x, n).otherwise(0)
     score = (
-        structural_points(c("root"), c("code")) + F.least(F.lit(24.0), F.abs(F.coalesce("goldstein", F.lit(0.0))) * 4) + visibility(c("sources"), c("articles"), c("seen")) + freshness(c("age_h")) + geo
-        + F.when(c("strong"), 12).when(c("military"), 5).otherwise(0) + F.least(F.lit(20.0), F.coalesce(F.try_element_at(points, c("domain")), F.lit(0)) / 3.0)
-        + yes(c("country").isin(*HOTSPOTS), 18) + yes(c("region").isin(*BOOSTED_REGIONS), 8) - yes(c("civilian"), 45) - yes(c("calming"), 20) - yes(~c("military") & c("root").isin(*FORCE_ROOTS), 18)
+        structural_points(c("root"), c("code")) + F.least(F.lit(24.0), F.abs(F.coalesce("goldstein", F.lit(0.0))) * 4)
+            + visibility(c("sources"), c("articles"), c("seen")) + freshness(c("age_h")) + geo
+        + F.when(c("strong"), 12).when(c("military"), 5).otherwise(0)
+            + F.least(F.lit(20.0), F.coalesce(F.try_element_at(points, c("domain")), F.lit(0)) / 3.0)
+        + yes(c("country").isin(*HOTSPOTS), 18) + yes(c("region").isin(*BOOSTED_REGIONS), 8) - yes(c("civilian"), 45) - yes(c("calming"),
+                20) - yes(~c("military") & c("root").isin(*FORCE_ROOTS), 18)
     )
     themed = F.exists(F.coalesce("themes", F.array().cast("array<string>")), lambda t: t.rlike(SCORED_THEMES))
     rows = _once(rows, {"score": half_up(score) + yes(themed, 12) + context_points(s), "severity": severity(c("goldstein"))})
@@ -209,9 +218,11 @@ def merge_keys(rows: DataFrame) -> DataFrame:
     actor = lambda x: F.coalesce(F.nullif(F.substring(normalize(x), 1, 80), F.lit("")), F.lit("-"))
     code = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("UNK"))
     return rows.withColumns({
-        "event_key": F.concat_ws("|", code(c("raw_country")), F.coalesce(F.nullif("root", F.lit("")), F.lit("00")), hour, two(c("lat")), two(c("lon")), actor(c("actor1")), actor(c("actor2"))),
+        "event_key": F.concat_ws("|", code(c("raw_country")), F.coalesce(F.nullif("root", F.lit("")), F.lit("00")), hour, two(c("lat")),
+            two(c("lon")), actor(c("actor1")), actor(c("actor2"))),
         "url_key": F.nullif(canonical_url(c("address")), F.lit("")),
-        "editorial_key": F.concat_ws("|", code(c("country")), F.coalesce(F.nullif("domain", F.lit("")), F.lit("nodomain")), hour, title_key(c("title"))),
+        "editorial_key": F.concat_ws("|", code(c("country")), F.coalesce(F.nullif("domain", F.lit("")), F.lit("nodomain")), hour,
+            title_key(c("title"))),
         "family_key": story_family(c("title"), F.lit("general"), c("country")),
     })
 

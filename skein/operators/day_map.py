@@ -16,50 +16,74 @@ from .scoring import _computed
 MATERIAL, VERBAL = ("13", "14", "15", "16", "17", "18", "19", "20"), ("13", "15", "17", "18", "19", "20")
 MOST_MATERIAL, MOST_VERBAL, PLACED = -1.0, -5.0, ("3", "4", "5")
 OPERATIONAL = (
-    "military", "army", "navy", "air force", "missile", "strike", "attack", "drone", "artillery", "troops", "troop", "soldier", "forces", "defense", "defence", "conflict", "war",
-    "battle", "combat", "insurgent", "terror", "terrorist", "explosion", "blast", "shelling", "bombing", "raid", "airstrike", "militia", "border clash", "hostage", "coup", "sanction",
-    "evacuation", "protest", "riot", "demonstration", "unrest", "clashes", "crisis", "incident", "security", "police", "emergency", "martial law", "ceasefire", "offensive",
-    "detained", "arrested", "killed", "wounded", "rebels", "insurgency", "gunfire", "fighting", "rocket", "air raid", "siege", "mobilization", "paramilitary",
+    "military", "army", "navy", "air force", "missile", "strike", "attack", "drone", "artillery", "troops", "troop", "soldier", "forces",
+        "defense", "defence", "conflict", "war",
+    "battle", "combat", "insurgent", "terror", "terrorist", "explosion", "blast", "shelling", "bombing", "raid", "airstrike", "militia",
+        "border clash", "hostage", "coup", "sanction",
+    "evacuation", "protest", "riot", "demonstration", "unrest", "clashes", "crisis", "incident", "security", "police", "emergency",
+        "martial law", "ceasefire", "offensive",
+    "detained", "arrested", "killed", "wounded", "rebels", "insurgency", "gunfire", "fighting", "rocket", "air raid", "siege",
+        "mobilization", "paramilitary",
 )
 POINTS = {
-    "missile": 25, "war": 25, "airstrike": 24, "bombing": 24, "terrorist": 24, "attack": 22, "military": 20, "strike": 20, "drone": 20, "hostage": 20, "protest": 18, "riot": 18,
+    "missile": 25, "war": 25, "airstrike": 24, "bombing": 24, "terrorist": 24, "attack": 22, "military": 20, "strike": 20, "drone": 20,
+        "hostage": 20, "protest": 18, "riot": 18,
     "explosion": 18, "troops": 16, "crisis": 15, "incident": 12,
 }
 OTHER_POINTS, TONE_POINTS = 20, 10
 NOISE = (
-    "photo review", "american dream", "expo", "conexpo", "fashion", "celebrity", "movie", "film", "music", "festival", "sports", "match", "football", "soccer", "nba", "nfl",
-    "baseball", "cricket", "concert", "award", "red carpet", "tv show", "podcast", "entertainment", "gallery", "photos", "photo gallery", "weekend", "lifestyle", "recipe",
-    "restaurant", "horoscope", "tourism", "travel", "stock", "market", "earnings", "real estate", "deal", "shopping", "review", "ipo", "startup", "funding round",
-    "quarterly results", "revenue", "pleads guilty", "pleads not guilty", "plead guilty", "not guilty plea", "found guilty", "found not guilty", "convicted of", "acquitted",
-    "sentenced to", "sentencing hearing", "faces sentencing", "court hears", "court rules", "court finds", "court orders", "court rejects", "court dismisses", "court blocks",
-    "court upholds", "court denies", "fails in court", "fails in nsw", "nsw court", "nsw supreme", "suppression order", "suppress identities", "non-publication", "inquest",
-    "coroner", "coroners court", "inquest hears", "bail hearing", "bail granted", "bail denied", "remanded in custody", "arraigned", "indicted", "indictment", "grand jury",
-    "lawsuit filed", "civil lawsuit", "class action", "years in prison", "life in prison", "prison sentence", "appeal court", "appeals court", "court of appeal", "murder trial",
-    "terrorism trial", "war crimes trial", "on trial for", "stands trial", "goes on trial", "testimony", "takes the stand", "witness stand", "prosecutor says", "defense attorney",
-    "defence attorney", "anniversary", "years ago", "one year after", "two years after", "looks back", "in retrospect", "remembering", "commemorat", "memorial service",
-    "tribute to", "in memory of", "explainer", "fact check", "what to know", "everything you need", "how to protect", "tips for", "guide to", "what is", "opinion:", "op-ed",
+    "photo review", "american dream", "expo", "conexpo", "fashion", "celebrity", "movie", "film", "music", "festival", "sports", "match",
+        "football", "soccer", "nba", "nfl",
+    "baseball", "cricket", "concert", "award", "red carpet", "tv show", "podcast", "entertainment", "gallery", "photos", "photo gallery",
+        "weekend", "lifestyle", "recipe",
+    "restaurant", "horoscope", "tourism", "travel", "stock", "market", "earnings", "real estate", "deal", "shopping", "review", "ipo",
+        "startup", "funding round",
+    "quarterly results", "revenue", "pleads guilty", "pleads not guilty", "plead guilty", "not guilty plea", "found guilty",
+        "found not guilty", "convicted of", "acquitted",
+    "sentenced to", "sentencing hearing", "faces sentencing", "court hears", "court rules", "court finds", "court orders", "court rejects",
+        "court dismisses", "court blocks",
+    "court upholds", "court denies", "fails in court", "fails in nsw", "nsw court", "nsw supreme", "suppression order",
+        "suppress identities", "non-publication", "inquest",
+    "coroner", "coroners court", "inquest hears", "bail hearing", "bail granted", "bail denied", "remanded in custody", "arraigned",
+        "indicted", "indictment", "grand jury",
+    "lawsuit filed", "civil lawsuit", "class action", "years in prison", "life in prison", "prison sentence", "appeal court",
+        "appeals court", "court of appeal", "murder trial",
+    "terrorism trial", "war crimes trial", "on trial for", "stands trial", "goes on trial", "testimony", "takes the stand",
+        "witness stand", "prosecutor says", "defense attorney",
+    "defence attorney", "anniversary", "years ago", "one year after", "two years after", "looks back", "in retrospect", "remembering",
+        "commemorat", "memorial service",
+    "tribute to", "in memory of", "explainer", "fact check", "what to know", "everything you need", "how to protect", "tips for",
+        "guide to", "what is", "opinion:", "op-ed",
     "column:", "letter to the editor", "health tips", "weight loss", "diet", "fitness", "wellness", "mental health awareness", "self care",
 )
 NOISE_HOSTS = (
-    "espn.com", "bleacherreport.com", "nba.com", "nfl.com", "mlb.com", "tmz.com", "people.com", "eonline.com", "variety.com", "hollywoodreporter.com", "buzzfeed.com",
-    "buzzfeednews.com", "dailymail.co.uk", "foodnetwork.com", "allrecipes.com", "tripadvisor.com", "techcrunch.com", "engadget.com", "theverge.com", "wired.com", "marketwatch.com",
+    "espn.com", "bleacherreport.com", "nba.com", "nfl.com", "mlb.com", "tmz.com", "people.com", "eonline.com", "variety.com",
+        "hollywoodreporter.com", "buzzfeed.com",
+    "buzzfeednews.com", "dailymail.co.uk", "foodnetwork.com", "allrecipes.com", "tripadvisor.com", "techcrunch.com", "engadget.com",
+        "theverge.com", "wired.com", "marketwatch.com",
     "investopedia.com", "fool.com",
 )
 CATEGORIES = (
-    ("terrorism", "#ff0044", ("terrorist", "terrorism", "suicide bomb", "isis", "al-qaeda", "al qaeda", "jihad", "ied", "car bomb", "beheading", "kidnap", "hostage", "extremist")),
+    ("terrorism", "#ff0044", ("terrorist", "terrorism", "suicide bomb", "isis", "al-qaeda", "al qaeda", "jihad", "ied", "car bomb",
+            "beheading", "kidnap", "hostage", "extremist")),
     ("military", "#ff6600", (
-        "airstrike", "air strike", "missile", "artillery", "shelling", "bombardment", "navy", "air force", "fighter jet", "warplane", "tank", "drone strike", "mobilization",
-        "paramilitary", "armed forces", "military operation", "offensive", "siege", "ceasefire", "air raid", "rocket attack", "troops deployed",
+        "airstrike", "air strike", "missile", "artillery", "shelling", "bombardment", "navy", "air force", "fighter jet", "warplane",
+            "tank", "drone strike", "mobilization",
+        "paramilitary", "armed forces", "military operation", "offensive", "siege", "ceasefire", "air raid", "rocket attack",
+            "troops deployed",
     )),
     ("conflict", "#ffaa00", (
-        "war", "battle", "combat", "fighting", "clashes", "gunfire", "killed", "wounded", "rebels", "insurgent", "insurgency", "border clash", "shootout", "armed clash", "militia",
+        "war", "battle", "combat", "fighting", "clashes", "gunfire", "killed", "wounded", "rebels", "insurgent", "insurgency",
+            "border clash", "shootout", "armed clash", "militia",
         "raid", "bombing", "blast", "explosion",
     )),
     ("protest", "#ffee00", (
-        "protest", "riot", "demonstration", "unrest", "march", "rally", "uprising", "civil unrest", "dissent", "blockade", "occupy", "strike action", "walkout", "coup",
+        "protest", "riot", "demonstration", "unrest", "march", "rally", "uprising", "civil unrest", "dissent", "blockade", "occupy",
+            "strike action", "walkout", "coup",
     )),
     ("crisis", "#cc44ff", (
-        "crisis", "emergency", "martial law", "sanction", "evacuation", "displaced", "refugee", "humanitarian", "famine", "epidemic", "disaster", "state of emergency", "crackdown",
+        "crisis", "emergency", "martial law", "sanction", "evacuation", "displaced", "refugee", "humanitarian", "famine", "epidemic",
+            "disaster", "state of emergency", "crackdown",
         "detained", "arrested",
     )),
 )
@@ -104,9 +128,11 @@ def placed(rows: DataFrame, countries: DataFrame) -> DataFrame:
     missing = c("lat").isNull() | F.isnan("lat") | c("lon").isNull() | F.isnan("lon")
     marked = rows.withColumn("name_", F.when(missing, F.coalesce(F.nullif("location", F.lit("")), "country")))
     names = marked.where("name_ is not null").select(c("name_").alias("key"), c("name_").alias("location")).distinct()
-    found = country_place(names, countries.select("name", c("ord").cast("string").alias("code"), "ord")).join(countries.select(c("ord").cast("string").alias("code"), c("lat").alias("to_lat"), c("lon").alias("to_lon")), "code")
+    found = country_place(names, countries.select("name", c("ord").cast("string").alias("code"), "ord")).join(
+        countries.select(c("ord").cast("string").alias("code"), c("lat").alias("to_lat"), c("lon").alias("to_lon")), "code")
     out = marked.join(found.select(c("key").alias("name_"), "to_lat", "to_lon"), "name_", "left").where(~missing | c("to_lat").isNotNull())
-    return out.withColumns({"lat": F.when(missing, c("to_lat")).otherwise(c("lat")), "lon": F.when(missing, c("to_lon")).otherwise(c("lon"))}).drop("name_", "to_lat", "to_lon")
+    return out.withColumns({"lat": F.when(missing, c("to_lat")).otherwise(c("lat")),
+            "lon": F.when(missing, c("to_lon")).otherwise(c("lon"))}).drop("name_", "to_lat", "to_lon")
 
 
 def best_of_address(rows: DataFrame) -> DataFrame:
@@ -128,8 +154,11 @@ def day_map(events: DataFrame, countries: DataFrame, most: int = MOST) -> DataFr
     rows = best_of_address(_computed(rows, {"score": keyword_score(c("goldstein"), c("text"))}))
     rows = rows.where(~c("domain").isin(*NOISE_HOSTS) & ~has_term(c("text"), list(NOISE)) & has_term(c("text"), list(OPERATIONAL)))
     rows = rows.withColumn("color", tone_color(c("goldstein")))
-    top = rows.orderBy(F.desc("score"), F.desc(F.abs(F.coalesce("goldstein", F.lit(0.0)))), F.desc(F.coalesce("date", F.lit(""))), "ord").limit(most)
-    drawn = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), c("id").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) - 0.5
+    top = rows.orderBy(F.desc("score"), F.desc(F.abs(F.coalesce("goldstein", F.lit(0.0)))), F.desc(F.coalesce("date", F.lit(""))),
+        "ord").limit(most)
+    drawn = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), c("id").cast("string"))), 1, 8), 16,
+        10).cast("double") / F.lit(4294967296.0) - 0.5
     name, color = first_category(c("shown"))  # of the chosen ones only
-    top = _computed(top, {"shown": plain_text(F.concat_ws(" ", "title", "url"))}).withColumns({"category": name, "category_color": color}).drop("shown")
+    top = _computed(top, {"shown": plain_text(F.concat_ws(" ", "title", "url"))}).withColumns(
+        {"category": name, "category_color": color}).drop("shown")
     return top.withColumns({"map_lat": c("lat") + drawn("a") * SPREAD, "map_lon": c("lon") + drawn("o") * SPREAD}).drop("text")

@@ -15,22 +15,32 @@ from .tracks import last_points
 # Address ranges (first match wins), number prefixes, patterns and type codes of military craft.
 #: Ranges that a normal track is held against.
 HEX_RANGES = (
-    (0xADF7C8, 0xAFFFFF, "USA", "#4a9eff"), (0xA00000, 0xA0FFFF, "USA", "#4a9eff"), (0x43C000, 0x43FFFF, "GBR", "#60ddff"), (0x3B7000, 0x3B9FFF, "FRA", "#5588ff"),
-    (0x3C4000, 0x3C5FFF, "DEU", "#aaddff"), (0xC03100, 0xC03FFF, "CAN", "#88ddff"), (0x7C4200, 0x7C42FF, "AUS", "#66ccff"), (0x3D0000, 0x3D1FFF, "ITA", "#99bbff"),
-    (0x34B000, 0x34BFFF, "ESP", "#aabbff"), (0x480000, 0x480FFF, "NLD", "#88ccff"), (0x489000, 0x489FFF, "POL", "#8899ff"), (0x1A0000, 0x1AFFFF, "RUS", "#ff5555"),
-    (0x100000, 0x1FFFFF, "RUS", "#ff5555"), (0x780000, 0x7BFFFF, "CHN", "#ff6644"), (0x738000, 0x738FFF, "ISR", "#ffcc55"), (0x4B8000, 0x4B8FFF, "TUR", "#ffaa44"),
+    (0xADF7C8, 0xAFFFFF, "USA", "#4a9eff"), (0xA00000, 0xA0FFFF, "USA", "#4a9eff"), (0x43C000, 0x43FFFF, "GBR", "#60ddff"),
+        (0x3B7000, 0x3B9FFF, "FRA", "#5588ff"),
+    (0x3C4000, 0x3C5FFF, "DEU", "#aaddff"), (0xC03100, 0xC03FFF, "CAN", "#88ddff"), (0x7C4200, 0x7C42FF, "AUS", "#66ccff"),
+        (0x3D0000, 0x3D1FFF, "ITA", "#99bbff"),
+    (0x34B000, 0x34BFFF, "ESP", "#aabbff"), (0x480000, 0x480FFF, "NLD", "#88ccff"), (0x489000, 0x489FFF, "POL", "#8899ff"),
+        (0x1A0000, 0x1AFFFF, "RUS", "#ff5555"),
+    (0x100000, 0x1FFFFF, "RUS", "#ff5555"), (0x780000, 0x7BFFFF, "CHN", "#ff6644"), (0x738000, 0x738FFF, "ISR", "#ffcc55"),
+        (0x4B8000, 0x4B8FFF, "TUR", "#ffaa44"),
     (0x840000, 0x85FFFF, "JPN", "#ff9966"), (0x71C000, 0x71CFFF, "KOR", "#ffbb55"), (0x456000, 0x456FFF, "NATO", "#00ffcc"),
 )
 #: Ranges that a report is taken by: with IRN and PRK, the second IRN range shadowing ISR.
 INGEST_RANGES = (
-    *HEX_RANGES[:11], (0x100000, 0x1FFFFF, "RUS", "#ff5555"), (0x1A0000, 0x1AFFFF, "RUS", "#ff5555"), (0x780000, 0x7BFFFF, "CHN", "#ff6644"),
-    (0x730000, 0x737FFF, "IRN", "#ff9933"), (0x738000, 0x73FFFF, "IRN", "#ff9933"), (0x2A0000, 0x2A7FFF, "PRK", "#cc44ff"), (0x71C000, 0x71CFFF, "KOR", "#ffbb55"),
-    (0x738000, 0x738FFF, "ISR", "#ffcc55"), (0x4B8000, 0x4B8FFF, "TUR", "#ffaa44"), (0x840000, 0x85FFFF, "JPN", "#ff9966"), (0x456000, 0x456FFF, "NATO", "#00ffcc"),
+    *HEX_RANGES[:11], (0x100000, 0x1FFFFF, "RUS", "#ff5555"), (0x1A0000, 0x1AFFFF, "RUS", "#ff5555"),
+        (0x780000, 0x7BFFFF, "CHN", "#ff6644"),
+    (0x730000, 0x737FFF, "IRN", "#ff9933"), (0x738000, 0x73FFFF, "IRN", "#ff9933"), (0x2A0000, 0x2A7FFF, "PRK", "#cc44ff"),
+        (0x71C000, 0x71CFFF, "KOR", "#ffbb55"),
+    (0x738000, 0x738FFF, "ISR", "#ffcc55"), (0x4B8000, 0x4B8FFF, "TUR", "#ffaa44"), (0x840000, 0x85FFFF, "JPN", "#ff9966"),
+        (0x456000, 0x456FFF, "NATO", "#00ffcc"),
 )
 SHIP_PREFIXES = {
-    "338": "USA", "366": "USA", "367": "USA", "368": "USA", "369": "USA", "232": "GBR", "233": "GBR", "234": "GBR", "235": "GBR", "226": "FRA", "227": "FRA",
-    "228": "FRA", "211": "DEU", "212": "DEU", "316": "CAN", "503": "AUS", "247": "ITA", "248": "ITA", "224": "ESP", "225": "ESP", "244": "NLD", "245": "NLD",
-    "261": "POL", "273": "RUS", "412": "CHN", "413": "CHN", "414": "CHN", "477": "CHN", "431": "JPN", "432": "JPN", "440": "KOR", "441": "KOR", "419": "IND",
+    "338": "USA", "366": "USA", "367": "USA", "368": "USA", "369": "USA", "232": "GBR", "233": "GBR", "234": "GBR", "235": "GBR",
+        "226": "FRA", "227": "FRA",
+    "228": "FRA", "211": "DEU", "212": "DEU", "316": "CAN", "503": "AUS", "247": "ITA", "248": "ITA", "224": "ESP", "225": "ESP",
+        "244": "NLD", "245": "NLD",
+    "261": "POL", "273": "RUS", "412": "CHN", "413": "CHN", "414": "CHN", "477": "CHN", "431": "JPN", "432": "JPN", "440": "KOR",
+        "441": "KOR", "419": "IND",
     "422": "IRN", "378": "TUR", "271": "TUR", "276": "ISR", "563": "SGP", "525": "IDN", "636": "LBR",
 }
 CALLSIGN = r"(?i)^(RCH|SAM|REACH|DUKE|MAGMA|COBRA|VIPER|HAWK|NATO|BAF|GAF|IAF|NAVY|USAF|CNV|TOPGUN|JOLLY|SPAR|EVAC|JAKE|SWIFT|KING|VALOR|BOXER|ATLAS|BLADE|BONE|GHOST|LANCER|FURY|RAVEN|IRON|STEEL|BRONZE|SILVER|GOLD|EAGLE|FALCON|THUNDER|STORM|WOLF|BEAR|TIGER|SHARK|LION|BORT|CCCP|PLAAF|PLANAF|IRGC)\d*"
@@ -106,11 +116,14 @@ def from_states(states: DataFrame, column: str = "state") -> DataFrame:
     at = lambda i: F.get(column, F.lit(i))
     number = lambda i: at(i).try_cast("double")
     address, callsign = F.lower(F.coalesce(at(0), F.lit(""))), _given(at(1))
-    rows = states.withColumns({"id": address, "mil_": military_aircraft(address, callsign), "callsign": F.coalesce(callsign, F.upper(address)), "lon": number(5), "lat": number(6)})
+    rows = states.withColumns({"id": address, "mil_": military_aircraft(address, callsign),
+            "callsign": F.coalesce(callsign, F.upper(address)), "lon": number(5), "lat": number(6)})
     alt = half_up(number(7))
-    rows = rows.withColumns({"alt": alt, "alt_ft": half_up(alt * FEET), "speed": half_up(number(9) * KNOTS), "track": F.coalesce(number(10), F.lit(0.0)), "type": F.lit(None).cast("string")})
+    rows = rows.withColumns({"alt": alt, "alt_ft": half_up(alt * FEET), "speed": half_up(number(9) * KNOTS),
+            "track": F.coalesce(number(10), F.lit(0.0)), "type": F.lit(None).cast("string")})
     no_place = (F.coalesce("lon", F.lit(0.0)) == 0) | (F.coalesce("lat", F.lit(0.0)) == 0)
-    rows = _taken(rows, [("no_position", no_place), ("on_ground", F.coalesce(at(8) == "true", F.lit(False))), ("not_military", F.col("mil_").isNull())])
+    rows = _taken(rows, [("no_position", no_place), ("on_ground", F.coalesce(at(8) == "true", F.lit(False))),
+            ("not_military", F.col("mil_").isNull())])
     return rows.withColumns({"country": F.col("mil_.country"), "color": F.col("mil_.color")}).select(*AIRCRAFT, "reject")
 
 
@@ -121,15 +134,19 @@ def from_objects(objects: DataFrame) -> DataFrame:
     callsign = _given(F.coalesce(F.nullif("flight", F.lit("")), F.col("r")))
     grounded = F.coalesce(c("alt_baro") == "ground", F.lit(False)) | F.coalesce(c("on_ground"), F.lit(False))
     feet = half_up(c("alt_baro").try_cast("double"))
-    rows = objects.withColumns({"id": address, "mil_": military_aircraft(address, callsign), "alt_ft": feet, "alt": half_up(feet / FEET), "speed": half_up(c("gs")), "type": F.trim(F.coalesce("t", F.lit("")))})
-    rows = _taken(rows.withColumn("callsign", F.coalesce(callsign, F.upper(address))), [("no_position", c("lat").isNull() | c("lon").isNull()), ("on_ground", grounded), ("not_military", c("mil_").isNull())])
-    rows = rows.withColumns({"track": F.coalesce(c("track").cast("double"), F.lit(0.0)), "country": c("mil_.country"), "color": c("mil_.color")})
+    rows = objects.withColumns({"id": address, "mil_": military_aircraft(address, callsign), "alt_ft": feet, "alt": half_up(feet / FEET),
+            "speed": half_up(c("gs")), "type": F.trim(F.coalesce("t", F.lit("")))})
+    rows = _taken(rows.withColumn("callsign", F.coalesce(callsign, F.upper(address))),
+        [("no_position", c("lat").isNull() | c("lon").isNull()), ("on_ground", grounded), ("not_military", c("mil_").isNull())])
+    rows = rows.withColumns({"track": F.coalesce(c("track").cast("double"), F.lit(0.0)), "country": c("mil_.country"),
+            "color": c("mil_.color")})
     return rows.select(*AIRCRAFT, "reject")
 
 
 def reject_counts(rows: DataFrame) -> DataFrame:
     """How many rows were taken by country, and left out by reason."""
-    return rows.groupBy(F.coalesce("reject", F.lit("accepted")).alias("outcome"), F.when(F.col("reject").isNull(), F.col("country")).alias("country")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.coalesce("reject", F.lit("accepted")).alias("outcome"),
+        F.when(F.col("reject").isNull(), F.col("country")).alias("country")).agg(F.count("*").alias("n"))
 
 
 def fused(*sources: DataFrame) -> DataFrame:
@@ -146,17 +163,22 @@ def air_tracks(aircraft: DataFrame, helicopters: tuple[str, ...] = ()) -> DataFr
     named = _given(c("callsign"))
     return aircraft.select(
         F.lit("air").alias("domain"), "id", F.coalesce(named, F.upper("id")).alias("name"), F.coalesce(named, F.lit("")).alias("callsign"),
-        F.coalesce(F.nullif("country", F.lit("")), mil["country"], F.lit("UNKNOWN")).alias("country"), F.coalesce(F.nullif("color", F.lit("")), mil["color"], F.lit("#e8f4ff")).alias("color"),
-        "lon", "lat", c("alt").cast("long").alias("alt"), c("alt_ft").cast("long").alias("alt_ft"), c("speed").cast("double").alias("speed"), c("track").cast("double").alias("heading"),
-        F.coalesce(c("track").cast("double"), F.lit(0.0)).alias("cog"), F.coalesce(c("speed").cast("double"), F.lit(0.0)).alias("sog"), helicopter_type(c("type"), helicopters).alias("is_helicopter"),
-        mil.isNotNull().alias("military_hex"), (named.isNull() | (named == F.upper("id"))).alias("no_callsign"), c("type").alias("craft_type"),
+        F.coalesce(F.nullif("country", F.lit("")), mil["country"], F.lit("UNKNOWN")).alias("country"),
+            F.coalesce(F.nullif("color", F.lit("")), mil["color"], F.lit("#e8f4ff")).alias("color"),
+        "lon", "lat", c("alt").cast("long").alias("alt"), c("alt_ft").cast("long").alias("alt_ft"),
+            c("speed").cast("double").alias("speed"), c("track").cast("double").alias("heading"),
+        F.coalesce(c("track").cast("double"), F.lit(0.0)).alias("cog"), F.coalesce(c("speed").cast("double"), F.lit(0.0)).alias("sog"),
+            helicopter_type(c("type"), helicopters).alias("is_helicopter"),
+        mil.isNotNull().alias("military_hex"), (named.isNull() | (named == F.upper("id"))).alias("no_callsign"),
+            c("type").alias("craft_type"),
         F.lit(None).cast("int").alias("ship_type"), F.lit(False).alias("warship_number"), F.lit(False).alias("navy_country"),
     )
 
 
 def as_feed(aircraft: DataFrame) -> DataFrame:
     """Aircraft under the names of the feed that they came from; no activity is null with confidence 0."""
-    renamed = {"hex": "id", "flight": "callsign", "lat": "lat", "lon": "lon", "alt_baro": "alt_ft", "gs": "speed", "track": "track", "t": "type", "activity": "activity"}
+    renamed = {"hex": "id", "flight": "callsign", "lat": "lat", "lon": "lon", "alt_baro": "alt_ft", "gs": "speed", "track": "track",
+        "t": "type", "activity": "activity"}
     out = [F.col(old).alias(new) if old in aircraft.columns else F.lit(None).cast("string").alias(new) for new, old in renamed.items()]
     sure = F.coalesce("activity_confidence", F.lit(0.0)) if "activity_confidence" in aircraft.columns else F.lit(0.0)
     return aircraft.select(*out, sure.alias("activity_confidence"))
@@ -173,12 +195,17 @@ def sea_tracks(ships: DataFrame) -> DataFrame:
     c = F.col
     number = ship_number(c("id"))
     return ships.select(
-        F.lit("sea").alias("domain"), "id", F.coalesce(_given(c("name")), c("id")).alias("name"), F.coalesce(_given(c("callsign")), F.lit("")).alias("callsign"),
-        F.coalesce(F.nullif("country", F.lit("")), number["country"], F.lit("UNKNOWN")).alias("country"), F.lit("#e8f4ff").alias("color"), "lon", "lat",
+        F.lit("sea").alias("domain"), "id", F.coalesce(_given(c("name")), c("id")).alias("name"),
+            F.coalesce(_given(c("callsign")), F.lit("")).alias("callsign"),
+        F.coalesce(F.nullif("country", F.lit("")), number["country"], F.lit("UNKNOWN")).alias("country"), F.lit("#e8f4ff").alias("color"),
+            "lon", "lat",
         F.lit(None).cast("long").alias("alt"), F.lit(None).cast("long").alias("alt_ft"), c("sog").cast("double").alias("speed"),
-        F.when(c("heading") != 511, c("heading").cast("double")).alias("heading"), F.coalesce(c("cog").cast("double"), F.lit(0.0)).alias("cog"), F.coalesce(c("sog").cast("double"), F.lit(0.0)).alias("sog"),
-        F.lit(False).alias("is_helicopter"), F.lit(False).alias("military_hex"), F.lit(False).alias("no_callsign"), F.lit(None).cast("string").alias("craft_type"),
-        F.coalesce(c("ship_type").cast("int"), F.when(c("verified"), 35)).alias("ship_type"), number["warship"].alias("warship_number"), number["country"].isNotNull().alias("navy_country"),
+        F.when(c("heading") != 511, c("heading").cast("double")).alias("heading"),
+            F.coalesce(c("cog").cast("double"), F.lit(0.0)).alias("cog"), F.coalesce(c("sog").cast("double"), F.lit(0.0)).alias("sog"),
+        F.lit(False).alias("is_helicopter"), F.lit(False).alias("military_hex"), F.lit(False).alias("no_callsign"),
+            F.lit(None).cast("string").alias("craft_type"),
+        F.coalesce(c("ship_type").cast("int"), F.when(c("verified"), 35)).alias("ship_type"), number["warship"].alias("warship_number"),
+            number["country"].isNotNull().alias("navy_country"),
     )
 
 
@@ -212,9 +239,11 @@ def air_activity(reports: DataFrame, entity: str = "entity", points: int = 30) -
     rows = recent.groupBy(entity).agg(path.alias("path"))
     n, last = F.size("path"), F.element_at("path", -1)
     numbers = F.sequence(F.lit(2), F.greatest(F.lit(2), n))
-    turned = F.aggregate(F.filter(numbers, lambda i: i <= n), F.lit(0.0), lambda a, i: a + F.coalesce(turn(F.element_at("path", i - 1)["heading"], F.element_at("path", i)["heading"]), F.lit(0.0)))
+    turned = F.aggregate(F.filter(numbers, lambda i: i <= n), F.lit(0.0), lambda a,
+        i: a + F.coalesce(turn(F.element_at("path", i - 1)["heading"], F.element_at("path", i)["heading"]), F.lit(0.0)))
     mean_of = lambda f: F.aggregate("path", F.lit(0.0), lambda a, p: a + f(p)) / n
-    rows = rows.withColumns({"n": n, "last": last, "turned": F.abs(turned), "mid_lat": mean_of(lambda p: p["lat"]), "mid_lon": mean_of(lambda p: p["lon"])})
+    rows = rows.withColumns({"n": n, "last": last, "turned": F.abs(turned), "mid_lat": mean_of(lambda p: p["lat"]),
+            "mid_lon": mean_of(lambda p: p["lon"])})
     radii = F.transform("path", lambda p: haversine(p["lat"], p["lon"], c("mid_lat"), c("mid_lon")))
     rows = rows.withColumn("radii", radii).withColumn("mean_km", F.aggregate("radii", F.lit(0.0), lambda a, v: a + v) / c("n"))
     circle = _steady(c("radii"), 1, lambda mean: mean * 0.25) & (c("mean_km") > 5) & (c("turned") > 90)
@@ -222,7 +251,8 @@ def air_activity(reports: DataFrame, entity: str = "entity", points: int = 30) -
     alts = F.filter(F.transform("path", lambda p: p["alt_ft"].cast("double")), lambda v: v > 0)
     kind = F.upper(F.trim(F.coalesce("last.craft_type", F.lit(""))))
     rows = rows.withColumns({
-        "orbit": (c("n") >= 8) & ((c("turned") >= 270) | circle), "even_speed": _steady(speeds, 4, lambda mean: mean * 0.10), "even_alt": _steady(alts, 4, lambda _: F.lit(2000.0)),
+        "orbit": (c("n") >= 8) & ((c("turned") >= 270) | circle), "even_speed": _steady(speeds, 4, lambda mean: mean * 0.10),
+            "even_alt": _steady(alts, 4, lambda _: F.lit(2000.0)),
         "kind": kind, "alt": c("last.alt_ft"), "elapsed": F.element_at("path", -1)["ts_us"] - F.element_at("path", 1)["ts_us"],
     })
     yes = lambda x, points: F.when(F.coalesce(x, F.lit(False)), points).otherwise(0)
@@ -238,7 +268,8 @@ def air_activity(reports: DataFrame, entity: str = "entity", points: int = 30) -
     )
     patrol = F.when(c("orbit") & (cap >= 50), F.struct(F.lit("CAP").alias("activity"), two_places(cap, 100).alias("confidence")))
     rows = rows.withColumn("found", F.coalesce(typed, patrol))
-    return rows.select(entity, "orbit", "even_speed", "even_alt", c("found.activity").alias("activity"), F.coalesce("found.confidence", F.lit(0.0)).alias("confidence"))
+    return rows.select(entity, "orbit", "even_speed", "even_alt", c("found.activity").alias("activity"),
+        F.coalesce("found.confidence", F.lit(0.0)).alias("confidence"))
 
 
 def verified_ships(messages: DataFrame) -> DataFrame:
@@ -251,7 +282,9 @@ def verified_ships(messages: DataFrame) -> DataFrame:
     name = F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), "@+$", ""))
     shown = (c("kind") == "static") & (name.rlike(SHIP_NAME) | F.coalesce(c("ship_type") == 35, F.lit(False)))
     path = Window.partitionBy("number").orderBy("ts_us", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = messages.withColumn("shown_name", F.last(F.when(shown, F.coalesce(F.nullif(name, F.lit("")), c("number"))), ignorenulls=True).over(path))
+    rows = messages.withColumn("shown_name", F.last(F.when(shown, F.coalesce(F.nullif(name, F.lit("")), c("number"))),
+            ignorenulls=True).over(path))
     rows = rows.where((c("kind") == "position") & valid_position(c("lat"), c("lon")))
     own = ship_number(c("number"))
-    return rows.withColumn("own_", own).where(c("shown_name").isNotNull() | c("own_.warship")).withColumns({"ship": F.coalesce("shown_name", "number"), "country": c("own_.country")}).drop("own_")
+    return rows.withColumn("own_", own).where(c("shown_name").isNotNull()
+        | c("own_.warship")).withColumns({"ship": F.coalesce("shown_name", "number"), "country": c("own_.country")}).drop("own_")

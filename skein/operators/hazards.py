@@ -11,7 +11,8 @@ from ..functions.numbers import half_up
 # Colours by alert, magnitude and urgency, points by kind.
 ALERT_COLORS = {"red": "#ff2244", "orange": "#ff6600", "yellow": "#ffaa00"}
 STATUS_COLORS = {1: "#00ff88", 2: "#ffaa00", 3: "#00d4ff", 4: "#ff2244"}
-ANOMALY_KINDS = (("gap", "dark_shipping", 80), ("encounter", "vessel_encounter", 70), ("loiter", "loitering", 65), ("fishing", "fishing_activity", 50), ("port", "port_visit", 40))
+ANOMALY_KINDS = (("gap", "dark_shipping", 80), ("encounter", "vessel_encounter", 70), ("loiter", "loitering", 65),
+    ("fishing", "fishing_activity", 50), ("port", "port_visit", 40))
 OTHER_ANOMALY = ("maritime_anomaly", 55)
 LONGEST_DAYS = 365
 TONES = ((20, -10), (10, -8), (5, -6), (1, -4))
@@ -31,7 +32,8 @@ def quake_color(mag: Column, alert: Column) -> Column:
 
 
 # Colours of the planetary index and of the storm scales, sizes and least strength of quakes on the map.
-KP_COLORS, SCALE_COLORS = ((7, "#ff2244"), (5, "#ff6600"), (4, "#ffaa00"), (3, "#ffdd55")), ((4, "#ff2244"), (3, "#ff6600"), (2, "#ffaa00"), (1, "#ffdd55"))
+KP_COLORS, SCALE_COLORS = ((7, "#ff2244"), (5, "#ff6600"), (4, "#ffaa00"), (3, "#ffdd55")), ((4, "#ff2244"), (3, "#ff6600"),
+    (2, "#ffaa00"), (1, "#ffdd55"))
 UNKNOWN_COLOR, CALM_COLOR, LEAST_SHOWN = "#2a4a5a", "#00ff88", 5.5
 
 
@@ -52,7 +54,8 @@ def scale_color(level: Column) -> Column:
 
 def shown_quakes(rows: DataFrame, least: float = LEAST_SHOWN) -> DataFrame:
     """Quakes that are strong enough for the map, with the radius of their mark."""
-    return rows.where(F.col("mag") >= least).withColumn("radius", F.when(F.col("mag") >= 7.5, 22).when(F.col("mag") >= 6.5, 14).otherwise(8))
+    return rows.where(F.col("mag") >= least).withColumn("radius",
+        F.when(F.col("mag") >= 7.5, 22).when(F.col("mag") >= 6.5, 14).otherwise(8))
 
 
 def quakes(features: DataFrame) -> DataFrame:
@@ -61,8 +64,10 @@ def quakes(features: DataFrame) -> DataFrame:
     mag = _or(p("mag"), 0.0)
     name = F.coalesce("id", F.concat_ws("_", at(1).cast("string"), at(0).cast("string"), p("time").cast("string")))
     return features.select(
-        name.alias("id"), mag.alias("mag"), _or(p("place"), "").alias("place"), F.timestamp_millis(p("time")).alias("time"), at(2).alias("depth"), at(1).alias("lat"), at(0).alias("lon"),
-        (_or(p("tsunami"), 0) != 0).alias("tsunami"), p("alert").alias("alert"), _or(p("url"), "").alias("url"), _or(p("sig"), 0).alias("sig"), quake_color(mag, p("alert")).alias("color"),
+        name.alias("id"), mag.alias("mag"), _or(p("place"), "").alias("place"), F.timestamp_millis(p("time")).alias("time"),
+            at(2).alias("depth"), at(1).alias("lat"), at(0).alias("lon"),
+        (_or(p("tsunami"), 0) != 0).alias("tsunami"), p("alert").alias("alert"), _or(p("url"), "").alias("url"),
+            _or(p("sig"), 0).alias("sig"), quake_color(mag, p("alert")).alias("color"),
     )
 
 
@@ -71,15 +76,21 @@ def launches(raw: DataFrame) -> DataFrame:
     c = F.col
     color = F.create_map(*(F.lit(x) for pair in STATUS_COLORS.items() for x in pair))
     more = {
-        "window_start": "window_start", "window_end": "window_end", "status.name": "status_text", "launch_service_provider.type.name": "provider_type", "mission.type": "mission_type",
+        "window_start": "window_start", "window_end": "window_end", "status.name": "status_text",
+            "launch_service_provider.type.name": "provider_type", "mission.type": "mission_type",
         "mission.description": "mission_text", "pad.country.name": "pad_country", "failreason": "failure",
     }
     return raw.select(
-        "id", _or(c("name"), "Unknown Mission").alias("name"), "net", _or(c("status.id"), 0).alias("status"), _or(c("status.abbrev"), "?").alias("status_label"),
-        _or(F.try_element_at(color, c("status.id")), "#4a6a7a").alias("status_color"), _or(c("launch_service_provider.name"), "Unknown").alias("provider"),
-        F.coalesce(F.nullif(c("rocket.configuration.full_name"), F.lit("")), F.nullif(c("rocket.configuration.name"), F.lit("")), F.lit("Unknown")).alias("rocket"),
-        _or(c("mission.name"), "").alias("mission"), _or(c("mission.orbit.name"), "").alias("orbit"), _or(c("pad.name"), "").alias("pad"), _or(c("pad.latitude").try_cast("double"), 0.0).alias("lat"),
-        _or(c("pad.longitude").try_cast("double"), 0.0).alias("lon"), F.coalesce(c("image.thumbnail_url"), c("image.image_url")).alias("image"), _or(c("webcast_live"), False).alias("webcast_live"),
+        "id", _or(c("name"), "Unknown Mission").alias("name"), "net", _or(c("status.id"), 0).alias("status"),
+            _or(c("status.abbrev"), "?").alias("status_label"),
+        _or(F.try_element_at(color, c("status.id")), "#4a6a7a").alias("status_color"),
+            _or(c("launch_service_provider.name"), "Unknown").alias("provider"),
+        F.coalesce(F.nullif(c("rocket.configuration.full_name"), F.lit("")), F.nullif(c("rocket.configuration.name"), F.lit("")),
+            F.lit("Unknown")).alias("rocket"),
+        _or(c("mission.name"), "").alias("mission"), _or(c("mission.orbit.name"), "").alias("orbit"), _or(c("pad.name"), "").alias("pad"),
+            _or(c("pad.latitude").try_cast("double"), 0.0).alias("lat"),
+        _or(c("pad.longitude").try_cast("double"), 0.0).alias("lon"),
+            F.coalesce(c("image.thumbnail_url"), c("image.image_url")).alias("image"), _or(c("webcast_live"), False).alias("webcast_live"),
         *(_or(c(path), "").alias(name) for path, name in more.items()),
     )
 
@@ -89,8 +100,10 @@ def launch_events(raw: DataFrame) -> DataFrame:
     c = F.col
     image = F.coalesce(F.nullif(c("image.thumbnail_url"), F.lit("")), F.nullif(c("image.image_url"), F.lit("")))
     return raw.select(
-        "id", F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown Event")).alias("name"), F.nullif("date", F.lit("")).alias("date"), _or(c("type.name"), "").alias("type"),
-        _or(c("location"), "").alias("location"), _or(c("description"), "").alias("description"), image.alias("image"), _or(c("webcast_live"), False).alias("webcast_live"),
+        "id", F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown Event")).alias("name"), F.nullif("date", F.lit("")).alias("date"),
+            _or(c("type.name"), "").alias("type"),
+        _or(c("location"), "").alias("location"), _or(c("description"), "").alias("description"), image.alias("image"),
+            _or(c("webcast_live"), False).alias("webcast_live"),
     )
 
 
@@ -100,10 +113,12 @@ def pads(upcoming: DataFrame, previous: DataFrame) -> DataFrame:
     Both: pad, lat, lon, ord.
     """
     key = F.concat_ws(",", *(F.format_string("%.3f", c) for c in ("lat", "lon")))
-    rows = upcoming.select("pad", "lat", "lon", "ord", F.lit(True).alias("up")).unionByName(previous.select("pad", "lat", "lon", "ord", F.lit(False).alias("up")))
+    rows = upcoming.select("pad", "lat", "lon", "ord", F.lit(True).alias("up")).unionByName(
+        previous.select("pad", "lat", "lon", "ord", F.lit(False).alias("up")))
     rows = rows.where("lat <> 0 and lon <> 0").withColumn("place", key)
     choice = F.struct("up", F.when(F.col("up"), F.col("ord")).otherwise(-F.col("ord")).alias("o"))
-    return rows.groupBy("place").agg(F.max_by("pad", choice).alias("pad"), F.max_by("lat", choice).alias("lat"), F.max_by("lon", choice).alias("lon"), F.bool_or("up").alias("has_upcoming"))
+    return rows.groupBy("place").agg(F.max_by("pad", choice).alias("pad"), F.max_by("lat", choice).alias("lat"),
+        F.max_by("lon", choice).alias("lon"), F.bool_or("up").alias("has_upcoming"))
 
 
 def launch_at(places: DataFrame, rows: DataFrame, degrees: float = 0.05) -> DataFrame:
@@ -111,9 +126,11 @@ def launch_at(places: DataFrame, rows: DataFrame, degrees: float = 0.05) -> Data
     cell = lambda x: F.floor(x / degrees).cast("long")
     around = lambda x: F.explode(F.array(cell(x) - 1, cell(x), cell(x) + 1))
     a = places.withColumn("row_", around(F.col("lat"))).withColumn("cell_", around(F.col("lon")))
-    b = rows.select(F.col("id").alias("launch"), F.col("ord").alias("launch_ord"), F.col("lat").alias("launch_lat"), F.col("lon").alias("launch_lon"))
+    b = rows.select(F.col("id").alias("launch"), F.col("ord").alias("launch_ord"), F.col("lat").alias("launch_lat"),
+        F.col("lon").alias("launch_lon"))
     b = b.withColumns({"row_": cell(F.col("launch_lat")), "cell_": cell(F.col("launch_lon"))})
-    near = a.join(b, ["row_", "cell_"]).where((F.abs(F.col("lon") - F.col("launch_lon")) < degrees) & (F.abs(F.col("lat") - F.col("launch_lat")) < degrees))
+    near = a.join(b, ["row_", "cell_"]).where((F.abs(F.col("lon") - F.col("launch_lon")) < degrees)
+        & (F.abs(F.col("lat") - F.col("launch_lat")) < degrees))
     return near.groupBy("place").agg(F.min_by("launch", "launch_ord").alias("launch"))
 
 
@@ -143,19 +160,25 @@ def decays(rows: DataFrame, countries: DataFrame, as_of: Column) -> DataFrame:
     drawn = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), _or(c("NORAD_CAT_ID"), ""))), 1, 8), 16, 10).cast("double")
     shift = lambda salt: (drawn(salt) / F.lit(4294967296.0) - 0.5) * 8
     return out.withColumn("days_left", days).select(
-        _or(c("NORAD_CAT_ID"), "unknown").alias("id"), F.coalesce("OBJECT_NAME", F.concat(F.lit("NORAD "), "NORAD_CAT_ID")).alias("name"), "country", *_numbers("WINDOW", "INCLINATION", "APOGEE", "PERIGEE"),
-        _or(c("OBJECT_ID"), "").alias("object_id"), c("DECAY_EPOCH").alias("decay_epoch"), c("MSG_EPOCH").alias("msg_epoch"), "days_left", _urgency(c("days_left"), (3, 7, 14)).alias("color"), (c("mid_lat") + shift("a")).alias("lat"), (c("mid_lon") + shift("o")).alias("lon"),
+        _or(c("NORAD_CAT_ID"), "unknown").alias("id"), F.coalesce("OBJECT_NAME", F.concat(F.lit("NORAD "), "NORAD_CAT_ID")).alias("name"),
+            "country", *_numbers("WINDOW", "INCLINATION", "APOGEE", "PERIGEE"),
+        _or(c("OBJECT_ID"), "").alias("object_id"), c("DECAY_EPOCH").alias("decay_epoch"), c("MSG_EPOCH").alias("msg_epoch"), "days_left",
+            _urgency(c("days_left"), (3, 7, 14)).alias("color"), (c("mid_lat") + shift("a")).alias("lat"),
+            (c("mid_lon") + shift("o")).alias("lon"),
     )
 
 
 def reentries(rows: DataFrame, as_of: Column) -> DataFrame:
     """Predicted re-entries at their own place; rows without one go."""
     c = F.col
-    out = _ahead(rows.withColumns({"lat": c("LAT").try_cast("double"), "lon": c("LON").try_cast("double")}).where("lat is not null and lon is not null"), as_of)
+    out = _ahead(rows.withColumns({"lat": c("LAT").try_cast("double"), "lon": c("LON").try_cast("double")}).where(
+            "lat is not null and lon is not null"), as_of)
     out = out.withColumn("hours_left", (F.unix_seconds("decay") - F.unix_seconds(as_of)) / 3600.0)
     return out.select(
-        _or(c("NORAD_CAT_ID"), "unknown").alias("id"), F.coalesce("OBJECT_NAME", F.concat(F.lit("NORAD "), "NORAD_CAT_ID")).alias("name"), _or(F.nullif("COUNTRY_CODE", F.lit("")), "INTL").alias("country"),
-        _or(c("HIGH_INTEREST") == "Y", False).alias("high_interest"), "hours_left", _urgency(c("hours_left"), (6, 24, 72)).alias("color"), "lat", "lon",
+        _or(c("NORAD_CAT_ID"), "unknown").alias("id"), F.coalesce("OBJECT_NAME", F.concat(F.lit("NORAD "), "NORAD_CAT_ID")).alias("name"),
+            _or(F.nullif("COUNTRY_CODE", F.lit("")), "INTL").alias("country"),
+        _or(c("HIGH_INTEREST") == "Y", False).alias("high_interest"), "hours_left", _urgency(c("hours_left"), (6, 24, 72)).alias("color"),
+            "lat", "lon",
     )
 
 
@@ -184,7 +207,8 @@ def space_weather(scales: DataFrame, kp: DataFrame, alerts: DataFrame, as_of: Co
     """
     newest = kp.agg(F.max_by(F.nullif(F.col("kp").try_cast("double"), F.lit(0.0)), "time").alias("kp"))
     first = alerts.where(F.col("issued") > as_of - F.expr("INTERVAL 48 HOURS")).orderBy("ord").limit(most)
-    told = F.struct("ord", F.coalesce("product_id", F.col("issued").cast("string")).alias("id"), "issued", headline(F.col("message")).alias("headline"))
+    told = F.struct("ord", F.coalesce("product_id", F.col("issued").cast("string")).alias("id"), "issued",
+        headline(F.col("message")).alias("headline"))
     listed = first.agg(F.array_sort(F.collect_list(told)).alias("alerts"))
     today = scales.agg(*(_or(F.max(F.col(x).try_cast("int")), 0).alias(x) for x in ("g", "s", "r")))
     return today.join(F.broadcast(newest)).join(F.broadcast(listed))
@@ -202,7 +226,8 @@ def vessel_anomalies(raw: DataFrame) -> DataFrame:
     key = [c("kind"), half_up(c("lat") * 10), half_up(c("lon") * 10), _or(c("vessel_id"), "")]
     best = Window.partitionBy(*key).orderBy(F.desc("confidence"), "ord")
     name = F.coalesce(c("id").cast("string"), F.concat(F.lit("gfw-"), "kind", F.lit("-"), c("ord").cast("string")))
-    return rows.withColumn("rank_", F.row_number().over(best)).where("rank_ = 1").select(name.alias("id"), "kind", "confidence", "minutes", "lat", "lon", "vessel_id", F.coalesce("start", "end").alias("seen"))
+    return rows.withColumn("rank_", F.row_number().over(best)).where("rank_ = 1").select(name.alias("id"), "kind", "confidence", "minutes",
+        "lat", "lon", "vessel_id", F.coalesce("start", "end").alias("seen"))
 
 
 def conflict_records(rows: DataFrame, first_day: Column, last_day: Column, most: int = 500) -> DataFrame:
@@ -223,7 +248,9 @@ def conflict_records(rows: DataFrame, first_day: Column, last_day: Column, most:
 def countdown(minutes: Column) -> Column:
     """T- days, hours and minutes, or LAUNCHED once the time is past."""
     days, hours, rest = (minutes / 1440).cast("int"), (minutes / 60).cast("int") % 24, minutes % 60
-    return F.when(minutes < 0, "LAUNCHED").when(days > 0, F.format_string("T-%dd %02d:%02d", days, hours, rest.cast("int"))).otherwise(F.format_string("T-%02d:%02d", hours, rest.cast("int")))
+    return F.when(minutes < 0, "LAUNCHED").when(days > 0,
+        F.format_string("T-%dd %02d:%02d", days, hours, rest.cast("int"))).otherwise(
+        F.format_string("T-%02d:%02d", hours, rest.cast("int")))
 
 
 def spread(points: DataFrame, ring: float = 0.18) -> DataFrame:
@@ -254,11 +281,13 @@ def spiral(points: DataFrame, digits: int, step: float, order: str = "id") -> Da
 def geojson(points: DataFrame, *properties: str) -> DataFrame:
     """One feature of each point as a JSON line, placed by ``map_lon`` and ``map_lat``."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array("map_lon", "map_lat").alias("coordinates"))
-    return points.select("id", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
+    return points.select("id", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"),
+                F.struct(*properties).alias("properties"))).alias("feature"))
 
 
 def cell_counts(points: DataFrame, size: int) -> DataFrame:
     """Points by cell, with each cell's share of the fullest (of one at least)."""
-    cells = points.groupBy(grid(F.col("lat"), size).alias("cell_lat"), grid(F.col("lon"), size).alias("cell_lon")).agg(F.count("*").alias("n"))
+    cells = points.groupBy(grid(F.col("lat"), size).alias("cell_lat"),
+        grid(F.col("lon"), size).alias("cell_lon")).agg(F.count("*").alias("n"))
     most = cells.agg(F.greatest(F.max("n"), F.lit(1)).alias("most"))
     return cells.join(F.broadcast(most)).withColumn("share", F.col("n") / F.col("most")).drop("most")

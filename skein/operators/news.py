@@ -26,42 +26,67 @@ SPATIAL_NOISE = (
 DOMAINS = (
     ("missile", "missile|ballistic|hypersonic|icbm|slbm|warhead", ""),
     ("military", "hezbollah|hamas|idf|israel.*rocket|rocket.*platform.*target|strikes.*rocket", ""),
-    ("spatial", "satellite|space launch|orbit|space force|spaceforce|spacex|starlink|falcon 9|atlas v|vulcan|nasa.*launch|blue origin|vandenberg|cape canaveral|wallops|minotaur|delta iv|soyuz|long march|ariane|vega.*rocket|electron.*rocket|rocket lab|ula |iss |international space station|cosmodrome|baikonur|jiuquan|xichang|wenchang|space daily|spaceflight|spacety|xona space", ""),
-    ("spatial", "rocket launch|rocket.*liftoff|launch.*rocket", "strike|attack|target|military|bomb|shell|hezbollah|hamas|idf|israel|intercept"),
+    ("spatial",
+        "satellite|space launch|orbit|space force|spaceforce|spacex|starlink|falcon 9|atlas v|vulcan|nasa.*launch|blue origin|vandenberg|cape canaveral|wallops|minotaur|delta iv|soyuz|long march|ariane|vega.*rocket|electron.*rocket|rocket lab|ula |iss |international space station|cosmodrome|baikonur|jiuquan|xichang|wenchang|space daily|spaceflight|spacety|xona space",
+        ""),
+    ("spatial", "rocket launch|rocket.*liftoff|launch.*rocket",
+        "strike|attack|target|military|bomb|shell|hezbollah|hamas|idf|israel|intercept"),
     ("naval", "naval|warship|carrier|submarine|fleet|destroyer|frigate|navy", ""),
     ("aviation", "fighter jet|airstrike|air force|drone strike|military aircraft|bomber|f-35|f-16|su-", ""),
 )
 TYPES = {
-    "spatial": (("satellite launch|rocket launch|space launch|orbital launch", "satellite_launch"), ("spy|reconnaissance|nro|classified satellite", "spy_satellite"), ("debris|collision|space.*incident", "space_incident"), ("reentry|re-entry", "reentry_risk"), ("asat|anti.satellite|jamming|spoofing|space.*weapon", "space_warfare")),
-    "missile": (("test", "missile_test"), ("ballistic", "ballistic_missile"), ("hypersonic", "hypersonic_test"), ("intercept", "missile_defense")),
-    "naval": (("exercise", "naval_exercise"), ("deploy", "fleet_deployment"), ("carrier", "carrier_ops"), ("submarine", "submarine_activity"), ("patrol", "naval_patrol")),
-    "aviation": (("airstrike|strike", "airstrike"), ("drone", "drone_strike"), ("intercept", "air_intercept"), ("exercise", "air_exercise")),
-    "military": (("escalat", "escalation"), ("deploy", "troop_deployment"), ("clash", "border_clash"), ("offensive", "offensive"), ("ceasefire", "ceasefire"), ("sanction", "sanctions")),
+    "spatial": (("satellite launch|rocket launch|space launch|orbital launch", "satellite_launch"),
+        ("spy|reconnaissance|nro|classified satellite", "spy_satellite"), ("debris|collision|space.*incident", "space_incident"),
+        ("reentry|re-entry", "reentry_risk"), ("asat|anti.satellite|jamming|spoofing|space.*weapon", "space_warfare")),
+    "missile": (("test", "missile_test"), ("ballistic", "ballistic_missile"), ("hypersonic", "hypersonic_test"),
+        ("intercept", "missile_defense")),
+    "naval": (("exercise", "naval_exercise"), ("deploy", "fleet_deployment"), ("carrier", "carrier_ops"),
+        ("submarine", "submarine_activity"), ("patrol", "naval_patrol")),
+    "aviation": (("airstrike|strike", "airstrike"), ("drone", "drone_strike"), ("intercept", "air_intercept"),
+        ("exercise", "air_exercise")),
+    "military": (("escalat", "escalation"), ("deploy", "troop_deployment"), ("clash", "border_clash"), ("offensive", "offensive"),
+        ("ceasefire", "ceasefire"), ("sanction", "sanctions")),
 }
 #: (domain or "" for all, points, pattern, pattern that must not be there).
 POINTS = (
     ("", 12, "test|strike|attack|deploy|exercise|fire|intercept|shoot|bomb|detonate|explosion|incident|breach|intrusion", ""),
     ("spatial", -50, SPATIAL_NOISE, STRATEGIC),
-    ("spatial", 25, "rocket launch|satellite launch|space launch|orbital launch|missile launch|ballistic.*launch|launch.*satellite|launch.*rocket|launch.*orbit|liftoff.*rocket|rocket.*liftoff", ""),
+    ("spatial", 25,
+        "rocket launch|satellite launch|space launch|orbital launch|missile launch|ballistic.*launch|launch.*satellite|launch.*rocket|launch.*orbit|liftoff.*rocket|rocket.*liftoff",
+        ""),
     ("spatial", 20, STRATEGIC, ""),
-    ("spatial", -40, "launch", "rocket|satellite|space|orbital|orbit|missile|capsule|payload|vehicle|booster|spacecraft|probe|liftoff|pad|silo|icbm|slbm|sounding"),
-    ("spatial", -45, "how to (see|watch|view)|viewing guide|liftoff (time|tonight)|visible (from|in)|sonic boom|ticket|livestream|live stream|live coverage|photo.*launch|launch.*photo|watching.*launch|launch.*watch", ""),
+    ("spatial", -40, "launch",
+        "rocket|satellite|space|orbital|orbit|missile|capsule|payload|vehicle|booster|spacecraft|probe|liftoff|pad|silo|icbm|slbm|sounding"),
+    ("spatial", -45,
+        "how to (see|watch|view)|viewing guide|liftoff (time|tonight)|visible (from|in)|sonic boom|ticket|livestream|live stream|live coverage|photo.*launch|launch.*photo|watching.*launch|launch.*watch",
+        ""),
     ("spatial", -25, "spacex|falcon 9|starlink", STRATEGIC),
     ("spatial", -40, "artemis|moon mission|lunar.*mission|mars.*mission", STRATEGIC),
-    ("aviation", 20, "military|airstrike|air strike|bomber|fighter|f-35|f-16|su-|mig|drone strike|shootdown|intercept|scramble|warplane|combat|air force|close air support", ""),
-    ("aviation", -50, "airline|passenger|commercial flight|airport|flight delay|ticket|booking|baggage|travel|tourism|runway|gate|departure|arrival|cargo plane|freighter", ""),
-    ("naval", 20, "military|warship|navy|naval|destroyer|frigate|submarine|carrier|exercise|patrol|drill|blockade|incident|collision|intrusion|contested", ""),
-    ("naval", -50, "cruise ship|container ship|cargo ship|merchant|ferry|fishing|coast guard rescue|grounded|stuck|accident|pollution|piracy.*cargo|shipping lane.*trade", ""),
+    ("aviation", 20,
+        "military|airstrike|air strike|bomber|fighter|f-35|f-16|su-|mig|drone strike|shootdown|intercept|scramble|warplane|combat|air force|close air support",
+        ""),
+    ("aviation", -50,
+        "airline|passenger|commercial flight|airport|flight delay|ticket|booking|baggage|travel|tourism|runway|gate|departure|arrival|cargo plane|freighter",
+        ""),
+    ("naval", 20,
+        "military|warship|navy|naval|destroyer|frigate|submarine|carrier|exercise|patrol|drill|blockade|incident|collision|intrusion|contested",
+        ""),
+    ("naval", -50,
+        "cruise ship|container ship|cargo ship|merchant|ferry|fishing|coast guard rescue|grounded|stuck|accident|pollution|piracy.*cargo|shipping lane.*trade",
+        ""),
     ("missile", 15, "launch|test|fire|intercept|detonate|explode|hit|struck|shoot down", ""),
     ("missile", -30, "launch", "missile|rocket|ballistic|hypersonic|icbm|slbm|warhead|projectile|munition|weapon"),
-    ("military", 15, "offensive|assault|battle|war|conflict|casualt|killed|soldier|troops|frontline|ceasefire|escalat|invasion|occupation|siege", ""),
+    ("military", 15,
+        "offensive|assault|battle|war|conflict|casualt|killed|soldier|troops|frontline|ceasefire|escalat|invasion|occupation|siege", ""),
     ("military", -25, "summit|diplomat|sanction|trade war|tariff|negotiat", "military|troops|army|force|weapon"),
     ("", -20, "opinion|editorial|could|might|may consider|if.*war|hypothetical|scenario|what if", ""),
     ("", -30, r"historical|anniversary|years ago|world war ii|cold war era|in \d{4}|commemorat|memorial", ""),
     ("", -60, "sport|football|soccer|basketball|cricket|olympic|medal|tourism|hotel|restaurant|recipe|fashion|entertainment", ""),
-    ("", -40, "stock|shares|earnings|revenue|profit|ipo|startup|investment|market cap|quarterly|fiscal|dividend", "sanction|embargo|military|weapon|defense"),
+    ("", -40, "stock|shares|earnings|revenue|profit|ipo|startup|investment|market cap|quarterly|fiscal|dividend",
+        "sanction|embargo|military|weapon|defense"),
     ("", -35, "school board|curriculum|university|vaccine|covid|pandemic|hospital|patient|medical", "attack|military|weapon|strike|bomb"),
-    ("", -25, "summit|state visit|trade agreement|trade deal|diplomatic visit|bilateral talks", "military|weapon|nuclear|sanction|crisis|war|conflict"),
+    ("", -25, "summit|state visit|trade agreement|trade deal|diplomatic visit|bilateral talks",
+        "military|weapon|nuclear|sanction|crisis|war|conflict"),
 )
 BASE, SAME_DOMAIN, PLACED, SHORT_TITLE, SHORT_WORDS = 55, 10, 15, 5, 15
 LEAST_CONFIDENCE = {"spatial": 62, "aviation": 60, "naval": 60, "missile": 55, "military": 50}
@@ -132,7 +157,8 @@ def classified(items: DataFrame) -> DataFrame:
     """Items (title, feed_domain, lat, lon) with domain, type, confidence and whether that is enough."""
     c = F.col
     out = items.withColumn("domain", domain_of(c("title")))
-    out = out.withColumns({"type": type_of(c("title"), c("domain")), "confidence": confidence(c("title"), c("domain"), c("feed_domain"), c("lat").isNotNull())})
+    out = out.withColumns({"type": type_of(c("title"), c("domain")),
+            "confidence": confidence(c("title"), c("domain"), c("feed_domain"), c("lat").isNotNull())})
     return out.withColumn("enough", c("confidence") >= least_confidence(c("domain")))
 
 
@@ -141,13 +167,16 @@ def _candidates(items: DataFrame, least: float, hours: int, order: str) -> DataF
     rows = items.withColumn("words", F.array_sort(word_set(F.col("title")))).withColumn("set", F.xxhash64("words"))
     sets = rows.groupBy("set").agg(F.first("words").alias("words"))
     near = similar_pairs(sets, "words", least, key="set").select(F.col("a").alias("x"), F.col("b").alias("y"))
-    near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(sets.select(F.col("set").alias("x"), F.col("set").alias("y")))
+    near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(
+        sets.select(F.col("set").alias("x"), F.col("set").alias("y")))
     day = F.floor(F.unix_seconds("ts") / (3600 * hours)).cast("long")
-    side = lambda n, own: rows.select(F.col("set").alias({"a": "x", "b": "y"}[n]), own.alias("day"), *(F.col(c).alias(f"{n}_{c}") for c in ("id", order, "ts", "source", "lat", "lon", "words")))
+    side = lambda n, own: rows.select(F.col("set").alias({"a": "x", "b": "y"}[n]), own.alias("day"),
+        *(F.col(c).alias(f"{n}_{c}") for c in ("id", order, "ts", "source", "lat", "lon", "words")))
     # two items at most ``hours`` apart are in the same or in neighbouring stretches of that length
     left = side("a", F.explode(F.array(day - 1, day, day + 1)))
     pairs = left.join(near, "x").join(side("b", day), ["y", "day"]).where(F.col(f"a_{order}") < F.col(f"b_{order}"))
-    pairs = pairs.withColumns({"similarity": overlap(F.col("a_words"), F.col("b_words")), "apart": F.abs(F.unix_seconds("a_ts") - F.unix_seconds("b_ts"))})
+    pairs = pairs.withColumns({"similarity": overlap(F.col("a_words"), F.col("b_words")),
+            "apart": F.abs(F.unix_seconds("a_ts") - F.unix_seconds("b_ts"))})
     return pairs.where(F.col("apart") <= 3600 * hours)
 
 
@@ -183,7 +212,8 @@ def without_gray(items: DataFrame, verdicts: DataFrame, order: str = "ord") -> D
     Every verdict counts by itself: an item that one pair takes away still takes away others by its own pairs.
     """
     when = F.coalesce(F.unix_micros("ts"), F.lit(0))
-    side = lambda n: items.select(F.col("id").alias(n), F.struct(F.col(order).alias("ord"), when.alias("at"), F.col("id").alias("id")).alias(f"{n}_"))
+    side = lambda n: items.select(F.col("id").alias(n),
+        F.struct(F.col(order).alias("ord"), when.alias("at"), F.col("id").alias("id")).alias(f"{n}_"))
     pairs = verdicts.where("same").select("a", "b").join(side("a"), "a").join(side("b"), "b")
     first, second = F.least("a_", "b_"), F.greatest("a_", "b_")  # by their place in order
     gone = pairs.select(F.when(first["at"] >= second["at"], second["id"]).otherwise(first["id"]).alias("id")).distinct()
@@ -191,15 +221,18 @@ def without_gray(items: DataFrame, verdicts: DataFrame, order: str = "ord") -> D
 
 
 #: Colours and labels of the map.
-MAP_STYLE = {"spatial": ("#a855f7", "SPATIAL"), "missile": ("#ef4444", "MISSILE"), "naval": ("#3b82f6", "NAVAL"), "aviation": ("#f59e0b", "AVIATION"), "military": ("#dc2626", "MILITARY")}
+MAP_STYLE = {"spatial": ("#a855f7", "SPATIAL"), "missile": ("#ef4444", "MISSILE"), "naval": ("#3b82f6", "NAVAL"),
+    "aviation": ("#f59e0b", "AVIATION"), "military": ("#dc2626", "MILITARY")}
 
 
 def for_map(events: DataFrame) -> DataFrame:
     """Placed events that are sure enough, with colour and label of their domain."""
     color, label = F.lit("#888"), F.lit("NEWS")
     for name, (own_color, own_label) in MAP_STYLE.items():
-        color, label = F.when(F.col("domain") == name, own_color).otherwise(color), F.when(F.col("domain") == name, own_label).otherwise(label)
-    placed = events.where((F.coalesce("lat", F.lit(0.0)) != 0) & (F.coalesce("lon", F.lit(0.0)) != 0) & (F.col("confidence") >= MAP_CONFIDENCE))
+        color, label = F.when(F.col("domain") == name, own_color).otherwise(color), F.when(F.col("domain") == name,
+            own_label).otherwise(label)
+    placed = events.where((F.coalesce("lat", F.lit(0.0)) != 0) & (F.coalesce("lon", F.lit(0.0)) != 0)
+        & (F.col("confidence") >= MAP_CONFIDENCE))
     return placed.withColumns({"color": color, "label": label})
 
 

@@ -98,7 +98,8 @@ def runs_of_words(title: Column, most: int) -> Column:
     """All stretches of up to ``most`` pieces of a lower-cased title that begin with a word; a piece is a word or one other character."""
     pieces = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("[a-z0-9_]+|[^a-z0-9_]"), F.lit(0))
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), lambda i: F.get(pieces, i - 1).rlike("^[a-z0-9_]"))
-    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.array_join(F.slice(pieces, i, n), "")))))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)),
+                    lambda n: F.array_join(F.slice(pieces, i, n), "")))))
 
 
 def _known(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -107,7 +108,8 @@ def _known(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
     both = asked.withColumns({"entry_": whole, "stage_": F.lit(0)})
     cut = F.trim(F.regexp_replace("entry_", SUFFIXES, ""))
     both = both.unionByName(both.where(cut != F.col("entry_")).withColumns({"entry_": cut, "stage_": F.lit(1)}))
-    table = gazetteer.select(F.col("name").alias("entry_"), F.col("kind").alias("kind_"), F.col("ord").alias("ord_"), F.col("lat").alias("lat_"), F.col("lon").alias("lon_"))
+    table = gazetteer.select(F.col("name").alias("entry_"), F.col("kind").alias("kind_"), F.col("ord").alias("ord_"),
+        F.col("lat").alias("lat_"), F.col("lon").alias("lon_"))
     return both.join(table, "entry_")
 
 
@@ -122,22 +124,27 @@ def places_of_titles(titles: DataFrame, gazetteer: DataFrame, mentions: DataFram
     pieces = lambda c: F.size(F.regexp_extract_all(c, F.lit("[a-z0-9_]+|[^a-z0-9_]"), F.lit(0)))
     zones = gazetteer.where(F.col("kind") == ZONE).where(~F.col("name").isin(*ACTOR_PLACES))
     said = zones.select(F.col("name").alias("said"), F.col("name").alias("place"), "ord", F.lit(1).alias("stage"), "lat", "lon")
-    countries = mentions.join(_best_of_name(gazetteer), F.col("canonical") == F.col("name")).select("said", F.col("canonical").alias("place"), mentions["ord"], F.lit(4).alias("stage"), "lat", "lon")
+    countries = mentions.join(_best_of_name(gazetteer), F.col("canonical") == F.col("name")).select("said",
+        F.col("canonical").alias("place"), mentions["ord"], F.lit(4).alias("stage"), "lat", "lon")
     said = said.unionByName(countries)
     longest = said.agg(F.max(pieces(F.col("said")))).first()[0] or 1
     runs = rows.select("key", F.explode(runs_of_words(F.col("title"), longest)).alias("said"))
-    anywhere = runs.join(said, "said").select("key", "stage", (-F.length("said")).alias("a"), F.col("ord").cast("int").alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), "place", "lat", "lon")
+    anywhere = runs.join(said, "said").select("key", "stage", (-F.length("said")).alias("a"), F.col("ord").cast("int").alias("b"),
+        F.lit(0).alias("c"), F.lit(0).alias("d"), "place", "lat", "lon")
 
     def named(patterns: tuple[str, ...], most: int) -> DataFrame:
         each = rows.select("key", F.posexplode(candidates(F.col("title"), patterns)).alias("pos", "candidate"))
         return each.select("key", "pos", F.explode(prefixes(F.col("candidate"), most)).alias("p")).select("key", "pos", "p.n", "p.name")
 
     locative = _known(named(LOCATIVE, MOST_WORDS), gazetteer)
-    shown = lambda df, stage, name: df.select("key", F.lit(stage).alias("stage"), F.col("pos").alias("a"), (-F.col("n")).alias("b"), F.col("stage_").alias("c"), (F.col("kind_") * 1_000_000 + F.col("ord_")).cast("int").alias("d"), name.alias("place"), F.col("lat_").alias("lat"), F.col("lon_").alias("lon"))  # noqa: E731, E501
+    shown = lambda df, stage, name: df.select("key", F.lit(stage).alias("stage"), F.col("pos").alias("a"), (-F.col("n")).alias("b"),
+        F.col("stage_").alias("c"), (F.col("kind_") * 1_000_000 + F.col("ord_")).cast("int").alias("d"), name.alias("place"),
+        F.col("lat_").alias("lat"), F.col("lon_").alias("lon"))  # noqa: E731, E501
     subject = _known(named(SUBJECT, SUBJECT_WORDS), gazetteer.where(F.col("kind") != CITY)).where("stage_ = 0")
     last = rows.select("key", F.posexplode(candidates(F.col("title"), LOCATIVE)).alias("a", "place")).where(is_safe(F.col("place")))
     zero, none = F.lit(0), F.lit(None).cast("double")
-    last = last.select("key", F.lit(5).alias("stage"), "a", zero.alias("b"), zero.alias("c"), zero.alias("d"), "place", none.alias("lat"), none.alias("lon"))
+    last = last.select("key", F.lit(5).alias("stage"), "a", zero.alias("b"), zero.alias("c"), zero.alias("d"), "place", none.alias("lat"),
+        none.alias("lon"))
     found = anywhere.unionByName(shown(locative, 2, F.col("name"))).unionByName(shown(subject, 3, F.lower("name"))).unionByName(last)
     best = found.groupBy("key").agg(F.min(F.struct("stage", "a", "b", "c", "d", "place", "lat", "lon")).alias("p"))
     return best.select("key", "p.place", "p.stage", "p.lat", "p.lon")
@@ -159,7 +166,8 @@ def doubtful(items: DataFrame) -> DataFrame:
     own, hint = F.coalesce("place", F.lit("")), F.coalesce("hint", F.lit(""))
     where = F.when(own != "", own).otherwise(hint)
     hint_only = (own == "") & (hint != "")
-    return items.withColumns({"where": where, "hint_only": hint_only, "doubt": (where == "") | hint_only | (F.coalesce("confidence", F.lit(0)) < LEAST_SURE)})
+    return items.withColumns({"where": where, "hint_only": hint_only,
+            "doubt": (where == "") | hint_only | (F.coalesce("confidence", F.lit(0)) < LEAST_SURE)})
 
 
 def answered(items: DataFrame, answers: DataFrame, most: int = MOST_DOUBTS) -> DataFrame:
@@ -196,7 +204,8 @@ def geocoded(names: DataFrame, ask: Callable, stage, cached: DataFrame | None =
     if cached is not None:
         wanted = wanted.join(cached.select(F.col("asked").alias("id")), "id", "left_anti")
     back = stage.keep(answers_of(wanted, ask, "id string, found string", batch, **how), "geocoded")
-    each = back.select(F.col("id").alias("asked"), F.posexplode_outer(F.from_json("found", _RAW)).alias("ord", "r")).select("asked", "ord", "r.*")
+    each = back.select(F.col("id").alias("asked"), F.posexplode_outer(F.from_json("found", _RAW)).alias("ord", "r")).select("asked", "ord",
+        "r.*")
     found = first_trusted(each)
     return found if cached is None else cached.select("asked", "lat", "lon").unionByName(found)
 
@@ -210,11 +219,13 @@ def is_trusted(kind: Column, type_: Column, importance: Column, lat: Column, lon
     """Whether a geocoder's answer is a place of note: bases always, large areas from a lower importance on. Unknown counts as none."""
     least = F.when(F.coalesce(type_, F.lit("")).isin(*LARGE_TYPES), LARGE_LEAST).otherwise(OTHER_LEAST)
     noted = F.coalesce(kind, F.lit("")).isin(*CLASSES) & (F.coalesce(importance, F.lit(0.0)) >= least)
-    return (F.coalesce(lat, F.lit("")) != "") & (F.coalesce(lon, F.lit("")) != "") & (F.coalesce(kind, F.lit("")).isin(*SURE_CLASSES) | noted)
+    return (F.coalesce(lat, F.lit("")) != "") & (F.coalesce(lon, F.lit("")) != "") & (F.coalesce(kind, F.lit("")).isin(*SURE_CLASSES)
+        | noted)
 
 
 def first_trusted(answers: DataFrame) -> DataFrame:
     """(asked, lat, lon): the first trusted answer (asked, ord, class, type, importance, lat, lon) to each question; null where there is none."""
     good = is_trusted(F.col("class"), F.col("type"), F.col("importance"), F.col("lat"), F.col("lon"))
-    pick = answers.groupBy("asked").agg(F.min(F.when(good, F.struct("ord", F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon")))).alias("p"))
+    pick = answers.groupBy("asked").agg(F.min(F.when(good,
+                F.struct("ord", F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon")))).alias("p"))
     return pick.select("asked", "p.lat", "p.lon")

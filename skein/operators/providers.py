@@ -32,7 +32,8 @@ def array_of(text: str) -> list:
     """The JSON array in an answer's text, with whatever stands around it; empty where there is none."""
     try:
         whole = json.loads(text)
-        return whole if isinstance(whole, list) else next((v for v in whole.values() if isinstance(v, list)), []) if isinstance(whole, dict) else []
+        return whole if isinstance(whole, list) else next((v for v in whole.values() if isinstance(v, list)), []) if isinstance(whole,
+            dict) else []
     except ValueError:
         begin, end = text.find("["), text.rfind("]")
         return json.loads(text[begin : end + 1]) if 0 <= begin < end else []
@@ -53,7 +54,8 @@ def _answers(ask: Provider, rows: list[dict], tries: int, pause: Callable[[int],
     return []
 
 
-def answers_of(rows: DataFrame, ask: Provider, schema: str = ANSWER, batch: int = BATCH, tries: int = TRIES, pause: Callable[[int], float] = lambda n: 2.0**n) -> DataFrame:
+def answers_of(rows: DataFrame, ask: Provider, schema: str = ANSWER, batch: int = BATCH, tries: int = TRIES,
+    pause: Callable[[int], float] = lambda n: 2.0**n) -> DataFrame:
     """Answers (``schema``, with id) to the rows, asked ``batch`` at a time within each partition; of several answers to one id the last.
 
     The rows are dealt out by id, so that a batch holds rows of one partition only and a lost executor's batches are asked again whole.
@@ -65,7 +67,8 @@ def answers_of(rows: DataFrame, ask: Provider, schema: str = ANSWER, batch: int
 
         def flush(part: list[dict]) -> pa.RecordBatch:
             last = {a["id"]: a for a in _answers(ask, part, tries, pause)}
-            return pa.RecordBatch.from_pydict({f.name: pa.array([_fitting(a.get(f.name), f.type) for a in last.values()], f.type) for f in fields})
+            return pa.RecordBatch.from_pydict({f.name: pa.array([_fitting(a.get(f.name), f.type) for a in last.values()], f.type)
+                    for f in fields})
 
         for piece in batches:
             held += piece.to_pylist()
@@ -93,7 +96,8 @@ def _fitting(value, kind: pa.DataType):
         return None
 
 
-def filtered_by(events: DataFrame, ask: Provider, categories: tuple[str, ...], stage, cached: DataFrame | None = None, limit: int = LIMIT, **how) -> tuple[DataFrame, DataFrame]:
+def filtered_by(events: DataFrame, ask: Provider, categories: tuple[str, ...], stage, cached: DataFrame | None = None, limit: int = LIMIT,
+    **how) -> tuple[DataFrame, DataFrame]:
     """Events after a provider's answers, and all answers, to be given as ``cached`` the next time.
 
     Only events without a cached answer are asked for, the best ``limit`` of them. An event that was asked for without result is remembered
@@ -109,7 +113,8 @@ def filtered_by(events: DataFrame, ask: Provider, categories: tuple[str, ...], s
     return with_results(events, every, categories), every
 
 
-def summaries(events: DataFrame, answers: DataFrame | None = None, size: int = 2, least: int = 3, most: int = 30, best: int = 10, points: int = 5) -> DataFrame:
+def summaries(events: DataFrame, answers: DataFrame | None = None, size: int = 2, least: int = 3, most: int = 30, best: int = 10,
+    points: int = 5) -> DataFrame:
     """One signal of each of the fullest cells: place, country, number of events, summary and key points.
 
     ``events``: id, title, category, country, score, lat, lon. Without a provider's answers (cell_lat, cell_lon, text) the summary is
@@ -123,14 +128,19 @@ def summaries(events: DataFrame, answers: DataFrame | None = None, size: int = 2
     told = top.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("rank", "title", "category", "country", "words_"))).alias("t"))  # at most ``best`` rows
     country = F.coalesce(c("t")[0]["country"], F.lit(""))
     told = told.join(cells, cell).withColumn("country", country)
-    place = F.when(c("country") != "", c("country")).otherwise(F.concat(c("cell_lat").cast("string"), F.lit("°, "), c("cell_lon").cast("string"), F.lit("°")))
+    place = F.when(c("country") != "", c("country")).otherwise(
+        F.concat(c("cell_lat").cast("string"), F.lit("°, "), c("cell_lon").cast("string"), F.lit("°")))
     id_ = F.concat(F.lit("sig_"), c("cell_lat").cast("string"), F.lit("_"), c("cell_lon").cast("string"))
     own = ["cell_lat", "cell_lon", id_.alias("id"), "country", "event_count"]
     if answers is not None:
         read = told.join(answers.withColumn("a", signal_answer(c("text"))), cell).where("a is not null")
-        return read.select(*own, F.coalesce(F.nullif("a.location_name", F.lit("")), "country").alias("location_name"), "a.summary", "a.key_points")
-    shared = lambda x: F.aggregate("t", F.lit(0.0), lambda s, y: s + F.when(y["rank"] != x["rank"], overlap(x["words_"], y["words_"])).otherwise(0.0))
+        return read.select(*own, F.coalesce(F.nullif("a.location_name", F.lit("")), "country").alias("location_name"), "a.summary",
+            "a.key_points")
+    shared = lambda x: F.aggregate("t", F.lit(0.0), lambda s,
+        y: s + F.when(y["rank"] != x["rank"], overlap(x["words_"], y["words_"])).otherwise(0.0))
     # rounded, so that sums in another order don't decide between equals
-    medoid = F.array_min(F.transform("t", lambda x: F.struct((-F.round(shared(x), 9)).alias("s"), x["rank"].alias("rank"), x["title"].alias("title"))))["title"]
-    said = F.transform(F.filter(F.slice("t", 1, points), lambda x: F.coalesce(x["title"], F.lit("")) != ""), lambda x: F.struct(x["title"].alias("point"), F.lower(F.coalesce(x["category"], F.lit("conflict"))).alias("category")))
+    medoid = F.array_min(F.transform("t", lambda x: F.struct((-F.round(shared(x), 9)).alias("s"), x["rank"].alias("rank"),
+                x["title"].alias("title"))))["title"]
+    said = F.transform(F.filter(F.slice("t", 1, points), lambda x: F.coalesce(x["title"], F.lit("")) != ""),
+        lambda x: F.struct(x["title"].alias("point"), F.lower(F.coalesce(x["category"], F.lit("conflict"))).alias("category")))
     return told.select(*own, place.alias("location_name"), F.coalesce(medoid, F.lit("")).alias("summary"), said.alias("key_points"))

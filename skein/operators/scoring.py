@@ -75,7 +75,8 @@ def visibility(sources: Column, articles: Column, mentions: Column) -> Column:
 
 def freshness(age_hours: Column) -> Column:
     """16 points less one an hour; none where the age is unknown."""
-    return F.when(age_hours.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 16.0 - F.least(F.lit(16.0), F.greatest(F.lit(0.0), age_hours))))
+    return F.when(age_hours.isNull(), F.lit(0.0)).otherwise(
+        F.greatest(F.lit(0.0), 16.0 - F.least(F.lit(16.0), F.greatest(F.lit(0.0), age_hours))))
 
 
 def event_score(c: dict[str, Column]) -> Column:
@@ -111,7 +112,8 @@ def keep_event(root: Column, code: Column, sources: Column, military: Column, st
 
 
 def is_strategic(root: Column, code: Column, goldstein: Column, score: Column, country: Column) -> Column:
-    return code.isin(*STRUCTURAL_CODES) | (root.isin(*FORCE_ROOTS) & (goldstein <= -8)) | (goldstein <= -9.5) | ((score >= 130) & country.isin(*HOTSPOTS)) | (score >= 150)
+    return code.isin(*STRUCTURAL_CODES) | (root.isin(*FORCE_ROOTS) & (goldstein <= -8)) | (goldstein <= -9.5) | ((score >= 130)
+        & country.isin(*HOTSPOTS)) | (score >= 150)
 
 
 def is_relevant(kind: Column, keep: Column, score: Column, sources: Column, strategic: Column, military: Column) -> Column:
@@ -138,7 +140,8 @@ def scored(events, words: Lexicons = Lexicons()):
     """Events with flags, category, region, severity, colour, score, keep, strategic and relevant."""
     c = F.col
     out = _computed(events, flags(F.lower(c("title")), words) | {"region": region_of_event(c("lat"), c("lon"), c("country"))})
-    names = ("geo_type", "root", "code", "tone", "sources", "articles", "mentions", "age_h", "strong", "military", "country", "region", "civilian", "calming")
+    names = ("geo_type", "root", "code", "tone", "sources", "articles", "mentions", "age_h", "strong", "military", "country", "region",
+        "civilian", "calming")
     out = _computed(out, {
         "severity": severity(c("tone")), "color": tone_color(c("tone")),
         "category": category(*map(c, ("root", "code", "military", "civilian"))), "score": event_score({n: c(n) for n in names}),
@@ -190,7 +193,8 @@ def tier(score: Column) -> Column:
 
 def recency_penalty(age_hours: Column) -> Column:
     """0 up to six hours and for an unknown age, then more, 24 at most."""
-    return F.when(age_hours.isNull() | (age_hours <= 6), F.lit(0)).otherwise(F.least(F.lit(24), half_up(10 * F.log2(1 + age_hours / 36)))).cast("long")
+    return F.when(age_hours.isNull() | (age_hours <= 6),
+        F.lit(0)).otherwise(F.least(F.lit(24), half_up(10 * F.log2(1 + age_hours / 36)))).cast("long")
 
 
 def fusion_bonus(km: Column, radius_km: float, confidence: Column, sensitive: Column) -> Column:

@@ -42,8 +42,10 @@ def quota_select(df: DataFrame, group: str, quotas: tuple[tuple[str, int], ...],
     placed = Stage(df.sparkSession, "quota").keep(ranked.join(F.broadcast(table), group, "left"), "placed")
     within = placed.where("rank_ <= quota_").orderBy("place_", "rank_").limit(most).withColumn("pass_", F.lit(0))
     used = within.agg(F.count("*").alias("used_"))
-    rest = placed.join(within.select(group, "rank_"), [group, "rank_"], "left_anti").orderBy(*order).limit(most).withColumn("pass_", F.lit(1))
-    rest = rest.withColumn("next_", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(used)).where(F.col("next_") <= most - F.col("used_"))
+    rest = placed.join(within.select(group, "rank_"), [group, "rank_"], "left_anti").orderBy(*order).limit(most).withColumn("pass_",
+        F.lit(1))
+    rest = rest.withColumn("next_", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(used)).where(
+        F.col("next_") <= most - F.col("used_"))
     return within.unionByName(rest.drop("next_", "used_")).drop("rank_", "quota_", "place_", "pass_")
 
 
@@ -71,7 +73,8 @@ def greedy_distinct(df: DataFrame, keys: list[str], order: list[Column], stage)
         kept.append(won.select("row_"))
         left = marked.where("not wins_").drop("wins_")
         for i, k in enumerate(keys):
-            left = _beside(left, won.where(F.col(k).isNotNull()).select(k).distinct().withColumn("gone_", F.lit(True)), k).where("gone_ is null").drop("gone_")
+            left = _beside(left, won.where(F.col(k).isNotNull()).select(k).distinct().withColumn("gone_", F.lit(True)),
+                k).where("gone_ is null").drop("gone_")
         undecided = stage.keep(left.select(*undecided.columns), f"greedy-{n}-left")
 
     def go_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +117,8 @@ def greedy_independent(rows: DataFrame, conflicts: DataFrame, key: str, stage: S
         winners = pairs.select("a").distinct().join(held_back, "a", "left_anti")
         out = stage.keep(pairs.join(winners, "a").select(F.col("b").alias("out")).distinct(), f"conflicts-{n}-out")
         gone.append(out)
-        left = pairs.join(winners, "a", "left_anti").join(out, F.col("a") == F.col("out"), "left_anti").join(out, F.col("b") == F.col("out"), "left_anti")
+        left = pairs.join(winners, "a", "left_anti").join(out, F.col("a") == F.col("out"), "left_anti").join(out,
+            F.col("b") == F.col("out"), "left_anti")
         pairs = stage.keep(left, f"conflicts-{n}")
 
     kind = conflicts.schema["a"].dataType
@@ -135,7 +139,8 @@ def greedy_independent(rows: DataFrame, conflicts: DataFrame, key: str, stage: S
                 waits[b] -= 1
                 if not waits[b]:
                     ready.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.from_numpy_dtype("int64") if kind.typeName() == "long" else pa.string())], ["out"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.from_numpy_dtype("int64") if kind.typeName() == "long" else pa.string())],
+            ["out"])
 
     last = pairs.select("a", "b").repartition(1).mapInArrow(settle, f"out {kind.simpleString()}")
     gone.append(stage.keep(last, "conflicts-last"))

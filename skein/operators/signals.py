@@ -33,11 +33,14 @@ class Domain:
 MARITIME = Domain(
     "maritime", 22,
     {
-        "naval": 8, "warship": 12, "destroyer": 10, "frigate": 10, "corvette": 10, "submarine": 12, "carrier": 10, "fleet": 8, "task force": 10,
+        "naval": 8, "warship": 12, "destroyer": 10, "frigate": 10, "corvette": 10, "submarine": 12, "carrier": 10, "fleet": 8,
+            "task force": 10,
         "task group": 8, "amphibious": 8, "strait": 6, "eez": 6, "maritime": 5, "south china sea": 9, "taiwan strait": 10, "hormuz": 10,
-        "gibraltar": 8, "suez": 8, "red sea": 8, "black sea": 8, "navy": 10, "coast guard": 7, "escort": 6, "blockade": 10, "transshipment": 8,
+        "gibraltar": 8, "suez": 8, "red sea": 8, "black sea": 8, "navy": 10, "coast guard": 7, "escort": 6, "blockade": 10,
+            "transshipment": 8,
         "ship-to-ship": 10, "boarding": 8, "naval exercise": 12, "maritime patrol": 8, "merchant vessel": 8, "tanker": 8, "anti-ship": 10,
-        "sea drone": 10, "vmf": 12, "russian navy": 12, "black sea fleet": 12, "pacific fleet": 10, "northern fleet": 10, "baltic fleet": 10,
+        "sea drone": 10, "vmf": 12, "russian navy": 12, "black sea fleet": 12, "pacific fleet": 10, "northern fleet": 10,
+            "baltic fleet": 10,
         "houthis": 8, "houthi": 8,
     },
     (
@@ -51,51 +54,73 @@ MARITIME = Domain(
     ("maritime_activity", 12),
     (
         (r"\bintercepted\b|\bblocked\b|\bboarded\b|\bseized\b", 16), (r"\bdeployed\b.{0,30}\b(fleet|task force|warship)\b", 12),
-        (r"\bcollision\b|\bincident at sea\b|\bfired\b.{0,20}\bwarning\b", 14), (r"\bviolated\b.{0,20}\beez\b|\bentered\b.{0,20}\bterritorial waters\b", 14),
-        (r"\bsank\b|\bdamaged\b.{0,20}\bship\b|\battacked\b.{0,20}\bvessel\b", 16), (r"\bblockade\b|\bescorted\b.{0,20}\bthrough\b|\bdenied passage\b", 12),
+        (r"\bcollision\b|\bincident at sea\b|\bfired\b.{0,20}\bwarning\b", 14),
+            (r"\bviolated\b.{0,20}\beez\b|\bentered\b.{0,20}\bterritorial waters\b", 14),
+        (r"\bsank\b|\bdamaged\b.{0,20}\bship\b|\battacked\b.{0,20}\bvessel\b", 16),
+            (r"\bblockade\b|\bescorted\b.{0,20}\bthrough\b|\bdenied passage\b", 12),
     ),
     (
-        (r"\bopinion\b|\bop-ed\b|\bcommentary\b|\banalysis\b", 12, "opinion_content"), (r"\bforecast\b|\bprediction\b|\bscenario\b", 10, "speculative_content"),
-        (r"\bhistorical\b|\bdecades ago\b|\byears ago\b", 14, "historical_content"), (r"\bshipbuilding contract\b|\bnaval contract\b|\bprocurement\b", 10, "procurement_content"),
-        (r"\bthink tank\b|\bpolicy paper\b|\bwhite paper\b|\bstrategic review\b", 12, "doctrinal_content"), (r"\bwar game\b.{0,20}\bscenario\b|\btabletop\b", 8, "simulated_content"),
+        (r"\bopinion\b|\bop-ed\b|\bcommentary\b|\banalysis\b", 12, "opinion_content"),
+            (r"\bforecast\b|\bprediction\b|\bscenario\b", 10, "speculative_content"),
+        (r"\bhistorical\b|\bdecades ago\b|\byears ago\b", 14, "historical_content"),
+            (r"\bshipbuilding contract\b|\bnaval contract\b|\bprocurement\b", 10, "procurement_content"),
+        (r"\bthink tank\b|\bpolicy paper\b|\bwhite paper\b|\bstrategic review\b", 12, "doctrinal_content"),
+            (r"\bwar game\b.{0,20}\bscenario\b|\btabletop\b", 8, "simulated_content"),
     ),
     {"military": 22, "strategic": 18, "conflict": 16, "crisis": 14, "incident": 10}, 6,
 )
 AVIATION = Domain(
     "aviation", 22,
     {
-        "fighter": 10, "bomber": 12, "f-16": 11, "f-35": 11, "f-22": 11, "su-35": 11, "su-57": 12, "su-24": 10, "su-25": 10, "b-52": 12, "b-2": 12,
-        "b-21": 13, "tu-160": 12, "tu-95": 12, "p-8": 10, "mq-9": 10, "rq-4": 10, "global hawk": 10, "predator drone": 9, "reaper": 9, "u-2": 10,
+        "fighter": 10, "bomber": 12, "f-16": 11, "f-35": 11, "f-22": 11, "su-35": 11, "su-57": 12, "su-24": 10, "su-25": 10, "b-52": 12,
+            "b-2": 12,
+        "b-21": 13, "tu-160": 12, "tu-95": 12, "p-8": 10, "mq-9": 10, "rq-4": 10, "global hawk": 10, "predator drone": 9, "reaper": 9,
+            "u-2": 10,
         "rc-135": 11, "awacs": 11, "rivet joint": 10, "typhoon": 8, "rafale": 8, "eurofighter": 8, "a-10": 9, "ac-130": 10, "ah-64": 9,
-        "apache helicopter": 8, "scrambled": 12, "intercept": 11, "interception": 11, "airstrike": 14, "air strike": 14, "sortie": 10, "overfly": 9,
-        "overflight": 10, "penetrat": 9, "shot down": 14, "downed": 12, "neutralized aircraft": 9, "air force": 9, "air base": 8, "airbase": 8,
+        "apache helicopter": 8, "scrambled": 12, "intercept": 11, "interception": 11, "airstrike": 14, "air strike": 14, "sortie": 10,
+            "overfly": 9,
+        "overflight": 10, "penetrat": 9, "shot down": 14, "downed": 12, "neutralized aircraft": 9, "air force": 9, "air base": 8,
+            "airbase": 8,
         "air wing": 8, "squadron": 8, "drone": 9, "uav": 10, "shaheed": 11, "shahed": 11, "bayraktar": 10, "no-fly zone": 10, "notam": 8,
         "airspace": 7, "restricted airspace": 9, "air defense": 10, "s-400": 10, "patriot": 9, "iron dome": 10, "close air support": 10,
         "air superiority": 9, "air supremacy": 9,
     },
     (
-        ("air_strike", 35, ("airstrike", "air strike", "bombing run", "targeted strike", "precision strike", "air attack", "bombed", "bomb drop")),
-        ("air_interception", 32, ("intercept", "intercepted", "scrambled", "scramble", "shadowed", "buzzed", "close approach", "unsafe intercept", "dangerous intercept", "fighter jets scrambled")),
-        ("air_patrol", 20, ("air patrol", "patrol aircraft", "surveillance flight", "reconnaissance flight", "isr", "awacs", "overwatch", "istar")),
-        ("airspace_closure", 28, ("airspace closed", "notam", "no-fly zone", "flight restriction", "temporary flight restriction", "tfr", "closed airspace", "airspace violated")),
-        ("air_exercise", 18, ("air exercise", "flying exercise", "combat training", "red flag", "pitch black", "tiger meet", "joint air exercise", "combined air exercise")),
-        ("drone_operation", 26, ("drone", "uav", "unmanned aerial", "rpas", "shaheed", "shahed", "loitering munition", "kamikaze drone", "fpv drone", "bayraktar", "switchblade")),
-        ("air_defense_engagement", 34, ("shot down", "downed aircraft", "air defense", "s-400", "s-300", "patriot system", "thaad", "surface-to-air", "anti-aircraft", "air defense activated", "iron dome activated")),
-        ("air_deployment", 22, ("air deployment", "deployed aircraft", "forward deployed", "rotational deployment", "air reinforcements", "aircraft deployed")),
-        ("air_incident", 24, ("aircraft crash", "near miss", "near-miss", "emergency landing", "mayday", "aviation incident", "aircraft incident", "midair")),
+        ("air_strike", 35, ("airstrike", "air strike", "bombing run", "targeted strike", "precision strike", "air attack", "bombed",
+                "bomb drop")),
+        ("air_interception", 32, ("intercept", "intercepted", "scrambled", "scramble", "shadowed", "buzzed", "close approach",
+                "unsafe intercept", "dangerous intercept", "fighter jets scrambled")),
+        ("air_patrol", 20, ("air patrol", "patrol aircraft", "surveillance flight", "reconnaissance flight", "isr", "awacs", "overwatch",
+                "istar")),
+        ("airspace_closure", 28, ("airspace closed", "notam", "no-fly zone", "flight restriction", "temporary flight restriction", "tfr",
+                "closed airspace", "airspace violated")),
+        ("air_exercise", 18, ("air exercise", "flying exercise", "combat training", "red flag", "pitch black", "tiger meet",
+                "joint air exercise", "combined air exercise")),
+        ("drone_operation", 26, ("drone", "uav", "unmanned aerial", "rpas", "shaheed", "shahed", "loitering munition", "kamikaze drone",
+                "fpv drone", "bayraktar", "switchblade")),
+        ("air_defense_engagement", 34, ("shot down", "downed aircraft", "air defense", "s-400", "s-300", "patriot system", "thaad",
+                "surface-to-air", "anti-aircraft", "air defense activated", "iron dome activated")),
+        ("air_deployment", 22, ("air deployment", "deployed aircraft", "forward deployed", "rotational deployment", "air reinforcements",
+                "aircraft deployed")),
+        ("air_incident", 24, ("aircraft crash", "near miss", "near-miss", "emergency landing", "mayday", "aviation incident",
+                "aircraft incident", "midair")),
     ),
     ("aviation_activity", 10),
     (
-        (r"\bstruck\b|\bbombed\b|\bhit\b.{0,40}\btarget\b|\battacked\b", 16), (r"\bscrambled\b|\bdispatched\b|\bdeployed\b.{0,30}\baircraf", 12),
+        (r"\bstruck\b|\bbombed\b|\bhit\b.{0,40}\btarget\b|\battacked\b", 16),
+            (r"\bscrambled\b|\bdispatched\b|\bdeployed\b.{0,30}\baircraf", 12),
         (r"\bintercepted\b|\bshadowed\b|\bescorted\b|\btracked\b", 12), (r"\bdowned\b|\bshot down\b|\bdestroyed\b.{0,30}\baircraf", 16),
-        (r"\bcrossed into\b|\bentered\b.{0,30}\bairspace\b|\bviolated\b.{0,30}\bairspace\b", 14), (r"\bactivated\b.{0,30}\bair defense\b|\bfired\b.{0,20}\bmissile\b", 14),
+        (r"\bcrossed into\b|\bentered\b.{0,30}\bairspace\b|\bviolated\b.{0,30}\bairspace\b", 14),
+            (r"\bactivated\b.{0,30}\bair defense\b|\bfired\b.{0,20}\bmissile\b", 14),
         (r"\bcrashed\b|\bwent down\b|\bmayday\b", 10), (r"\boverflew\b|\bconducted\b.{0,30}\boverflight\b", 10),
     ),
     (
-        (r"\bopinion\b|\bop-ed\b|\bcommentary\b|\banalysis\b", 12, "opinion_content"), (r"\bforecast\b|\bprediction\b|\bscenario\b", 10, "speculative_content"),
+        (r"\bopinion\b|\bop-ed\b|\bcommentary\b|\banalysis\b", 12, "opinion_content"),
+            (r"\bforecast\b|\bprediction\b|\bscenario\b", 10, "speculative_content"),
         (r"\bhistorical\b|\bdecades ago\b|\byears ago\b|\bduring world war\b", 14, "historical_content"),
         (r"\bcontract\b.*\baircraft\b|\bprocurement\b|\border\b.*\bjet\b|\bdelivery\b.*\bjet\b", 10, "procurement_content"),
-        (r"\bthink tank\b|\bpolicy paper\b|\bwhite paper\b|\bstrategic review\b", 12, "doctrinal_content"), (r"\bsimulat|\bwargame\b|\btabletop\b|\bscenario planning\b", 8, "simulated_content"),
+        (r"\bthink tank\b|\bpolicy paper\b|\bwhite paper\b|\bstrategic review\b", 12, "doctrinal_content"),
+            (r"\bsimulat|\bwargame\b|\btabletop\b|\bscenario planning\b", 8, "simulated_content"),
         (r"\bindus trial contract\b|\bdefense industry\b|\bmanufactur.*aircraft\b", 8, "industrial_content"),
     ),
     {"military": 22, "strategic": 18, "conflict": 16, "crisis": 14, "incident": 10}, 4, (8, 4),
@@ -103,35 +128,55 @@ AVIATION = Domain(
 SPATIAL = Domain(
     "spatial", 20,
     {
-        "asat": 16, "anti-satellite": 16, "space weapon": 14, "counter-space": 12, "fractional orbital": 16, "fobs": 16, "orbital weapon": 16,
-        "orbital bomb": 16, "co-orbital": 12, "kill vehicle": 14, "space force": 9, "space command": 9, "plassf": 14, "pla strategic support force": 14,
-        "space domain": 8, "space domain awareness": 10, "space situational awareness": 10, "gps jamming": 14, "gps spoofing": 14, "gnss jamming": 12,
-        "gnss spoofing": 12, "gps denied": 10, "navigation jamming": 10, "military satellite": 14, "spy satellite": 14, "reconnaissance satellite": 14,
-        "classified payload": 14, "national security satellite": 12, "defense satellite": 10, "x-37": 12, "x-37b": 12, "spaceplane": 10, "norad": 8,
+        "asat": 16, "anti-satellite": 16, "space weapon": 14, "counter-space": 12, "fractional orbital": 16, "fobs": 16,
+            "orbital weapon": 16,
+        "orbital bomb": 16, "co-orbital": 12, "kill vehicle": 14, "space force": 9, "space command": 9, "plassf": 14,
+            "pla strategic support force": 14,
+        "space domain": 8, "space domain awareness": 10, "space situational awareness": 10, "gps jamming": 14, "gps spoofing": 14,
+            "gnss jamming": 12,
+        "gnss spoofing": 12, "gps denied": 10, "navigation jamming": 10, "military satellite": 14, "spy satellite": 14,
+            "reconnaissance satellite": 14,
+        "classified payload": 14, "national security satellite": 12, "defense satellite": 10, "x-37": 12, "x-37b": 12, "spaceplane": 10,
+            "norad": 8,
         "sda": 7, "ssa": 7, "satellite": 8, "orbital": 8, "orbit": 6, "launch vehicle": 10, "rocket launch": 10, "reentry": 8, "deorbit": 8,
-        "debris field": 8, "maneuvering satellite": 12, "inspector satellite": 12, "rendezvous": 10, "proximity operation": 12, "hypersonic": 10,
+        "debris field": 8, "maneuvering satellite": 12, "inspector satellite": 12, "rendezvous": 10, "proximity operation": 12,
+            "hypersonic": 10,
         "ballistic missile": 10,
     },
     (
-        ("military_launch", 35, ("military satellite", "reconnaissance satellite", "spy satellite", "military launch", "armed forces satellite", "defense satellite", "national security satellite", "classified payload", "classified satellite", "plassf", "pla strategic support force")),
-        ("asat_indicator", 36, ("asat", "anti-satellite", "direct ascent", "co-orbital", "space weapon", "kill vehicle", "space-based weapon", "counter-space", "antisatellite")),
-        ("orbital_weapon_signal", 36, ("fractional orbital", "fobs", "orbital bomb", "orbital weapon", "space-based weapon", "counter-space weapon")),
-        ("gps_jamming", 30, ("gps jamming", "gps spoofing", "gnss jamming", "gnss spoofing", "navigation jamming", "signal jamming", "electronic warfare gps", "gps denied")),
-        ("space_incident", 28, ("satellite collision", "space debris", "orbital debris", "fragmentation event", "satellite failure", "anomaly in orbit", "orbital anomaly")),
-        ("reentry_risk", 26, ("reentry", "re-entry", "uncontrolled reentry", "space debris impact", "orbital decay", "deorbit", "decaying orbit")),
-        ("space_surveillance", 24, ("space domain awareness", "space situational awareness", "ssa", "sda", "space object tracking", "orbital tracking", "space tracking")),
-        ("space_exercise", 20, ("space exercise", "space war game", "orbital exercise", "space domain awareness exercise", "schriever wargame")),
-        ("satellite_operation", 18, ("satellite", "orbital", "orbit", "geostationary", "maneuvering satellite", "inspector satellite", "rendezvous operation", "proximity operation")),
+        ("military_launch", 35, ("military satellite", "reconnaissance satellite", "spy satellite", "military launch",
+                "armed forces satellite", "defense satellite", "national security satellite", "classified payload", "classified satellite",
+                "plassf", "pla strategic support force")),
+        ("asat_indicator", 36, ("asat", "anti-satellite", "direct ascent", "co-orbital", "space weapon", "kill vehicle",
+                "space-based weapon", "counter-space", "antisatellite")),
+        ("orbital_weapon_signal", 36, ("fractional orbital", "fobs", "orbital bomb", "orbital weapon", "space-based weapon",
+                "counter-space weapon")),
+        ("gps_jamming", 30, ("gps jamming", "gps spoofing", "gnss jamming", "gnss spoofing", "navigation jamming", "signal jamming",
+                "electronic warfare gps", "gps denied")),
+        ("space_incident", 28, ("satellite collision", "space debris", "orbital debris", "fragmentation event", "satellite failure",
+                "anomaly in orbit", "orbital anomaly")),
+        ("reentry_risk", 26, ("reentry", "re-entry", "uncontrolled reentry", "space debris impact", "orbital decay", "deorbit",
+                "decaying orbit")),
+        ("space_surveillance", 24, ("space domain awareness", "space situational awareness", "ssa", "sda", "space object tracking",
+                "orbital tracking", "space tracking")),
+        ("space_exercise", 20, ("space exercise", "space war game", "orbital exercise", "space domain awareness exercise",
+                "schriever wargame")),
+        ("satellite_operation", 18, ("satellite", "orbital", "orbit", "geostationary", "maneuvering satellite", "inspector satellite",
+                "rendezvous operation", "proximity operation")),
     ),
     ("space_activity", 8),
     (
-        (r"\blaunched\b.{0,30}\b(satellite|rocket|missile|vehicle)\b", 16), (r"\bdetected\b.{0,30}\b(satellite|object|launch|debris)\b", 12),
+        (r"\blaunched\b.{0,30}\b(satellite|rocket|missile|vehicle)\b", 16),
+            (r"\bdetected\b.{0,30}\b(satellite|object|launch|debris)\b", 12),
         (r"\bjammed\b|\bspoofed\b|\binterfer.{0,15}\bsignal\b", 14), (r"\bdestroyed\b.{0,20}\bsatellite\b|\basat\b.{0,20}\btest\b", 18),
-        (r"\breentered\b|\bdeorbited\b|\bfell.{0,20}\bearth\b|\bimpact\b.{0,20}\bdebris\b", 12), (r"\bmaneuver\b|\brendezvous\b|\bproximity operation\b", 14),
-        (r"\bnew object\b|\bunknown object\b|\bunexplained\b.{0,20}\borbit\b", 12), (r"\bactivated\b|\bdeployed\b.{0,20}\b(satellite|system)\b", 10),
+        (r"\breentered\b|\bdeorbited\b|\bfell.{0,20}\bearth\b|\bimpact\b.{0,20}\bdebris\b", 12),
+            (r"\bmaneuver\b|\brendezvous\b|\bproximity operation\b", 14),
+        (r"\bnew object\b|\bunknown object\b|\bunexplained\b.{0,20}\borbit\b", 12),
+            (r"\bactivated\b|\bdeployed\b.{0,20}\b(satellite|system)\b", 10),
     ),
     (
-        (r"\bopinion\b|\bop-ed\b|\bcommentary\b", 12, "opinion_content"), (r"\bforecast\b|\bprojection\b|\blong-term plan\b", 10, "speculative_content"),
+        (r"\bopinion\b|\bop-ed\b|\bcommentary\b", 12, "opinion_content"),
+            (r"\bforecast\b|\bprojection\b|\blong-term plan\b", 10, "speculative_content"),
         (r"\bhistorical\b|\bspace race\b.{0,20}\b196|\blegacy\b.{0,20}\bspace program\b", 12, "historical_content"),
         (r"\bcommercial satellite\b|\bbroadcast satellite\b|\bcommunications satellite\b(?!.*military)", 8, "commercial_content"),
         (r"\bscience\b.{0,20}\bmission\b|\bscientific\b.{0,20}\bsatellite\b|\btelescope\b", 10, "civilian_science"),
@@ -182,7 +227,8 @@ def event_type(text: Column, domain: Domain) -> tuple[Column, Column, Column]:
     """Type and weight of the heaviest rule that is over the default's weight, the first of equals, and the other types as tags."""
     hits = [(F.exists(F.array(*map(F.lit, terms)), lambda t: text.contains(t)), name, weight) for name, weight, terms in domain.types]
     best = F.struct(F.lit(domain.default[1]).alias("weight"), F.lit(1).alias("place"), F.lit(domain.default[0]).alias("name"))
-    rules = [F.when(h, F.struct(F.lit(w).alias("weight"), F.lit(-i).alias("place"), F.lit(n).alias("name"))) for i, (h, n, w) in enumerate(hits)]
+    rules = [F.when(h, F.struct(F.lit(w).alias("weight"), F.lit(-i).alias("place"), F.lit(n).alias("name"))) for i,
+        (h, n, w) in enumerate(hits)]
     best = F.array_max(F.array(best, *rules))
     tags = F.array_compact(F.array(*(F.when(h & (best["name"] != n), F.lit(n)) for h, n, _ in hits)))
     return best["name"], best["weight"], tags
@@ -202,11 +248,13 @@ def recency_score(age_h: Column, points: tuple[int, int]) -> Column:
 
 def reality_level(keywords: Column, verbs: Column, minus: Column, corroborated: Column) -> Column:
     operational = (verbs >= 10) | (keywords >= 22)
-    return F.when((minus >= 20) & ~operational, "topic").when(corroborated, "corroborated_activity").when(operational, "operational_signal").otherwise("topic")
+    return F.when((minus >= 20) & ~operational, "topic").when(corroborated, "corroborated_activity").when(operational,
+        "operational_signal").otherwise("topic")
 
 
 def activity_class(confidence: Column, kind: str, possible: int) -> Column:
-    return F.when(confidence >= 75, f"probable_{kind}_activity").when(confidence >= possible, f"possible_{kind}_activity").otherwise("weak_signal")
+    return F.when(confidence >= 75, f"probable_{kind}_activity").when(confidence >= possible, f"possible_{kind}_activity").otherwise(
+        "weak_signal")
 
 
 def description(kind: Column, *parts: Column) -> Column:
@@ -221,7 +269,8 @@ def _scored(df: DataFrame, domain: Domain, text: Column) -> DataFrame:
     t = F.col("blob")
     name, weight, tags = event_type(t, domain)
     scores = {
-        "keyword_score": keyword_score(t, domain.weights), "type": name, "type_weight": weight, "tags": tags, "verb_score": verb_score(t, domain.verbs),
+        "keyword_score": keyword_score(t, domain.weights), "type": name, "type_weight": weight, "tags": tags,
+            "verb_score": verb_score(t, domain.verbs),
         "penalty": penalty(t, domain.penalties), "category_boost": category_boost(F.col("category"), domain),
     }
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in scores.items())))))
@@ -248,7 +297,8 @@ def context(rows: DataFrame, places: DataFrame, key: str, widest_zone: float = 4
 
 
 def context_tags() -> Column:
-    named = {"base": "near_naval_base", "chokepoint": "near_chokepoint", "port": "near_major_port", "zone": "inside_strategic_zone", "lane": "near_major_sea_lane"}
+    named = {"base": "near_naval_base", "chokepoint": "near_chokepoint", "port": "near_major_port", "zone": "inside_strategic_zone",
+        "lane": "near_major_sea_lane"}
     return F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.lit(n)) for k, n in named.items())))
 
 
@@ -258,21 +308,25 @@ def maritime_signals(events: DataFrame, places: DataFrame, key: str = "id", wide
     ``events``: key, title, actor1, actor2, sub_type, category, bucket, country, domain, url, lat, lon.
     """
     c = F.col
-    rows = _scored(events.where("lat is not null and lon is not null"), MARITIME, blob(*map(c, ("title", "actor1", "actor2", "sub_type", "category", "bucket", "country", "domain", "url"))))
+    rows = _scored(events.where("lat is not null and lon is not null"), MARITIME,
+        blob(*map(c, ("title", "actor1", "actor2", "sub_type", "category", "bucket", "country", "domain", "url"))))
     actors, sub = F.concat_ws(" ", F.coalesce("actor1", F.lit("")), F.coalesce("actor2", F.lit(""))), F.coalesce("sub_type", F.lit(""))
     rows = rows.withColumns({
         "actor_boost": F.when(actors.rlike("(?i)navy|fleet|maritime|coast guard|destroyer|frigate|submarine"), 8).otherwise(0),
         "sub_boost": F.when(sub.rlike("(?i)naval|maritime|blockade|exercise|deployment|intercept"), 6).otherwise(0),
         "backend_boost": F.when(c("bucket") == "maritime", 16).otherwise(0),
-        "zone_boost": F.when(c("blob").rlike("red sea|hormuz|bab el mandeb|suez|taiwan strait|south china sea|black sea|baltic sea"), 8).otherwise(0),
+        "zone_boost": F.when(c("blob").rlike("red sea|hormuz|bab el mandeb|suez|taiwan strait|south china sea|black sea|baltic sea"),
+            8).otherwise(0),
     })
-    rows = rows.withColumn("maritime_score", _sum(map(c, ("keyword_score", "category_boost", "actor_boost", "sub_boost", "backend_boost", "zone_boost"))))
+    rows = rows.withColumn("maritime_score", _sum(map(c,
+                ("keyword_score", "category_boost", "actor_boost", "sub_boost", "backend_boost", "zone_boost"))))
     # no event below this can pass with any context
     rows = context(rows.where(c("maritime_score") >= MARITIME.least - 4), places, key, widest_zone)
     zoned = c("chokepoint").isNotNull() | c("zone").isNotNull() | c("lane").isNotNull()
     enough = (c("maritime_score") >= MARITIME.least) | ((c("backend_boost") > 0) & zoned)
     rows = rows.where(enough & ((c("keyword_score") > 0) | c("sensitive")))
-    geo = _sum([*(F.when(c(k).isNotNull(), p).otherwise(0) for k, (_, p) in RADII.items()), F.when(c("zone").isNotNull(), ZONE_POINTS).otherwise(0)])
+    geo = _sum([*(F.when(c(k).isNotNull(), p).otherwise(0) for k, (_, p) in RADII.items()),
+            F.when(c("zone").isNotNull(), ZONE_POINTS).otherwise(0)])
     raw = _sum(map(c, ("keyword_score", "type_weight", "verb_score", "category_boost", "actor_boost", "sub_boost"))) + geo
     rows = rows.withColumns({"geo_score": geo, "confidence": clamp(raw - c("penalty"), 0, 100)})
     return rows.withColumn("reality", reality_level(c("keyword_score"), c("verb_score"), c("penalty"), F.lit(False)))
@@ -307,7 +361,8 @@ def named_in(rows: DataFrame, objects: DataFrame, key: str, text: str = "blob",
     """
     begin = F.substring(F.lower("name"), 1, letters)
     known = objects.where(F.coalesce("name", F.lit("")) != "").groupBy(begin.alias("stretch")).agg(F.count("*").alias("n"))
-    stretches = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(letters)), lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(F.col(text), i, n))))
+    stretches = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(letters)),
+            lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(F.col(text), i, n))))
     each = rows.where(F.length(text) > 0).select(key, F.explode(F.array_distinct(stretches)).alias("stretch"))
     return each.join(known, "stretch").groupBy(key).agg(F.sum("n").alias("n_named"))
 
@@ -338,9 +393,11 @@ def naval_activity(signals: DataFrame, anomalies: DataFrame, key: str = "id", km
     pairs = pairs.withColumn("bonus", fusion_bonus(c("km"), km, c("anomaly_confidence"), c("anomaly_sensitive"))).where("bonus > 0")
     told = F.struct((-c("bonus")).alias("minus"), half_up(c("km")).alias("km"), "anomaly", "source")
     # ranked first, which keeps ``most`` rows of a signal before anything is gathered
-    best = pairs.withColumn("told", told).withColumn("rank_", F.row_number().over(Window.partitionBy(key).orderBy("told"))).where(c("rank_") <= most)
+    best = pairs.withColumn("told", told).withColumn("rank_",
+        F.row_number().over(Window.partitionBy(key).orderBy("told"))).where(c("rank_") <= most)
     near = best.groupBy(key).agg(F.sort_array(F.collect_list("told")).alias("near"))
-    near = near.select(key, "near", F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a - x["minus"]).alias("anomaly_bonus"), F.array_distinct(F.transform("near", lambda x: x["source"])).alias("sources"))
+    near = near.select(key, "near", F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a - x["minus"]).alias("anomaly_bonus"),
+        F.array_distinct(F.transform("near", lambda x: x["source"])).alias("sources"))
     rows = signals.join(near, key, "left").withColumn("anomaly_bonus", F.coalesce("anomaly_bonus", F.lit(0)))
     rows = rows.withColumn("recency_penalty", F.coalesce(recency_penalty(c("age_h")), F.lit(0)))
     boosted = clamp(c("confidence") + c("anomaly_bonus") - c("recency_penalty"), 0, 100)

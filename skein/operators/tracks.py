@@ -28,7 +28,8 @@ def orbits(reports: DataFrame, n: int = 30, entity: str = "entity") -> DataFrame
     turned = rotation(recent, entity)
     own = Window.partitionBy(entity)
     centred = recent.withColumns({"mid_lat": F.avg("lat").over(own), "mid_lon": F.avg("lon").over(own)})
-    radius = centred.groupBy(entity).agg(F.collect_list(haversine(F.col("lat"), F.col("lon"), F.col("mid_lat"), F.col("mid_lon"))).alias("radii"))
+    radius = centred.groupBy(entity).agg(F.collect_list(haversine(F.col("lat"), F.col("lon"), F.col("mid_lat"), F.col("mid_lon"))).alias(
+            "radii"))
     mean = F.aggregate("radii", F.lit(0.0), lambda a, v: a + v) / F.size("radii")
     out = turned.join(radius, entity).select(entity, "points", "rotation", population_cv(F.col("radii")).alias("cv"), mean.alias("mean_km"))
     turns = F.abs("rotation")

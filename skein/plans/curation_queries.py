@@ -17,16 +17,20 @@ from .event_queries import QUOTA_REGION_SQL, REGION_SQL
 from .shims import LAT_SQL, LON_SQL, MENTION_SQL, lat_of, lon_of, mentions, table
 from .signal_queries import _at, _pick, _q
 
-SUBJECTS = ("Missile brigade", "Army general", "Taxi drivers", "Naval exercise of warships", "Rebels and militia", "Café owners", "Police station", "Hackers", "Diplomats", "Armed group", "Troop buildup", "Farmers", "Sheriff of the county")
-VERBS = ("attack border base", "announce ceasefire", "held by gang in", "clashes leave many killed near", "sanctions imposed on", "demand talks with", "murder suspect found in", "open festival in", "take hostage at", "protest for wages in", "shelling hits")
-PLACES = ("Ukraine", "the harbor", "São Paulo", "Israel", "the stock market", "Gaza city", "a hospital", "Donetsk front", "the capital", "Taiwan strait", "Kabul")
+SUBJECTS = ("Missile brigade", "Army general", "Taxi drivers", "Naval exercise of warships", "Rebels and militia", "Café owners",
+    "Police station", "Hackers", "Diplomats", "Armed group", "Troop buildup", "Farmers", "Sheriff of the county")
+VERBS = ("attack border base", "announce ceasefire", "held by gang in", "clashes leave many killed near", "sanctions imposed on",
+    "demand talks with", "murder suspect found in", "open festival in", "take hostage at", "protest for wages in", "shelling hits")
+PLACES = ("Ukraine", "the harbor", "São Paulo", "Israel", "the stock market", "Gaza city", "a hospital", "Donetsk front", "the capital",
+    "Taiwan strait", "Kabul")
 HOSTS = ("www.tass.com", "news.example", "espn.com", "patch.com", "zazoom.it", "local.us", "kcna.kp", "daily.example")
 CODES = ("UP", "FR", "US", "RS", "CH", "IZ", "CA", "BR", "IS", "KN")
 THEMES = ("MILITARY_OPS", "ECON", "TAX_FNCACT", "ARMEDCONFLICT", "WB_SPACE")
 
 
 def _title(k):
-    return F.concat_ws(" ", _pick(SUBJECTS, k), _pick(VERBS, k * 3 + 1), _pick(PLACES, k * 7), F.when(k % 4 != 0, F.concat(F.lit("day "), (k % 37).cast("string"))))
+    return F.concat_ws(" ", _pick(SUBJECTS, k), _pick(VERBS, k * 3 + 1), _pick(PLACES, k * 7),
+        F.when(k % 4 != 0, F.concat(F.lit("day "), (k % 37).cast("string"))))
 
 
 _TITLE = f"concat_ws(' ', {_at(SUBJECTS, '{k}')}, {_at(VERBS, '{k} * 3 + 1')}, {_at(PLACES, '{k} * 7')}, CASE WHEN {{k}} % 4 <> 0 THEN 'day ' || {{k}} % 37 END)"
@@ -36,12 +40,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     slug = F.regexp_replace(F.lower(_title(k)), "[^a-z0-9]+", "-")
     return table(spark, sf_dir, "documents").select(
-        k.alias("id"), F.concat(F.lit("https://"), _pick(HOSTS, k), F.lit("/world/"), slug, F.when(k % 6 == 0, "?utm=1&id=7#x").otherwise("/")).alias("url"),
-        F.when(k % 3 != 0, "GOV").alias("actor1"), F.when(k % 5 == 0, "Rébel").alias("actor2"), F.lpad((1 + k % 20).cast("string"), 2, "0").alias("root"),
-        F.when(k % 20 == 17, F.lpad((180 + k % 4).cast("string"), 3, "0")).otherwise(F.concat(F.lpad((1 + k % 20).cast("string"), 2, "0"), (k % 10).cast("string"))).alias("code"),
-        _pick(CODES, k).alias("raw_country"), lat_of(k % 300).alias("lat"), lon_of(k % 300).alias("lon"), ((k * 37 % 201) / F.lit(10.0) - F.lit(10.0)).alias("goldstein"),
-        F.when(k % 43 != 42, k % 7).alias("sources"), F.when(k % 37 != 36, k % 11).alias("articles"), F.when(k % 29 != 28, k % 23).alias("mentions"), (1 + k % 4).alias("geo_type"), F.when(k % 41 != 40, (k % 30).cast("double")).alias("age_h"),
-        F.concat(F.lit("202401"), F.lpad((1 + k % 3).cast("string"), 2, "0"), F.lpad((k % 24).cast("string"), 2, "0"), F.lit("0000")).alias("added"),
+        k.alias("id"), F.concat(F.lit("https://"), _pick(HOSTS, k), F.lit("/world/"), slug,
+                F.when(k % 6 == 0, "?utm=1&id=7#x").otherwise("/")).alias("url"),
+        F.when(k % 3 != 0, "GOV").alias("actor1"), F.when(k % 5 == 0, "Rébel").alias("actor2"),
+            F.lpad((1 + k % 20).cast("string"), 2, "0").alias("root"),
+        F.when(k % 20 == 17, F.lpad((180 + k % 4).cast("string"), 3, "0")).otherwise(
+            F.concat(F.lpad((1 + k % 20).cast("string"), 2, "0"), (k % 10).cast("string"))).alias("code"),
+        _pick(CODES, k).alias("raw_country"), lat_of(k % 300).alias("lat"), lon_of(k % 300).alias("lon"),
+            ((k * 37 % 201) / F.lit(10.0) - F.lit(10.0)).alias("goldstein"),
+        F.when(k % 43 != 42, k % 7).alias("sources"), F.when(k % 37 != 36, k % 11).alias("articles"),
+            F.when(k % 29 != 28, k % 23).alias("mentions"), (1 + k % 4).alias("geo_type"),
+            F.when(k % 41 != 40, (k % 30).cast("double")).alias("age_h"),
+        F.concat(F.lit("202401"), F.lpad((1 + k % 3).cast("string"), 2, "0"), F.lpad((k % 24).cast("string"), 2, "0"),
+            F.lit("0000")).alias("added"),
     )
 
 
@@ -50,7 +61,9 @@ def gkg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).where("id % 3 = 0")
     k = F.col("id")
     made = rows.select(
-        F.col("url").alias("address"), k.alias("seq"), F.array(_pick(THEMES, k)).alias("themes"), F.when(k % 2 == 0, F.array(F.lit("Ministry of Defence"))).alias("organizations"), F.when(k % 4 == 0, F.array(F.lit("General X"))).alias("persons"),
+        F.col("url").alias("address"), k.alias("seq"), F.array(_pick(THEMES, k)).alias("themes"),
+            F.when(k % 2 == 0, F.array(F.lit("Ministry of Defence"))).alias("organizations"),
+            F.when(k % 4 == 0, F.array(F.lit("General X"))).alias("persons"),
         F.when(k % 9 != 0, F.concat(F.lit("<A/><PAGE_TITLE> "), _title(k), F.lit(" &amp; more</PAGE_TITLE>"))).alias("extras"),
     )
     return curation.last_of_each(made)
@@ -79,27 +92,32 @@ NEW_CODES = ("ML", "UA", "ir", "", "XX", "FRA", "FR")
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Country by cell of a tenth of a degree, for every fourth place of events."""
     k = F.col("id") % 300
-    places = events(spark, sf_dir).where(k % 4 == 0).select(cell_tenth(F.col("lat"), F.col("lon")).alias("cell_key"), F.when(k % 8 == 0, "ML").otherwise("FR").alias("cell_country"))
+    places = events(spark, sf_dir).where(k % 4 == 0).select(cell_tenth(F.col("lat"), F.col("lon")).alias("cell_key"),
+        F.when(k % 8 == 0, "ML").otherwise("FR").alias("cell_country"))
     return places.groupBy("cell_key").agg(F.min("cell_country").alias("cell_country"))
 
 
 def country_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Country by cell or code, then a provider's country; events of a changed country at its centre."""
     rows = curation.corrected_country(events(spark, sf_dir), _cells(spark, sf_dir))
-    rows = rows.withColumn("region", region_of_event(F.col("lat"), F.col("lon"), F.col("country"))).withColumn("original_country", F.when(F.col("id") % 10 != 9, F.col("country")))
+    rows = rows.withColumn("region", region_of_event(F.col("lat"), F.col("lon"), F.col("country"))).withColumn("original_country",
+        F.when(F.col("id") % 10 != 9, F.col("country")))
     said = F.when(F.col("id") % 3 == 0, _pick(NEW_CODES, F.col("id")))
     rows = rows.withColumn("country", F.coalesce(F.nullif(said, F.lit("")), "country"))
     out = curation.recentred(rows, spark.createDataFrame(CENTROIDS, "code string, mid_lat double, mid_lon double"))
-    return out.select("id", "country", "geo_suspect", "region", "moved", F.floor(F.col("lat") * 100 + 0.5).cast("long").alias("lat"), F.floor(F.col("lon") * 100 + 0.5).cast("long").alias("lon"))
+    return out.select("id", "country", "geo_suspect", "region", "moved", F.floor(F.col("lat") * 100 + 0.5).cast("long").alias("lat"),
+        F.floor(F.col("lon") * 100 + 0.5).cast("long").alias("lon"))
 
 
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _joined(spark, sf_dir)
-    return rows.select("id", "mention_count", F.array_join("themes", ";").alias("themes"), F.array_join("persons", ";").alias("persons"), F.col("extras").isNotNull().alias("titled"))
+    return rows.select("id", "mention_count", F.array_join("themes", ";").alias("themes"), F.array_join("persons", ";").alias("persons"),
+        F.col("extras").isNotNull().alias("titled"))
 
 
 def curated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.curated(_joined(spark, sf_dir)).select("id", "title", "domain", "military_hits", "category", "country", "region", "score", "strategic", "relevant")
+    return curation.curated(_joined(spark, sf_dir)).select("id", "title", "domain", "military_hits", "category", "country", "region",
+        "score", "strategic", "relevant")
 
 
 def merge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +157,9 @@ told AS (SELECT ev.* EXCLUDE (url, host0, slug), ev.url AS own_url, coalesce(hea
 found AS (SELECT told.*, mention_count, coalesce(a.k, o.k) AS k FROM told LEFT JOIN summary USING (id) LEFT JOIN docs a ON a.url = told.url LEFT JOIN docs o ON o.url = own_url),
 js AS (SELECT *, CASE WHEN k IS NOT NULL THEN {_at(THEMES, "k")} END AS themes, CASE WHEN k % 2 = 0 THEN 'Ministry of Defence' END AS orgs, CASE WHEN k % 4 = 0 THEN 'General X' END AS persons, coalesce(k % 9 <> 0, false) AS titled FROM found)"""
 _CODES_SQL = "CASE raw " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in words.FEED_TO_ISO.items()) + " ELSE raw END"
-_RULES = " ".join(f"WHEN {_part('whole', terms)} THEN '{n}'" for n, _, terms in words.CATEGORIES) + " " + " ".join("WHEN " + " OR ".join(f"code LIKE '{c}%'" for c in codes) + f" THEN '{n}'" for n, codes, _ in words.CATEGORIES if codes)
+_RULES = " ".join(f"WHEN {_part('whole', terms)} THEN '{n}'" for n, _,
+    terms in words.CATEGORIES) + " " + " ".join("WHEN " + " OR ".join(f"code LIKE '{c}%'" for c in codes) + f" THEN '{n}'" for n, codes,
+    _ in words.CATEGORIES if codes)
 _HOST_POINTS = "CASE domain " + " ".join(f"WHEN '{h}' THEN {p}" for h, p in words.HOST_POINTS.items()) + " ELSE 0 END"
 # of "/world/<slug>" only the slug can be a title; of a slug with a number at its end that number goes
 _SPELT = "regexp_replace(trim(regexp_replace(slug, '-+', ' ', 'g')), '( \\d+)+$', '')"

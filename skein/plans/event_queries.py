@@ -11,7 +11,8 @@ from ..operators import rollups, scoring, selection, similarity
 from .shims import EVENT_SQL, MENTION_SQL, events, mentions
 
 #: Words that stand in the invented prose of the test tables.
-WORDS = scoring.Lexicons(military=("this", "with", "from", "dans", "nicht", "para"), civilian=("worthless", "moron", "are"), calming=("that the", "pour"))
+WORDS = scoring.Lexicons(military=("this", "with", "from", "dans", "nicht", "para"), civilian=("worthless", "moron", "are"),
+    calming=("that the", "pour"))
 MOST = 600
 
 
@@ -28,7 +29,8 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _IN = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
-_FORCE, _PRESSURE, _CODES, _ROOTS = (_IN(x) for x in (scoring.FORCE_ROOTS, scoring.PRESSURE_ROOTS, scoring.STRUCTURAL_CODES, scoring.STRUCTURAL_ROOTS))
+_FORCE, _PRESSURE, _CODES, _ROOTS = (_IN(x) for x in (scoring.FORCE_ROOTS, scoring.PRESSURE_ROOTS, scoring.STRUCTURAL_CODES,
+        scoring.STRUCTURAL_ROOTS))
 _HOT, _BOOSTED = _IN(scoring.HOTSPOTS), _IN(scoring.BOOSTED_REGIONS)
 _BOX = lambda s, n, w, e: f"lat > {s} AND lat < {n} AND lon > {w} AND lon < {e}"
 REGION_SQL = f"""CASE WHEN {_BOX(34, 72, -25, 45)} THEN CASE WHEN country IN ('RU','UA','AM','AZ','GE','KG','KZ','MD','BY') THEN 'russia_cis'
@@ -83,7 +85,8 @@ def a_curated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = rollups.mention_summary(mentions(spark, sf_dir)).select(F.col("event_id").alias("id"), "mention_count")
     rows = events(spark, sf_dir).join(summary, "id", "left").withColumn("mentions", F.coalesce("mention_count", "mentions"))
     rows = scoring.scored(rows, WORDS).where("relevant")
-    unique = selection.keep_one(rows, ["title"], *_order()).withColumn("quota_region", region_for_quota(*map(F.col, ("lat", "lon", "country")), F.lit("")))
+    unique = selection.keep_one(rows, ["title"], *_order()).withColumn("quota_region",
+        region_for_quota(*map(F.col, ("lat", "lon", "country")), F.lit("")))
     chosen = selection.quota_select(unique, "quota_region", selection.QUOTAS, MOST, *_order())
     return chosen.select("id", "title", "category", "region", "quota_region", "severity", "score", "strategic", "mentions")
 
@@ -104,11 +107,13 @@ def mention_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_events(spark, sf_dir).select("id", "military_hits", "category", "region", "severity", "score", "keep", "strategic", "relevant")
+    return scored_events(spark, sf_dir).select("id", "military_hits", "category", "region", "severity", "score", "keep", "strategic",
+        "relevant")
 
 
 def map_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).select(region_on_map(F.col("lat"), F.col("lon")).alias("map_region"), region_for_quota(*map(F.col, ("lat", "lon", "country")), F.lit("")).alias("quota_region"))
+    rows = events(spark, sf_dir).select(region_on_map(F.col("lat"), F.col("lon")).alias("map_region"),
+        region_for_quota(*map(F.col, ("lat", "lon", "country")), F.lit("")).alias("quota_region"))
     return rows.groupBy("map_region", "quota_region").agg(F.count("*").alias("n"))
 
 
@@ -120,7 +125,8 @@ def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id")
     unknown = lambda c, n: F.when(k % n != 0, F.col(c)).alias(c)
     rows = scored_events(spark, sf_dir)
-    return rows.select(unknown("region", 19), unknown("category", 17), unknown("country", 13), unknown("domain", 11), F.when(k % 7 != 0, F.when(k % 2 == 0, "cyber").otherwise("maritime")).alias("bucket"), "strategic")
+    return rows.select(unknown("region", 19), unknown("category", 17), unknown("country", 13), unknown("domain", 11),
+        F.when(k % 7 != 0, F.when(k % 2 == 0, "cyber").otherwise("maritime")).alias("bucket"), "strategic")
 
 
 def calibration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +140,8 @@ def grid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored_events(spark, sf_dir)
-    return rollups.cluster_members(rows, rollups.grid_clusters(rows, size=20), size=20).select("cell_lat", "cell_lon", "id", "score", "rank")
+    return rollups.cluster_members(rows, rollups.grid_clusters(rows, size=20), size=20).select("cell_lat", "cell_lon", "id", "score",
+        "rank")
 
 
 def quota_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +161,8 @@ def greedy_multi_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         "place_key": F.concat_ws("|", "domain", F.floor("lat").cast("string")),
         "code_key": F.when(F.col("strategic"), F.concat_ws("|", "code", "country", F.floor("lon").cast("string"))),
     })
-    kept = selection.greedy_distinct(rows.select("id", "title", "place_key", "code_key", "score"), ["title", "place_key", "code_key"], [(-F.col("score")).alias("by_score"), F.col("id").alias("by_id")], Stage(spark, "greedy"))
+    kept = selection.greedy_distinct(rows.select("id", "title", "place_key", "code_key", "score"), ["title", "place_key", "code_key"],
+        [(-F.col("score")).alias("by_score"), F.col("id").alias("by_id")], Stage(spark, "greedy"))
     return kept.select("id", "score")
 
 
@@ -165,11 +173,13 @@ def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_events(spark, sf_dir).select("id", similarity.fingerprint(F.col("title"), F.col("country"), F.col("category")).alias("fingerprint"))
+    return scored_events(spark, sf_dir).select("id", similarity.fingerprint(F.col("title"), F.col("country"),
+            F.col("category")).alias("fingerprint"))
 
 
 def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_events(spark, sf_dir).where(F.col("severity").isin("CRITICAL", "SEVERE") & F.col("region").isin("africa", "europe", "east_asia") & (F.col("category") != "discard"))
+    rows = scored_events(spark, sf_dir).where(F.col("severity").isin("CRITICAL", "SEVERE")
+        & F.col("region").isin("africa", "europe", "east_asia") & (F.col("category") != "discard"))
     return rows.select("id", "severity", "region", "category")
 
 
@@ -180,19 +190,25 @@ def top_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unseen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose fingerprint isn't that of a labelled document."""
-    rows = scored_events(spark, sf_dir).withColumn("fingerprint", similarity.fingerprint(F.col("title"), F.col("country"), F.col("category")))
-    seen = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id")).join(rows, "id").select("fingerprint").distinct()
+    rows = scored_events(spark, sf_dir).withColumn("fingerprint",
+        similarity.fingerprint(F.col("title"), F.col("country"), F.col("category")))
+    seen = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id")).join(rows,
+        "id").select("fingerprint").distinct()
     return rows.join(seen, "fingerprint", "left_anti").select("id")
 
 
 QUERIES = {f.__name__: f for f in (
-    a_curated_events, mention_argmax, event_scores, map_regions, calibration_counts, calibration_text, grid_clusters, cluster_members, quota_selection,
+    a_curated_events, mention_argmax, event_scores, map_regions, calibration_counts, calibration_text, grid_clusters, cluster_members,
+        quota_selection,
     keep_best, greedy_multi_key, similar_titles, fingerprints, facet_filter, top_events, unseen_events,
 )}
 
-_FACETS_SQL = "facets AS (" + " UNION ALL ".join(f"SELECT '{n}' AS facet, v AS value, count(*) AS n, sum(strategic::INT)::BIGINT AS n_strategic FROM (SELECT {v} AS v, strategic FROM scored) WHERE v IS NOT NULL GROUP BY v" for n, v in (
-    ("region", "CASE WHEN id % 19 <> 0 THEN region ELSE 'other' END"), ("category", "CASE WHEN id % 17 <> 0 THEN category ELSE 'incident' END"), ("country", "CASE WHEN id % 13 <> 0 THEN country END"),
-    ("domain", "CASE WHEN id % 11 <> 0 THEN domain END"), ("bucket", "CASE WHEN id % 7 = 0 THEN 'general' WHEN id % 2 = 0 THEN 'cyber' ELSE 'maritime' END"),
+_FACETS_SQL = "facets AS (" + " UNION ALL ".join(f"SELECT '{n}' AS facet, v AS value, count(*) AS n, sum(strategic::INT)::BIGINT AS n_strategic FROM (SELECT {v} AS v, strategic FROM scored) WHERE v IS NOT NULL GROUP BY v"
+    for n, v in (
+    ("region", "CASE WHEN id % 19 <> 0 THEN region ELSE 'other' END"),
+        ("category", "CASE WHEN id % 17 <> 0 THEN category ELSE 'incident' END"), ("country", "CASE WHEN id % 13 <> 0 THEN country END"),
+    ("domain", "CASE WHEN id % 11 <> 0 THEN domain END"),
+        ("bucket", "CASE WHEN id % 7 = 0 THEN 'general' WHEN id % 2 = 0 THEN 'cyber' ELSE 'maritime' END"),
 )) + ")"
 _FINGERPRINT_SQL = "sha1(title || '|' || country || '|' || category)"
 _CELLS_SQL = "SELECT *, (floor(lat / 20 + 0.5) * 20)::INT AS cell_lat, (floor(lon / 20 + 0.5) * 20)::INT AS cell_lon FROM scored"

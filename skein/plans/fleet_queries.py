@@ -29,25 +29,32 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: c.cast("string")
     nothing = F.lit(None).cast("string")
     return table(spark, sf_dir, "orders").select(F.array(
-        F.upper(_hex(k)), _pick(CALLS, k * 3), nothing, nothing, nothing, F.when(k % 17 != 0, text(k * 104729 % 36000 - 18000)), F.when(k % 19 != 0, text(k * 7919 % 17001 - 8500)),
-        F.when(k % 5 != 0, text(k % 12000)), F.when(k % 7 == 0, "true").otherwise("false"), F.when(k % 6 != 0, text(k % 250)), F.when(k % 8 != 0, text(k % 360)),
+        F.upper(_hex(k)), _pick(CALLS, k * 3), nothing, nothing, nothing, F.when(k % 17 != 0, text(k * 104729 % 36000 - 18000)),
+            F.when(k % 19 != 0, text(k * 7919 % 17001 - 8500)),
+        F.when(k % 5 != 0, text(k % 12000)), F.when(k % 7 == 0, "true").otherwise("false"), F.when(k % 6 != 0, text(k % 250)),
+            F.when(k % 8 != 0, text(k % 360)),
     ).alias("state"))
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
-        F.concat(F.when(k % 10 == 0, "~").otherwise(""), _hex(k * 7)).alias("hex"), _pick(CALLS, k).alias("flight"), F.when(k % 4 == 0, "REG" ).alias("r"), _pick(CRAFT, k).alias("t"),
-        F.when(k % 21 != 0, lat_of(k)).alias("lat"), lon_of(k).alias("lon"), F.when(k % 13 == 0, "ground").when(k % 13 == 1, None).otherwise((k * 37 % 45000).cast("string")).alias("alt_baro"),
-        F.when(k % 29 == 0, True).alias("on_ground"), F.when(k % 9 != 0, (k % 600).cast("double") + 0.5).alias("gs"), F.when(k % 8 != 0, (k % 360).cast("double")).alias("track"),
+        F.concat(F.when(k % 10 == 0, "~").otherwise(""), _hex(k * 7)).alias("hex"), _pick(CALLS, k).alias("flight"),
+            F.when(k % 4 == 0, "REG" ).alias("r"), _pick(CRAFT, k).alias("t"),
+        F.when(k % 21 != 0, lat_of(k)).alias("lat"), lon_of(k).alias("lon"),
+            F.when(k % 13 == 0, "ground").when(k % 13 == 1, None).otherwise((k * 37 % 45000).cast("string")).alias("alt_baro"),
+        F.when(k % 29 == 0, True).alias("on_ground"), F.when(k % 9 != 0, (k % 600).cast("double") + 0.5).alias("gs"),
+            F.when(k % 8 != 0, (k % 360).cast("double")).alias("track"),
     )
 
 
 def ships(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
-        F.concat(_pick(MIDS, k), F.lpad(k.cast("string"), 5, "0")).alias("id"), _pick(SHIP_NAMES, k).alias("name"), F.when(k % 3 == 0, "CS").alias("callsign"), F.when(k % 4 == 0, "FRA").alias("country"),
-        lon_of(k).alias("lon"), lat_of(k).alias("lat"), F.when(k % 5 != 0, k % 30).alias("sog"), F.when(k % 6 != 0, k % 360).alias("cog"), F.when(k % 7 == 0, 511).otherwise(k % 360).alias("heading"),
+        F.concat(_pick(MIDS, k), F.lpad(k.cast("string"), 5, "0")).alias("id"), _pick(SHIP_NAMES, k).alias("name"),
+            F.when(k % 3 == 0, "CS").alias("callsign"), F.when(k % 4 == 0, "FRA").alias("country"),
+        lon_of(k).alias("lon"), lat_of(k).alias("lat"), F.when(k % 5 != 0, k % 30).alias("sog"), F.when(k % 6 != 0, k % 360).alias("cog"),
+            F.when(k % 7 == 0, 511).otherwise(k % 360).alias("heading"),
         F.when(k % 8 == 0, 70).alias("ship_type"), (k % 9 != 0).alias("verified"),
     )
 
@@ -55,8 +62,10 @@ def ships(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, u = F.col("event_id"), F.col("user_id")
     return table(spark, sf_dir, "events").select(
-        u.alias("entity"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), k.alias("seq"), (F.lit(40.0) + k % 7 / F.lit(10.0)).alias("lat"), (F.lit(5.0) + k % 11 / F.lit(10.0)).alias("lon"),
-        (k * 37 % 360).cast("double").alias("heading"), F.when(u % 3 == 0, F.lit(400.0) + k % 20).otherwise(F.lit(100.0) + k % 300).alias("speed"),
+        u.alias("entity"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), k.alias("seq"),
+            (F.lit(40.0) + k % 7 / F.lit(10.0)).alias("lat"), (F.lit(5.0) + k % 11 / F.lit(10.0)).alias("lon"),
+        (k * 37 % 360).cast("double").alias("heading"),
+            F.when(u % 3 == 0, F.lit(400.0) + k % 20).otherwise(F.lit(100.0) + k % 300).alias("speed"),
         F.when(u % 2 == 0, F.lit(30000) + k % 1000).otherwise(k * 31 % 40000).alias("alt_ft"), _pick(CRAFT, u).alias("craft_type"),
     )
 
@@ -64,9 +73,13 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, u = F.col("event_id"), F.col("user_id")
     return table(spark, sf_dir, "events").select(
-        F.concat(_pick(MIDS, u), F.lpad(u.cast("string"), 5, "0")).alias("number"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), k.alias("seq"),
-        F.when(F.col("event_type") == "signup", "static").when(F.col("event_type") == "view", "position").otherwise("other").alias("kind"), _pick(SHIP_NAMES, k).alias("name"),
-        F.when(k % 5 == 0, 35).otherwise(70).alias("ship_type"), F.when(k % 30 == 0, 91.0).when(k % 31 == 0, 0.0).otherwise(lat_of(k)).alias("lat"), F.when(k % 31 == 0, 0.0).otherwise(lon_of(k)).alias("lon"),
+        F.concat(_pick(MIDS, u), F.lpad(u.cast("string"), 5, "0")).alias("number"),
+            F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), k.alias("seq"),
+        F.when(F.col("event_type") == "signup", "static").when(F.col("event_type") == "view", "position").otherwise("other").alias("kind"),
+            _pick(SHIP_NAMES, k).alias("name"),
+        F.when(k % 5 == 0, 35).otherwise(70).alias("ship_type"),
+            F.when(k % 30 == 0, 91.0).when(k % 31 == 0, 0.0).otherwise(lat_of(k)).alias("lat"),
+            F.when(k % 31 == 0, 0.0).otherwise(lon_of(k)).alias("lon"),
     )
 
 
@@ -85,7 +98,8 @@ def aircraft_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aircraft_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aircraft of both formats, an object before a state of the same address."""
-    return fleets.fused(fleets.from_objects(objects(spark, sf_dir)), fleets.from_states(states(spark, sf_dir))).select("id", "callsign", "country")
+    return fleets.fused(fleets.from_objects(objects(spark, sf_dir)), fleets.from_states(states(spark, sf_dir))).select("id", "callsign",
+        "country")
 
 
 _SHOWN = ["id", "name", "callsign", "country", "speed", "heading", "cog", "sog"]
@@ -93,7 +107,10 @@ _SHOWN = ["id", "name", "callsign", "country", "speed", "heading", "cog", "sog"]
 
 def air_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = objects(spark, sf_dir).where("lat is not null")
-    raw = rows.select(F.regexp_replace("hex", "^~", "").alias("id"), F.col("flight").alias("callsign"), F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("color"), "lon", "lat", F.lit(None).cast("long").alias("alt"), F.col("alt_baro").try_cast("long").alias("alt_ft"), F.col("gs").alias("speed"), "track", F.col("t").alias("type"))
+    raw = rows.select(F.regexp_replace("hex", "^~", "").alias("id"), F.col("flight").alias("callsign"),
+        F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("color"), "lon", "lat",
+        F.lit(None).cast("long").alias("alt"), F.col("alt_baro").try_cast("long").alias("alt_ft"), F.col("gs").alias("speed"), "track",
+        F.col("t").alias("type"))
     return fleets.air_tracks(raw, HELICOPTERS).select(*_SHOWN, "color", "is_helicopter", "military_hex", "no_callsign")
 
 
@@ -112,16 +129,20 @@ def verified_ships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ship_tracks_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The track pipeline at sea: normal tracks, rules, tiers, those at least likely, each with its sites nearby."""
-    rows = fleets.sea_tracks(ships(spark, sf_dir)).withColumns({"callsign": F.lit(None).cast("string"), "military_type": F.lit(False), "base_km": F.lit(None).cast("double")})
+    rows = fleets.sea_tracks(ships(spark, sf_dir)).withColumns(
+        {"callsign": F.lit(None).cast("string"), "military_type": F.lit(False), "base_km": F.lit(None).cast("double")})
     score, reasons = scoring.rule_score(F.col("domain"), scoring.track_rules())
-    rows = rows.withColumn("score", score.cast("long")).withColumn("tier", scoring.tier(F.col("score"))).withColumn("n_reasons", F.size(reasons).cast("long"))
+    rows = rows.withColumn("score", score.cast("long")).withColumn("tier", scoring.tier(F.col("score"))).withColumn("n_reasons",
+        F.size(reasons).cast("long"))
     rows = fleets.chosen_tracks(rows, least_tier="likely")
     near = spatial.top_within(rows, sites(spark, sf_dir), "id", "site", 1500.5, 5)
-    listed = near.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "site"))), lambda x: x["site"].cast("string")), ";").alias("near"))
+    listed = near.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "site"))),
+                lambda x: x["site"].cast("string")), ";").alias("near"))
     return rows.join(listed, "id", "left").select("id", "score", "tier", "n_reasons", F.coalesce("near", F.lit("")).alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (aircraft_states, aircraft_objects, aircraft_rejects, aircraft_fused, air_tracks, sea_tracks, air_activity, verified_ships, ship_tracks_scored)}
+QUERIES = {f.__name__: f for f in (aircraft_states, aircraft_objects, aircraft_rejects, aircraft_fused, air_tracks, sea_tracks,
+        air_activity, verified_ships, ship_tracks_scored)}
 
 
 def _range_sql(ranges, value: str, column: int) -> str:

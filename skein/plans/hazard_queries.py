@@ -22,23 +22,30 @@ def _as_of():
 
 def quakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    properties = F.struct(F.when(k % 9 != 0, (k % 90) / F.lit(10.0)).alias("mag"), F.when(k % 4 != 0, F.concat(F.lit("p"), k.cast("string"))).alias("place"), F.when(k % 5 != 0, k * 1000).alias("time"), (k % 3).alias("tsunami"), F.nullif(_pick(ALERTS, k * 3), F.lit("")).alias("alert"), F.lit(None).cast("string").alias("url"), F.when(k % 2 == 0, k).alias("sig"))
+    properties = F.struct(F.when(k % 9 != 0, (k % 90) / F.lit(10.0)).alias("mag"),
+        F.when(k % 4 != 0, F.concat(F.lit("p"), k.cast("string"))).alias("place"), F.when(k % 5 != 0, k * 1000).alias("time"),
+        (k % 3).alias("tsunami"), F.nullif(_pick(ALERTS, k * 3), F.lit("")).alias("alert"), F.lit(None).cast("string").alias("url"),
+        F.when(k % 2 == 0, k).alias("sig"))
     geometry = F.struct(F.when(k % 8 != 0, F.array(lon_of(k), lat_of(k), (k % 700).cast("double"))).alias("coordinates"))
-    rows = table(spark, sf_dir, "orders").select(F.when(k % 6 != 0, k.cast("string")).alias("id"), properties.alias("properties"), geometry.alias("geometry"), k.alias("k"))
+    rows = table(spark, sf_dir, "orders").select(F.when(k % 6 != 0, k.cast("string")).alias("id"), properties.alias("properties"),
+        geometry.alias("geometry"), k.alias("k"))
     out = hazards.quakes(rows)
-    return out.where("id is not null").groupBy("color", "tsunami", "alert").agg(F.count("*").alias("n"), F.sum("sig").alias("sig"), F.sum("depth").cast("long").alias("depth"), F.count("time").alias("timed"), F.count_if(F.col("place") == "").alias("nowhere"))
+    return out.where("id is not null").groupBy("color", "tsunami", "alert").agg(F.count("*").alias("n"), F.sum("sig").alias("sig"),
+        F.sum("depth").cast("long").alias("depth"), F.count("time").alias("timed"), F.count_if(F.col("place") == "").alias("nowhere"))
 
 
 def launch_pads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    row = lambda m: table(spark, sf_dir, "customer").where(k % 3 == m).select(F.concat(F.lit("pad"), k.cast("string")).alias("pad"), F.when(k % 10 != 0, lat_of(k % 50)).otherwise(0.0).alias("lat"), lon_of(k % 50).alias("lon"), k.alias("ord"))
+    row = lambda m: table(spark, sf_dir, "customer").where(k % 3 == m).select(F.concat(F.lit("pad"), k.cast("string")).alias("pad"),
+        F.when(k % 10 != 0, lat_of(k % 50)).otherwise(0.0).alias("lat"), lon_of(k % 50).alias("lon"), k.alias("ord"))
     return hazards.pads(row(0), row(1)).select("pad", "has_upcoming")
 
 
 def launches_at_pads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("s_suppkey"), F.col("c_custkey")
     places = table(spark, sf_dir, "supplier").select(k.alias("place"), lat_of(k).alias("lat"), lon_of(k).alias("lon"))
-    rows = table(spark, sf_dir, "customer").select(c.alias("id"), (c * 7 % 1009).alias("ord"), (lat_of(c % 100) + (c % 13) / F.lit(100.0)).alias("lat"), (lon_of(c % 100) - (c % 7) / F.lit(100.0)).alias("lon"))
+    rows = table(spark, sf_dir, "customer").select(c.alias("id"), (c * 7 % 1009).alias("ord"),
+        (lat_of(c % 100) + (c % 13) / F.lit(100.0)).alias("lat"), (lon_of(c % 100) - (c % 7) / F.lit(100.0)).alias("lon"))
     return hazards.launch_at(places, rows)
 
 
@@ -46,23 +53,29 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     epoch = F.date_format(F.timestamp_seconds(F.lit(1705276800) + (k % 3000 - 100) * 600), "yyyy-MM-dd HH:mm:ss")
     return table(spark, sf_dir, "orders").select(
-        k.cast("string").alias("NORAD_CAT_ID"), F.when(k % 5 != 0, F.concat(F.lit("obj"), k.cast("string"))).alias("OBJECT_NAME"), F.when(k % 11 != 0, epoch).alias("DECAY_EPOCH"), (k % 40).cast("string").alias("WINDOW"),
-        F.lit("x").alias("INCLINATION"), (k % 400).cast("string").alias("APOGEE"), F.lit("").alias("PERIGEE"), _pick(CODES, k).alias("COUNTRY_CODE"), F.when(k % 7 == 0, "n/a").otherwise(lat_of(k).cast("string")).alias("LAT"),
+        k.cast("string").alias("NORAD_CAT_ID"), F.when(k % 5 != 0, F.concat(F.lit("obj"), k.cast("string"))).alias("OBJECT_NAME"),
+            F.when(k % 11 != 0, epoch).alias("DECAY_EPOCH"), (k % 40).cast("string").alias("WINDOW"),
+        F.lit("x").alias("INCLINATION"), (k % 400).cast("string").alias("APOGEE"), F.lit("").alias("PERIGEE"),
+            _pick(CODES, k).alias("COUNTRY_CODE"), F.when(k % 7 == 0, "n/a").otherwise(lat_of(k).cast("string")).alias("LAT"),
         lon_of(k).cast("string").alias("LON"), F.when(k % 6 == 0, "Y").otherwise("N").alias("HIGH_INTEREST"),
-        F.when(k % 8 != 0, F.concat(F.lit("1998-"), k.cast("string"))).alias("OBJECT_ID"), F.when(k % 9 != 0, F.lit("2024-01-14")).alias("MSG_EPOCH"),
+        F.when(k % 8 != 0, F.concat(F.lit("1998-"), k.cast("string"))).alias("OBJECT_ID"),
+            F.when(k % 9 != 0, F.lit("2024-01-14")).alias("MSG_EPOCH"),
     )
 
 
 def decays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    countries = spark.createDataFrame([("US", 40.0, -100.0), ("RU", 60.0, 90.0), ("CN", 35.0, 105.0), ("INTL", 0.0, 0.0)], "code string, lat double, lon double")
+    countries = spark.createDataFrame([("US", 40.0, -100.0), ("RU", 60.0, 90.0), ("CN", 35.0, 105.0), ("INTL", 0.0, 0.0)],
+        "code string, lat double, lon double")
     out = hazards.decays(_objects(spark, sf_dir), countries, _as_of())
     thousandth = lambda x: F.floor(F.col(x) * 1000 + 0.5).cast("long")
-    return out.select("id", "name", "object_id", "decay_epoch", "msg_epoch", "country", "window", "apogee", "perigee", thousandth("days_left").alias("days"), "color", thousandth("lat").alias("lat"), thousandth("lon").alias("lon"))
+    return out.select("id", "name", "object_id", "decay_epoch", "msg_epoch", "country", "window", "apogee", "perigee",
+        thousandth("days_left").alias("days"), "color", thousandth("lat").alias("lat"), thousandth("lon").alias("lon"))
 
 
 def reentries(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hazards.reentries(_objects(spark, sf_dir), _as_of())
-    return out.select("id", "name", "country", "high_interest", F.floor(F.col("hours_left") * 1000 + 0.5).cast("long").alias("hours"), "color")
+    return out.select("id", "name", "country", "high_interest", F.floor(F.col("hours_left") * 1000 + 0.5).cast("long").alias("hours"),
+        "color")
 
 
 def soonest_reentries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,17 +88,22 @@ def space_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     scales = spark.createDataFrame([("2", "x", None)], "g string, s string, r string")
     kp = ev.select(F.struct("ts", k.alias("k")).alias("time"), F.when(k % 3 == 0, "bad").otherwise((k % 9).cast("string")).alias("kp"))
-    alerts = ev.select(F.when(k % 2 == 0, k.cast("string")).alias("product_id"), F.col("ts").alias("issued"), F.concat_ws("\n", _pick(LINES, k), _pick(LINES, k * 2 + 1), _pick(LINES, k * 3)).alias("message"), k.alias("ord"))
+    alerts = ev.select(F.when(k % 2 == 0, k.cast("string")).alias("product_id"), F.col("ts").alias("issued"),
+        F.concat_ws("\n", _pick(LINES, k), _pick(LINES, k * 2 + 1), _pick(LINES, k * 3)).alias("message"), k.alias("ord"))
     out = hazards.space_weather(scales, kp, alerts, F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    return out.select("g", "s", "r", F.col("kp").cast("long").alias("kp"), F.array_join(F.transform("alerts", lambda a: F.concat(F.when(a["ord"] % 2 == 0, a["id"]).otherwise("ts"), F.lit("="), a["headline"])), ";").alias("alerts"))
+    return out.select("g", "s", "r", F.col("kp").cast("long").alias("kp"),
+        F.array_join(F.transform("alerts", lambda a: F.concat(F.when(a["ord"] % 2 == 0, a["id"]).otherwise("ts"), F.lit("="),
+                    a["headline"])), ";").alias("alerts"))
 
 
 def vessel_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     start = F.timestamp_seconds(F.lit(1700000000) + k * 60)
     raw = table(spark, sf_dir, "orders").select(
-        F.when(k % 4 != 0, k.cast("string")).alias("id"), _pick(KINDS, k * 5).alias("type"), F.when(k % 10 != 0, lat_of(k % 60)).alias("lat"), lon_of(k % 60).alias("lon"), F.when(k % 3 != 0, start).alias("start"),
-        F.when(k % 7 != 0, F.timestamp_seconds(F.lit(1700000000) + k * 60 + (k % 800) * 86400)).alias("end"), F.when(k % 2 == 0, F.concat(F.lit("v"), (k % 5).cast("string"))).alias("vessel_id"), k.alias("ord"),
+        F.when(k % 4 != 0, k.cast("string")).alias("id"), _pick(KINDS, k * 5).alias("type"),
+            F.when(k % 10 != 0, lat_of(k % 60)).alias("lat"), lon_of(k % 60).alias("lon"), F.when(k % 3 != 0, start).alias("start"),
+        F.when(k % 7 != 0, F.timestamp_seconds(F.lit(1700000000) + k * 60 + (k % 800) * 86400)).alias("end"),
+            F.when(k % 2 == 0, F.concat(F.lit("v"), (k % 5).cast("string"))).alias("vessel_id"), k.alias("ord"),
     )
     return hazards.vessel_anomalies(raw).select("id", "kind", "confidence", "minutes", "vessel_id")
 
@@ -93,8 +111,11 @@ def vessel_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conflict_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(
-        k.alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("k").alias("kind"), F.col("o_orderpriority").alias("sub_kind"), F.lit("a").alias("actor1"), F.col("o_orderstatus").alias("country"),
-        F.when(k % 6 != 0, (k % 25).cast("int")).alias("fatalities"), F.when(k % 5 == 0, "").when(k % 5 == 1, F.repeat(F.lit("ab "), 70)).otherwise(F.concat(F.lit("note "), k.cast("string"))).alias("notes"),
+        k.alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("k").alias("kind"),
+            F.col("o_orderpriority").alias("sub_kind"), F.lit("a").alias("actor1"), F.col("o_orderstatus").alias("country"),
+        F.when(k % 6 != 0, (k % 25).cast("int")).alias("fatalities"),
+            F.when(k % 5 == 0, "").when(k % 5 == 1, F.repeat(F.lit("ab "), 70)).otherwise(F.concat(F.lit("note "), k.cast("string"))).alias(
+                "notes"),
     )
     return hazards.conflict_records(rows, F.lit("1995-01-01"), F.lit("1995-02-15"))
 
@@ -102,11 +123,14 @@ def conflict_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map features of points that share places, read back from their JSON."""
     k = F.col("c_custkey")
-    points = table(spark, sf_dir, "customer").select(k.alias("id"), lat_of(k % 70).alias("lat"), lon_of(k % 70).alias("lon"), F.lit("x").alias("kind"))
+    points = table(spark, sf_dir, "customer").select(k.alias("id"), lat_of(k % 70).alias("lat"), lon_of(k % 70).alias("lon"),
+        F.lit("x").alias("kind"))
     made = hazards.geojson(hazards.spread(points), "kind", "n", "at")
-    back = F.from_json("feature", "type string, geometry struct<type string, coordinates array<double>>, properties struct<kind string, n long, at long>")
+    back = F.from_json("feature",
+        "type string, geometry struct<type string, coordinates array<double>>, properties struct<kind string, n long, at long>")
     rows = made.select("id", back.alias("b"))
-    return rows.select("id", F.col("b.properties.n").alias("n"), F.col("b.properties.at").alias("at"), *(F.floor(F.get("b.geometry.coordinates", F.lit(i)) * 10000 + 0.5).cast("long").alias(x) for i, x in enumerate(("lon", "lat"))))
+    return rows.select("id", F.col("b.properties.n").alias("n"), F.col("b.properties.at").alias("at"),
+        *(F.floor(F.get("b.geometry.coordinates", F.lit(i)) * 10000 + 0.5).cast("long").alias(x) for i, x in enumerate(("lon", "lat"))))
 
 
 def map_spiral(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +139,8 @@ def map_spiral(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "orders").select(k.alias("id"), lat_of(k % 200).alias("lat"), lon_of(k % 200).alias("lon"))
     wide = hazards.spiral(points, 3, 0.018).select("id", F.col("map_lat").alias("wide_lat"), F.col("map_lon").alias("wide_lon"))
     rows = hazards.spiral(points, 4, 0.015).join(wide, "id")
-    return rows.select("id", "at", *(F.floor(F.col(c) * 100000 + 0.5).cast("long").alias(c) for c in ("map_lat", "map_lon", "wide_lat", "wide_lon")))
+    return rows.select("id", "at", *(F.floor(F.col(c) * 100000 + 0.5).cast("long").alias(c)
+            for c in ("map_lat", "map_lon", "wide_lat", "wide_lon")))
 
 
 def cell_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +154,8 @@ def countdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("id"), hazards.countdown((k % 5000 - 100).cast("long")).alias("told"))
 
 
-QUERIES = {f.__name__: f for f in (quakes, launch_pads, launches_at_pads, decays, reentries, soonest_reentries, space_weather, vessel_anomalies, conflict_records, map_features, map_spiral, cell_shares, countdowns)}
+QUERIES = {f.__name__: f for f in (quakes, launch_pads, launches_at_pads, decays, reentries, soonest_reentries, space_weather,
+        vessel_anomalies, conflict_records, map_features, map_spiral, cell_shares, countdowns)}
 
 _K = "o_orderkey"
 _OBJECTS = f"""(SELECT {_K} AS k, {_K}::VARCHAR AS id, CASE WHEN {_K} % 5 <> 0 THEN 'obj' || {_K} ELSE 'NORAD ' || {_K} END AS name, CASE WHEN {_K} % 11 <> 0 THEN ({_K} % 3000 - 100) * 600 END AS left_,

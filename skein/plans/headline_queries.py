@@ -14,24 +14,35 @@ from .shims import table
 from .signal_queries import _at, _pick, _q
 
 STARTS = (
-    "Pentagon confirms", "Russian forces strike", "China launches satellite", "Israel's navy", "Drone attack", "Breaking: missile hits", "Austin says ships",
-    "Une frappe", "Troops mass", "Two killed", "Kremlin denies raid", "SpaceX launches rocket", "North Korea fires missile", "", "La Syrie condamne",
+    "Pentagon confirms", "Russian forces strike", "China launches satellite", "Israel's navy", "Drone attack", "Breaking: missile hits",
+        "Austin says ships",
+    "Une frappe", "Troops mass", "Two killed", "Kremlin denies raid", "SpaceX launches rocket", "North Korea fires missile", "",
+        "La Syrie condamne",
 )
 MIDDLES = (
-    "in Kharkiv Amid Fierce Fighting", "near the occupied Sumy Region", "over the South China Sea Dispute", "at the Pentagon", "on Tuesday", "sur Damas", "dans le Donbass",
-    "into Lebanon", "with software", "towards Springfield County", "captures Qom", "in Red Sea's North", "as Iranian ships wait", "near Zzyzx Base Camp", "en la Habana", "of in Ab",
+    "in Kharkiv Amid Fierce Fighting", "near the occupied Sumy Region", "over the South China Sea Dispute", "at the Pentagon",
+        "on Tuesday", "sur Damas", "dans le Donbass",
+    "into Lebanon", "with software", "towards Springfield County", "captures Qom", "in Red Sea's North", "as Iranian ships wait",
+        "near Zzyzx Base Camp", "en la Habana", "of in Ab",
 )
-ENDS = ("", "after talks", "off the Strait of Hormuz", "says Kremlin", "near Bab el-Mandeb", "amid Syrian crisis", "in Northrop Grumman", "as Taiwan holds drills")
+ENDS = ("", "after talks", "off the Strait of Hormuz", "says Kremlin", "near Bab el-Mandeb", "amid Syrian crisis", "in Northrop Grumman",
+    "as Taiwan holds drills")
 GAZETTEER = (
-    ("south china sea", 0, 0, 12.0, 114.0), ("red sea", 0, 1, 20.0, 38.5), ("strait of hormuz", 0, 2, 26.56, 56.25), ("hormuz", 0, 3, 26.56, 56.25), ("bab el-mandeb", 0, 4, 12.58, 43.33),
-    ("pentagon", 0, 5, 38.87, -77.06), ("kremlin", 0, 6, 55.75, 37.62), ("donbass", 0, 7, 48.2, 38.0), ("north korea", 1, 0, 39.04, 125.76), ("taiwan", 1, 1, 23.7, 120.96),
-    ("china", 1, 2, 39.9, 116.4), ("russia", 1, 3, 55.75, 37.62), ("iran", 1, 4, 35.69, 51.39), ("israel", 1, 5, 31.77, 35.22), ("syria", 1, 6, 33.51, 36.29), ("lebanon", 1, 7, 33.89, 35.5),
-    ("syrie", 1, 8, 34.8, 38.9), ("lebanon", 2, 0, 40.3, -76.4), ("kharkiv", 2, 1, 50.0, 36.25), ("sumy", 2, 2, 50.9, 34.8), ("damas", 2, 3, 33.5, 36.3), ("qom", 2, 4, 34.6, 50.9),
+    ("south china sea", 0, 0, 12.0, 114.0), ("red sea", 0, 1, 20.0, 38.5), ("strait of hormuz", 0, 2, 26.56, 56.25),
+        ("hormuz", 0, 3, 26.56, 56.25), ("bab el-mandeb", 0, 4, 12.58, 43.33),
+    ("pentagon", 0, 5, 38.87, -77.06), ("kremlin", 0, 6, 55.75, 37.62), ("donbass", 0, 7, 48.2, 38.0),
+        ("north korea", 1, 0, 39.04, 125.76), ("taiwan", 1, 1, 23.7, 120.96),
+    ("china", 1, 2, 39.9, 116.4), ("russia", 1, 3, 55.75, 37.62), ("iran", 1, 4, 35.69, 51.39), ("israel", 1, 5, 31.77, 35.22),
+        ("syria", 1, 6, 33.51, 36.29), ("lebanon", 1, 7, 33.89, 35.5),
+    ("syrie", 1, 8, 34.8, 38.9), ("lebanon", 2, 0, 40.3, -76.4), ("kharkiv", 2, 1, 50.0, 36.25), ("sumy", 2, 2, 50.9, 34.8),
+        ("damas", 2, 3, 33.5, 36.3), ("qom", 2, 4, 34.6, 50.9),
     ("springfield", 2, 5, 39.8, -89.6), ("austin", 2, 6, 30.3, -97.7),
 )
-MENTIONS = (("north korea", "north korea", 0), ("korea", "north korea", 1), ("russian", "russia", 2), ("iranian", "iran", 3), ("syrian", "syria", 4), ("taiwan", "taiwan", 5), ("israel", "israel", 6), ("habana", "cuba", 7))
+MENTIONS = (("north korea", "north korea", 0), ("korea", "north korea", 1), ("russian", "russia", 2), ("iranian", "iran", 3),
+    ("syrian", "syria", 4), ("taiwan", "taiwan", 5), ("israel", "israel", 6), ("habana", "cuba", 7))
 HINTS = ("France", "", "Iran", "")
-GEO = (("place", "city", 0.25, "1.5"), ("military", "base", None, "2.5"), ("place", "hamlet", 0.34, "3.5"), ("shop", "mall", 0.9, "4.5"), ("boundary", "administrative", 0.24, "5.5"), ("water", "lake", 0.35, ""), ("natural", "sea", 0.3, "6.5"))
+GEO = (("place", "city", 0.25, "1.5"), ("military", "base", None, "2.5"), ("place", "hamlet", 0.34, "3.5"), ("shop", "mall", 0.9, "4.5"),
+    ("boundary", "administrative", 0.24, "5.5"), ("water", "lake", 0.35, ""), ("natural", "sea", 0.3, "6.5"))
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +52,8 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(GAZETTEER, "name string, kind int, ord int, lat double, lon double"), spark.createDataFrame(MENTIONS, "said string, canonical string, ord int")
+    return spark.createDataFrame(GAZETTEER, "name string, kind int, ord int, lat double, lon double"), spark.createDataFrame(MENTIONS,
+        "said string, canonical string, ord int")
 
 
 def title_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +65,8 @@ def _doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _titles(spark, sf_dir)
     found = places.places_of_titles(rows, *_tables(spark)).select("key", "place")
     k = F.col("key")
-    items = rows.join(found, "key", "left").select(k.alias("id"), "place", F.nullif(_pick(HINTS, k), F.lit("")).alias("hint"), F.when(k % 9 != 0, k % 90 + 5).alias("confidence"))
+    items = rows.join(found, "key", "left").select(k.alias("id"), "place", F.nullif(_pick(HINTS, k), F.lit("")).alias("hint"),
+        F.when(k % 9 != 0, k % 90 + 5).alias("confidence"))
     return places.doubtful(items)
 
 
@@ -65,7 +78,9 @@ def title_doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doubt_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines after answers to all their doubts, whatever their number."""
     k = F.col("doc_id")
-    answers = table(spark, sf_dir, "documents").where(k % 3 != 0).select(k.alias("id"), F.when(k % 4 != 0, F.concat(F.lit("town "), (k % 7).cast("string"))).alias("location"), F.when(k % 5 != 0, k % 100).alias("confidence"))
+    answers = table(spark, sf_dir, "documents").where(k % 3 != 0).select(k.alias("id"),
+        F.when(k % 4 != 0, F.concat(F.lit("town "), (k % 7).cast("string"))).alias("location"),
+        F.when(k % 5 != 0, k % 100).alias("confidence"))
     out = places.answered(_doubts(spark, sf_dir), answers, most=2**62)
     return out.select("id", "where", "hint_only", "confidence")
 
@@ -75,34 +90,45 @@ def geocoder_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     at = k * 3 % len(GEO)
     pick = lambda i: F.get(F.array(*(F.lit(g[i]) for g in GEO)), at.cast("int"))
-    answers = table(spark, sf_dir, "orders").select((k % 997).alias("asked"), k.alias("ord"), pick(0).alias("class"), pick(1).alias("type"), pick(2).alias("importance"), pick(3).alias("lat"), F.lit("7.5").alias("lon"))
+    answers = table(spark, sf_dir, "orders").select((k % 997).alias("asked"), k.alias("ord"), pick(0).alias("class"),
+        pick(1).alias("type"), pick(2).alias("importance"), pick(3).alias("lat"), F.lit("7.5").alias("lon"))
     return places.first_trusted(answers)
 
 
 URLS = (
-    "https://news.example/world/europe/2024/01/troops-move-to-the-border-{k}.html", "https://news.example/articles/{k}", "https://news.example/view?title=%D0%B2%D0%BE%D0%B9%D0%BD%D0%B0+{k}&id=1",
-    "https://news.example/politics/world-news/", "https://news.example/0123456789abcdef0123/naval-drills.php", "https://news.example/956431-fleet-leaves-harbour", "https://news.example/en/short",
-    "https://news.example/story/abcdefghijkl", "not a url", "https://news.example/caf%C3%A9-owners_protest+again/%E5%8C%97%E4%BA%AC-naval-base", "https://news.example/", "https://news.example/Fish%26amp%3BChips-war/ab-cd",
-    "https://news.example/world-politics-opinion/defense-analysis", "https://news.example/one-two/two-one", "https://news.example/q?x=1&y=%EC%84%9C%EC%9A%B8_%EB%89%B4%EC%8A%A4/a-b",
+    "https://news.example/world/europe/2024/01/troops-move-to-the-border-{k}.html", "https://news.example/articles/{k}",
+        "https://news.example/view?title=%D0%B2%D0%BE%D0%B9%D0%BD%D0%B0+{k}&id=1",
+    "https://news.example/politics/world-news/", "https://news.example/0123456789abcdef0123/naval-drills.php",
+        "https://news.example/956431-fleet-leaves-harbour", "https://news.example/en/short",
+    "https://news.example/story/abcdefghijkl", "not a url",
+        "https://news.example/caf%C3%A9-owners_protest+again/%E5%8C%97%E4%BA%AC-naval-base", "https://news.example/",
+        "https://news.example/Fish%26amp%3BChips-war/ab-cd",
+    "https://news.example/world-politics-opinion/defense-analysis", "https://news.example/one-two/two-one",
+        "https://news.example/q?x=1&y=%EC%84%9C%EC%9A%B8_%EB%89%B4%EC%8A%A4/a-b",
 )
 # what each of them spells; {k} stands for a number that may be part of it
 SPELT = (
-    "troops move to the border", None, "война {k}", None, "naval drills", "fleet leaves harbour", None, None, None, "北京 naval base", None, "Fish&Chips war", None, "one two", "서울 뉴스/a-b",
+    "troops move to the border", None, "война {k}", None, "naval drills", "fleet leaves harbour", None, None, None, "北京 naval base", None,
+        "Fish&Chips war", None, "one two", "서울 뉴스/a-b",
 )
 CODES = ("1831", "195", "190", "0231", "145", "", "19", "2042", "18311")
-NAMES = ("Carry out suicide bombing", "Employ aerial weapons", "Fight", "Unknown", "Protest violently, riot", "Unknown", "Unknown", "Use weapons of mass destruction", "Conduct bombing")
+NAMES = ("Carry out suicide bombing", "Employ aerial weapons", "Fight", "Unknown", "Protest violently, riot", "Unknown", "Unknown",
+    "Use weapons of mass destruction", "Conduct bombing")
 OBJECTS = (
     '{"location_name": " Odesa ", "summary": "Ships {moored} \\"here\\"", "key_points": [{"point": "a } b", "category": "Military"}, {"point": " ", "category": "x"}, {"point": "c"}]}',
-    '{"summary": "x", "key_points": "none"}', "{}", '{"a": {"b": "\\\\"}, "summary": "deep"}', '{bad json}', '{"key_points": [{"point": "1"}, {"point": "2"}, {"point": "3"}, {"point": "4"}, {"point": "5"}, {"point": "6"}]}',
+    '{"summary": "x", "key_points": "none"}', "{}", '{"a": {"b": "\\\\"}, "summary": "deep"}', '{bad json}',
+        '{"key_points": [{"point": "1"}, {"point": "2"}, {"point": "3"}, {"point": "4"}, {"point": "5"}, {"point": "6"}]}',
 )
-WRAPS = (("", "", 0), ("```json\n", "\n```", 0), ("Here you are: ", " Hope } that { helps", 0), ("```\n", "```", 0), ("", "", 1), ("no object", "", 99))
+WRAPS = (("", "", 0), ("```json\n", "\n```", 0), ("Here you are: ", " Hope } that { helps", 0), ("```\n", "```", 0), ("", "", 1),
+    ("no object", "", 99))
 
 
 def url_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The title that each address spells, and the name of its code."""
     k = F.col("o_orderkey")
     url = F.replace(_pick(URLS, k), F.lit("{k}"), (k % 50).cast("string"))
-    return table(spark, sf_dir, "orders").select(k.alias("id"), text.scored_title(url).alias("title"), text.sub_type(_pick(CODES, k * 4 + 1)).alias("kind"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), text.scored_title(url).alias("title"),
+        text.sub_type(_pick(CODES, k * 4 + 1)).alias("kind"))
 
 
 def broken_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,35 +140,42 @@ def broken_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(wrap(0), F.substr(body, F.lit(1), F.greatest(F.length(body) - wrap(2), F.lit(0))), wrap(1))
     a = text.signal_answer(said)
     points = F.array_join(F.transform(a["key_points"], lambda p: F.concat(p["point"], F.lit("/"), p["category"])), ";")
-    return table(spark, sf_dir, "orders").select(k.alias("id"), text.balanced_object(said).alias("object"), a["location_name"].alias("place"), a["summary"].alias("summary"), points.alias("points"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), text.balanced_object(said).alias("object"),
+        a["location_name"].alias("place"), a["summary"].alias("summary"), points.alias("points"))
 
 
 def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of at most 30 full cells: the title that has the most in common with the others, and the best titles."""
     k = F.col("doc_id")
     rows = table(spark, sf_dir, "documents").select(
-        k.alias("id"), F.concat_ws(" ", _pick(STARTS, k * 7), _pick(MIDDLES, k * 3 + 1), _pick(ENDS, k * 5)).alias("title"), F.when(k % 4 != 0, _pick(("Military", "conflict"), k)).alias("category"),
-        F.when(k % 3 != 0, "FR").alias("country"), (k * 37 % 101).alias("score"), ((k % 9) * 4 + k % 2 / F.lit(2.0)).alias("lat"), ((k % 5) * 6.0).alias("lon"),
+        k.alias("id"), F.concat_ws(" ", _pick(STARTS, k * 7), _pick(MIDDLES, k * 3 + 1), _pick(ENDS, k * 5)).alias("title"),
+            F.when(k % 4 != 0, _pick(("Military", "conflict"), k)).alias("category"),
+        F.when(k % 3 != 0, "FR").alias("country"), (k * 37 % 101).alias("score"), ((k % 9) * 4 + k % 2 / F.lit(2.0)).alias("lat"),
+            ((k % 5) * 6.0).alias("lon"),
     )
     out = providers.summaries(rows)
-    return out.select("id", "country", "event_count", "location_name", "summary", F.array_join(F.transform("key_points", lambda p: F.concat(p["category"], F.lit(":"), p["point"])), "|").alias("points"))
+    return out.select("id", "country", "event_count", "location_name", "summary",
+        F.array_join(F.transform("key_points", lambda p: F.concat(p["category"], F.lit(":"), p["point"])), "|").alias("points"))
 
 
 def _provider(rows: list[dict]) -> str:
     """Answers to most rows, in words around the array."""
-    said = [{"id": str(r["id"]), "keep": r["id"] % 6 != 0, "category": ("cyber", "no such")[r["id"] % 2], "country": ("ua", "FRA", 7)[r["id"] % 3], "fr": f"titre {r['id']}" if r["id"] % 4 else ""} for r in rows if r["id"] % 7]
+    said = [{"id": str(r["id"]), "keep": r["id"] % 6 != 0, "category": ("cyber", "no such")[r["id"] % 2],
+            "country": ("ua", "FRA", 7)[r["id"] % 3], "fr": f"titre {r['id']}" if r["id"] % 4 else ""} for r in rows if r["id"] % 7]
     return f"Sure: {json.dumps(said)} - done"
 
 
 def provider_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events after a provider was asked for them in batches."""
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("title "), k.cast("string")).alias("title"), _pick(("military", "discard", "conflict"), k).alias("category"), F.lit("US").alias("country"), (k % 97).alias("score"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("title "), k.cast("string")).alias("title"),
+        _pick(("military", "discard", "conflict"), k).alias("category"), F.lit("US").alias("country"), (k % 97).alias("score"))
     out, _ = providers.filtered_by(rows, _provider, ("military", "conflict", "cyber"), Stage(spark, "provider"), limit=2**31 - 1)
     return out.select("id", "category", "country", "title_shown", "headline")
 
 
-QUERIES = {f.__name__: f for f in (title_places, title_doubts, doubt_answers, geocoder_trust, url_titles, broken_answers, cluster_summaries, provider_batches)}
+QUERIES = {f.__name__: f for f in (title_places, title_doubts, doubt_answers, geocoder_trust, url_titles, broken_answers,
+        cluster_summaries, provider_batches)}
 
 _TITLES = f"""t AS (SELECT doc_id AS key, CASE WHEN doc_id % 31 <> 30 THEN concat_ws(' ', {_at(STARTS, "doc_id")}, {_at(MIDDLES, "doc_id * 3 + 1")}, {_at(ENDS, "doc_id * 5 + 2")}) END AS title FROM documents),
 g(name, kind, ord, lat, lon) AS (VALUES {', '.join(f"({_q(n)}, {k}, {o}, {a}::DOUBLE, {b}::DOUBLE)" for n, k, o, a, b in GAZETTEER)}),
@@ -184,7 +217,8 @@ def _cases(values: tuple, k: str) -> str:
 
 
 # what is in each object, as a person reads it
-_READ = (("Odesa", 'Ships {moored} "here"', "a } b/military;c/conflict"), ("", "x", ""), ("", "", ""), ("", "deep", ""), (None, None, None), ("", "", "1/conflict;2/conflict;3/conflict;4/conflict;5/conflict"))
+_READ = (("Odesa", 'Ships {moored} "here"', "a } b/military;c/conflict"), ("", "x", ""), ("", "", ""), ("", "deep", ""),
+    (None, None, None), ("", "", "1/conflict;2/conflict;3/conflict;4/conflict;5/conflict"))
 
 SQL = {
     "url_titles": f"SELECT o_orderkey AS id, replace({_cases(SPELT, 'o_orderkey')}, '{{k}}', (o_orderkey % 50)::VARCHAR) AS title, {_cases(NAMES, 'o_orderkey * 4 + 1')} AS kind FROM orders",

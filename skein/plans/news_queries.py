@@ -9,8 +9,11 @@ from ..operators import news
 from .shims import LAT_SQL, LON_SQL, km_sql, lat_of, lon_of, table
 from .signal_queries import _at, _pick, _q
 
-HEADS = ("Navy warship fleet", "SpaceX Falcon 9", "Fighter jet", "Hezbollah rocket", "Hypersonic missile", "Troops", "Spy satellite", "Airline passenger", "Cruise ship", "Artemis moon mission", "Stock market")
-ACTS = ("test launch seen", "strike reported", "summit talks", "exercise begins", "deploy to front", "launch new product", "intercept drone", "could escalate into war", "years ago anniversary", "collision incident", "patrol ends with clash", "wins football medal", "visit hospital")
+HEADS = ("Navy warship fleet", "SpaceX Falcon 9", "Fighter jet", "Hezbollah rocket", "Hypersonic missile", "Troops", "Spy satellite",
+    "Airline passenger", "Cruise ship", "Artemis moon mission", "Stock market")
+ACTS = ("test launch seen", "strike reported", "summit talks", "exercise begins", "deploy to front", "launch new product",
+    "intercept drone", "could escalate into war", "years ago anniversary", "collision incident", "patrol ends with clash",
+    "wins football medal", "visit hospital")
 WHERE = ("near the strait", "in 1999", "over the capital", "off the coast", "at the border today", "as sanction looms", "in orbit")
 FEEDS = ("naval", "spatial", "aviation", "missile", "military")
 AS_OF = "2024-01-31 00:00:00"
@@ -21,8 +24,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     ts = F.timestamp_seconds(F.lit(1704067200) + k * 10007 % 2592000)
     return table(spark, sf_dir, "documents").select(
-        k.alias("id"), F.concat_ws(" ", _pick(HEADS, k), _pick(ACTS, k * 4 + 1), _pick(WHERE, k * 2), F.when(k % 3 == 0, F.concat(F.lit("no "), (k % 29).cast("string")))).alias("title"),
-        _pick(FEEDS, k * 3).alias("feed_domain"), F.when(k % 23 != 22, ts).alias("ts"), F.concat(F.lit("s"), (k % 12).cast("string")).alias("source"),
+        k.alias("id"), F.concat_ws(" ", _pick(HEADS, k), _pick(ACTS, k * 4 + 1), _pick(WHERE, k * 2),
+                F.when(k % 3 == 0, F.concat(F.lit("no "), (k % 29).cast("string")))).alias("title"),
+        _pick(FEEDS, k * 3).alias("feed_domain"), F.when(k % 23 != 22, ts).alias("ts"),
+            F.concat(F.lit("s"), (k % 12).cast("string")).alias("source"),
         F.when(k % 5 != 4, lat_of(k % 40)).alias("lat"), F.when(k % 5 != 4, lon_of(k % 40)).alias("lon"), (k * 617 % 1000003).alias("ord"),
     )
 
@@ -33,7 +38,8 @@ ITEM_SQL = f"""(SELECT doc_id AS id, concat_ws(' ', {_at(HEADS, "doc_id")}, {_at
 
 
 def news_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return news.classified(items(spark, sf_dir)).select("id", "domain", "type", "confidence", "enough", news.spatial_noise(F.col("title")).alias("noise"))
+    return news.classified(items(spark, sf_dir)).select("id", "domain", "type", "confidence", "enough",
+        news.spatial_noise(F.col("title")).alias("noise"))
 
 
 def news_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +90,8 @@ def news_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.merged_cache(rows.where("id % 4 = 0"), rows.where("id % 4 <> 0"), F.lit(AS_OF).cast("timestamp")).select("id")
 
 
-QUERIES = {f.__name__: f for f in (news_classes, news_recent, news_for_map, news_counts, news_title_keys, news_duplicates, news_gray_pairs, news_without_gray, news_unique, news_cache)}
+QUERIES = {f.__name__: f for f in (news_classes, news_recent, news_for_map, news_counts, news_title_keys, news_duplicates, news_gray_pairs,
+        news_without_gray, news_unique, news_cache)}
 
 
 def _says(pattern: str, but: str) -> str:
@@ -92,8 +99,10 @@ def _says(pattern: str, but: str) -> str:
 
 
 _DOMAIN = "CASE " + " ".join(f"WHEN {_says(p, b)} THEN '{n}'" for n, p, b in news.DOMAINS) + " ELSE 'military' END"
-_TYPE = "CASE domain " + " ".join(f"WHEN '{n}' THEN CASE " + " ".join(f"WHEN {_says(p, '')} THEN '{k}'" for p, k in kinds) + " ELSE domain END" for n, kinds in news.TYPES.items()) + " END"
-_POINTS = " + ".join(f"CASE WHEN {_says(p, b)}" + (f" AND domain = '{n}'" if n else "") + f" THEN {x} ELSE 0 END" for n, x, p, b in news.POINTS)
+_TYPE = "CASE domain " + " ".join(f"WHEN '{n}' THEN CASE " + " ".join(f"WHEN {_says(p, '')} THEN '{k}'" for p, k in kinds)
+    + " ELSE domain END" for n, kinds in news.TYPES.items()) + " END"
+_POINTS = " + ".join(f"CASE WHEN {_says(p, b)}" + (f" AND domain = '{n}'" if n else "") + f" THEN {x} ELSE 0 END" for n, x, p,
+    b in news.POINTS)
 _CLASSES = f"""lowered AS (SELECT *, lower(title) AS t FROM {ITEM_SQL}), named AS (SELECT *, {_DOMAIN} AS domain FROM lowered),
 sure AS (SELECT *, {_TYPE} AS type, greatest(10, least(95, 55 + CASE WHEN domain = feed_domain THEN 10 ELSE 0 END + CASE WHEN lat IS NOT NULL THEN 15 ELSE 0 END
   + CASE WHEN len(regexp_split_to_array(t, '\\s+')) <= 15 THEN 5 ELSE 0 END + {_POINTS})) AS confidence FROM named),

@@ -17,13 +17,15 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def day_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
     out = rollups.day_history(orders, "day", F.col("o_orderpriority"), F.col("o_orderstatus"))
-    told = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";")
+    told = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)),
+            lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";")
     return out.select("day", "count", told("categories").alias("categories"), told("severities").alias("severities"))
 
 
 def label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "left")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("n_kept"), F.count_if(F.col("toxic") == 1).alias("n_review"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("n_kept"),
+        F.count_if(F.col("toxic") == 1).alias("n_review"))
 
 
 def chat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,8 @@ def chat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(messages.alias("m"))
     line = F.to_json(F.struct(F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
     back = F.from_json(line, "messages array<struct<role string, content string>>")["messages"]
-    return rows.select("conv_id", F.size(back).cast("long").alias("n_messages"), F.aggregate(back, F.lit(0), lambda a, t: a + F.length(F.coalesce(t["content"], F.lit("")))).cast("long").alias("n_chars"))
+    return rows.select("conv_id", F.size(back).cast("long").alias("n_messages"),
+        F.aggregate(back, F.lit(0), lambda a, t: a + F.length(F.coalesce(t["content"], F.lit("")))).cast("long").alias("n_chars"))
 
 
 def normalized_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +61,8 @@ def aging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (url_hosts, day_history, label_stats, chat_export, normalized_titles, kind_counts, aging)}
 
-_NORMAL = "trim(regexp_replace(regexp_replace(translate(lower(split_part(coalesce(text, ''), chr(10), 1)), '{}', '{}'), '[^{}]', ' ', 'g'), '\\s+', ' ', 'g'))".format(*accents(), KEPT)
+_NORMAL = "trim(regexp_replace(regexp_replace(translate(lower(split_part(coalesce(text, ''), chr(10), 1)), '{}', '{}'), '[^{}]', ' ', 'g'), '\\s+', ' ', 'g'))".format(
+    *accents(), KEPT)
 _HISTOGRAM = "string_agg({c} || '=' || n, ';' ORDER BY {c})"
 SQL = {
     "url_hosts": r"SELECT coalesce(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', ''), '') AS host, count(*) AS n FROM pages GROUP BY 1",

@@ -39,7 +39,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         lon_of(k).alias("lon"),
         ((k * 37 % 201) / F.lit(10.0) - F.lit(10.0)).alias("tone"),
         F.lpad((1 + k % 20).cast("string"), 2, "0").alias("root"),
-        F.when(k % 20 == 17, F.lpad((180 + k % 4).cast("string"), 3, "0")).otherwise(F.concat(F.lpad((1 + k % 20).cast("string"), 2, "0"), (k % 10).cast("string"))).alias("code"),
+        F.when(k % 20 == 17, F.lpad((180 + k % 4).cast("string"), 3, "0")).otherwise(
+            F.concat(F.lpad((1 + k % 20).cast("string"), 2, "0"), (k % 10).cast("string"))).alias("code"),
         F.when(k % 43 != 42, k % 7).alias("sources"),
         F.when(k % 37 != 36, k % 11).alias("articles"),
         F.when(k % 29 != 28, k % 23).alias("mentions"),
@@ -96,7 +97,8 @@ POSITION_SQL = f"""(SELECT event_id AS seq, user_id AS entity, epoch_us(ts) AS t
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed places from ``supplier``."""
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("site"), lat_of(k * 3).alias("site_lat"), lon_of(k * 3).alias("site_lon"), (k % 9 * 100 + 150).cast("double").alias("radius_km"))
+    return table(spark, sf_dir, "supplier").select(k.alias("site"), lat_of(k * 3).alias("site_lat"), lon_of(k * 3).alias("site_lon"),
+        (k % 9 * 100 + 150).cast("double").alias("radius_km"))
 
 
 SITE_SQL = f"""(SELECT s_suppkey AS site, {LAT_SQL.format(k="s_suppkey * 3")} AS site_lat, {LON_SQL.format(k="s_suppkey * 3")} AS site_lon,

@@ -9,9 +9,13 @@ from ..operators import signals
 from .shims import COUNTRIES, LAT_SQL, LON_SQL, POSITION_SQL, km_sql, lat_of, lon_of, positions, table
 
 #: Beginnings, middles and ends that the reports' titles are put together from.
-SUBJECTS = ("Navy frigate", "Fighter jets", "Spy satellite", "Fishing boats", "F-35 squadron", "Cosmos 2251", "Russian navy tanker", "Opinion column", "Drone swarm", "Coast guard carrier", "GPS jamming", "Farmers", "Warship task force")
-MIDDLES = ("intercepted", "scrambled over the airspace near", "launched a rocket and satellite at", "deployed with the fleet to", "struck and hit the target in", "held a naval exercise off", "jammed the signal over", "boarded and seized a ship in", "talked in", "reentered over", "shot down a drone over")
-ENDS = ("the Red Sea", "Hormuz strait", "low orbit", "the capital", "a port visit", "the Taiwan Strait, analysis says", "years ago", "an air base", "the harbour forecast", "the telescope science mission")
+SUBJECTS = ("Navy frigate", "Fighter jets", "Spy satellite", "Fishing boats", "F-35 squadron", "Cosmos 2251", "Russian navy tanker",
+    "Opinion column", "Drone swarm", "Coast guard carrier", "GPS jamming", "Farmers", "Warship task force")
+MIDDLES = ("intercepted", "scrambled over the airspace near", "launched a rocket and satellite at", "deployed with the fleet to",
+    "struck and hit the target in", "held a naval exercise off", "jammed the signal over", "boarded and seized a ship in", "talked in",
+    "reentered over", "shot down a drone over")
+ENDS = ("the Red Sea", "Hormuz strait", "low orbit", "the capital", "a port visit", "the Taiwan Strait, analysis says", "years ago",
+    "an air base", "the harbour forecast", "the telescope science mission")
 ACTORS = ("", "Pacific Fleet", "Coast Guard", "AIR FORCE", "Space Command")
 SUBS = ("naval blockade", "", "Use force", "military exercise")
 CATEGORIES = ("military", "strategic", "conflict", "crisis", "incident", "protest")
@@ -27,10 +31,13 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short reports from ``documents``: every title is one beginning, middle and end."""
     k = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
-        k.alias("id"), F.concat_ws(" ", _pick(SUBJECTS, k), _pick(MIDDLES, k * 5 + 1), _pick(ENDS, k * 3 + 2)).alias("title"), _pick(ACTORS, k).alias("actor1"),
+        k.alias("id"), F.concat_ws(" ", _pick(SUBJECTS, k), _pick(MIDDLES, k * 5 + 1), _pick(ENDS, k * 3 + 2)).alias("title"),
+            _pick(ACTORS, k).alias("actor1"),
         F.lit(None).cast("string").alias("actor2"), _pick(SUBS, k).alias("sub_type"), _pick(CATEGORIES, k * 7).alias("category"),
-        F.when(k % 9 == 0, "maritime").otherwise("general").alias("bucket"), _pick(COUNTRIES, k).alias("country"), F.lit("x.example").alias("domain"),
-        F.lit(None).cast("string").alias("url"), F.when(k % 50 != 49, lat_of(k)).alias("lat"), lon_of(k).alias("lon"), F.when(k % 31 != 30, (k % 60).cast("double")).alias("age_h"),
+        F.when(k % 9 == 0, "maritime").otherwise("general").alias("bucket"), _pick(COUNTRIES, k).alias("country"),
+            F.lit("x.example").alias("domain"),
+        F.lit(None).cast("string").alias("url"), F.when(k % 50 != 49, lat_of(k)).alias("lat"), lon_of(k).alias("lon"),
+            F.when(k % 31 != 30, (k % 60).cast("double")).alias("age_h"),
     )
 
 
@@ -44,13 +51,15 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(F.when(k % 6 != 5, F.concat_ws(" ", _pick(NAMES, k), k.cast("string"))).alias("name"), (k % 40 == 0).alias("high_interest"))
+    return table(spark, sf_dir, "supplier").select(F.when(k % 6 != 5, F.concat_ws(" ", _pick(NAMES, k), k.cast("string"))).alias("name"),
+        (k % 40 == 0).alias("high_interest"))
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
-        k.alias("anomaly"), lat_of(k * 11).alias("site_lat"), lon_of(k * 11).alias("site_lon"), (k % 101).alias("anomaly_confidence"), (k % 2 == 0).alias("anomaly_sensitive"),
+        k.alias("anomaly"), lat_of(k * 11).alias("site_lat"), lon_of(k * 11).alias("site_lon"), (k % 101).alias("anomaly_confidence"),
+            (k % 2 == 0).alias("anomaly_sensitive"),
         F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"),
     )
 
@@ -64,39 +73,46 @@ def _maritime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def maritime_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _maritime(spark, sf_dir)
-    return out.select("id", "type", _TAGS("tags").alias("tags"), "maritime_score", "keyword_score", "verb_score", "penalty", "geo_score", "confidence", "reality", _TAGS(signals.context_tags()).alias("context"), "base", "base_km", "zone")
+    return out.select("id", "type", _TAGS("tags").alias("tags"), "maritime_score", "keyword_score", "verb_score", "penalty", "geo_score",
+        "confidence", "reality", _TAGS(signals.context_tags()).alias("context"), "base", "base_km", "zone")
 
 
 def aviation_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     bases = places(spark, sf_dir).where("kind = 'base'").select("site", "site_lat", "site_lon")
     seen = positions(spark, sf_dir).select(F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"))
     out = signals.aviation_signals(reports(spark, sf_dir), bases, seen)
-    return out.select("id", "type", _TAGS("tags").alias("tags"), "keyword_score", "verb_score", "penalty", "geo_score", "recency", "n_observed", "status", "confidence", "reality", "class")
+    return out.select("id", "type", _TAGS("tags").alias("tags"), "keyword_score", "verb_score", "penalty", "geo_score", "recency",
+        "n_observed", "status", "confidence", "reality", "class")
 
 
 def spatial_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = signals.spatial_signals(reports(spark, sf_dir), objects(spark, sf_dir))
     told = signals.description(F.col("type"), F.col("title"))
-    return out.select("id", "type", _TAGS("tags").alias("tags"), "keyword_score", "verb_score", "penalty", "recency", "status", "confidence", "reality", "class", told.alias("description"))
+    return out.select("id", "type", _TAGS("tags").alias("tags"), "keyword_score", "verb_score", "penalty", "recency", "status",
+        "confidence", "reality", "class", told.alias("description"))
 
 
 def naval_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = signals.naval_activity(_maritime(spark, sf_dir), anomalies(spark, sf_dir))
-    return out.select("id", "anomaly_bonus", "recency_penalty", "boosted", "class", F.coalesce(F.array_join(F.transform("near", lambda x: x["anomaly"].cast("string")), ";"), F.lit("")).alias("near"))
+    return out.select("id", "anomaly_bonus", "recency_penalty", "boosted", "class",
+        F.coalesce(F.array_join(F.transform("near", lambda x: x["anomaly"].cast("string")), ";"), F.lit("")).alias("near"))
 
 
 def anomaly_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anomalies with the places around them."""
     rows = anomalies(spark, sf_dir).select("anomaly", F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon"))
     out = signals.context(rows, places(spark, sf_dir), "anomaly", 950.0)
-    return out.select("anomaly", "base", "chokepoint", "port", "lane", "zone", "zone_km", "sensitive", _TAGS(signals.context_tags()).alias("context"))
+    return out.select("anomaly", "base", "chokepoint", "port", "lane", "zone", "zone_km", "sensitive",
+        _TAGS(signals.context_tags()).alias("context"))
 
 
 def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms of each kind of signal in each report, heaviest first, and the labels of what speaks against it."""
     t = F.lower("title")
     rows = reports(spark, sf_dir)
-    return rows.select("id", *(_TAGS(signals.matched_terms(t, d.weights)).alias(d.name) for d in (signals.MARITIME, signals.AVIATION, signals.SPATIAL)), _TAGS(signals.penalty_labels(t, signals.AVIATION.penalties)).alias("labels"))
+    return rows.select("id", *(_TAGS(signals.matched_terms(t, d.weights)).alias(d.name)
+            for d in (signals.MARITIME, signals.AVIATION, signals.SPATIAL)),
+        _TAGS(signals.penalty_labels(t, signals.AVIATION.penalties)).alias("labels"))
 
 
 QUERIES = {f.__name__: f for f in (maritime_signals, aviation_signals, spatial_signals, naval_activity, anomaly_context, matched_terms)}
@@ -134,7 +150,8 @@ def _scores_sql(d: signals.Domain, bucket: str = "") -> str:
     minus = " + ".join(f"CASE WHEN {_matches(p)} THEN {n} ELSE 0 END" for p, n, _ in d.penalties)
     hit = lambda terms: "(" + " OR ".join(f"contains(blob, {_q(t)})" for t in terms) + ")"
     heaviest = sorted((x for x in d.types if x[1] > d.default[1]), key=lambda x: -x[1])
-    pick = lambda value: "CASE " + " ".join(f"WHEN {hit(terms)} THEN {value(n, w)}" for n, w, terms in heaviest) + f" ELSE {value(*d.default)} END"
+    pick = lambda value: "CASE " + " ".join(f"WHEN {hit(terms)} THEN {value(n, w)}" for n, w,
+        terms in heaviest) + f" ELSE {value(*d.default)} END"
     tags = ", ".join(f"CASE WHEN {hit(terms)} THEN '{n}' END" for n, _, terms in d.types)
     boost = "CASE category " + " ".join(f"WHEN '{n}' THEN {p}" for n, p in d.boosts.items()) + f" ELSE {d.other_boost} END"
     return f"""texts AS (SELECT *, {_BLOB.format(bucket=bucket)} AS blob FROM {REPORT_SQL} WHERE lat IS NOT NULL),
@@ -147,7 +164,8 @@ _SQL_TAGS = "array_to_string(list_filter(hits, lambda x: x IS NOT NULL AND x <>
 
 def _context_sql(rows: str, key: str) -> str:
     km = km_sql("r.lat", "r.lon", "p.site_lat", "p.site_lon")
-    near = ", ".join(f"arg_min(site, {{k: km, s: site}}) FILTER (kind = '{k}') AS {k}, floor(min(km) FILTER (kind = '{k}') + 0.5)::BIGINT AS {k}_km" for k in KINDS if k != "zone")
+    near = ", ".join(f"arg_min(site, {{k: km, s: site}}) FILTER (kind = '{k}') AS {k}, floor(min(km) FILTER (kind = '{k}') + 0.5)::BIGINT AS {k}_km"
+        for k in KINDS if k != "zone")
     return f"""pairs AS (SELECT * FROM (SELECT r.{key}, p.kind, p.site, p.radius, {km} AS km FROM {rows} r, {PLACE_SQL} p) WHERE km <= radius),
 near AS (SELECT {key}, {near}, min(site) FILTER (kind = 'zone') AS zone, floor(arg_min(km, site) FILTER (kind = 'zone') + 0.5)::BIGINT AS zone_km FROM pairs GROUP BY {key})"""
 
@@ -197,6 +215,9 @@ final AS (SELECT *, greatest(0, least(100, confidence + anomaly_bonus - recency_
 SELECT id, anomaly_bonus, recency_penalty, boosted, CASE WHEN boosted >= 75 THEN 'probable_naval_activity' WHEN boosted >= 55 THEN 'possible_naval_activity' ELSE 'weak_signal' END AS class, near FROM final""",
     "anomaly_context": f"WITH {_context_sql(ANOMALY_SQL, 'anomaly')} SELECT anomaly, base, chokepoint, port, lane, zone, zone_km, {_SENSITIVE} AS sensitive, {_CONTEXT_TAGS} AS context FROM {ANOMALY_SQL} LEFT JOIN near USING (anomaly)",
     "matched_terms": "SELECT id, "
-    + ", ".join("concat_ws(';', " + ", ".join(f"CASE WHEN contains(lower(title), {_q(t)}) THEN {_q(t)} END" for t in sorted(d.weights, key=lambda t, d=d: -d.weights[t])) + f") AS {d.name}" for d in (signals.MARITIME, signals.AVIATION, signals.SPATIAL))
-    + ", concat_ws(';', " + ", ".join(f"CASE WHEN {_matches(p).replace('blob', 'lower(title)')} THEN '{n}' END" for p, _, n in signals.AVIATION.penalties) + f") AS labels FROM {REPORT_SQL}",
+    + ", ".join("concat_ws(';', " + ", ".join(f"CASE WHEN contains(lower(title), {_q(t)}) THEN {_q(t)} END"
+            for t in sorted(d.weights, key=lambda t, d=d: -d.weights[t])) + f") AS {d.name}"
+        for d in (signals.MARITIME, signals.AVIATION, signals.SPATIAL))
+    + ", concat_ws(';', " + ", ".join(f"CASE WHEN {_matches(p).replace('blob', 'lower(title)')} THEN '{n}' END" for p, _,
+            n in signals.AVIATION.penalties) + f") AS labels FROM {REPORT_SQL}",
 }

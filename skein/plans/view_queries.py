@@ -13,23 +13,32 @@ from .news_queries import _CLASSES, items
 from .shims import LAT_SQL, LON_SQL, POSITION_SQL, lat_of, lon_of, positions, table
 from .signal_queries import _at, _pick, _q
 
-FIRST = ("missile-strike-hits-border", "football-match-review", "protest-march-in-capital", "court-hears-terrorism-trial", "navy-drill-begins", "garden-show-opens", "hostage-freed-by-militia", "tanks-leave-base", "refugee-crisis-deepens")
+FIRST = ("missile-strike-hits-border", "football-match-review", "protest-march-in-capital", "court-hears-terrorism-trial",
+    "navy-drill-begins", "garden-show-opens", "hostage-freed-by-militia", "tanks-leave-base", "refugee-crisis-deepens")
 SECOND = ("near-kyiv.html", "after-blast", "as-unrest-grows.php", "in-2024", "12345", "war-looms")
 SITES = ("www.tass.example", "espn.com", "news.example", "www.wired.com", "daily.example")
 LOCATIONS = ("Mali", "", "Kyiv, Ukraine", "Nowhere", "Sud")
-COUNTRIES = (("Ukraine", 0, 49.0, 31.0), ("South Sudan", 1, 7.0, 30.0), ("Sudan", 2, 15.0, 30.0), ("Mali", 3, 17.0, -4.0), ("Maldives", 4, 3.2, 73.0))
+COUNTRIES = (("Ukraine", 0, 49.0, 31.0), ("South Sudan", 1, 7.0, 30.0), ("Sudan", 2, 15.0, 30.0), ("Mali", 3, 17.0, -4.0),
+    ("Maldives", 4, 3.2, 73.0))
 TEXTS = ("", " 12 ", "1e3", "abc", "0x1F", "1f zz", "-0.0", "NaN", "0", "false", "12.5kg", "7")
-ENVELOPES = ('[{n}, {m}]', '{{"markers": [{n}], "data": [1, 2]}}', '{{"events": [{n}, {m}, 3]}}', '{{"data": {{"x": 1}}}}', 'broken [', '{{"markers": [], "events": [{n}]}}', '{{"markers": null, "data": ["{n}"]}}')
+ENVELOPES = ('[{n}, {m}]', '{{"markers": [{n}], "data": [1, 2]}}', '{{"events": [{n}, {m}, 3]}}', '{{"data": {{"x": 1}}}}', 'broken [',
+    '{{"markers": [], "events": [{n}]}}', '{{"markers": null, "data": ["{n}"]}}')
 AS_OF = "2023-12-31 12:00:00"
 
 
 def _day_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    url = F.concat(F.lit("https://"), _pick(SITES, k), F.lit("/"), (k % 3).cast("string"), F.lit("/"), _pick(FIRST, k), F.lit("-"), _pick(SECOND, k * 7 + 1))
+    url = F.concat(F.lit("https://"), _pick(SITES, k), F.lit("/"), (k % 3).cast("string"), F.lit("/"), _pick(FIRST, k), F.lit("-"),
+        _pick(SECOND, k * 7 + 1))
     return table(spark, sf_dir, "documents").select(
-        k.alias("id"), k.alias("ord"), F.when(k % 29 != 0, url).alias("url"), F.when(k % 23 != 0, F.concat(F.lit("202401"), F.lpad((1 + k % 28).cast("string"), 2, "0"))).alias("date"), (3 + k % 2).cast("string").alias("quad_class"),
-        F.lpad((12 + k % 9).cast("string"), 2, "0").alias("root"), F.when(k % 31 != 0, (k * 37 % 201) / F.lit(10.0) - F.lit(10.0)).alias("goldstein"), (2 + k % 4).cast("string").alias("geo_type"),
-        _pick(LOCATIONS, k).alias("location"), F.when(k % 2 == 0, "Sudan").alias("country"), F.when(k % 6 != 0, lat_of(k)).alias("lat"), lon_of(k).alias("lon"),
+        k.alias("id"), k.alias("ord"), F.when(k % 29 != 0, url).alias("url"),
+            F.when(k % 23 != 0, F.concat(F.lit("202401"), F.lpad((1 + k % 28).cast("string"), 2, "0"))).alias("date"),
+            (3 + k % 2).cast("string").alias("quad_class"),
+        F.lpad((12 + k % 9).cast("string"), 2, "0").alias("root"),
+            F.when(k % 31 != 0, (k * 37 % 201) / F.lit(10.0) - F.lit(10.0)).alias("goldstein"),
+            (2 + k % 4).cast("string").alias("geo_type"),
+        _pick(LOCATIONS, k).alias("location"), F.when(k % 2 == 0, "Sudan").alias("country"), F.when(k % 6 != 0, lat_of(k)).alias("lat"),
+            lon_of(k).alias("lon"),
     )
 
 
@@ -38,21 +47,26 @@ def day_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     countries = spark.createDataFrame(COUNTRIES, "name string, ord int, lat double, lon double")
     out = rules.day_map(_day_events(spark, sf_dir), countries)
     score = F.floor(F.col("score") * 10 + 0.5).cast("long").alias("score")
-    return out.select("id", "title", "domain", "category", "category_color", "color", score, *(F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("map_lat", "map_lon")))
+    return out.select("id", "title", "domain", "category", "category_color", "color", score,
+        *(F.floor(F.col(c) * 1000 + 0.5).cast("long").alias(c) for c in ("map_lat", "map_lon")))
 
 
 def map_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours of the planetary index, the storm scales and quakes; quakes that are shown, with the radius of their mark."""
     k = F.col("o_orderkey")
-    kp, level, alert = F.when(k % 11 != 0, k % 10), F.when(k % 7 != 0, k % 6), F.when(k % 3 == 0, F.element_at(F.array(*map(F.lit, ("red", "green", "none"))), (1 + k % 3).cast("int")))
-    rows = table(spark, sf_dir, "orders").select(k.alias("id"), ((k % 90) / F.lit(10.0)).alias("mag"), hazards.kp_color(kp).alias("kp"), hazards.scale_color(level).alias("level"), alert.alias("alert"))
-    return hazards.shown_quakes(rows).select("id", "radius", "kp", "level", hazards.quake_color(F.col("mag"), F.col("alert")).alias("quake"))
+    kp, level, alert = F.when(k % 11 != 0, k % 10), F.when(k % 7 != 0, k % 6), F.when(k % 3 == 0,
+        F.element_at(F.array(*map(F.lit, ("red", "green", "none"))), (1 + k % 3).cast("int")))
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), ((k % 90) / F.lit(10.0)).alias("mag"), hazards.kp_color(kp).alias("kp"),
+        hazards.scale_color(level).alias("level"), alert.alias("alert"))
+    return hazards.shown_quakes(rows).select("id", "radius", "kp", "level",
+        hazards.quake_color(F.col("mag"), F.col("alert")).alias("quake"))
 
 
 def map_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many headlines each view of the map shows."""
     rows = news.classified(items(spark, sf_dir))
-    each = [news.in_view(rows, v).agg(F.count("*").alias("n"), F.max("id").alias("last")).withColumn("view", F.lit(v)) for v in ("air", "sea", "space", "osint", "all")]
+    each = [news.in_view(rows, v).agg(F.count("*").alias("n"), F.max("id").alias("last")).withColumn("view", F.lit(v))
+        for v in ("air", "sea", "space", "osint", "all")]
     out = each[0]
     for more in each[1:]:
         out = out.unionByName(more)
@@ -63,17 +77,22 @@ def shown_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks that the map shows, under the names of the feed."""
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(
-        k.alias("id"), F.when(k % 2 == 0, "air").otherwise("sea").alias("domain"), F.when(k % 5 != 0, _pick(("USA", "FRA", "USA"), k)).alias("country"), F.when(k % 4 != 0, F.when(k % 3 == 0, 100).otherwise(60)).alias("mil_score"),
-        F.concat(F.lit("C"), k.cast("string")).alias("callsign"), lat_of(k).alias("lat"), lon_of(k).alias("lon"), (k * 3).alias("alt_ft"), (k % 400).alias("speed"), (k % 360).alias("track"), F.lit("X").alias("type"),
+        k.alias("id"), F.when(k % 2 == 0, "air").otherwise("sea").alias("domain"),
+            F.when(k % 5 != 0, _pick(("USA", "FRA", "USA"), k)).alias("country"),
+            F.when(k % 4 != 0, F.when(k % 3 == 0, 100).otherwise(60)).alias("mil_score"),
+        F.concat(F.lit("C"), k.cast("string")).alias("callsign"), lat_of(k).alias("lat"), lon_of(k).alias("lon"), (k * 3).alias("alt_ft"),
+            (k % 400).alias("speed"), (k % 360).alias("track"), F.lit("X").alias("type"),
         F.when(k % 8 == 0, "patrol").alias("activity"), F.when(k % 8 == 0, 0.5).alias("activity_confidence"),
     )
-    return fleets.as_feed(fleets.shown_tracks(rows)).select("hex", "flight", "alt_baro", "gs", "t", "activity", F.floor(F.col("activity_confidence") * 10).cast("long").alias("sure"))
+    return fleets.as_feed(fleets.shown_tracks(rows)).select("hex", "flight", "alt_baro", "gs", "t", "activity",
+        F.floor(F.col("activity_confidence") * 10).cast("long").alias("sure"))
 
 
 def enveloped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of documents in envelopes of several shapes."""
     k = F.col("o_orderkey")
-    text = F.replace(F.replace(_pick(tuple(e.replace("{{", "{").replace("}}", "}") for e in ENVELOPES), k), F.lit("{n}"), k.cast("string")), F.lit("{m}"), (k + 1).cast("string"))
+    text = F.replace(F.replace(_pick(tuple(e.replace("{{", "{").replace("}}", "}") for e in ENVELOPES), k), F.lit("{n}"),
+            k.cast("string")), F.lit("{m}"), (k + 1).cast("string"))
     docs = table(spark, sf_dir, "orders").select(k.alias("id"), text.alias("json"))
     return records.enveloped(docs, ("markers", "events", "data"))
 
@@ -81,7 +100,8 @@ def enveloped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vessel_events_of_90_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source's page of at most 99 events that begin in the last 90 days."""
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(k.alias("ord"), F.when(k % 9 != 0, F.timestamp_seconds(F.lit(1672531200) + (k * 7919 % 500) * 86400)).alias("start"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("ord"),
+        F.when(k % 9 != 0, F.timestamp_seconds(F.lit(1672531200) + (k * 7919 % 500) * 86400)).alias("start"))
     return hazards.vessel_events_in(rows, F.lit(AS_OF).cast("timestamp")).select("ord", "start")
 
 
@@ -89,9 +109,12 @@ def thinned_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 30 points of each entity without those within a step of the last kept one."""
     coarse = lambda c, by: (F.floor(F.col(c) / by) * by).alias(c)
     rows = tracks.last_points(positions(spark, sf_dir).select("entity", "seq", "ts_us", coarse("lat", 60), coarse("lon", 90)), 30)
-    trail = rows.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "seq", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))).alias("t"))
+    trail = rows.groupBy("entity").agg(F.sort_array(F.collect_list(
+                F.struct((-F.col("back")).alias("at"), "seq", F.col("lat").cast("double").alias("lat"),
+                    F.col("lon").cast("double").alias("lon")))).alias("t"))
     kept = tracks.thinned(F.col("t"))
-    return trail.select("entity", F.size(kept).cast("long").alias("n"), F.array_join(F.transform(kept, lambda p: p["seq"].cast("string")), ",").alias("seqs"))
+    return trail.select("entity", F.size(kept).cast("long").alias("n"),
+        F.array_join(F.transform(kept, lambda p: p["seq"].cast("string")), ",").alias("seqs"))
 
 
 def lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +123,12 @@ def lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k % 13 != 12, _pick(TEXTS, k))
     number = numbers.lenient(text)
     told = F.when(F.isnan(number), "NaN").otherwise(F.floor(numbers.clamp(number, -5.0, 100.0) * 10).cast("long").cast("string"))
-    return table(spark, sf_dir, "orders").select(k.alias("id"), told.alias("number"), numbers.or_else(text, "other").alias("given"), numbers.hex_prefix(text).alias("hex"), numbers.half_up(numbers.places((k % 1000) / F.lit(8.0) - 60, 1) * 10).alias("tenths"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), told.alias("number"), numbers.or_else(text, "other").alias("given"),
+        numbers.hex_prefix(text).alias("hex"), numbers.half_up(numbers.places((k % 1000) / F.lit(8.0) - 60, 1) * 10).alias("tenths"))
 
 
-QUERIES = {f.__name__: f for f in (day_map, map_colors, map_views, shown_tracks, enveloped_records, vessel_events_of_90_days, thinned_trails, lenient_numbers)}
+QUERIES = {f.__name__: f for f in (day_map, map_colors, map_views, shown_tracks, enveloped_records, vessel_events_of_90_days,
+        thinned_trails, lenient_numbers)}
 
 _K = "o_orderkey"
 _HAS = lambda text, words: "(" + " OR ".join(f"contains({text}, {_q(w)})" for w in words) + ")"
@@ -123,11 +148,14 @@ top AS (SELECT * FROM b WHERE domain NOT IN ({", ".join(map(_q, rules.NOISE_HOST
 _CASES = lambda i: "CASE " + " ".join(f"WHEN {_HAS('u', c[2])} THEN '{c[i]}'" for c in rules.CATEGORIES)
 _DRAWN = "(('0x' || md5('{}' || id)[1:8])::BIGINT / 4294967296.0::DOUBLE - 0.5) * 0.5"
 # what each text is as a number (tenths, within bounds), a given value and a hexadecimal beginning
-_NUMBERS = (("0", "other", None), ("120", " 12 ", 18), ("1000", "1e3", 483), ("NaN", "abc", 2748), ("NaN", "0x1F", 31), ("NaN", "1f zz", 31), ("0", "other", None), ("NaN", "other", None), ("0", "other", 0), ("NaN", "other", 250), ("NaN", "12.5kg", 18), ("70", "7", 7))
+_NUMBERS = (("0", "other", None), ("120", " 12 ", 18), ("1000", "1e3", 483), ("NaN", "abc", 2748), ("NaN", "0x1F", 31),
+    ("NaN", "1f zz", 31), ("0", "other", None), ("NaN", "other", None), ("0", "other", 0), ("NaN", "other", 250), ("NaN", "12.5kg", 18),
+    ("70", "7", 7))
 
 
 def _nth(i: int) -> str:
-    return f"CASE WHEN {_K} % 13 <> 12 THEN CASE {_K} % {len(_NUMBERS)} " + " ".join(f"WHEN {n} THEN {v if isinstance(v, int) else _q(v)}" for n, v in enumerate(x[i] for x in _NUMBERS) if v is not None) + " END END"
+    return f"CASE WHEN {_K} % 13 <> 12 THEN CASE {_K} % {len(_NUMBERS)} " + " ".join(f"WHEN {n} THEN {v if isinstance(v, int) else _q(v)}"
+        for n, v in enumerate(x[i] for x in _NUMBERS) if v is not None) + " END END"
 
 
 SQL = {

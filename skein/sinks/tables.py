@@ -93,7 +93,8 @@ class Versions:
         held = self.read()
         changed = [c for c in patches.columns if c != key]
         side = patches.select(key, F.struct(*changed).alias("patch_"))
-        rows = held.join(side, key, "left").withColumns({c: F.when(F.col("patch_").isNotNull(), F.col(f"patch_.{c}")).otherwise(F.col(c)) for c in changed})
+        rows = held.join(side, key, "left").withColumns(
+            {c: F.when(F.col("patch_").isNotNull(), F.col(f"patch_.{c}")).otherwise(F.col(c)) for c in changed})
         return self.replace(rows.select(*held.columns))
 
 
@@ -104,7 +105,8 @@ def append_lines(df: DataFrame, path: str) -> None:
 
 def chat_lines(turns: DataFrame, path: str, system: str | None = None) -> None:
     """One JSON line of messages for each conversation (conv_id, turn, role, text), a system message first where given."""
-    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
+        lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
     if system is not None:
         messages = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), messages)
     lines = turns.groupBy("conv_id").agg(messages.alias("messages")).select(F.to_json(F.struct("messages")).alias("value"))

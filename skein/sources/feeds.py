@@ -33,8 +33,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     url = F.element_at(F.split(F.trim("value"), r"\s+"), -1)
     lines = spark.read.text(path).select(url.alias("url"), F.monotonically_increasing_id().alias("line"))
     file = F.element_at(F.split("url", "/"), -1)
-    kind = F.when(file.rlike(r"(?i)\.export\.csv\.zip$"), "events").when(file.rlike(r"(?i)\.mentions\.csv\.zip$"), "mentions").when(file.rlike(r"(?i)\.gkg\.csv\.zip$"), "gkg")
-    known = lines.select(F.regexp_extract(file, r"^(\d{14})\.", 1).alias("ts"), kind.alias("kind"), "url", "line").where("ts <> '' and kind is not null")
+    kind = F.when(file.rlike(r"(?i)\.export\.csv\.zip$"), "events").when(file.rlike(r"(?i)\.mentions\.csv\.zip$"),
+        "mentions").when(file.rlike(r"(?i)\.gkg\.csv\.zip$"), "gkg")
+    known = lines.select(F.regexp_extract(file, r"^(\d{14})\.", 1).alias("ts"), kind.alias("kind"), "url",
+        "line").where("ts <> '' and kind is not null")
     kinds = ["events", "mentions", "gkg"]
     wide = known.groupBy("ts").pivot("kind", kinds).agg(F.max_by("url", "line"))
     return wide.dropna(subset=kinds)
@@ -87,7 +89,9 @@ def read_mentions(spark: SparkSession, path: str) -> DataFrame:
     at = lambda n: F.trim(parts[MENTION_FIELDS[n]])
     rows = spark.read.text(path).where(F.size(parts) >= 14)
     number = lambda n: F.when(~F.isnan(at(n).try_cast("double")), at(n).try_cast("double")).alias(n)
-    out = rows.select(at("event_id").alias("event_id"), at("seen_at").alias("seen_at"), F.nullif(at("identifier"), F.lit("")).alias("identifier"), number("confidence"), number("tone"), F.monotonically_increasing_id().alias("seq"))
+    out = rows.select(at("event_id").alias("event_id"), at("seen_at").alias("seen_at"),
+        F.nullif(at("identifier"), F.lit("")).alias("identifier"), number("confidence"), number("tone"),
+        F.monotonically_increasing_id().alias("seq"))
     return out.where("event_id <> ''")
 
 
@@ -107,7 +111,8 @@ def rss_items(documents: DataFrame, xml: str = "xml") -> DataFrame:
         return F.trim(decode_entities(found))
 
     source_url = F.regexp_extract("item", r'<source[^>]*\burl="([^"]*)"', 1)
-    out = items.withColumns({"title": tag("title"), "link": tag("link"), "published": tag("pubDate"), "source": tag("source"), "source_url": source_url})
+    out = items.withColumns({"title": tag("title"), "link": tag("link"), "published": tag("pubDate"), "source": tag("source"),
+            "source_url": source_url})
     return out.drop("item").where(F.col("title") != "")
 
 

@@ -59,7 +59,8 @@ def read_zipped(spark: SparkSession, path: str, errors: bool = False) -> DataFra
                                 held = []
                 except (zipfile.BadZipFile, IndexError) as e:
                     if errors:
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([None], pa.string()), pa.array([str(e) or "empty"])], names)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([None], pa.string()), pa.array([str(e) or "empty"])],
+                            names)
                     continue
                 if held:
                     yield told(name, held)
@@ -69,7 +70,8 @@ def read_zipped(spark: SparkSession, path: str, errors: bool = False) -> DataFra
 
 
 #: Columns of the public document feed (from 0): address, pairs of lists of which the second is fuller, tone, extras.
-DOCUMENT_COLUMNS = {"address": 4, "themes": (8, 7), "locations": (10, 9), "persons": (12, 11), "organizations": (14, 13), "tone": 15, "extras": 26}
+DOCUMENT_COLUMNS = {"address": 4, "themes": (8, 7), "locations": (10, 9), "persons": (12, 11), "organizations": (14, 13), "tone": 15,
+    "extras": 26}
 
 
 def documents_of_lines(lines: DataFrame, line: str = "line", columns: dict = DOCUMENT_COLUMNS) -> DataFrame:
@@ -78,7 +80,8 @@ def documents_of_lines(lines: DataFrame, line: str = "line", columns: dict = DOC
     at: Column = lambda i: F.trim(F.coalesce(F.get("parts_", F.lit(i)), F.lit("")))  # type: ignore[assignment]
     rows = lines.withColumns({"parts_": parts, "seq": F.monotonically_increasing_id()}).where(F.size("parts_") >= 16)
     lists = {n: split_list(F.coalesce(F.nullif(at(i[0]), F.lit("")), at(i[1]))) for n, i in columns.items() if isinstance(i, tuple)}
-    out = rows.select(at(columns["address"]).alias("address"), "seq", *(c.alias(n) for n, c in lists.items()), first_number(at(columns["tone"])).alias("tone"), at(columns["extras"]).alias("extras"))
+    out = rows.select(at(columns["address"]).alias("address"), "seq", *(c.alias(n) for n, c in lists.items()),
+        first_number(at(columns["tone"])).alias("tone"), at(columns["extras"]).alias("extras"))
     out = out.where("address <> ''")
     fields = [c for c in out.columns if c not in ("address", "seq")]
     last = out.groupBy("address").agg(F.max_by(F.struct(*fields), "seq").alias("d"))
@@ -121,7 +124,8 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vessel_events(spark: SparkSession, path: str) -> DataFrame:
     rows = _whole(spark, path, VESSELS).select(F.posexplode("entries").alias("ord", "e"))
-    return rows.select("ord", "e.id", "e.type", "e.start", "e.end", F.col("e.position.lat").alias("lat"), F.col("e.position.lon").alias("lon"), F.coalesce("e.vessel.id", "e.vessel.ssvid").alias("vessel_id"))
+    return rows.select("ord", "e.id", "e.type", "e.start", "e.end", F.col("e.position.lat").alias("lat"),
+        F.col("e.position.lon").alias("lon"), F.coalesce("e.vessel.id", "e.vessel.ssvid").alias("vessel_id"))
 
 
 def ship_messages(messages: DataFrame) -> DataFrame:
@@ -130,8 +134,10 @@ def ship_messages(messages: DataFrame) -> DataFrame:
     kind = F.when(F.col("MessageType") == "ShipStaticData", "static").when(F.col("MessageType") == "PositionReport", "position")
     heading = F.when(F.col(p + "TrueHeading") != 511, F.col(p + "TrueHeading"))
     return messages.select(
-        F.col(m + "MMSI").cast("string").alias("number"), F.try_to_timestamp(F.col(m + "time_utc")).alias("ts"), kind.alias("kind"), F.col(s + "Name").alias("name"), F.col(s + "Type").alias("ship_type"),
-        F.coalesce(p + "Latitude", m + "latitude").alias("lat"), F.coalesce(p + "Longitude", m + "longitude").alias("lon"), F.coalesce(p + "Cog", F.lit(0.0)).alias("cog"), F.coalesce(p + "Sog", F.lit(0.0)).alias("sog"), heading.alias("heading"),
+        F.col(m + "MMSI").cast("string").alias("number"), F.try_to_timestamp(F.col(m + "time_utc")).alias("ts"), kind.alias("kind"),
+            F.col(s + "Name").alias("name"), F.col(s + "Type").alias("ship_type"),
+        F.coalesce(p + "Latitude", m + "latitude").alias("lat"), F.coalesce(p + "Longitude", m + "longitude").alias("lon"),
+            F.coalesce(p + "Cog", F.lit(0.0)).alias("cog"), F.coalesce(p + "Sog", F.lit(0.0)).alias("sog"), heading.alias("heading"),
     ).where("kind is not null and number <> ''")
 
 
@@ -142,7 +148,8 @@ def enveloped(documents: DataFrame, keys: tuple[str, ...], column: str = "json")
     """
     v = F.try_parse_json(column)
     entries = F.coalesce(*(F.try_variant_get(v, path, "array<variant>") for path in ("$", *(f"$.{k}" for k in keys))))
-    return documents.select(*(c for c in documents.columns if c != column), F.posexplode(entries).alias("ord", "entry")).withColumn("entry", F.to_json("entry"))
+    return documents.select(*(c for c in documents.columns if c != column),
+        F.posexplode(entries).alias("ord", "entry")).withColumn("entry", F.to_json("entry"))
 
 
 def with_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:

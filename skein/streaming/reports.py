@@ -57,7 +57,8 @@ def trails(reports: DataFrame, most: int = 30, idle_ms: int | None = 600_000) ->
         yield pd.DataFrame({"entity": [key[0]], "points": [len(held)], "newest": [held[-1][0]], "lats": [columns[1]], "lons": [columns[2]]})
 
     grouped = reports.select("entity", "ts_us", "lat", "lon").groupBy("entity")
-    return grouped.applyInPandasWithState(update, TRAIL, "ts array<long>, lats array<double>, lons array<double>", "update", _timeout(idle_ms))
+    return grouped.applyInPandasWithState(update, TRAIL, "ts array<long>, lats array<double>, lons array<double>", "update",
+        _timeout(idle_ms))
 
 
 SHOWN = "number string, ship string, ts_us long, lat double, lon double"
@@ -88,12 +89,15 @@ def verified_positions(messages: DataFrame, idle_ms: int | None = 4 * 3_600_000)
         yield pd.DataFrame(out, columns=["number", "ship", "ts_us", "lat", "lon"])
 
     name = F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), "@+$", ""))
-    shown = F.when((F.col("kind") == "static") & (name.rlike(SHIP_NAME) | F.coalesce(F.col("ship_type") == 35, F.lit(False))), F.coalesce(F.nullif(name, F.lit("")), F.col("number")))
-    rows = messages.select("number", "ts_us", "seq", "kind", "lat", "lon", shown.alias("shown"), ship_number(F.col("number"))["warship"].alias("warship"), valid_position(F.col("lat"), F.col("lon")).alias("valid"))
+    shown = F.when((F.col("kind") == "static") & (name.rlike(SHIP_NAME) | F.coalesce(F.col("ship_type") == 35, F.lit(False))),
+        F.coalesce(F.nullif(name, F.lit("")), F.col("number")))
+    rows = messages.select("number", "ts_us", "seq", "kind", "lat", "lon", shown.alias("shown"),
+        ship_number(F.col("number"))["warship"].alias("warship"), valid_position(F.col("lat"), F.col("lon")).alias("valid"))
     return rows.groupBy("number").applyInPandasWithState(update, SHOWN, "name string", "append", _timeout(idle_ms))
 
 
-def ingest(spark: SparkSession, folder: str, schema, take: Callable[[DataFrame, int], None], checkpoint: str, files: int = 8, format: str = "parquet") -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, schema, take: Callable[[DataFrame, int], None], checkpoint: str, files: int = 8,
+    format: str = "parquet") -> StreamingQuery:
     """Give the files that came since the last run to ``take``, so many at a time; each feed with its own checkpoint has its own mark."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(format).load(folder)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -90,7 +90,8 @@ class Ships(StatefulProcessor):
 
     @staticmethod
     def _row(number, event, ship, ts, lat, lon, kept) -> pd.DataFrame:
-        columns = {"number": number, "event": event, "ship": ship, "ts": pd.Timestamp(ts).tz_localize(None), "lat": lat, "lon": lon, "points": len(kept)}
+        columns = {"number": number, "event": event, "ship": ship, "ts": pd.Timestamp(ts).tz_localize(None), "lat": lat, "lon": lon,
+            "points": len(kept)}
         return pd.DataFrame({**{c: [v] for c, v in columns.items()}, "lats": [[p[0] for p in kept]], "lons": [[p[1] for p in kept]]})
 
     def close(self) -> None:
@@ -106,7 +107,8 @@ def ships(messages: DataFrame, late: str = "10 minutes", most: int = 30, step: f
     military = name.rlike(SHIP_NAME) | F.coalesce(F.col("ship_type") == 35, F.lit(False))
     shown = F.when((F.col("kind") == "static") & military, F.coalesce(F.nullif(name, F.lit("")), F.col("number")))
     warship, valid = ship_number(F.col("number"))["warship"], F.coalesce(valid_position(F.col("lat"), F.col("lon")), F.lit(False))
-    rows = messages.withWatermark("ts", late).select("number", "ts", "seq", "kind", "lat", "lon", shown.alias("shown"), F.coalesce(warship, F.lit(False)).alias("warship"), valid.alias("valid"))
+    rows = messages.withWatermark("ts", late).select("number", "ts", "seq", "kind", "lat", "lon", shown.alias("shown"),
+        F.coalesce(warship, F.lit(False)).alias("warship"), valid.alias("valid"))
     return rows.groupBy("number").transformWithStateInPandas(Ships(most, step, expire_ms), SHIPS, "Append", "EventTime")
 
 
@@ -149,7 +151,8 @@ def unseen(rows: DataFrame, late: str = "10 minutes", id_ms: int = 24 * HOUR_MS,
     Two stores one after the other: a row that is new by its id is remembered there, and then meets the store of fingerprints.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    by_id = rows.withWatermark("ts", late).groupBy("id").transformWithStateInPandas(Seen(id_ms, "id"), schema, "Append", "EventTime", eventTimeColumnName="ts")
+    by_id = rows.withWatermark("ts", late).groupBy("id").transformWithStateInPandas(Seen(id_ms, "id"), schema, "Append", "EventTime",
+        eventTimeColumnName="ts")
     return by_id.groupBy("print").transformWithStateInPandas(Seen(print_ms, "print"), schema, "Append", "EventTime")
 
 
@@ -163,7 +166,8 @@ class Outcomes:
         self.spark, self.path = spark, path
 
     def add(self, number: int, files: list[str], error: str | None) -> None:
-        rows = self.spark.createDataFrame([(number, f, error is None, error) for f in files], "number long, file string, ok boolean, error string")
+        rows = self.spark.createDataFrame([(number, f, error is None, error) for f in files],
+            "number long, file string, ok boolean, error string")
         rows.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(self.path)
 
     def last(self) -> DataFrame:
@@ -191,7 +195,8 @@ def _tried(take: Callable[[DataFrame, int], None], outcomes: Outcomes, rows: Dat
     return True
 
 
-def ingest_all(spark: SparkSession, folder: str, schema, take: Callable[[DataFrame, int], None], checkpoint: str, outcomes: Outcomes, files: int = 8, format: str = "parquet") -> StreamingQuery:
+def ingest_all(spark: SparkSession, folder: str, schema, take: Callable[[DataFrame, int], None], checkpoint: str, outcomes: Outcomes,
+    files: int = 8, format: str = "parquet") -> StreamingQuery:
     """Like ``ingest``, but a batch that fails is noted and passed over, so that later ones go on; ``retry_failed`` takes it up again."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(format).load(folder)
     stream = stream.select("*", F.col("_metadata.file_path").alias("file_"))
@@ -203,7 +208,8 @@ def ingest_all(spark: SparkSession, folder: str, schema, take: Callable[[DataFra
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def retry_failed(spark: SparkSession, schema, take: Callable[[DataFrame, int], None], outcomes: Outcomes, format: str = "parquet") -> list[str]:
+def retry_failed(spark: SparkSession, schema, take: Callable[[DataFrame, int], None], outcomes: Outcomes,
+    format: str = "parquet") -> list[str]:
     """Take the files whose last outcome is a failure once more, one at a time; those that fail again."""
     still = []
     for name in outcomes.failed():

@@ -13,19 +13,23 @@ from skein.storage import Stage
 
 
 def test_limits():
-    got = Limits.from_environment({"SKEIN_MOST_FINAL": "50", "SKEIN_PROVIDER_ENABLED": "False", "SKEIN_MOST_DOUBTS": "many", "SKEIN_LOOK_BACK_HOURS": " ", "SKEIN_PROVIDER_BATCH": "-1"})
+    got = Limits.from_environment({"SKEIN_MOST_FINAL": "50", "SKEIN_PROVIDER_ENABLED": "False", "SKEIN_MOST_DOUBTS": "many",
+            "SKEIN_LOOK_BACK_HOURS": " ", "SKEIN_PROVIDER_BATCH": "-1"})
     assert got == Limits(most_final=50, provider_enabled=False) and Limits.from_environment({}) == Limits()
 
 
 def test_file_lists_and_mentions(spark, tmp_path):
     line = lambda ts, kind: f"1 a http://x/{ts}.{kind}.csv.zip\n"
-    (tmp_path / "en.txt").write_text("".join(line("20240101000000", k) for k in ("export", "mentions", "gkg")) + line("20240101001500", "export") + "noise\n")
+    (tmp_path / "en.txt").write_text("".join(line("20240101000000", k) for k in ("export", "mentions", "gkg"))
+        + line("20240101001500", "export") + "noise\n")
     (tmp_path / "tr.txt").write_text("".join(line("20240101003000", k) for k in ("gkg", "export", "mentions")))
-    got = feeds.read_manifests(spark, {"own": str(tmp_path / "en.txt"), "other": str(tmp_path / "tr.txt"), "gone": str(tmp_path / "no.txt"), "off": None}).collect()
+    got = feeds.read_manifests(spark, {"own": str(tmp_path / "en.txt"), "other": str(tmp_path / "tr.txt"),
+            "gone": str(tmp_path / "no.txt"), "off": None}).collect()
     assert sorted((r.feed, r.ts) for r in got) == [("other", "20240101003000"), ("own", "20240101000000")]
     assert feeds.read_manifests(spark, {"gone": str(tmp_path / "no.txt")}).collect() == []
     row = lambda *at: "\t".join(dict(at).get(i, "") for i in range(16))
-    (tmp_path / "m.csv").write_text("\n".join([row((0, "7"), (5, " http://a "), (11, "80"), (13, "-1.5")), row((0, "7"), (11, "x")), row((5, "no event")), "7\tshort"]))
+    (tmp_path / "m.csv").write_text("\n".join([row((0, "7"), (5, " http://a "), (11, "80"), (13, "-1.5")), row((0, "7"), (11, "x")),
+                row((5, "no event")), "7\tshort"]))
     got = feeds.read_mentions(spark, str(tmp_path / "m.csv")).orderBy("seq").collect()
     assert [(r.event_id, r.identifier, r.confidence, r.tone) for r in got] == [("7", "http://a", 80.0, -1.5), ("7", None, None, None)]
 
@@ -37,14 +41,16 @@ def test_unreadable_archives_are_told(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "empty.zip", "w"):
         pass
     told = records.read_zipped(spark, str(tmp_path), errors=True).collect()
-    assert sorted(r.line for r in told if r.error is None) == ["one", "two"] and {r.path.rsplit("/", 1)[1] for r in told if r.error} == {"bad.zip", "empty.zip"}
+    assert sorted(r.line for r in told if r.error is None) == ["one",
+        "two"] and {r.path.rsplit("/", 1)[1] for r in told if r.error} == {"bad.zip", "empty.zip"}
     assert records.read_zipped(spark, str(tmp_path)).count() == 2
 
 
 def test_feeds_of_news(spark):
     items = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id int, feed string")
     known = spark.createDataFrame([("x", "naval", "Sea", "Crete")], "feed string, feed_domain string, feed_label string, hint string")
-    assert sorted((r.id, r.feed_domain, r.hint) for r in records.with_feeds(items, known).collect()) == [(1, "naval", "Crete"), (2, None, None), (3, None, None)]
+    assert sorted((r.id, r.feed_domain, r.hint) for r in records.with_feeds(items, known).collect()) == [(1, "naval", "Crete"),
+        (2, None, None), (3, None, None)]
 
 
 def test_marks_count_with_their_version_and_titles_are_purged(spark, tmp_path):
@@ -73,7 +79,8 @@ def test_a_provider_that_fails_leaves_all_as_it_is(spark, tmp_path):
 
     for ask in (down, broken):
         out, known = providers.filtered_by(events(spark), ask, ("military",), Stage(spark, "t"), tries=2, pause=lambda n: 0.0)
-        assert sorted((r.id, r.category, r.country, r.title_shown) for r in out.collect()) == [(i, "military", "US", f"t{i}") for i in range(40)] and known.count() == 40
+        assert sorted((r.id, r.category, r.country, r.title_shown) for r in out.collect()) == [(i, "military", "US", f"t{i}")
+            for i in range(40)] and known.count() == 40
 
 
 def test_a_provider_is_asked_again_in_batches_and_remembered(spark, tmp_path):
@@ -86,7 +93,8 @@ def test_a_provider_is_asked_again_in_batches_and_remembered(spark, tmp_path):
         if not seen.exists():  # the first time of every batch
             seen.write_text(json.dumps(ids))
             raise providers.Unavailable("busy")
-        return [{"id": i, "keep": i % 2 == 0, "country": "fr", "category": 5, "fr": f"f{i}"} for i in ids if i % 10] + [{"id": 99999, "keep": False}, {"no": "id"}, "x"]
+        return [{"id": i, "keep": i % 2 == 0, "country": "fr", "category": 5, "fr": f"f{i}"} for i in ids
+            if i % 10] + [{"id": 99999, "keep": False}, {"no": "id"}, "x"]
 
     stage = Stage(spark, "t")
     out, known = providers.filtered_by(events(spark), ask, ("military",), stage, batch=7, limit=30, pause=lambda n: 0.0)
@@ -95,12 +103,14 @@ def test_a_provider_is_asked_again_in_batches_and_remembered(spark, tmp_path):
     assert asked == set(range(10, 40)) and all(len(json.loads(f.read_text())) <= 7 for f in log.iterdir())  # the best 30
     assert set(got) == {i for i in range(40) if i < 10 or i % 10 == 0 or i % 2 == 0}
     assert got[12] == ("FR", "f12") and got[20] == ("US", "t20") and got[3] == ("US", "t3")
-    again, held = providers.filtered_by(events(spark).where("id <> 12"), lambda rows: [{"id": r["id"], "keep": False} for r in rows], ("military",), Stage(spark, "t2"), cached=known, pause=lambda n: 0.0)
+    again, held = providers.filtered_by(events(spark).where("id <> 12"), lambda rows: [{"id": r["id"], "keep": False} for r in rows],
+        ("military",), Stage(spark, "t2"), cached=known, pause=lambda n: 0.0)
     assert {r.id for r in again.collect()} == {i for i in got if i >= 10 and i != 12} and held.count() == 39
 
 
 def test_many_doubts_are_not_asked(spark):
-    items = lambda n: places.doubtful(spark.createDataFrame([(i, None, "Iran", 30) for i in range(n)], "id int, place string, hint string, confidence int"))
+    items = lambda n: places.doubtful(spark.createDataFrame([(i, None, "Iran", 30) for i in range(n)],
+            "id int, place string, hint string, confidence int"))
     answers = spark.createDataFrame([(i, "Oman", 71) for i in range(200)], "id int, location string, confidence int")
     assert {(r["where"], r.confidence, r.hint_only) for r in places.answered(items(100), answers).collect()} == {("Oman", 51, False)}
     assert {(r["where"], r.confidence, r.hint_only) for r in places.answered(items(101), answers).collect()} == {("Iran", 30, True)}
@@ -155,23 +165,29 @@ def test_broken_json_against_a_plain_automaton(spark):
         return None
 
     rng = random.Random(5)
-    texts = ["".join(rng.choice('{}"\\a \n') for _ in range(rng.randrange(40))).strip() for _ in range(600)] + ['{"a": "' + "x" * 100_000 + '\\\\"} tail }']
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", balanced_object(F.col("t")).alias("o"))
+    texts = ["".join(rng.choice('{}"\\a \n') for _ in range(rng.randrange(40))).strip() for _ in range(600)] + ['{"a": "' + "x" * 100_000
+        + '\\\\"} tail }']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i",
+        balanced_object(F.col("t")).alias("o"))
     assert {r.i: r.o for r in rows.collect()} == {i: plain(t) for i, t in enumerate(texts)}
 
 
 def test_launches_and_events_of_three_pages(spark, tmp_path):
     from skein.operators import hazards
 
-    launch = {"id": "1", "name": None, "net": "2024-01-01", "status": {"id": 4, "abbrev": "Fail", "name": "Failure"}, "pad": {"latitude": "x", "longitude": "-80.5", "country": {"name": "US"}}, "failreason": "engine"}
+    launch = {"id": "1", "name": None, "net": "2024-01-01", "status": {"id": 4, "abbrev": "Fail", "name": "Failure"},
+        "pad": {"latitude": "x", "longitude": "-80.5", "country": {"name": "US"}}, "failreason": "engine"}
     (tmp_path / "up.json").write_text(json.dumps({"results": [launch, {"id": "2"}]}))
-    (tmp_path / "ev.json").write_text(json.dumps({"results": [{"id": "9", "name": "", "type": {"name": "Docking"}, "image": {"image_url": "i"}}]}))
+    (tmp_path / "ev.json").write_text(json.dumps({"results": [
+                    {"id": "9", "name": "", "type": {"name": "Docking"}, "image": {"image_url": "i"}}]}))
     got = hazards.launches(records.read_launches(spark, str(tmp_path / "up.json")).orderBy("ord")).collect()
     assert [(r.id, r.name, r.status_color, r.status_text, r.lat, r.lon, r.pad_country, r.failure, r.window_end) for r in got] == [
-        ("1", "Unknown Mission", "#ff2244", "Failure", 0.0, -80.5, "US", "engine", ""), ("2", "Unknown Mission", "#4a6a7a", "", 0.0, 0.0, "", "", ""),
+        ("1", "Unknown Mission", "#ff2244", "Failure", 0.0, -80.5, "US", "engine", ""),
+            ("2", "Unknown Mission", "#4a6a7a", "", 0.0, 0.0, "", "", ""),
     ]
     event = hazards.launch_events(records.read_launch_events(spark, str(tmp_path / "ev.json"))).first()
-    assert (event.id, event.name, event.date, event.type, event.image, event.webcast_live) == ("9", "Unknown Event", None, "Docking", "i", False)
+    assert (event.id, event.name, event.date, event.type, event.image, event.webcast_live) == ("9", "Unknown Event", None, "Docking", "i",
+        False)
 
 
 def test_a_feed_that_is_out_is_left_out_for_the_run(spark, tmp_path):
@@ -182,7 +198,8 @@ def test_a_feed_that_is_out_is_left_out_for_the_run(spark, tmp_path):
     read = lambda s, p: s.read.text(p)
     there, gone = str(tmp_path / "a.txt"), str(tmp_path / "b.txt")
     assert feed.read(gone, read) is None and not feed.out and feed.read(there, read).count() == 1
-    assert feed.read(gone, read) is None and feed.read(gone, read) is None and feed.out and feed.read(there, read) is None and feeds.Optional(spark).read(None, read) is None
+    assert feed.read(gone, read) is None and feed.read(gone, read) is None and feed.out and feed.read(there,
+        read) is None and feeds.Optional(spark).read(None, read) is None
     rows = spark.createDataFrame([("1", "http://y")], "id string, url string")
     mentions = spark.createDataFrame([("1", 3, "http://x")], "event_id string, mention_count long, best_identifier string")
     one = curation.joined(rows, mentions, None).first()
@@ -191,7 +208,8 @@ def test_a_feed_that_is_out_is_left_out_for_the_run(spark, tmp_path):
 
 def test_geocoder_answers_are_remembered_without_a_place_too(spark):
     def ask(rows):
-        said = {"kyiv": [{"class": "place", "type": "city", "importance": 0.2, "lat": "1", "lon": "1"}, {"class": "place", "type": "city", "importance": 0.7, "lat": "50.4", "lon": "30.5"}], "nowhere": []}
+        said = {"kyiv": [{"class": "place", "type": "city", "importance": 0.2, "lat": "1", "lon": "1"},
+                {"class": "place", "type": "city", "importance": 0.7, "lat": "50.4", "lon": "30.5"}], "nowhere": []}
         if rows[0]["id"] == "down":
             raise providers.Unavailable("busy")
         return [{"id": r["id"], "found": json.dumps(said[r["id"]])} for r in rows]
@@ -212,9 +230,11 @@ def test_segments_of_a_stream(spark, tmp_path):
     from skein.streaming import reports
 
     at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
-    rows = spark.createDataFrame([(1, at(m)) for m in (0, 5, 14, 30, 31)] + [(2, at(0))] + [(9, "2024-01-03 00:00:00")], "entity int, t string").select("entity", F.to_timestamp("t").alias("ts"))
+    rows = spark.createDataFrame([(1, at(m)) for m in (0, 5, 14, 30, 31)] + [(2, at(0))] + [(9, "2024-01-03 00:00:00")],
+        "entity int, t string").select("entity", F.to_timestamp("t").alias("ts"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = reports.segments(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.outputMode("append").format("memory").queryName("segments").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    stream.writeStream.outputMode("append").format("memory").queryName("segments").option("checkpointLocation",
+        str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     got = sorted((r.entity, r.start.strftime("%H:%M"), r.end.strftime("%H:%M"), r.n) for r in spark.table("segments").collect())
     assert got == [(1, "00:00", "00:24", 3), (1, "00:30", "00:41", 2), (2, "00:00", "00:10", 1)]

@@ -9,11 +9,13 @@ def feed(spark, tmp_path, stream_of, schema, batches, mode="append"):
     """Run a stream over batches of rows, one file each, and give all that it gives."""
     stores.with_state_store(spark)
     for i, batch in enumerate(batches):
-        spark.createDataFrame(batch, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b{i:03d}"))
+        spark.createDataFrame(batch, schema).withColumn("ts",
+            F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b{i:03d}"))
     typed = spark.createDataFrame([], schema).withColumn("ts", F.to_timestamp("ts")).schema
     rows = spark.readStream.schema(typed).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in" / "*"))
     name = f"out_{abs(hash(str(tmp_path)))}"
-    query = stream_of(rows).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = stream_of(rows).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation",
+        str(tmp_path / "c")).trigger(availableNow=True).start()
     assert query.awaitTermination(300)
     return spark.table(name).collect()
 
@@ -24,8 +26,10 @@ MESSAGES = "number string, ts string, seq long, kind string, name string, ship_t
 def test_ships_go_only_while_messages_arrive(spark, tmp_path):
     day = "2024-01-01 "
     batches = [
-        [("1", day + "00:00:00", 1, "position", None, None, 1.0, 2.0), ("1", day + "00:01:00", 2, "static", "USS X@@", None, None, None), ("1", day + "00:02:00", 3, "position", None, None, 1.0, 2.0)],
-        [("1", day + "00:03:00", 4, "position", None, None, 1.0004, 2.0), ("1", day + "00:04:00", 5, "position", None, None, 1.5, 2.0), ("1", day + "00:05:00", 6, "position", None, None, 0.0, 0.0)],
+        [("1", day + "00:00:00", 1, "position", None, None, 1.0, 2.0), ("1", day + "00:01:00", 2, "static", "USS X@@", None, None, None),
+            ("1", day + "00:02:00", 3, "position", None, None, 1.0, 2.0)],
+        [("1", day + "00:03:00", 4, "position", None, None, 1.0004, 2.0), ("1", day + "00:04:00", 5, "position", None, None, 1.5, 2.0),
+            ("1", day + "00:05:00", 6, "position", None, None, 0.0, 0.0)],
         [("9", day + "03:00:00", 7, "static", "TUG", None, None, None)],  # 4 hours aren't over
         [("9", day + "05:00:00", 8, "static", "TUG", None, None, None)],
         [("9", day + "05:30:00", 9, "static", "TUG", None, None, None)],
@@ -40,7 +44,9 @@ def test_ships_go_only_while_messages_arrive(spark, tmp_path):
 
 
 def test_a_silent_stream_keeps_its_ships(spark, tmp_path):
-    rows = feed(spark, tmp_path, lambda r: stores.ships(r, expire_ms=1), MESSAGES, [[("1", "2024-01-01 00:00:00", 1, "static", "USS X", 35, None, None), ("1", "2024-01-01 00:00:01", 2, "position", None, None, 1.0, 1.0)]])
+    rows = feed(spark, tmp_path, lambda r: stores.ships(r, expire_ms=1), MESSAGES,
+        [[("1", "2024-01-01 00:00:00", 1, "static", "USS X", 35, None, None),
+                ("1", "2024-01-01 00:00:01", 2, "position", None, None, 1.0, 1.0)]])
     assert [r.event for r in rows] == ["seen"]
 
 
