@@ -74,7 +74,8 @@ LAYOUTS = (
 
 
 #: Field names that some layout uses; a leaf of another name (such as an author's) is no part of a layout.
-NAMES = ("messages", "role", "content", "conversations", "from", "value", "system", "prompt", "completion", "instruction", "input", "output")
+NAMES = ("messages", "role", "content", "conversations", "from", "value", "system", "prompt", "completion", "instruction", "input",
+    "output")
 
 
 def fingerprint(variant: Column, names: tuple[str, ...] = NAMES) -> Column:
@@ -139,7 +140,8 @@ def _ranges(pieces: Column) -> Column:
         begin = s["at"] + F.length(p["head"])
         end = begin + F.length(p["body"])
         own = F.array(F.struct(longs(begin).alias("begin"), longs(end).alias("end")))
-        return F.struct(longs(end + len(CLOSE)).alias("at"), F.when(p["learn"], F.concat(s["loss"], own)).otherwise(s["loss"]).alias("loss"))
+        return F.struct(longs(end + len(CLOSE)).alias("at"),
+            F.when(p["learn"], F.concat(s["loss"], own)).otherwise(s["loss"]).alias("loss"))
 
     def block(i: Column) -> Column:
         start = F.struct(longs(F.lit(0)).alias("at"), F.array().cast(array).alias("loss"))
@@ -196,15 +198,19 @@ def turns_of_rows(rows: DataFrame) -> DataFrame:
     fitting = [x for x in TURN_LAYOUTS if set(json.loads(x[0])) <= {f.name for f in fields}]
     if not fitting:
         raise ValueError(f"no mapping for turns of {sorted(f.name for f in fields)}")
-    known = rows.sparkSession.range(1).select(*(fingerprint(F.parse_json(F.lit(x[0])), TURN_NAMES).alias(f"f{i}") for i, x in enumerate(fitting))).first()
-    mark = fingerprint(F.to_variant_object(F.struct(*(skeleton(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields))), TURN_NAMES)
+    known = rows.sparkSession.range(1).select(*(fingerprint(F.parse_json(F.lit(x[0])), TURN_NAMES).alias(f"f{i}") for i,
+            x in enumerate(fitting))).first()
+    mark = fingerprint(F.to_variant_object(F.struct(*(skeleton(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields))),
+        TURN_NAMES)
     unknown = F.raise_error(F.lit("a turn whose layout has no mapping")).cast("string")
 
     def mapped(i: int) -> Column:
-        return reduce(lambda rest, x: F.when(F.col("mark_") == x[0], F.expr(x[1][i]).cast("string")).otherwise(rest), zip(known, fitting, strict=True), unknown)
+        return reduce(lambda rest, x: F.when(F.col("mark_") == x[0], F.expr(x[1][i]).cast("string")).otherwise(rest),
+            zip(known, fitting, strict=True), unknown)
 
     marked = rows.withColumn("mark_", mark)
-    said = marked.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(mapped(1), F.lit("")).alias("role"), F.coalesce(mapped(2), F.lit("")).alias("text"))
+    said = marked.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(mapped(1), F.lit("")).alias("role"),
+        F.coalesce(mapped(2), F.lit("")).alias("text"))
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     turns = F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
     return said.groupBy("conv_id").agg(ordered.alias("said")).select("conv_id", turns.alias("turns"))
@@ -216,7 +222,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     more = spark.sql(f"SELECT -7L AS conv_id, t.* FROM VALUES (0L, 'user', '{hard}'), (1L, 'assistant', '{hard}') AS t(turn, role, text)")
     chat = format_chat(turns_of_rows(rows.unionByName(more)))
-    back = chat.select("conv_id", "formatted", read_chat(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    back = chat.select("conv_id", "formatted", read_chat(F.col("formatted")).alias("turns"),
+        loss_text(F.col("formatted"), F.col("loss")).alias("learned"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -155,7 +155,8 @@ class PassageIndex:
         cell, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         number = np.bincount(inverse, np.concatenate(numbers))
         after = np.searchsorted(cell, cell + 1)
-        pair = number + np.where((after < len(cell)) & (cell[np.minimum(after, len(cell) - 1)] == cell + 1), number[np.minimum(after, len(cell) - 1)], 0)
+        pair = number + np.where((after < len(cell)) & (cell[np.minimum(after, len(cell) - 1)] == cell + 1),
+            number[np.minimum(after, len(cell) - 1)], 0)
         # a band may also begin one cell before the first counted one, but then it holds no more
         item = cell // cells % n_items
         good = pair >= self.needed[item]
@@ -188,7 +189,8 @@ class PassageIndex:
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
-LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.LongType()), T.StructField("place", T.LongType())]))
+LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.LongType()),
+            T.StructField("place", T.LongType())]))
 _ARROW_LEAK = pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("place", pa.int64())])
 
 
@@ -210,13 +212,15 @@ def mark_leaks(docs: DataFrame, index: PassageIndex, text_col: str = "text", to:
             else:
                 row = item = distance = place = np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
-            leaks = pa.StructArray.from_arrays([found.ids.take(pa.array(item)), pa.array(distance), pa.array(place)], fields=list(_ARROW_LEAK))
+            leaks = pa.StructArray.from_arrays([found.ids.take(pa.array(item)), pa.array(distance), pa.array(place)],
+                fields=list(_ARROW_LEAK))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), leaks)], [*batch.schema.names, to])
 
     return rows.transform(map_batches, run, T.StructType([*rows.schema.fields, T.StructField(to, LEAKS)]))
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", units: int = BLOCK_UNITS) -> Iterator[PassageIndex]:
+def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
+    units: int = BLOCK_UNITS) -> Iterator[PassageIndex]:
     """Indexes over the whole benchmark, each over about ``units`` characters of it."""
     block, size = [], 0
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")

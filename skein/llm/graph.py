@@ -35,7 +35,8 @@ def components(links: DataFrame, stage: Stage, name: str, known: DataFrame | Non
     link is left.
     """
     pairs = links.select("a", "b").where("a <> b")
-    edges = _contracted(pairs, known) if known is not None else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = _contracted(pairs, known) if known is not None else pairs.select(F.least("a", "b").alias("a"),
+        F.greatest("a", "b").alias("b")).distinct()
     edges, labels, n = stage.keep(edges, f"{name}-edges"), known, 0
     while not edges.isEmpty():
         n += 1

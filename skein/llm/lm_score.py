@@ -138,7 +138,8 @@ def chunk_counts(texts: DataFrame, parts: int) -> DataFrame:
                 order, in_part = _parts(keys, parts)
                 short, more = _short(n[order])
                 place = np.concatenate([[0], np.cumsum(short == _MANY)])[np.concatenate([[0], np.cumsum(in_part)])]
-                columns += [binary_column(keys[order].astype(dtype), in_part), binary_column(short, in_part), binary_column(more, np.diff(place))]
+                columns += [binary_column(keys[order].astype(dtype), in_part), binary_column(short, in_part),
+                    binary_column(more, np.diff(place))]
                 needed |= in_part > 0
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(needed))
 
@@ -153,7 +154,8 @@ def packed_chunks(rows: DataFrame, text: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=options) as out:
                 out.write_table(table.combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                ["chunk", "packed"])
 
     return rows.transform(map_batches, run, "chunk long, packed binary")
 
@@ -217,7 +219,8 @@ def learned_parts(counted: DataFrame, parts: int) -> DataFrame:
         keys = pa.chunked_array([binary_column(words, [len(words)]), binary_column(store.words, [len(store.words)])])
         values = pa.chunked_array([binary_column(n, [len(n)]), pa.nulls(1, pa.binary())])
         size = np.array([n.sum(), entries], np.int64)
-        return pa.table([pa.array([part, part], pa.int32()), pa.array([WORDS, FILTER], pa.int32()), keys, values, pa.array(size)], ["part", "kind", "keys", "values", "size"])
+        return pa.table([pa.array([part, part], pa.int32()), pa.array([WORDS, FILTER], pa.int32()), keys, values, pa.array(size)],
+            ["part", "kind", "keys", "values", "size"])
 
     return counted.groupBy("part").applyInArrow(run, "part int, kind int, keys binary, values binary, size long")
 
@@ -243,7 +246,8 @@ def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
         columns = [binary_column(short, in_words), binary_column(more, np.diff(place)), binary_column(levels, in_pairs)]
         return pa.table([rows.column("chunk"), rows.column("part"), *columns], ["chunk", "part", "counts", "more_counts", "levels"])
 
-    return model.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "chunk long, part int, counts binary, more_counts binary, levels binary")
+    return model.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run,
+        "chunk long, part int, counts binary, more_counts binary, levels binary")
 
 
 def _aligned(found: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -282,7 +286,8 @@ def score_chunk(raw: np.ndarray, offsets: np.ndarray, told: pa.Table, parts: int
 def learn(train: DataFrame, parts: int, stage: Stage) -> tuple[DataFrame, int, int]:
     """The model of the column text in its parts, the number of tokens and of different words."""
     model = stage.keep(learned_parts(chunk_counts(train, parts), parts), "model")
-    total = model.where(F.col("kind") == WORDS).agg(F.sum("size").alias("n"), F.sum(F.octet_length("keys") / 8).cast("long").alias("v")).first()
+    total = model.where(F.col("kind") == WORDS).agg(F.sum("size").alias("n"),
+        F.sum(F.octet_length("keys") / 8).cast("long").alias("v")).first()
     return model, total["n"] or 0, total["v"] or 0
 
 
@@ -311,7 +316,8 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
                 words, pairs = np.unique(found), np.unique(pair_keys(found, at)[0])
                 (by_word, in_words), (by_pair, in_pairs) = _parts(words, parts), _parts(pairs, parts)
                 columns = [binary_column(words[by_word], in_words), binary_column(pairs[by_pair].astype(np.uint32), in_pairs)]
-                rows_ = pa.RecordBatch.from_arrays([pa.array(np.full(parts, chunk)), pa.array(np.arange(parts, dtype=np.int32)), *columns], ["chunk", "part", "words", "pairs"])
+                rows_ = pa.RecordBatch.from_arrays([pa.array(np.full(parts, chunk)), pa.array(np.arange(parts, dtype=np.int32)), *columns],
+                    ["chunk", "part", "words", "pairs"])
                 yield rows_.filter(pa.array((in_words > 0) | (in_pairs > 0)))
 
     found = answers(chunks.transform(map_batches, ask, "chunk long, part int, words binary, pairs binary"), model)

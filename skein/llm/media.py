@@ -277,11 +277,13 @@ def write_tiff(payload: bytes, width: int = PAGE_WIDTH, page_rows: int = PAGE_RO
             if n > 1:
                 out += struct.pack(f"<{n}I", *values)
         rows = min(page_rows, len(samples) - y)
-        entries = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, rows), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, (DEFLATE, DEFLATE, PACKBITS, LZW)[kind]), (PHOTOMETRIC, 3, 1, 1), (SAMPLES, 3, 1, 1)]
+        entries = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, rows), (BITS, 3, 1, 8),
+            (COMPRESSION, 3, 1, (DEFLATE, DEFLATE, PACKBITS, LZW)[kind]), (PHOTOMETRIC, 3, 1, 1), (SAMPLES, 3, 1, 1)]
         if kind == 1:
             entries += [(TILE_WIDTH, 3, 1, 192), (TILE_HEIGHT, 3, 1, 16), (TILE_AT, 4, n, lists[0]), (TILE_BYTES, 4, n, lists[1])]
         else:
-            entries += [(STRIP_AT, 4, n, lists[0]), (ROWS_PER_STRIP, 4, 1, strip_rows), (STRIP_BYTES, 4, n, lists[1]), (PREDICTOR, 3, 1, 2 if kind == 0 else 1)]
+            entries += [(STRIP_AT, 4, n, lists[0]), (ROWS_PER_STRIP, 4, 1, strip_rows), (STRIP_BYTES, 4, n, lists[1]),
+                (PREDICTOR, 3, 1, 2 if kind == 0 else 1)]
         struct.pack_into("<I", out, link, len(out))
         out += struct.pack("<H", len(entries))
         for tag, field, count, value in sorted(entries):
@@ -293,7 +295,9 @@ def write_tiff(payload: bytes, width: int = PAGE_WIDTH, page_rows: int = PAGE_RO
 
 PAGES = "doc_id long, seq long, n_bytes long, media_bytes long, media_sha256 string, page int, width int, height int, samples int, bits int, pixels binary, error string"
 _PAGES = pa.schema(
-    [("doc_id", pa.int64()), ("seq", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())]
+    [("doc_id", pa.int64()), ("seq", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()),
+        ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()),
+        ("pixels", pa.binary()), ("error", pa.string())]
 )
 #: Pixels sent on at a time.
 _BATCH_BYTES = 8 << 20
@@ -312,7 +316,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     sizes.append(len(data))
                     lines = max(1, -(-len(data) // PAGE_WIDTH))
                     media.append(write_tiff(data.ljust(lines * PAGE_WIDTH, b"\xff")))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())],
+                    ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.transform(map_batches, run, "doc_id long, n_bytes long, media binary")
@@ -329,7 +334,8 @@ def tiff_pages(media: DataFrame) -> DataFrame:
                 seq += 1
                 if file is None:
                     continue
-                own = {"doc_id": doc_id, "seq": seq, "n_bytes": n_bytes, "media_bytes": len(file), "media_sha256": hashlib.sha256(file).hexdigest()}
+                own = {"doc_id": doc_id, "seq": seq, "n_bytes": n_bytes, "media_bytes": len(file),
+                    "media_sha256": hashlib.sha256(file).hexdigest()}
                 try:
                     for page, found in enumerate(pages_of(file)):
                         held.append(own | {"page": page, "error": None} | found)
@@ -347,7 +353,9 @@ def tiff_pages(media: DataFrame) -> DataFrame:
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int, error string"
 _DIGESTS = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_pages", pa.int32()), ("error", pa.string())]
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
+        ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+        ("n_pages", pa.int32()), ("error", pa.string())]
 )
 
 
@@ -369,14 +377,16 @@ class _Fold:
 
     def done(self) -> dict:
         if self.error is not None:
-            return {k: self.row[k] for k in ("doc_id", "n_bytes", "media_bytes", "media_sha256")} | {"n_pages": self.pages, "error": self.error}
+            return {k: self.row[k] for k in ("doc_id", "n_bytes", "media_bytes", "media_sha256")} | {"n_pages": self.pages,
+                "error": self.error}
         level = np.arange(256)
         mean = float((self.levels * level).sum() / max(self.size, 1))
         spread = float(np.sqrt((self.levels * (level - mean) ** 2).sum() / max(self.size, 1)))
         share = self.levels[self.levels > 0] / max(self.size, 1)
         feature = f"pages={self.pages};mean={mean:.4f};sd={spread:.4f};entropy={float(-(share * np.log2(share)).sum()) + 0.0:.4f};edges={self.edges}"
         return {k: self.row[k] for k in ("doc_id", "n_bytes", "media_bytes", "media_sha256")} | {
-            "payload_bytes": self.size, "payload_sha256": self.sha.hexdigest(), "tail_crc32": zlib.crc32(self.tail), "feature": feature, "n_pages": self.pages,
+            "payload_bytes": self.size, "payload_sha256": self.sha.hexdigest(), "tail_crc32": zlib.crc32(self.tail), "feature": feature,
+                "n_pages": self.pages,
         }
 
 

@@ -92,7 +92,8 @@ def _roots(nodes: DataFrame, levels: int) -> DataFrame:
 
     def collapse(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         digests = group.sort_values("idx")["digest"].tolist()
-        return pd.DataFrame({"tree": [key[0]], "idx": [key[1]], "digest": [collapsed(digests, levels_of(key[1], len(digests), levels))[-1][0]]})
+        return pd.DataFrame({"tree": [key[0]], "idx": [key[1]],
+                "digest": [collapsed(digests, levels_of(key[1], len(digests), levels))[-1][0]]})
 
     return _blocked(nodes, levels).groupBy("tree", "bucket").applyInPandas(collapse, "tree string, idx long, digest string")
 
@@ -128,7 +129,8 @@ def _with_proof(nodes: DataFrame, upper: DataFrame | None, levels: int) -> DataF
     def finish(group: pd.DataFrame, steps: list, told: pd.Series | None) -> pd.DataFrame:
         proofs = [[{"before": a, "after": b} for a, b in s] for s in steps]
         subroot, root = (None, None) if told is None else (told["subroot"], told["root"])
-        return pd.DataFrame({"tree": group["tree"], "idx": group["idx"], "digest": group["digest"], "proof": proofs, "subroot": subroot, "root": root})
+        return pd.DataFrame({"tree": group["tree"], "idx": group["idx"], "digest": group["digest"], "proof": proofs, "subroot": subroot,
+                "root": root})
 
     return _proved(nodes, upper, levels, finish, f"tree string, idx long, digest string, proof {_PROOF}, subroot string, root string")
 
@@ -152,9 +154,11 @@ def manifest(docs: DataFrame, tampered: Column | None = None, levels: int = LEVE
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     leaves = docs.select("doc_id", source.alias("tree"), leaf([F.col(c) for c in FIELDS]).alias("digest"), changed.alias("other"))
     # a leaf that stays as it is need not be told twice
-    leaves = leaves.withColumn("other", F.when(F.col("other") != F.col("digest"), F.col("other"))).withColumn("id", F.col("doc_id").cast("string"))
+    leaves = leaves.withColumn("other", F.when(F.col("other") != F.col("digest"), F.col("other"))).withColumn("id",
+        F.col("doc_id").cast("string"))
     leaves = stage.keep(leaves, "leaves")  # texts are read and hashed once; what is dealt out are digests
-    placed = running(leaves, "tree", ["doc_id", "digest"], [], ["tree", "id", "digest", "other"], stage, "placed").withColumnRenamed("at", "idx")
+    placed = running(leaves, "tree", ["doc_id", "digest"], [], ["tree", "id", "digest", "other"], stage, "placed").withColumnRenamed("at",
+        "idx")
 
     rounds = _reduced(placed, levels, stage, "sources")
     subroots = rounds[-1].select(F.lit("all").alias("all"), F.col("tree").alias("source"), "digest")
@@ -167,7 +171,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None, levels: int = LEVE
         upper = stage.keep(_with_proof(above[i], upper, levels), f"root-proofs-{i}")
     root = F.broadcast(above[-1].select(F.col("digest").alias("root")))  # one row
     upper = tops.join(upper.select("tree", "idx", "proof"), ["tree", "idx"]).join(root)
-    upper = upper.select(F.col("source").alias("tree"), F.lit(0).cast("long").alias("idx"), "proof", F.col("digest").alias("subroot"), "root")
+    upper = upper.select(F.col("source").alias("tree"), F.lit(0).cast("long").alias("idx"), "proof", F.col("digest").alias("subroot"),
+        "root")
     upper = stage.keep(upper, "proofs-subroots")
     for i in range(len(rounds) - 2, 0, -1):
         proofs = _with_proof(rounds[i], upper, levels)

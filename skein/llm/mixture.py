@@ -36,7 +36,8 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
 
 
-def source_rates(docs: DataFrame, source_col: str = "source", targets: dict[str | None, float] | None = None, total: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+def source_rates(docs: DataFrame, source_col: str = "source", targets: dict[str | None, float] | None = None, total: int | None = None,
+    temperature: float = TEMPERATURE) -> DataFrame:
     """(source, n, rate): documents and mean copies of each source."""
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if targets is None:
@@ -50,7 +51,8 @@ def source_rates(docs: DataFrame, source_col: str = "source", targets: dict[str
     n_total = F.col("all_n") if total is None else F.lit(total)
     # one row of totals beside each source
     return counts.join(F.broadcast(all_)).select(
-        "source", "n", F.when(F.col("all_weight") > 0, n_total * F.col("weight") / F.nullif("all_weight", F.lit(0.0)) / F.col("n")).otherwise(0.0).alias("rate")
+        "source", "n", F.when(F.col("all_weight") > 0, n_total * F.col("weight") / F.nullif("all_weight",
+                    F.lit(0.0)) / F.col("n")).otherwise(0.0).alias("rate")
     )
 
 

@@ -176,7 +176,8 @@ def sketch_texts(docs: DataFrame) -> DataFrame:
                     ["id", "node", "n_words", "n_shingles", "bins", "sketches", "short"],
                 )
 
-    return docs.select("id", "node", "text").transform(map_batches, run, "id long, node string, n_words long, n_shingles long, bins array<tinyint>, sketches array<long>, short array<long>")
+    return docs.select("id", "node", "text").transform(map_batches, run,
+        "id long, node string, n_words long, n_shingles long, bins array<tinyint>, sketches array<long>, short array<long>")
 
 
 def word_lists(texts: DataFrame) -> DataFrame:
@@ -214,7 +215,8 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float = SIMILARITY)
 
     left = words.select(F.col("nid").alias("a"), F.col("words").alias("words_a"))
     right = words.select(F.col("nid").alias("b"), F.col("words").alias("words_b"))
-    rows = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
+    rows = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).join(left, "a").join(right, "b").select("a", "b", "words_a",
+        "words_b")
     return rows.transform(map_batches, run, "a long, b long")
 
 
@@ -259,7 +261,9 @@ def _alike(similarity: float):
 
 
 def _as(texts: DataFrame, name: str) -> DataFrame:
-    return texts.select(F.col("nid").alias(name), F.col("n_words").alias(f"{name}_words"), F.col("n_shingles").alias(f"{name}_shingles"), F.col("bins").alias(f"{name}_bins"), F.col("short").isNotNull().alias(f"{name}_short"), *(F.col(f"s{i}").alias(f"{name}_s{i}") for i in range(_WORDS)))
+    return texts.select(F.col("nid").alias(name), F.col("n_words").alias(f"{name}_words"), F.col("n_shingles").alias(f"{name}_shingles"),
+        F.col("bins").alias(f"{name}_bins"), F.col("short").isNotNull().alias(f"{name}_short"),
+        *(F.col(f"s{i}").alias(f"{name}_s{i}") for i in range(_WORDS)))
 
 
 def rare_shingles(texts: DataFrame, similarity: float) -> DataFrame:
@@ -299,8 +303,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("node", F.md5("text"))
     sketched = stage.keep(sketch_texts(rows), "sketched")
-    once = sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n_words").alias("n_words"), F.first("n_shingles").alias("n_shingles"), F.first("bins").alias("bins"), F.first("sketches").alias("sketches"), F.first("short").alias("short"))
-    texts = stage.keep(once.select("node", "least_id", "n_words", "n_shingles", "bins", "sketches", "short", *_signature(F.col("sketches"))).withColumn("nid", F.monotonically_increasing_id()), "texts")
+    once = sketched.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n_words").alias("n_words"),
+        F.first("n_shingles").alias("n_shingles"), F.first("bins").alias("bins"), F.first("sketches").alias("sketches"),
+        F.first("short").alias("short"))
+    texts = stage.keep(once.select("node", "least_id", "n_words", "n_shingles", "bins", "sketches", "short",
+            *_signature(F.col("sketches"))).withColumn("nid", F.monotonically_increasing_id()), "texts")
 
     # a sketch's value also depends on its number, so the value alone names the bucket
     member = texts.where("n_words > 0").select("nid", F.posexplode("sketches").alias("number", "value"))
@@ -309,7 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = stage.keep(member.join(sizes, "value"), "met")
     # the hub of a bucket is the text that shares the most: what others were made from shares all its sketches with many
     central = stage.keep(met.groupBy("nid").agg(F.sum("n").alias("central")), "central")
-    hubs = met.join(central, "nid").groupBy("value").agg(F.max(F.struct("central", -F.col("nid"))).alias("h")).select("value", (-F.col("h.col2")).alias("hub"))
+    hubs = met.join(central, "nid").groupBy("value").agg(F.max(F.struct("central", -F.col("nid"))).alias("h")).select("value",
+        (-F.col("h.col2")).alias("hub"))
     shared = stage.keep(met.select("nid", "number", "value").join(hubs, "value"), "shared")
 
     # first each text with the most central hub of its buckets, then with the other hubs that its class doesn't hold yet
@@ -329,13 +337,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(more, stage, "second", roots)
 
     # what stands outside the main class of its bucket is held against all other classes there, each pair in its first bucket
-    placed = shared.join(roots, shared.nid == roots.node, "left").select("number", "value", "nid", "hub", F.coalesce("root", "nid").alias("root"))
-    mixed = placed.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("classes"))
+    placed = shared.join(roots, shared.nid == roots.node, "left").select("number", "value", "nid", "hub",
+        F.coalesce("root", "nid").alias("root"))
+    mixed = placed.groupBy("value", "root").agg(F.count("*").alias("n")).groupBy("value").agg(F.max(F.struct("n", "root")).alias("main"),
+        F.count("*").alias("classes"))
     mixed = mixed.where("classes > 1").select("value", F.col("main.root").alias("main"))
     within = stage.keep(placed.join(mixed, "value"), "within")
     if not within.isEmpty():
-        sign = within.join(texts.select("nid", "n_words", "n_shingles", "bins", "sketches", "short", *(f"s{i}" for i in range(_WORDS))), "nid")
-        side = lambda n: [F.col("nid").alias(n), F.col("root").alias(f"{n}_root"), F.col("n_words").alias(f"{n}_words"), F.col("n_shingles").alias(f"{n}_shingles"), F.col("bins").alias(f"{n}_bins"), F.col("short").isNotNull().alias(f"{n}_short"), F.col("sketches").alias(f"{n}_sketches"), *(F.col(f"s{i}").alias(f"{n}_s{i}") for i in range(_WORDS))]
+        sign = within.join(texts.select("nid", "n_words", "n_shingles", "bins", "sketches", "short", *(f"s{i}" for i in range(_WORDS))),
+            "nid")
+        side = lambda n: [F.col("nid").alias(n), F.col("root").alias(f"{n}_root"), F.col("n_words").alias(f"{n}_words"),
+            F.col("n_shingles").alias(f"{n}_shingles"), F.col("bins").alias(f"{n}_bins"), F.col("short").isNotNull().alias(f"{n}_short"),
+            F.col("sketches").alias(f"{n}_sketches"), *(F.col(f"s{i}").alias(f"{n}_s{i}") for i in range(_WORDS))]
         outside = sign.where("root <> main").where("nid <> hub").select("value", "number", *side("x"))
         inside = sign.where("nid <> hub").select("value", "main", *side("y"))
         once_each = (F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y"))
@@ -354,7 +367,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = classes.join(roots.select(F.col("root").alias("class_node")).distinct(), "class_node", "left_semi")
     names = several.groupBy("class_node").agg(F.min("least_id").alias("class_id"))
     names = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    named = classes.join(names, ["class_node", "salt"], "left").select("node", "class_node", F.coalesce("class_id", "least_id").alias("class_id"))
+    named = classes.join(names, ["class_node", "salt"], "left").select("node", "class_node",
+        F.coalesce("class_id", "least_id").alias("class_id"))
     return sketched.select(F.col("id").alias("doc_id"), "node").join(named, "node")
 
 

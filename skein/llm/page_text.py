@@ -53,7 +53,8 @@ _WORDS = "address area base br col embed hr img input link meta param source tra
 VOID = frozenset(_WORDS.split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 #: Elements whose text isn't shown as text of the page.
-TEXTLESS = frozenset("script style noscript template svg math head title select option datalist textarea input iframe object embed canvas audio video map noembed noframes xmp".split())
+TEXTLESS = frozenset(
+    "script style noscript template svg math head title select option datalist textarea input iframe object embed canvas audio video map noembed noframes xmp".split())
 DROPPED = TEXTLESS | frozenset("nav footer aside form button dialog menu".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
@@ -71,11 +72,14 @@ ANYWHERE = frozenset(
     "nav navbar navigation menu teaser teasers".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
-OUTSIDE = ANYWHERE | frozenset("header masthead topbar footer bottombar side aside notice notices alert toolbar skip copyright legal login search".split())
+OUTSIDE = ANYWHERE | frozenset(
+    "header masthead topbar footer bottombar side aside notice notices alert toolbar skip copyright legal login search".split())
 
 #: A tag ends at the next > outside quoted values; a < before that means that it was none. A value is quoted only if a blank, a slash
 #: or the tag's end follows its second quote.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/><]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s<>]*+))*+)>", re.DOTALL)
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/><]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s<>]*+))*+)>",
+    re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -247,7 +251,8 @@ class Page:
             dropped = dropped or name in TEXTLESS
         elif not dropped and name not in ("html", "body"):
             named = bool(words & (ANYWHERE if inside else OUTSIDE)) and name not in ARTICLE
-            dropped = name in CLOSED or hidden or role in ROLES or name == "header" and not inside or named and (name in INLINE or bool(words & COMMENTS))
+            dropped = name in CLOSED or hidden or role in ROLES or name == "header" and not inside or named and (name in INLINE
+                or bool(words & COMMENTS))
             against = not dropped and (named or name == "form")
             if against:
                 weak = self._speak_against(weak, False)
@@ -316,7 +321,8 @@ def page_subtrees(pages: DataFrame, hints: bool = True) -> DataFrame:
                 same.append(int.from_bytes(blake2b(page.text().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
                 digests.append(sorted({c[0] for c in page.containers}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(same, pa.int64()), pa.array(digests, pa.list_(pa.int64()))], ["host", "node", "same", "digests"]
+                [batch.column(0), batch.column(1), pa.array(same, pa.int64()), pa.array(digests, pa.list_(pa.int64()))],
+                    ["host", "node", "same", "digests"]
             )
 
     return pages.select("host", "node", "html").transform(map_batches, run, "host string, node long, same long, digests array<long>")
@@ -325,7 +331,8 @@ def page_subtrees(pages: DataFrame, hints: bool = True) -> DataFrame:
 def site_templates(subtrees: DataFrame) -> DataFrame:
     """(host, digest) of the subtrees that recur on many different pages of a host."""
     once = subtrees.where("host <> ''").groupBy("host", "same").agg(F.min_by("digests", "node").alias("digests"))
-    return once.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").count().where(F.col("count") >= LEAST_PAGES).select("host", "digest")
+    return once.select("host", F.explode("digests").alias("digest")).groupBy("host",
+        "digest").count().where(F.col("count") >= LEAST_PAGES).select("host", "digest")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hints: bool = True) -> DataFrame:
@@ -333,8 +340,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = with_host(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")))
     rows = rows.withColumn("node", F.xxhash64("html"))
     subtrees = Stage(pages.sparkSession, "pages").keep(page_subtrees(rows, hints), "subtrees")
-    own = subtrees.groupBy("host", "node").agg(F.first("digests").alias("digests")).select("host", "node", F.explode("digests").alias("digest"))
-    templates = own.join(site_templates(subtrees), ["host", "digest"]).groupBy("host", "node").agg(F.sort_array(F.collect_list("digest")).alias("templates"))
+    own = subtrees.groupBy("host", "node").agg(F.first("digests").alias("digests")).select("host", "node",
+        F.explode("digests").alias("digest"))
+    templates = own.join(site_templates(subtrees), ["host", "digest"]).groupBy("host",
+        "node").agg(F.sort_array(F.collect_list("digest")).alias("templates"))
     joined = rows.join(templates, ["host", "node"], "left").select("page_id", "url", "html", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,7 +64,8 @@ def rebuilt_turns(placed: DataFrame, convs: DataFrame, block: int = 20, most: in
     """
     first = F.pmod("conv_id", F.lit(block)) == 0
     taken = F.crc32(F.col("conv_id").cast("string")) % (most + 1)
-    of = convs.select("conv_id", (F.col("conv_id") - F.pmod("conv_id", F.lit(block))).alias("base"), taken.alias("h")).where("conv_id <> base AND h > 0")
+    of = convs.select("conv_id", (F.col("conv_id") - F.pmod("conv_id", F.lit(block))).alias("base"),
+        taken.alias("h")).where("conv_id <> base AND h > 0")
     heads = placed.where(first & (F.col("at") < most)).withColumnRenamed("conv_id", "base")
     borrowed = of.join(heads, "base").where("at < h").select("conv_id", (F.col("at") + 1).alias("depth"), "x", "y", "words")
     lengths = convs.where(first).select(F.col("conv_id").alias("base"), F.col("n").alias("there"))
@@ -82,7 +83,8 @@ def keyed_turns(turns: DataFrame, stage: Stage) -> DataFrame:
     rows = turns.select("conv_id", "depth", mixed("x", 1), mixed("y", 2), "words")
     summed = running(rows, "conv_id", ["depth"], ["v1", "v2"], ["conv_id", "depth", "v1", "v2", "words"], stage, "turns")
     before = lambda i: (F.col(f"run_v{i}") - F.col(f"v{i}") + F.lit(MASK) + 1).bitwiseAND(F.lit(MASK)).alias(f"p{i}")
-    return summed.select("conv_id", F.col("depth").cast("long").alias("depth"), F.col("run_v1").alias("k1"), F.col("run_v2").alias("k2"), before(1), before(2), "words")
+    return summed.select("conv_id", F.col("depth").cast("long").alias("depth"), F.col("run_v1").alias("k1"), F.col("run_v2").alias("k2"),
+        before(1), before(2), "words")
 
 
 def _owner() -> Column:
@@ -114,10 +116,13 @@ def _ended(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
     last = turns.groupBy("conv_id").agg(F.max(F.struct(*KEY)).alias("e"))
     none = F.lit(0).cast("long")
-    ends = convs.select("conv_id").join(last, "conv_id", "left").select("conv_id", *(F.coalesce(F.col(f"e.{c}"), none).alias(c) for c in KEY))
-    ranges = ends.groupBy(*KEY, F.floor(F.col("conv_id") / IDS).alias("range")).agg(F.sort_array(F.collect_set("conv_id")).alias("ids"), _owner().alias("o"))
+    ends = convs.select("conv_id").join(last, "conv_id", "left").select("conv_id",
+        *(F.coalesce(F.col(f"e.{c}"), none).alias(c) for c in KEY))
+    ranges = ends.groupBy(*KEY, F.floor(F.col("conv_id") / IDS).alias("range")).agg(F.sort_array(F.collect_set("conv_id")).alias("ids"),
+        _owner().alias("o"))
     told = ranges.select(*KEY, "range", F.array_join("ids", ",").alias("ids"))
-    digests = map_batches(told.repartition(*KEY).sortWithinPartitions(*KEY, "range").select(*KEY, "ids"), run, "depth long, k1 long, k2 long, ends_sha256 string")
+    digests = map_batches(told.repartition(*KEY).sortWithinPartitions(*KEY, "range").select(*KEY, "ids"), run,
+        "depth long, k1 long, k2 long, ends_sha256 string")
     owners = ranges.groupBy(*KEY).agg(F.min("o").alias("o")).select(*KEY, F.col("o.owner").alias("end_owner"))
     return digests.join(owners, KEY)
 
@@ -133,13 +138,15 @@ def _peeled(paths: DataFrame, parents: DataFrame, stage: Stage) -> DataFrame:
         n += 1
         ready = stage.keep(waiting.where("pending = 0 AND above_depth >= 0").select(*ABOVE, "leaves", "saved"), f"sent-{n}")
         sent = ready if sent is None else sent.union(ready)
-        told = ready.groupBy(*ABOVE).agg(F.count("*").alias("more"), F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
+        told = ready.groupBy(*ABOVE).agg(F.count("*").alias("more"), F.sum("leaves").alias("more_leaves"),
+            F.sum("saved").alias("more_saved"))
         told = told.join(parents, ABOVE).groupBy(F.col("parent").alias("owner"))
         told = told.agg(F.sum("more").alias("more"), F.sum("more_leaves").alias("more_leaves"), F.sum("more_saved").alias("more_saved"))
         left = waiting.where("pending > 0").join(told, "owner", "left")
         plus = lambda a, b, sign=1: (F.col(a) + sign * F.coalesce(F.col(b), F.lit(0))).alias(a)
         waiting = stage.keep(
-            left.select("owner", *ABOVE, plus("leaves", "more_leaves"), plus("saved", "more_saved"), plus("pending", "more", -1)), f"waiting-{n}"
+            left.select("owner", *ABOVE, plus("leaves", "more_leaves"), plus("saved", "more_saved"),
+                plus("pending", "more", -1)), f"waiting-{n}"
         )
     return sent
 
@@ -152,14 +159,18 @@ def prefix_trie(rows: DataFrame) -> DataFrame:
     turns = keyed_turns(rebuilt_turns(placed, convs), stage)
 
     none = F.lit(0).cast("long")
-    found = turns.groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), _owner().alias("o"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("words").alias("words"))
+    found = turns.groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), _owner().alias("o"),
+        F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("words").alias("words"))
     top = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), _owner().alias("o")).where("n_convs > 0")
-    top = top.select(none.alias("depth"), none.alias("k1"), none.alias("k2"), "conv_id", "n_convs", "o", none.alias("p1"), none.alias("p2"), none.alias("words"))
+    top = top.select(none.alias("depth"), none.alias("k1"), none.alias("k2"), "conv_id", "n_convs", "o", none.alias("p1"),
+        none.alias("p2"), none.alias("words"))
     nodes = found.unionByName(top).join(_ended(turns, convs), KEY, "left")
     nodes = stage.keep(
         nodes.select(
-            *KEY, (F.col("depth") - 1).alias("above_depth"), "p1", "p2", "conv_id", "n_convs", F.col("o.owner").alias("owner"), "ends_sha256",
-            F.coalesce(F.col("end_owner") == F.col("o.owner"), F.lit(False)).alias("is_end"), ((F.col("n_convs") - 1) * F.col("words")).alias("saved"),
+            *KEY, (F.col("depth") - 1).alias("above_depth"), "p1", "p2", "conv_id", "n_convs", F.col("o.owner").alias("owner"),
+                "ends_sha256",
+            F.coalesce(F.col("end_owner") == F.col("o.owner"), F.lit(False)).alias("is_end"),
+                ((F.col("n_convs") - 1) * F.col("words")).alias("saved"),
         ),
         "nodes",
     )
@@ -181,20 +192,24 @@ def prefix_trie(rows: DataFrame) -> DataFrame:
 
     whole = nodes.join(sums, KEY, "left").join(paths.select(*KEY, F.lit(True).alias("is_top")), KEY, "left")
     whole = whole.select(
-        *KEY, *ABOVE, "conv_id", "n_convs", "owner", "ends_sha256", F.coalesce("n_hanging", none).alias("n_hanging"), F.coalesce("is_top", F.lit(False)).alias("is_top"),
-        (F.coalesce("leaves", none) + (F.col("is_end") & F.col("n_hanging").isNull()).cast("long")).alias("leaves"), (F.col("saved") + F.coalesce("more", none)).alias("saved"),
+        *KEY, *ABOVE, "conv_id", "n_convs", "owner", "ends_sha256", F.coalesce("n_hanging", none).alias("n_hanging"),
+            F.coalesce("is_top", F.lit(False)).alias("is_top"),
+        (F.coalesce("leaves", none) + (F.col("is_end") & F.col("n_hanging").isNull()).cast("long")).alias("leaves"),
+            (F.col("saved") + F.coalesce("more", none)).alias("saved"),
     )
     keep = ["owner", "depth", *ABOVE, "conv_id", "n_convs", "ends_sha256", "n_hanging", "is_top", "leaves", "saved"]
     summed = running(whole, "owner", [-F.col("depth")], ["leaves", "saved"], keep, stage, "summed")
 
     # a node below its own path's node has one parent row; the tops that hang off one node are dealt out by salt
     above = below.select(*ABOVE, F.col("conv_id").alias("parent_conv_id"), F.lit(-1).alias("salt"))
-    spread = parents.select(*ABOVE, F.col("conv_id").alias("parent_conv_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spread = parents.select(*ABOVE, F.col("conv_id").alias("parent_conv_id"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.when(F.col("is_top"), F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")).otherwise(-1)
     named = summed.withColumn("salt", salt).join(above.union(spread), [*ABOVE, "salt"], "left")
     return named.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", (F.col("n_hanging") + (F.col("at") > 0).cast("long")).alias("n_children"),
-        F.col("run_leaves").alias("n_leaves"), F.col("run_saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+        F.col("run_leaves").alias("n_leaves"), F.col("run_saved").alias("saved_tokens"),
+            F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
     )
 
 

@@ -63,7 +63,8 @@ def _carried_over(parts: list, sums: list[str]) -> list[tuple]:
     return out
 
 
-def running(rows: DataFrame, group: str, order: list[str | Column], sums: list[str], keep: list[str | Column], stage: Stage, name: str) -> DataFrame:
+def running(rows: DataFrame, group: str, order: list[str | Column], sums: list[str], keep: list[str | Column], stage: Stage,
+    name: str) -> DataFrame:
     """The columns ``keep`` (which hold ``group``, never null, and ``sums``) with ``at`` and ``run_<sum>``.
 
     ``keep`` is computed after the rows were dealt out, so once; the order is looked at before, for a sample of its ranges.

@@ -224,7 +224,8 @@ def _built_in(application: str) -> dict[int, tuple[int, ...]]:
         for batch in batches:
             keys = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             counts = [stratum_decoys(*k).tolist() for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array([e * 16 + c for e, c in keys], pa.int32()), pa.array(counts, pa.list_(pa.int64()))], ["stratum", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([e * 16 + c for e, c in keys], pa.int32()), pa.array(counts, pa.list_(pa.int64()))],
+                ["stratum", "counts"])
 
     rows = spark.createDataFrame(strata, "encoding int, cls int").repartition(len(strata), "encoding", "cls")
     return {r.stratum: tuple(r["counts"]) for r in rows.mapInArrow(run, "stratum int, counts array<long>").collect()}
@@ -348,7 +349,8 @@ def found_secrets(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
 
 def _told(spans):
     names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"),
+                s["end"].cast("string"))), ",")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

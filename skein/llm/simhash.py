@@ -225,7 +225,8 @@ def links_within(prints: DataFrame, stage: Stage) -> DataFrame:
         other = F.sequence(F.lit(0), F.col("tiles") - 1)
         pairs = cut.select("bucket", "print", "tile", F.explode(other).alias("other"))
         first, second = F.least("tile", "other"), F.greatest("tile", "other")
-        rows = pairs.select(F.xxhash64("bucket", first, second).alias("bucket"), (F.col("tile") > F.col("other")).cast("int").alias("tile"), "print")
+        rows = pairs.select(F.xxhash64("bucket", first, second).alias("bucket"),
+            (F.col("tile") > F.col("other")).cast("int").alias("tile"), "print")
         found.append(stage.keep(_compared(rows, alone=True), "links-tiles"))
     links = found[0]
     for more in found[1:]:

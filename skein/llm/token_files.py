@@ -88,9 +88,12 @@ def splits_at_blanks(path: str) -> bool:
     split = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
     model = said.get("model") or {}
     return (
-        steps == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1].get("pattern") == {"Regex": r"\s+"} and normal["normalizers"][1].get("content") == " "
-        and split.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"} and split.get("behavior") == "Removed"
-        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix") and model.get("dropout") is None
+        steps == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1].get("pattern") == {"Regex": r"\s+"}
+            and normal["normalizers"][1].get("content") == " "
+        and split.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"} and split.get("behavior")
+            == "Removed"
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix")
+            and model.get("dropout") is None
         and all(t.get("special") and not any(c.isspace() for c in t["content"]) for t in said.get("added_tokens") or [])
     )
 
@@ -266,8 +269,11 @@ def write_blocks(ids: DataFrame, id_of_rank: np.ndarray, dtype: type, n_parts: i
                 control, data = pack(rank_of_id[flat[offsets[i] : offsets[j]]])
                 n = int(offsets[j] - offsets[i])
                 yield pa.RecordBatch.from_pylist(
-                    [dict(zip(names, (part, block, start, n, batch.column(0).slice(i, j - i).to_pylist(), counts[i:j].tolist(), control, data), strict=True))],
-                    pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())]),
+                    [dict(zip(names, (part, block, start, n, batch.column(0).slice(i, j - i).to_pylist(), counts[i:j].tolist(), control,
+                                    data), strict=True))],
+                    pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()),
+                            ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("control", pa.binary()),
+                            ("data", pa.binary())]),
                 )
                 block, start = block + 1, start + n
 
@@ -282,7 +288,8 @@ def shuffled(ids: DataFrame, seed: int) -> DataFrame:
     return ids.withColumn(ORDER, F.xxhash64(F.lit(seed), "doc_id", F.row_number().over(same)))
 
 
-def write_token_file(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", shuffle_seed: int | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def write_token_file(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text",
+    shuffle_seed: int | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Encode all documents; returns the stored blocks, each part's first position, and the ids by rank.
 
     With ``shuffle_seed`` the file has a shuffled order, otherwise that of ``doc_id``.

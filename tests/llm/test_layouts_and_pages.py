@@ -18,9 +18,12 @@ def test_a_turns_fingerprint_chooses_its_mapping(spark):
     assert turns(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")) == want
     assert turns(spark.createDataFrame(said, "conv_id long, turn long, role string, content string")) == want
     more = [(*r, "me", 1.5, ["t"], ("x",)) for r in said]  # fields that no layout uses
-    assert turns(spark.createDataFrame(more, "conv_id long, turn long, role string, text string, author string, weight double, tags array<string>, seen struct<by string>")) == want
+    assert turns(
+        spark.createDataFrame(more,
+            "conv_id long, turn long, role string, text string, author string, weight double, tags array<string>, seen struct<by string>")) == want
     told = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 2, "tool", None)]
-    assert turns(spark.createDataFrame(told, "conv_id long, turn long, `from` string, value string")) == {1: [("user", "a"), ("assistant", "b"), ("tool", "")]}
+    assert turns(spark.createDataFrame(told, "conv_id long, turn long, `from` string, value string")) == {
+        1: [("user", "a"), ("assistant", "b"), ("tool", "")]}
     assert turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")) == {}
     with pytest.raises(ValueError, match="no mapping"):
         chat.turns_of_rows(spark.createDataFrame(said, "conv_id long, turn long, who string, text string"))
@@ -34,13 +37,16 @@ def test_a_turns_fingerprint_chooses_its_mapping(spark):
     [
         ("<form><nav>menu</nav><article><p>Main text.</p></article></form>", "Main text."),
         ('<article class="post related-topic"><p>Main text of the page.</p></article><div>foot</div>', "Main text of the page."),
-        ('<div class="layout with-sidebar"><p>Main text, the longer part.</p><div class="sidebar">side</div></div>', "Main text, the longer part."),
+        ('<div class="layout with-sidebar"><p>Main text, the longer part.</p><div class="sidebar">side</div></div>',
+            "Main text, the longer part."),
         ('<div id="social-page"><p>Main text.</p></div>', "Main text."),
         ('<p class="x>one</p><p title=it\'s>two</p><p id=\'y>three</p><p class="z">four</p>', "one two three four"),
         ("<article><p>Main text of the page.</p></article><article class=teaser><p>read on</p></article>", "Main text of the page."),
-        ("<article><div class=share-body><p>Main text of the page.</p></div><div class=related>more</div></article>", "Main text of the page."),
+        ("<article><div class=share-body><p>Main text of the page.</p></div><div class=related>more</div></article>",
+            "Main text of the page."),
         ("<article><p>Main.</p><div class=comments><p>a very long comment of a reader, longer than all</p></div></article>", "Main."),
-        ("<div>words of the body, enough of them</div><form>search</form><div class=comments><article class=comment>hello</article></div>", "words of the body, enough of them"),
+        ("<div>words of the body, enough of them</div><form>search</form><div class=comments><article class=comment>hello</article></div>",
+            "words of the body, enough of them"),
         ("<form><p>All is in here.</p><input value=x></form>", "All is in here."),
         ('<p data-x="<b>bold</b>" class="y">text</p>', "text"),
         ("", ""), ("<p>", ""), ("<<<>>>", "<<<>>>"), ("<div class=sidebar>only this</div>", "only this"),
@@ -57,7 +63,8 @@ def test_templates_are_counted_like_a_plain_count(spark):
     from skein.llm.page_text import LEAST_PAGES, NEARLY_ALL, extract_text
 
     rng = random.Random(4)
-    shared = ["<div class='m'><p>menu one</p><p>menu two</p></div>", "<ul><li>legal</li></ul>", "<section><div><p>rare</p></div></section>", "<p>short line</p>"]
+    shared = ["<div class='m'><p>menu one</p><p>menu two</p></div>", "<ul><li>legal</li></ul>",
+        "<section><div><p>rare</p></div></section>", "<p>short line</p>"]
 
     def page(i):
         own = [f"<div class='c'><p>story {i} {rng.random()}</p><p>{'words ' * rng.randrange(20, 40)}{i}</p></div>"]
@@ -66,7 +73,8 @@ def test_templates_are_counted_like_a_plain_count(spark):
         return f"<html><body>{''.join(parts)}</body></html>"
 
     pages = [(i, f"http://{'ab'[i % 2]}.example/{i}", page(i)) for i in range(40)]
-    pages += [(100 + i, "http://a.example/copy", pages[0][2]) for i in range(9)] + [(200 + i, None, p) for i, (_, _, p) in enumerate(pages[:8])] + [(300, "http://a.example/", None), (301, "http://a.example/", "")]
+    pages += [(100 + i, "http://a.example/copy", pages[0][2]) for i in range(9)] + [(200 + i, None, p) for i,
+        (_, _, p) in enumerate(pages[:8])] + [(300, "http://a.example/", None), (301, "http://a.example/", "")]
 
     def walk(node):
         """Serialized subtrees that hold text, with their blocks."""
@@ -96,7 +104,8 @@ def test_templates_are_counted_like_a_plain_count(spark):
         want[i] = " ".join(" ".join(kept).split())
     got = extract_text(spark.createDataFrame(pages, "page_id long, url string, html string"), hints=False).collect()
     assert {r.page_id: r.text for r in got} == want
-    assert any("menu one" not in want[i] for i, u, _ in pages if u) and all("menu one" in want[i] for i in range(200, 208) if "menu one" in pages[i - 200][2])
+    assert any("menu one" not in want[i] for i, u, _ in pages if u) and all("menu one" in want[i] for i in range(200, 208)
+        if "menu one" in pages[i - 200][2])
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 

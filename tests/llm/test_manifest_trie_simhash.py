@@ -69,7 +69,8 @@ def test_simhash_of_odd_rows(spark):
     from skein.llm.simhash import simhash_duplicates
 
     long = " ".join(f"w{i % 977}" for i in range(200_000))
-    docs = [(5, None), (4, ""), (3, " \t\n"), (7, "one"), (7, "one"), (None, "ONE"), (8, "one two"), (9, long), (1, long + " end"), (None, "é　x y z")]
+    docs = [(5, None), (4, ""), (3, " \t\n"), (7, "one"), (7, "one"), (None, "ONE"), (8, "one two"), (9, long), (1, long + " end"),
+        (None, "é　x y z")]
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, print string, component_id string")
     check_simhash(simhash_duplicates(df).collect(), docs)
     assert simhash_duplicates(df.limit(0)).collect() == []
@@ -82,7 +83,8 @@ def test_dense_prints_are_joined_at_every_depth(spark, tmp_path, monkeypatch):
 
     random.seed(3)
     center = random.getrandbits(64)
-    prints = {center ^ sum(1 << b for b in random.sample(range(64), random.randrange(2, 9))) for _ in range(500)} | {random.getrandbits(64) for _ in range(100)}
+    prints = {center ^ sum(1 << b for b in random.sample(range(64), random.randrange(2, 9))) for _ in range(500)} | {random.getrandbits(64)
+        for _ in range(100)}
     want = classes(list(prints), lambda a, b: (a ^ b).bit_count() <= 3)
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     monkeypatch.setattr(simhash, "MOST", 12)  # so that buckets are split, and split into tiles at the last
@@ -141,11 +143,13 @@ def test_trie_of_odd_rows(spark):
     from skein.llm.prefix_trie import prefix_trie
 
     random.seed(11)
-    rows = [(None, 1, "user", "lost"), (-3, 0, "user", "negative"), (41, None, None, None), (41, 2, "user", "b"), (41, 2, "user", "a  a"), (41, 2, "user", "b")]
+    rows = [(None, 1, "user", "lost"), (-3, 0, "user", "negative"), (41, None, None, None), (41, 2, "user", "b"), (41, 2, "user", "a  a"),
+        (41, 2, "user", "b")]
     rows += [(1000, t, "user", f"long turn {t}") for t in range(300)]  # one conversation stretches over tasks
     rows += [(1003, t, "user", f"long turn {t}") for t in range(280)]
     rows += [(c, t, "user", f"turn {t}") for c in range(60, 110) for t in range(c - 59)]  # each a prefix of the next
-    rows += [(c, t, random.choice(["user", "assistant"]), random.choice("xy")) for c in range(2000, 2300) for t in range(random.randrange(1, 5))]
+    rows += [(c, t, random.choice(["user", "assistant"]), random.choice("xy")) for c in range(2000, 2300)
+        for t in range(random.randrange(1, 5))]
     rows += [(c, 0, "user", "the same") for c in range(9000, 9400)]
     random.shuffle(rows)
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, depth string")
@@ -196,7 +200,8 @@ def check_manifest(rows, docs):
 
 
 def test_manifest_of_the_test_table(spark):
-    check_manifest(ask(spark, "op13_merkle_manifest"), duckdb.sql(f"SELECT doc_id, text, source, lang, n_chars FROM '{FOLDER}/documents.parquet'").fetchall())
+    check_manifest(ask(spark, "op13_merkle_manifest"),
+        duckdb.sql(f"SELECT doc_id, text, source, lang, n_chars FROM '{FOLDER}/documents.parquet'").fetchall())
 
 
 @pytest.mark.parametrize("levels", [1, 2])
@@ -205,7 +210,8 @@ def test_manifest_of_odd_rows(spark, tmp_path, monkeypatch, levels):
 
     monkeypatch.setattr(merkle, "manifest", functools.partial(merkle.manifest, levels=levels))
     docs = [(i, f"Text {i}", "big", "en", 6) for i in range(300)] + [(i, "A", f"s{i}", None, 1) for i in range(400, 440)]
-    docs += [(None, None, None, None, None), (None, "é", None, "", 0), (7, "Twice", "big", "en", 5), (7, "Twice", "big", "en", 5), (3, "", "", "", 0), (2**60 + 1, "B" * 100_000, "éz", "x", 1)]
+    docs += [(None, None, None, None, None), (None, "é", None, "", 0), (7, "Twice", "big", "en", 5), (7, "Twice", "big", "en", 5),
+        (3, "", "", "", 0), (2**60 + 1, "B" * 100_000, "éz", "x", 1)]
     docs += [(i, "x", "exact", None, None) for i in range(256)]
     schema = "doc_id long, text string, source string, lang string, n_chars long"
     path = f"file://{tmp_path}"

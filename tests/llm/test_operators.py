@@ -26,8 +26,10 @@ def ask(spark, name):
 
 def odd(spark):
     """Null, empty, blank, repeated and very long texts, with a column that clashes with results."""
-    texts = [(1, None), (2, ""), (3, " \n\t"), (4, "one two three four five six"), (4, "one two three four five six"), (None, "déjà vu <s>[INST] ~1"), (6, "long word " * 60_000), (7, "x")]
-    return spark.createDataFrame([(i, t, "en" if t else None, None, "z") for i, t in texts], "doc_id long, text string, lang string, source string, score string")
+    texts = [(1, None), (2, ""), (3, " \n\t"), (4, "one two three four five six"), (4, "one two three four five six"),
+        (None, "déjà vu <s>[INST] ~1"), (6, "long word " * 60_000), (7, "x")]
+    return spark.createDataFrame([(i, t, "en" if t else None, None, "z") for i, t in texts],
+        "doc_id long, text string, lang string, source string, score string")
 
 
 def test_tokens_are_those_of_whole_texts(spark, docs):
@@ -54,7 +56,8 @@ def test_leaks_are_the_contained_items(spark, docs):
     flat = lambda s: " ".join((s or "").lower().split())
     planted = dict(docs) | {9001: "Start. " + items[3].replace("the", "thee", 2) + " End.", 9002: "nothing of the kind is said here"}
     df = spark.createDataFrame(list(planted.items()), "doc_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in contamination.find_leaks(df, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    got = {(r.doc_id, r.item_id) for r in contamination.find_leaks(df,
+            spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
     want = {(i, k) for i, t in planted.items() for k, x in items.items() if len(flat(x)) >= 24 and flat(x) in flat(t)}
     assert want <= got and (9001, 3) in got and not any(i == 9002 for i, _ in got)
 
@@ -127,7 +130,8 @@ def test_media_round_trip(spark, docs):
     for i, r in ask(spark, "op6_media_pages").items():
         data = (docs[i] or "").encode()
         payload = data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff")
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload),
+            hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
 
 
 def test_lzw_and_broken_media():
@@ -149,18 +153,22 @@ def test_chat_reads_back(spark):
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{FOLDER}/conversations.parquet'")
-    want = {r[0]: r[1:] for r in con.execute(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM ({chat.CHAT_SQL})").fetchall()}
+    want = {r[0]: r[1:]
+        for r in con.execute(f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM ({chat.CHAT_SQL})").fetchall()}
     assert {i: tuple(r)[1:] for i, r in ask(spark, "op7_chat_format").items()} == want
-    rows = spark.createDataFrame([('{"instruction": "do", "input": "x", "output": "y"}',), ('{"conversations": [{"from": "human", "value": "a"}]}',), ('{"other": 1}',), (None,)], "record string")
+    rows = spark.createDataFrame([('{"instruction": "do", "input": "x", "output": "y"}',),
+            ('{"conversations": [{"from": "human", "value": "a"}]}',), ('{"other": 1}',), (None,)], "record string")
     turns = [r.turns and [tuple(t) for t in r.turns] for r in chat.canonical_turns(rows).collect()]
     assert turns == [[("user", "do\n\nx"), ("assistant", "y")], [("user", "a")], None, None]
 
 
 def test_base_secrets(spark, docs):
-    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        re.IGNORECASE | re.ASCII)
     for i, r in ask(spark, "op8_secret_scan").items():
         text, found = docs[i] or "", []
-        for kind, (name, pattern, group, least) in enumerate((("assign", assign, 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32))):
+        for kind, (name, pattern, group, least) in enumerate(
+            (("assign", assign, 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32))):
             found += [(m.start(), kind, f"{name}:{m.start()}:{m.end()}") for m in pattern.finditer(text) if len(m.group(group)) >= least]
         told = [x[2] for x in sorted(found)]
         assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest() and set(told) <= set(r.spans.split(",")) | {""}
@@ -182,7 +190,8 @@ def test_page_text(spark):
     from skein.llm.page_text import extract_text
 
     page = "<html><body><nav>Menu</nav><div class='ad'>Buy</div><article><h1>T&amp;x</h1><p>One\n two<br>three</p></article><footer>F</footer><script>var a='</p>'</script></body></html>"
-    rows = spark.createDataFrame([(1, "http://a/x", page), (2, None, None), (3, "bad", ""), (3, "bad", "")], "page_id long, url string, html string")
+    rows = spark.createDataFrame([(1, "http://a/x", page), (2, None, None), (3, "bad", ""), (3, "bad", "")],
+        "page_id long, url string, html string")
     assert sorted((r.page_id, r.text) for r in extract_text(rows).collect()) == [(1, "T&x One two three"), (2, ""), (3, ""), (3, "")]
 
 
@@ -224,7 +233,8 @@ def test_language_model_keeps_rare_pairs(spark, monkeypatch):
     texts = [*rare, *(" ".join(["filler"] * 300_000) for _ in range(10))]
     train = spark.createDataFrame([(t,) for t in texts], "text string")
     asked = [*rare, *(f"s{i} r{i} t{i}" for i in range(50))]
-    got = {r.text_id: r for r in lm_score.score_texts(spark.createDataFrame(list(enumerate(asked)), "text_id long, text string"), train).collect()}
+    got = {r.text_id: r for r in lm_score.score_texts(spark.createDataFrame(list(enumerate(asked)), "text_id long, text string"),
+            train).collect()}
     tokens = [[*t.split(), None] for t in texts]
     one = collections.Counter(w for x in tokens for w in x)
     two = collections.Counter(p for x in tokens for p in zip(x, x[1:]))
@@ -255,7 +265,9 @@ def test_copied_pages_are_no_template(spark):
     one = "<html><body><div class='wrap'><article><p>Copied story</p><p>second part</p></article></div></body></html>"
     two = "<html><body><div class='content'><p>No article here</p></div></body></html>"
     pages = [(i, f"http://a/{i}", one) for i in range(8)] + [(10 + i, f"http://a/x{i}", two) for i in range(8)]
-    pages += [(20 + i, f"http://b/{i}", f"<html><body><div class='w'><div><article><p>Same words</p></article></div></div><p>{i}</p></body></html>") for i in range(8)]
+    pages += [
+        (20 + i, f"http://b/{i}", f"<html><body><div class='w'><div><article><p>Same words</p></article></div></div><p>{i}</p></body></html>")
+        for i in range(8)]
     got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: "Copied story second part" if i < 10 else "No article here" if i < 20 else "Same words" for i, _, _ in pages}
 
@@ -286,7 +298,8 @@ def test_chat_keeps_very_long_turns(spark):
 
     from skein.llm import chat
 
-    rows = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("x"), F.lit(21_000_000)).alias("text"))
+    rows = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"),
+        F.repeat(F.lit("x"), F.lit(21_000_000)).alias("text"))
     row = chat.format_chat(chat.turns_of_rows(rows)).select(F.length("formatted"), F.to_json("loss")).first()
     assert tuple(row) == (21_000_000 + 22, '[{"begin":18,"end":21000018}]')
     with pytest.raises(Exception, match="(?i)json"):
@@ -344,7 +357,8 @@ def test_mixture_targets_that_do_not_occur(spark):
 
     rows = spark.range(900).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS source")
     assert mixture.mix_sources(rows, targets={"zz": 1.0}).count() == 0
-    got = {r.source: r["count"] for r in mixture.mix_sources(rows, targets={None: 3.0, "a": 1.0}, total=4000).groupBy("source").count().collect()}
+    got = {r.source: r["count"] for r in mixture.mix_sources(rows, targets={None: 3.0, "a": 1.0},
+            total=4000).groupBy("source").count().collect()}
     assert set(got) == {None, "a"} and abs(got[None] - 3000) < 250 and abs(got["a"] - 1000) < 150
 
 
@@ -369,14 +383,17 @@ def test_chat_of_many_turns(spark):
     from skein.llm import chat
 
     for n in (0, 1, 255, 256, 257, 30_000):
-        rows = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('t~<', id) AS text")
+        rows = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role",
+            "concat('t~<', id) AS text")
         made = chat.format_chat(chat.turns_of_rows(rows)).collect()
         assert len(made) == min(n, 1)
         if made:
             want = [f"t~<{i}" for i in range(n) if i % 3]
             assert [made[0].formatted[r.begin : r.end].replace("~1", "<").replace("~0", "~") for r in made[0].loss] == want
-    odd_rows = spark.createDataFrame([(None, None, None, None), (1, 0, "assistant", ""), (1, 0, "assistant", ""), (1, None, None, "x")], "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.format_chat(chat.turns_of_rows(odd_rows)).withColumn("back", chat.read_chat(F.col("formatted"))).collect()}
+    odd_rows = spark.createDataFrame([(None, None, None, None), (1, 0, "assistant", ""), (1, 0, "assistant", ""), (1, None, None, "x")],
+        "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_chat(chat.turns_of_rows(odd_rows)).withColumn("back",
+            chat.read_chat(F.col("formatted"))).collect()}
     assert [tuple(t) for t in got[1].back] == [("", "x"), ("assistant", ""), ("assistant", "")] and len(got[1].loss) == 2
     assert [tuple(t) for t in got[None].back] == [("", "")]
 
@@ -389,7 +406,8 @@ def _tiff(entries, data, order="<"):
     head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + data + b"\0" * (len(data) % 2)
     body = struct.pack(order + "H", len(entries))
     for tag, kind, count, value in sorted(entries):
-        body += struct.pack(order + "HHI", tag, kind, count) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))
+        body += struct.pack(order + "HHI", tag, kind, count) + (struct.pack(order + "HH", value, 0) if kind == 3
+            else struct.pack(order + "I", value))
     return head + body + b"\0\0\0\0"
 
 
@@ -405,7 +423,8 @@ def test_media_layouts_and_unreadable_media(spark):
             assert media.unpack_lzw(media.pack_lzw(data), n) == data
     long = rng.randbytes(576 * 64 * 5)
     assert b"".join(p["pixels"] for p in media.pages_of(media.write_tiff(long))) == long
-    base = lambda w, h, bits, samples, n: [(256, 3, 1, w), (257, 3, 1, h), (258, 3, 1, bits), (277, 3, 1, samples), (273, 4, 1, 8), (279, 4, 1, n), (278, 3, 1, h)]
+    base = lambda w, h, bits, samples, n: [(256, 3, 1, w), (257, 3, 1, h), (258, 3, 1, bits), (277, 3, 1, samples), (273, 4, 1, 8),
+        (279, 4, 1, n), (278, 3, 1, h)]
     wide = [rng.randrange(65536) for _ in range(12)]
     steps = [(v - (wide[i - 1] if i % 4 else 0)) % 65536 for i, v in enumerate(wide)]
     for order in "<>":
@@ -471,7 +490,8 @@ def test_near_duplicates_against_all_pairs(spark):
             texts.append(" ".join([*own, *(word() for _ in range(max(1, size // 5)))]))
             texts.append(" ".join(own[1:]))
     want = _classes(texts)
-    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.class_id for r in near_duplicates(
+            spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     linked = [i for i in range(len(texts)) if want[i] != i]
     assert len(linked) > 300 and all(got[i] == i for i in range(len(texts)) if want[i] == i)
     assert sum(got[i] == want[i] for i in linked) >= 0.98 * len(linked)
@@ -494,12 +514,15 @@ def test_planted_secrets_in_a_table(spark, docs):
     from skein.llm import secret_scan
 
     rng = random.Random(21)
-    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
     planted = dict(docs)
     for i in range(40):
         key = "".join(rng.choice(alphabets[i % 4]) for _ in range(rng.choice((40, 48, 64))))
         planted[10_000 + i] = f"{docs[i] or ''} the value {key} was seen {docs[i + 50] or ''}"
-    words = ["internationalizationOfThingsAndOthers", "this_is_an_ordinary_identifier_in_snake_case", "path/to/some/ordinary/file/in/folders", "ANOTHERORDINARYCONSTANTNAMEINCAPITALS", "1111111111111111111111111111111111", "00000000000000000000000000000123"]
+    words = ["internationalizationOfThingsAndOthers", "this_is_an_ordinary_identifier_in_snake_case",
+        "path/to/some/ordinary/file/in/folders", "ANOTHERORDINARYCONSTANTNAMEINCAPITALS", "1111111111111111111111111111111111",
+        "00000000000000000000000000000123"]
     for i, w in enumerate(words):
         planted[20_000 + i] = f"we call it {w} here"
     rows = spark.createDataFrame(list(planted.items()), "doc_id long, text string")
@@ -537,7 +560,8 @@ def test_broken_markup_takes_linear_time():
     from skein.llm.page_text import Page
 
     n = 100_000
-    for source in ("<a " * (n * 3), '<a "' * n, "<a '\"" * n, "<div>" * n + "</p>" * n + "x" + "</div>" * n, "<article>" * n + "x", "<b>" * n + "x", "<!-- " * n, "<![CDATA[" * n, "<script>" * n, "<p class='" * n):
+    for source in ("<a " * (n * 3), '<a "' * n, "<a '\"" * n, "<div>" * n + "</p>" * n + "x" + "</div>" * n, "<article>" * n + "x",
+        "<b>" * n + "x", "<!-- " * n, "<![CDATA[" * n, "<script>" * n, "<p class='" * n):
         began = time.time()
         page = Page(source)
         page.text(frozenset(c[0] for c in page.containers))
@@ -574,7 +598,8 @@ def test_leaks_against_all_alignments(spark):
             texts.append(pad() + " " + "".join(x).upper().replace("SS", "ß") + " " + pad())
     texts += [None, "", "x"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = collections.Counter((r.doc_id, r.item_id, r.distance) for r in contamination.find_leaks(rows, spark.createDataFrame(items, "item_id long, text string")).collect())
+    got = collections.Counter((r.doc_id, r.item_id, r.distance)
+        for r in contamination.find_leaks(rows, spark.createDataFrame(items, "item_id long, text string")).collect())
     want = collections.Counter()
     for item_id, item in items:
         x = flat(item)
