@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation_queries, event_queries, fleet_queries, hazard_queries, headline_queries, label_queries, news_queries, place_queries, record_queries, signal_queries, view_queries
+from . import curation_queries, event_queries, fleet_queries, hazard_queries, headline_queries, label_queries, news_queries, place_queries, record_queries, signal_queries, stream_queries, view_queries
 
 _MODULES = (event_queries, place_queries, record_queries, signal_queries, news_queries, fleet_queries, hazard_queries, curation_queries,
-    label_queries, headline_queries, view_queries)
+    label_queries, headline_queries, view_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,7 +31,7 @@ def _one(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(list(order), kind="stable").reset_index(drop=True)
 
 
-SHIPS = "number string, event string, ship string, ts timestamp, lat double, lon double, points long, lats array<double>, lons array<double>"
+SHIPS = "number string, event string, ship string, us long, lat double, lon double, points long, lats array<double>, lons array<double>"
 
 
 class Ships(StatefulProcessor):
@@ -47,11 +47,11 @@ class Ships(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.name = handle.getValueState("name", "name string")
-        self.last = handle.getValueState("last", "ms long, lat double, lon double")
+        self.last = handle.getValueState("last", "us long, lat double, lon double")
         self.trail = handle.getListState("trail", "lat double, lon double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = _one(rows, "ts", "seq")
+        own = _one(rows, "us", "seq")
         name = self.name.get()[0] if self.name.exists() else None
         kept = list(self.trail.get()) if self.trail.exists() else []
         # the name that counts for each row is the last one told before it or with it
@@ -73,24 +73,24 @@ class Ships(StatefulProcessor):
                 kept.append((lat, lon))
         kept = kept[-self.most :]
         self.trail.put(kept)
-        newest, ms = at.iloc[-1], int(at["ts"].iloc[-1].timestamp() * 1000)
-        self.last.update((ms, float(newest["lat"]), float(newest["lon"])))
+        newest, us = at.iloc[-1], int(at["us"].iloc[-1])
+        self.last.update((us, float(newest["lat"]), float(newest["lon"])))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(ms + self.expire_ms)
-        yield self._row(key[0], "seen", told[at.index[-1]], newest["ts"], newest["lat"], newest["lon"], kept)
+        self.handle.registerTimer(us // 1000 + self.expire_ms)
+        yield self._row(key[0], "seen", told[at.index[-1]], us, newest["lat"], newest["lon"], kept)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms, lat, lon = self.last.get()
+        us, lat, lon = self.last.get()
         name = self.name.get()[0]
         kept = list(self.trail.get()) if self.trail.exists() else []
         self.last.clear()
         self.trail.clear()  # what shows it to be military stays known
-        yield self._row(key[0], "gone", name, pd.Timestamp(ms, unit="ms"), lat, lon, kept)
+        yield self._row(key[0], "gone", name, us, lat, lon, kept)
 
     @staticmethod
-    def _row(number, event, ship, ts, lat, lon, kept) -> pd.DataFrame:
-        columns = {"number": number, "event": event, "ship": ship, "ts": pd.Timestamp(ts).tz_localize(None), "lat": lat, "lon": lon,
+    def _row(number, event, ship, us, lat, lon, kept) -> pd.DataFrame:
+        columns = {"number": number, "event": event, "ship": ship, "us": us, "lat": lat, "lon": lon,
             "points": len(kept)}
         return pd.DataFrame({**{c: [v] for c, v in columns.items()}, "lats": [[p[0] for p in kept]], "lons": [[p[1] for p in kept]]})
 
@@ -107,32 +107,32 @@ def ships(messages: DataFrame, late: str = "10 minutes", most: int = 30, step: f
     military = name.rlike(SHIP_NAME) | F.coalesce(F.col("ship_type") == 35, F.lit(False))
     shown = F.when((F.col("kind") == "static") & military, F.coalesce(F.nullif(name, F.lit("")), F.col("number")))
     warship, valid = ship_number(F.col("number"))["warship"], F.coalesce(valid_position(F.col("lat"), F.col("lon")), F.lit(False))
-    rows = messages.withWatermark("ts", late).select("number", "ts", "seq", "kind", "lat", "lon", shown.alias("shown"),
+    rows = messages.withWatermark("ts", late).select("number", "ts", F.unix_micros("ts").alias("us"), "seq", "kind", "lat", "lon", shown.alias("shown"),
         F.coalesce(warship, F.lit(False)).alias("warship"), valid.alias("valid"))
-    return rows.groupBy("number").transformWithStateInPandas(Ships(most, step, expire_ms), SHIPS, "Append", "EventTime")
+    found = rows.groupBy("number").transformWithStateInPandas(Ships(most, step, expire_ms), SHIPS, "Append", "EventTime")
+    return found.select("number", "event", "ship", F.timestamp_micros("us").alias("ts"), "lat", "lon", "points", "lats", "lons")
 
 
 class Seen(StatefulProcessor):
-    """When a key was last let through; a row within ``life_ms`` after that is known, and so are later rows of one key in one batch."""
+    """When a key was last let through; a row (with us_, its time) within ``life_ms`` after that is known, and so are later rows of one batch."""
 
     def __init__(self, life_ms: int, flag: str):
         self.life_ms, self.flag = life_ms, flag
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "ms long")
+        self.at = handle.getValueState("at", "us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = _one(rows, "ts", "seq")
+        own = _one(rows, "us_", "seq")
         at, known = self.at.get()[0] if self.at.exists() else None, []
-        for ts in own["ts"].tolist():
-            ms = int(ts.timestamp() * 1000)
-            known.append(at is not None and ms - at <= self.life_ms)
-            at = at if known[-1] else ms
+        for us in own["us_"].tolist():
+            known.append(at is not None and us - at <= 1000 * self.life_ms)
+            at = at if known[-1] else us
         self.at.update((at,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at + self.life_ms + 1)
+        self.handle.registerTimer(at // 1000 + self.life_ms + 2)
         out = own[~pd.Series(known, index=own.index)]
         if len(out):
             yield out
@@ -150,10 +150,11 @@ def unseen(rows: DataFrame, late: str = "10 minutes", id_ms: int = 24 * HOUR_MS,
 
     Two stores one after the other: a row that is new by its id is remembered there, and then meets the store of fingerprints.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    by_id = rows.withWatermark("ts", late).groupBy("id").transformWithStateInPandas(Seen(id_ms, "id"), schema, "Append", "EventTime",
+    timed = rows.withWatermark("ts", late).withColumn("us_", F.unix_micros("ts"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in timed.schema)
+    by_id = timed.groupBy("id").transformWithStateInPandas(Seen(id_ms, "id"), schema, "Append", "EventTime",
         eventTimeColumnName="ts")
-    return by_id.groupBy("print").transformWithStateInPandas(Seen(print_ms, "print"), schema, "Append", "EventTime")
+    return by_id.groupBy("print").transformWithStateInPandas(Seen(print_ms, "print"), schema, "Append", "EventTime").drop("us_")
 
 
 OUTCOME = "number long, file string, ok boolean, error string, at timestamp"
