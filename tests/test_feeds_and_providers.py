@@ -238,3 +238,29 @@ def test_segments_of_a_stream(spark, tmp_path):
         str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     got = sorted((r.entity, r.start.strftime("%H:%M"), r.end.strftime("%H:%M"), r.n) for r in spark.table("segments").collect())
     assert got == [(1, "00:00", "00:24", 3), (1, "00:30", "00:41", 2), (2, "00:00", "00:10", 1)]
+
+
+def test_places_of_odd_titles(spark):
+    gazetteer = spark.createDataFrame(
+        [("red sea", 0, 0, 1.0, 1.0), ("pentagon", 0, 1, 2.0, 2.0), ("oman", 1, 0, 3.0, 3.0), ("oman", 2, 0, 4.0, 4.0), ("sumy", 2, 1, 5.0, 5.0), ("são paulo", 2, 2, 6.0, 6.0)],
+        "name string, kind int, ord int, lat double, lon double",
+    )
+    mentions = spark.createDataFrame([("omani", "oman", 0), ("atlantis", "atlantis", 1)], "said string, canonical string, ord int")
+    titles = [(1, None), (2, ""), (3, "Pentagon confirms strike"), (4, "Ships at the Pentagon"), (5, "Fire in Sumy Region"), (6, "Omani fleet sails"), (7, "Near Atlantis"), (8, "raid in São Paulo"),
+              (9, "predator sea"), (10, "in Oman near the Red Sea"), (10, "in Oman near the Red Sea"), (11, "In the Monday"), (12, "strikes Sumy's Airport"), (13, "Oman launches"), (14, "near Sumy " * 3000)]
+    rows = spark.createDataFrame(titles, "key int, title string")
+    got = {r.key: (r.place, r.stage, r.lat) for r in places.places_of_titles(rows, gazetteer, mentions).collect()}
+    assert got == {
+        4: ("Pentagon", 2, 2.0), 5: ("Sumy Region", 2, 5.0), 6: ("oman", 4, 3.0), 8: ("São Paulo", 2, 6.0), 10: ("red sea", 1, 1.0), 12: ("Sumy's Airport", 5, None), 13: ("oman", 3, 3.0), 14: ("Sumy", 2, 5.0),
+    }
+    assert places.places_of_titles(rows.limit(0), gazetteer, mentions).collect() == []
+
+
+def test_summaries_of_answers(spark):
+    rows = spark.createDataFrame([(i, f"title {i}" if i else None, None, "FR" if i % 2 else None, i, 1.0, 1.0) for i in range(4)], "id int, title string, category string, country string, score int, lat double, lon double")
+    plain = providers.summaries(rows).first()
+    assert (plain.id, plain.event_count, plain.country, plain.summary) == ("sig_2_2", 4, "FR", "title 3") and [p.point for p in plain.key_points] == ["title 3", "title 2", "title 1"]
+    answers = lambda text: spark.createDataFrame([(2, 2, text)], "cell_lat int, cell_lon int, text string")
+    told = providers.summaries(rows, answers('```json\n{"summary": " s ", "key_points": [{"point": "p"}]}\n```')).first()
+    assert (told.location_name, told.summary, [tuple(p) for p in told.key_points]) == ("FR", "s", [("p", "conflict")])
+    assert providers.summaries(rows, answers("cut off {")).collect() == []
