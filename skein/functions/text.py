@@ -48,6 +48,20 @@ def decode_entities(text: Column) -> Column:
 KEPT = r"\x{1100}-\x{11ff}\x{3000}-\x{9fff}\x{ac00}-\x{d7af}\x{0600}-\x{06ff}\x{0400}-\x{04ff}a-z0-9\s:/._-"
 
 
+def _quoted(value) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else repr(value)
+
+
+def literal_array(values) -> Column:
+    """A constant array, parsed at once instead of built value by value."""
+    return F.expr(f"array({', '.join(map(_quoted, values))})")
+
+
+def literal_map(pairs: dict) -> Column:
+    """A constant map, parsed at once."""
+    return F.expr(f"map({', '.join(_quoted(x) for pair in pairs.items() for x in pair)})")
+
+
 def normalize(text: Column) -> Column:
     """Decoded, lower case, without marks, other characters as blanks, blanks squeezed."""
     marked, plain = accents()
@@ -269,7 +283,7 @@ SUB_TYPES = {
 
 def sub_type(code: Column) -> Column:
     """The name of an event code, else of its first three or two characters, else Unknown."""
-    names = F.create_map(*(F.lit(x) for pair in SUB_TYPES.items() for x in pair))
+    names = literal_map(SUB_TYPES)
     return F.coalesce(*(F.try_element_at(names, F.substring(code, 1, n)) for n in (9, 3, 2)), F.lit("Unknown"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as words
 from ..functions.geo import region_for_quota, region_of_event, severity
 from ..functions.numbers import half_up
-from ..functions.text import canonical_url, has_keyword, has_term, host, normalize, page_title, plain_word, scored_title, story_family, sub_type, title_key
+from ..functions.text import canonical_url, has_keyword, has_term, host, literal_array, literal_map, normalize, page_title, plain_word, scored_title, story_family, sub_type, title_key
 from ..storage import Stage
 from .scoring import BOOSTED_REGIONS, FORCE_ROOTS, HOTSPOTS, PRESSURE_ROOTS, STRUCTURAL_CODES, freshness, is_relevant, is_strategic, keep_event, structural_points, visibility
 from .selection import QUOTAS, greedy_distinct, quota_select
@@ -52,7 +52,7 @@ def count_terms(normalized: Column, terms: tuple[str, ...]) -> Column:
     single, phrases = [t for t in plain if " " not in t and "-" not in t], [t for t in plain if " " in t or "-" in t]
     pattern = f"(?<!{_EDGE})(?:{'|'.join(map(re.escape, single))})(?!{_EDGE})"
     found = F.size(F.array_distinct(F.regexp_extract_all(normalized, F.lit(pattern), F.lit(0)))) if single else F.lit(0)
-    return reduce(lambda a, b: a + b, (normalized.contains(t).cast("int") for t in phrases), found)
+    return found + F.size(F.filter(literal_array(phrases), lambda t: normalized.contains(t))) if phrases else found
 
 
 def joined(events: DataFrame, mentions: DataFrame, documents: DataFrame | None) -> DataFrame:
@@ -84,7 +84,7 @@ def last_of_each(documents: DataFrame) -> DataFrame:
 def two_letter(code: Column) -> Column:
     """The feed's country code as a two-letter code."""
     upper = F.upper(F.coalesce(code, F.lit("")))
-    table = F.create_map(*(F.lit(x) for pair in words.FEED_TO_ISO.items() for x in pair))
+    table = literal_map(words.FEED_TO_ISO)
     return F.coalesce(F.try_element_at(table, upper), upper)
 
 
@@ -192,7 +192,7 @@ def curated(rows: DataFrame, lists: Lists = Lists(), cells: DataFrame | None = N
     rows = _once(rows, {"category": category_of(whole, *map(c, ("root", "code", "military", "civilian")))}).where("category <> 'discard'")
     rows = corrected_country(rows, cells)
     rows = _once(rows, {"region": region_of_event(c("lat"), c("lon"), c("country")), "seen": F.coalesce("mention_count", "mentions")})
-    points = F.create_map(*(F.lit(x) for pair in words.HOST_POINTS.items() for x in pair))
+    points = literal_map(words.HOST_POINTS)
     geo = F.when(c("geo_type") == 4, 12).when(c("geo_type") == 3, 8).when(c("geo_type") == 2, 4).when(c("geo_type") == 1, 1).otherwise(0)
     yes = lambda x, n: F.when(x, n).otherwise(0)
     score = (

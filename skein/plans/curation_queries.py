@@ -74,7 +74,7 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = rollups.mention_summary(mentions(spark, sf_dir).withColumn("identifier", F.lit(None).cast("string"))).drop("best_identifier")
     rows = events(spark, sf_dir)
     heard = rows.select((F.col("id") - 1).alias("event_id"), F.col("url").alias("best_identifier")).where("event_id % 5 = 2")
-    return curation.joined(rows, summary.join(heard, "event_id", "left"), gkg(spark, sf_dir))
+    return curation.joined(rows, summary.join(heard, "event_id", "left"), gkg(spark, sf_dir)).repartition(spark.sparkContext.defaultParallelism)  # so few bytes that they would be one task's
 
 
 def a_flagship_events(spark: SparkSession, sf_dir: str) -> DataFrame:
