@@ -357,5 +357,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base counts and digest, and all spans."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = found_secrets(Stage(spark, "secrets").keep(scan(docs), "scanned"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+    # a default in the inner lambda would be a second parameter, which Spark fills with the element's place
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    count = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
     return rows.select("doc_id", *count, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))

@@ -174,6 +174,20 @@ def test_base_secrets(spark, docs):
         assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest() and set(told) <= set(r.spans.split(",")) | {""}
 
 
+def test_base_secrets_are_counted_by_kind(spark, tmp_path):
+    """Rows with none, one, several and mixed kinds, copied ids, signs beyond 16 bits, letters that only look like those of the patterns."""
+    from skein.llm import secret_scan
+
+    access, digits = "AKIA" + "B2" * 6, "0a" * 16
+    texts = [(None, "token=abcdefgh", (1, 0, 0)), (0, None, (0, 0, 0)), (1, "", (0, 0, 0)), (2, f"{access} {access}", (0, 2, 0)),
+        (2, f"{access} {access}", (0, 2, 0)), (3, digits, (0, 0, 1)), (4, f"{digits} {access} token={digits}", (1, 1, 2)),
+        (5, "Secret : 'ABCDEFGH password=1234567 api_KEY==abcdefg", (2, 0, 0)), (6, "\U0001f600 \u017fecret=abcdefgh to\u212aen=abcdefgh",
+            (0, 0, 0)), (7, f"{access[:15]} {digits[1:]}", (0, 0, 0)), (8, "token=" * 1000, (1, 0, 0)), (9, f"passwd={access} " * 500, (500, 500, 0))]
+    spark.createDataFrame([x[:2] for x in texts], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, (r.n_assign, r.n_access, r.n_hex)) for r in secret_scan.op8_secret_scan(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(i, n) for i, _, n in texts], key=str)
+
+
 def test_random_strings_are_told_from_words(spark):
     from skein.llm import secret_scan
 
