@@ -197,6 +197,10 @@ def recency_penalty(age_hours: Column) -> Column:
         F.lit(0)).otherwise(F.least(F.lit(24), half_up(10 * F.log2(1 + age_hours / 36)))).cast("long")
 
 
-def fusion_bonus(km: Column, radius_km: float, confidence: Column, sensitive: Column) -> Column:
+def fusion_points(km: Column, radius_km: float, confidence: Column, sensitive: Column) -> Column:
     sure = F.when(F.coalesce(confidence, F.lit(0)) == 0, 50).otherwise(confidence)
-    return half_up(18 * (1 - km / radius_km) * sure / 100 * F.when(sensitive, 1.15).otherwise(1.0))
+    return 18 * (1 - km / radius_km) * sure / 100 * F.when(sensitive, 1.15).otherwise(1.0)
+
+
+def fusion_bonus(km: Column, radius_km: float, confidence: Column, sensitive: Column) -> Column:
+    return half_up(fusion_points(km, radius_km, confidence, sensitive))

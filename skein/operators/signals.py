@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import EARTH_KM
 from ..functions.numbers import clamp, half_up
-from .scoring import fusion_bonus, recency_penalty
-from .spatial import within_km
+from ..storage import Stage
+from .scoring import fusion_bonus, fusion_points, recency_penalty
+from .spatial import FIRST_LOOK, best_in_looks, near_pairs, top_within, within_km, zones_in_looks
 
 
 @dataclass(frozen=True)
@@ -279,20 +281,19 @@ def _scored(df: DataFrame, domain: Domain, text: Column) -> DataFrame:
 def context(rows: DataFrame, places: DataFrame, key: str, widest_zone: float = 450.0) -> DataFrame:
     """The rows with nearest base, chokepoint, port and lane (each within its radius) and the first zone that holds them.
 
-    ``places``: kind, site, site_lat, site_lon, radius_km (of zones, ``widest_zone`` at most), ord. One distance join
-    serves all kinds.
+    ``places``: kind, site, site_lat, site_lon, radius_km (of zones, ``widest_zone`` at most), ord.
     """
-    radius = F.lit(None).cast("double")
-    for kind, (km, _) in RADII.items():
-        radius = F.when(F.col("kind") == kind, km).otherwise(radius)
-    own = F.coalesce(radius, "radius_km")
-    pairs = within_km(rows.select(key, "lat", "lon"), places, max(widest_zone, *(km for km, _ in RADII.values()))).where(F.col("km") <= own)
-    found = [F.min(F.when(F.col("kind") == k, F.struct("km", "site"))).alias(f"near_{k}_") for k in RADII]
-    zone = F.min(F.when(F.col("kind") == "zone", F.struct("ord", "site", "km"))).alias("zone_")
-    near = pairs.groupBy(key).agg(*found, zone)
-    kinds = [(f"near_{k}_", k) for k in RADII] + [("zone_", "zone")]
-    columns = [c for full, k in kinds for c in (F.col(f"{full}.site").alias(k), half_up(F.col(f"{full}.km")).alias(f"{k}_km"))]
-    out = rows.join(near.select(key, *columns), key, "left")
+    # each kind and the zones are joined apart, so that each looks no farther than it must
+    spots = rows.select(key, "lat", "lon")
+    kept = ("site", "km")
+    found = [top_within(spots, places.where(F.col("kind") == k), key, "site", km, 1).select(key, F.lit(k).alias("kind_"), *kept)
+        for k, (km, _) in RADII.items()]
+    zones = zones_in_looks(spots, places.where(F.col("kind") == "zone"), key, "ord", widest_zone, *kept)
+    every = reduce(lambda a, b: a.unionByName(b), [*found, zones.select(key, F.lit("zone").alias("kind_"), *kept)])
+    kinds = [*RADII, "zone"]
+    one = lambda k, x: F.max(F.when(F.col("kind_") == k, x))
+    near = every.groupBy(key).agg(*(c for k in kinds for c in (one(k, F.col("site")).alias(k), one(k, half_up(F.col("km"))).alias(f"{k}_km"))))
+    out = rows.join(near, key, "left")
     return out.withColumn("sensitive", F.col("base").isNotNull() | F.col("chokepoint").isNotNull() | F.col("zone").isNotNull())
 
 
@@ -389,12 +390,30 @@ def naval_activity(signals: DataFrame, anomalies: DataFrame, key: str = "id", km
     ``anomalies``: anomaly, site_lat, site_lon, anomaly_confidence, anomaly_sensitive, source.
     """
     c = F.col
-    pairs = within_km(signals.select(key, "lat", "lon"), anomalies, km)
-    pairs = pairs.withColumn("bonus", fusion_bonus(c("km"), km, c("anomaly_confidence"), c("anomaly_sensitive"))).where("bonus > 0")
     told = F.struct((-c("bonus")).alias("minus"), half_up(c("km")).alias("km"), "anomaly", "source")
-    # ranked first, which keeps ``most`` rows of a signal before anything is gathered
-    best = pairs.withColumn("told", told).withColumn("rank_",
-        F.row_number().over(Window.partitionBy(key).orderBy("told"))).where(c("rank_") <= most)
+    # an anomaly gives this bonus only within so many km: first those that give a high one are looked for, then lower ones
+    bonus = lambda far: fusion_bonus(far, km, c("anomaly_confidence"), c("anomaly_sensitive"))
+    whole = fusion_bonus(F.lit(0.0), km, F.lit(100), F.lit(True))
+    weight = fusion_points(F.lit(0.0), km, c("anomaly_confidence"), c("anomaly_sensitive"))
+    reach = lambda least: F.when(weight > least - 0.5, km * (1 - (least - 0.5) / weight) + 1e-6)
+    levels = range(signals.sparkSession.range(1).select(whole).first()[0], 0, -1)
+    share = lambda least: F.sum(F.pow(F.sin(reach(least) / (2 * EARTH_KM)), 2)).alias(f"n{least}")
+    expected = anomalies.where("site_lat is not null and site_lon is not null").agg(*map(share, levels)).first()
+    steps, enough = [], float(FIRST_LOOK * most)
+    for least in levels[:-1]:
+        if (expected[f"n{least}"] or 0.0) >= enough:
+            steps.append(least)
+            enough *= 4
+
+    def look(least: int):
+        def pairs(rows: DataFrame) -> DataFrame:
+            near = near_pairs(rows, anomalies, km, own=reach(least), step_km=km * max(0.05, 1 - (least - 0.5) / levels[0]))
+            return near.withColumn("bonus", bonus(c("km"))).where(c("bonus") >= least).select(key, told.alias("told"))
+        return pairs
+
+    if steps:  # computed once
+        signals = Stage(signals.sparkSession, "naval").keep(signals, "signals")
+    best = best_in_looks(signals.select(key, "lat", "lon"), key, [look(n) for n in (*steps, 1)], most, "told")
     near = best.groupBy(key).agg(F.sort_array(F.collect_list("told")).alias("near"))
     near = near.select(key, "near", F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a - x["minus"]).alias("anomaly_bonus"),
         F.array_distinct(F.transform("near", lambda x: x["source"])).alias("sources"))
