@@ -138,10 +138,12 @@ def broken_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrap = lambda i: F.get(F.array(*(F.lit(w[i]) for w in WRAPS)), at)
     body = _pick(OBJECTS, k)
     said = F.concat(wrap(0), F.substr(body, F.lit(1), F.greatest(F.length(body) - wrap(2), F.lit(0))), wrap(1))
-    a = text.signal_answer(said)
+    # each found and read once, whatever is taken from it: a generated one-row relation is not copied into its users
+    once = lambda c: F.inline(F.array(F.struct(c)))
+    found = table(spark, sf_dir, "orders").select(k.alias("id"), once(text.balanced_object(said).alias("object")))
+    rows, a = found.select("*", once(text.answer_of(F.col("object")).alias("answer"))), F.col("answer")
     points = F.array_join(F.transform(a["key_points"], lambda p: F.concat(p["point"], F.lit("/"), p["category"])), ";")
-    return table(spark, sf_dir, "orders").select(k.alias("id"), text.balanced_object(said).alias("object"),
-        a["location_name"].alias("place"), a["summary"].alias("summary"), points.alias("points"))
+    return rows.select("id", "object", a["location_name"].alias("place"), a["summary"].alias("summary"), points.alias("points"))
 
 
 def cluster_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
