@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
+from ..functions.geo import EARTH_KM
 from ..functions.numbers import clamp
-from ..functions.text import overlap, word_set
+from ..functions.text import word_set
 from ..storage import Stage
 from .selection import greedy_independent, keep_one
-from .similarity import similar_pairs
 
 # Patterns of headlines, with what they mean, in the order in which they are tried.
 STRATEGIC = "military|spy|reconnaissance|nro|classified|ussf|space force|dod|pentagon|space weapon|asat|anti.satellite|jamming|spoofing|electronic warfare|icbm|slbm|hypersonic|ballistic|nuclear|warhead|intelligence|surveillance|early warning|missile defense|missile tracking|space command|weaponiz"
@@ -162,22 +164,99 @@ def classified(items: DataFrame) -> DataFrame:
     return out.withColumn("enough", c("confidence") >= least_confidence(c("domain")))
 
 
-def _candidates(items: DataFrame, least: float, hours: int, order: str) -> DataFrame:
-    """Pairs of items that are close in time and alike enough, with both sides' facts; equal word sets meet once."""
-    rows = items.withColumn("words", F.array_sort(word_set(F.col("title")))).withColumn("set", F.xxhash64("words"))
-    sets = rows.groupBy("set").agg(F.first("words").alias("words"))
-    near = similar_pairs(sets, "words", least, key="set").select(F.col("a").alias("x"), F.col("b").alias("y"))
-    near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(
-        sets.select(F.col("set").alias("x"), F.col("set").alias("y")))
-    day = F.floor(F.unix_seconds("ts") / (3600 * hours)).cast("long")
-    side = lambda n, own: rows.select(F.col("set").alias({"a": "x", "b": "y"}[n]), own.alias("day"),
-        *(F.col(c).alias(f"{n}_{c}") for c in ("id", order, "ts", "source", "lat", "lon", "words")))
-    # two items at most ``hours`` apart are in the same or in neighbouring stretches of that length
-    left = side("a", F.explode(F.array(day - 1, day, day + 1)))
-    pairs = left.join(near, "x").join(side("b", day), ["y", "day"]).where(F.col(f"a_{order}") < F.col(f"b_{order}"))
-    pairs = pairs.withColumns({"similarity": overlap(F.col("a_words"), F.col("b_words")),
-            "apart": F.abs(F.unix_seconds("a_ts") - F.unix_seconds("b_ts"))})
-    return pairs.where(F.col("apart") <= 3600 * hours)
+#: Items of a stretch of time that a task holds against as many others, and how many of them at once.
+TILE, AT_ONCE = 4000, 250
+
+
+def _alike(items: DataFrame, least: float, hours: int, order: str, told: Callable) -> DataFrame:
+    """(a, b, similarity, older): pairs of items at most ``hours`` apart and at least so alike of which ``told`` is true, a first by ``order``.
+
+    ``told(similarity, apart, same_source, km)`` takes numpy arrays. ``older``: the one that goes if both tell the same, of one time
+    the later in order. Items are dealt to tiles of their stretch of time, and each pair of tiles of a stretch or of two neighbours is one
+    group, which counts common words by a product of matrices for frequent words and by the rare words' rows. So only items are
+    shuffled, however many pairs there are.
+    """
+    seconds = F.unix_seconds("ts")
+    rows = items.where(F.col("ts").isNotNull() & F.col(order).isNotNull()).select("id", F.col(order).alias("ord"), seconds.alias("seconds"),
+        F.unix_micros("ts").alias("at"), "source", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
+        word_set(F.col("title")).alias("words"), F.floor(seconds / (3600 * hours)).cast("long").alias("s"))
+    fullest = rows.groupBy("s").count().agg(F.max("count")).first()[0]
+    tiles = -(-(fullest or 1) // TILE)
+    own, n = F.pmod(F.xxhash64("id", "ord"), F.lit(tiles)).cast("int"), F.sequence(F.lit(0), F.lit(tiles - 1))
+    cell = lambda s, next_, i, j, second: F.struct(s.alias("s"), F.lit(next_).alias("next"), i.alias("i"), j.alias("j"),
+        second.alias("second"))
+    cells = F.concat(
+        F.transform(n, lambda x: cell(F.col("s"), 0, F.least(F.col("own"), x), F.greatest(F.col("own"), x), F.col("own") > x)),
+        F.transform(n, lambda x: cell(F.col("s"), 1, F.col("own"), x, F.lit(False))),
+        F.transform(n, lambda x: cell(F.col("s") - 1, 1, x, F.col("own"), F.lit(True))))
+    dealt = rows.withColumn("own", own).select("id", "ord", "seconds", "at", "source", "lat", "lon", "words", F.inline(cells))
+    radius, at_once = EARTH_KM, AT_ONCE
+
+    def pairs(cell: pa.Table) -> pa.Table:
+        ids, second = cell["id"].combine_chunks(), cell["second"].to_numpy()
+        kind = ids.type
+        one = not cell["next"][0].as_py() and cell["i"][0].as_py() == cell["j"][0].as_py()
+        place = np.unique(cell["ord"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        seconds, at, lat, lon = (cell[x].to_numpy() for x in ("seconds", "at", "lat", "lon"))
+        names = cell["source"].combine_chunks().dictionary_encode()
+        source = names.indices.fill_null(-1).to_numpy()
+        words = cell["words"].combine_chunks()
+        size = words.value_lengths().fill_null(0).to_numpy()
+        code = words.flatten().dictionary_encode().indices.to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        left = np.arange(len(size)) if one else np.flatnonzero(~second)
+        right = left if one else np.flatnonzero(second)
+        empty = pa.table({"a": pa.array([], kind), "b": pa.array([], kind), "similarity": pa.array([], pa.float64()), "older": pa.array([], kind)})
+        if not len(left) or not len(right) or not len(code):
+            return empty
+        sides = []
+        for side in (left, right):
+            here = np.full(len(size), -1)
+            here[side] = np.arange(len(side))
+            sides.append((here[row][here[row] >= 0], code[here[row] >= 0]))
+        (a_row, a_code), (b_row, b_code) = sides
+        n_codes = int(code.max()) + 1
+        n_a, n_b = np.bincount(a_code, minlength=n_codes), np.bincount(b_code, minlength=n_codes)
+        often = n_a * n_b * 300 > len(left) * len(right)
+        column = np.cumsum(often) - 1
+        dense = []
+        for side, r, w in ((left, a_row, a_code), (right, b_row, b_code)):
+            matrix = np.zeros((len(side), int(often.sum())), np.float32)
+            matrix[r[often[w]], column[w[often[w]]]] = 1
+            dense.append(matrix)
+        rare = ~often & (n_a > 0) & (n_b > 0)
+        a_rare, b_rare = rare[a_code], rare[b_code]
+        a_row, a_code = a_row[a_rare], a_code[a_rare]
+        by = np.argsort(b_code[b_rare], kind="stable")
+        b_row, b_start = b_row[b_rare][by], np.searchsorted(b_code[b_rare][by], np.arange(n_codes + 1))
+        out = [empty]
+        for start in range(0, len(left), at_once):
+            own = left[start : start + at_once]
+            common = dense[0][start : start + at_once] @ dense[1].T
+            lo, hi = np.searchsorted(a_row, (start, start + len(own)))
+            if hi > lo:
+                w, r = a_code[lo:hi], a_row[lo:hi] - start
+                n = b_start[w + 1] - b_start[w]
+                to = b_row[np.repeat(b_start[w] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                common += np.bincount(np.repeat(r, n) * len(right) + to, minlength=common.size).reshape(common.shape)
+            longer = np.maximum(size[own][:, None], size[right][None, :])
+            x, y = np.nonzero((common >= longer * least - 1e-3) & (common > 0))
+            similarity, x, y = np.rint(common[x, y]).astype(np.float64) / longer[x, y], own[x], right[y]
+            apart = np.abs(seconds[x] - seconds[y])
+            keep = (apart <= 3600 * hours) & ((place[x] < place[y]) if one else (place[x] != place[y]))
+            x, y, similarity, apart = x[keep], y[keep], similarity[keep], apart[keep]
+            p = np.sin(np.radians(lat[y] - lat[x]) / 2) ** 2
+            p = p + np.cos(np.radians(lat[x])) * np.cos(np.radians(lat[y])) * np.sin(np.radians(lon[y] - lon[x]) / 2) ** 2
+            km = 2 * radius * np.arctan2(np.sqrt(p), np.sqrt(np.maximum(0.0, 1 - p)))
+            keep = told(similarity, apart, (source[x] == source[y]) & (source[x] >= 0), km)
+            x, y, similarity = x[keep], y[keep], similarity[keep]
+            x, y = np.where(place[x] < place[y], x, y), np.where(place[x] < place[y], y, x)
+            out.append(pa.table({"a": ids.take(pa.array(x)), "b": ids.take(pa.array(y)), "similarity": similarity,
+                "older": ids.take(pa.array(np.where(at[x] >= at[y], y, x)))}).cast(empty.schema))
+        return pa.concat_tables(out)
+
+    kinds = rows.schema["id"].dataType.simpleString()
+    return dealt.groupBy("s", "next", "i", "j").applyInArrow(pairs, f"a {kinds}, b {kinds}, similarity double, older {kinds}")
 
 
 def duplicates(items: DataFrame, order: str = "ord") -> DataFrame:
@@ -185,19 +264,19 @@ def duplicates(items: DataFrame, order: str = "ord") -> DataFrame:
 
     ``items``: id, title, ts, source, lat, lon and the order.
     """
-    c = F.col
-    km = haversine(c("a_lat"), c("a_lon"), c("b_lat"), c("b_lon"))
-    same_source = (c("a_source") == c("b_source")) & (c("apart") < 3600 * NEAR_HOURS) & (c("similarity") > ALIKE_SAME_SOURCE)
-    near = (km < NEAR_KM) & (c("similarity") > ALIKE_NEAR)
-    pairs = _candidates(items, ALIKE_SAME_SOURCE, DEDUP_HOURS, order)
-    told = (c("similarity") > ALIKE) | F.coalesce(same_source, F.lit(False)) | F.coalesce(near, F.lit(False))
-    return pairs.where(told).select(c("a_id").alias("a"), c("b_id").alias("b"))
+    alike, alike_same_source, alike_near, soon, near_km = ALIKE, ALIKE_SAME_SOURCE, ALIKE_NEAR, 3600 * NEAR_HOURS, NEAR_KM
+
+    def told(similarity, apart, same_source, km):
+        return (similarity > alike) | (same_source & (apart < soon) & (similarity > alike_same_source)) | ((km < near_km)
+            & (similarity > alike_near))
+
+    return _alike(items, ALIKE_SAME_SOURCE, DEDUP_HOURS, order, told).select("a", "b")
 
 
 def gray_pairs(items: DataFrame, order: str = "ord") -> DataFrame:
-    """Pairs that may tell the same: similarity in the gray band, within a day."""
-    pairs = _candidates(items, GRAY[0] - 1e-9, GRAY_HOURS, order).where((F.col("similarity") >= GRAY[0]) & (F.col("similarity") < GRAY[1]))
-    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "similarity")
+    """Pairs that may tell the same: similarity in the gray band, within a day; with the older of both, for ``without_gray``."""
+    least, most = GRAY
+    return _alike(items, least, GRAY_HOURS, order, lambda similarity, apart, same_source, km: (similarity >= least) & (similarity < most))
 
 
 def unique_items(items: DataFrame, order: str = "ord") -> DataFrame:
@@ -211,6 +290,8 @@ def without_gray(items: DataFrame, verdicts: DataFrame, order: str = "ord") -> D
 
     Every verdict counts by itself: an item that one pair takes away still takes away others by its own pairs.
     """
+    if "older" in verdicts.columns:  # as ``gray_pairs`` says
+        return items.join(verdicts.where("same").select(F.col("older").alias("id")).distinct(), "id", "left_anti")
     when = F.coalesce(F.unix_micros("ts"), F.lit(0))
     side = lambda n: items.select(F.col("id").alias(n),
         F.struct(F.col(order).alias("ord"), when.alias("at"), F.col("id").alias("id")).alias(f"{n}_"))

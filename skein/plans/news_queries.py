@@ -80,7 +80,7 @@ def news_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 def news_without_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items without the older one of each gray pair that a third of the verdicts call the same."""
     rows = items(spark, sf_dir).where("ts is not null")
-    verdicts = news.gray_pairs(rows).select("a", "b", ((F.col("a") + F.col("b")) % 3 == 0).alias("same"))
+    verdicts = news.gray_pairs(rows).select("a", "b", "older", ((F.col("a") + F.col("b")) % 3 == 0).alias("same"))
     return news.without_gray(rows, verdicts).select("id")
 
 
